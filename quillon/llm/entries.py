@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
-from quillon.llm import media, mixing, piece_count, planes
+from quillon.llm import decontaminate, importance, license_scan, media, mixing, neardup, piece_count, planes, toxicity
 
-QUERIES = {f.__name__: f for f in (media.op2_media_fingerprints, planes.op3_token_planes, piece_count.op9_piece_counts, mixing.op10_source_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        toxicity.op1_toxicity,
+        media.op2_media_fingerprints,
+        planes.op3_token_planes,
+        neardup.op4_minhash_dedup,
+        license_scan.op5_license_scan,
+        decontaminate.op7_decontaminate,
+        importance.op8_importance,
+        piece_count.op9_piece_counts,
+        mixing.op10_source_mix,
+    )
+}
 
-ORACLE_SQL = {"op10_source_mix": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op4_minhash_dedup": neardup.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_source_mix": mixing.ORACLE_SQL,
+}
