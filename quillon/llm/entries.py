@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, importance, license_scan, media, mixing, neardup, piece_count, planes, toxicity
+from quillon.llm import decontaminate, importance, license_scan, media, mixing, neardup, piece_count, planes, toxicity, transcripts
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         planes.op3_token_planes,
         neardup.op4_minhash_dedup,
         license_scan.op5_license_scan,
+        transcripts.op6_transcripts,
         decontaminate.op7_decontaminate,
         importance.op8_importance,
         piece_count.op9_piece_counts,
