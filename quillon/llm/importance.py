@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.llm._batches import LOWER, SPACED_WORD, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
 
@@ -104,6 +105,41 @@ def smallest_kept(keys: DataFrame, k: int) -> float | None:
             return low
 
 
+def passage_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", target_rows: int = TARGET_ROWS) -> np.ndarray:
+    """log_ratios of the target documents to all of docs."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("q")).where("id IS NOT NULL AND q IN (0, 1)").groupBy("id").agg(F.min("q").alias("q"))
+    target = marks.where("q = 1").orderBy(F.xxhash64("id"), "id").limit(target_rows).select("id")  # so small that it can be broadcast
+    return log_ratios(bucket_counts(rows, target))
+
+
+def with_key(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, passage: int = PASSAGE, seed: str = SEED) -> DataFrame:
+    """docs, all columns, with `_log_weight` and `_key`, its sum with Gumbel noise; both NULL for texts without a word."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, text_col):
+                at, row = features(data, offsets)
+                n = np.bincount(row, minlength=len(part))
+                total = np.bincount(row, ratio[at], minlength=len(part))
+                weight = pa.array(passage * total / (n + PRIOR_GRAMS), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([*part.columns, weight], names=[*part.schema.names, "_log_weight"])
+
+    schema = StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())])
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return docs.mapInArrow(weigh, schema).withColumn("_key", F.col("_log_weight") - F.log(-F.log(u)))
+
+
+def least_key(keys: DataFrame, keep: float | None = None, benefit: float = BENEFIT) -> float | None:
+    """The smallest key kept, of a table (log_weight, key); None: all."""
+    n, like = keys.agg(F.count("key"), F.sum(F.least(F.lit(1.0), F.exp(F.col("log_weight") + benefit)))).first()
+    return smallest_kept(keys, round(like or 0.0) if keep is None else int(np.ceil(keep * n)))
+
+
+def is_kept(key: Column, least: float | None) -> Column:
+    return key.isNotNull() if least is None else F.coalesce(key >= F.lit(least), F.lit(False))
+
+
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", keep: float | None = None, benefit: float = BENEFIT, target_rows: int = TARGET_ROWS, passage: int = PASSAGE, seed: str = SEED) -> DataFrame:
     """(id, log_weight, key, kept): documents drawn without replacement, as likely as they look like the target text.
 
@@ -122,24 +158,23 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     small_batches(spark)
+    ratio = passage_ratios(docs, labels, id_col, text_col, quality_col, target_rows)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("q")).where("id IS NOT NULL AND q IN (0, 1)").groupBy("id").agg(F.min("q").alias("q"))
-    target = marks.where("q = 1").orderBy(F.xxhash64("id"), "id").limit(target_rows).select("id")  # so small that it can be broadcast
-    ratio = log_ratios(bucket_counts(rows, target))
+    keys = with_key(rows, ratio, "id", "text", passage, seed).select("id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
+    keys = written(keys, f"{shared_folder(spark)}/keys")
+    return keys.withColumn("kept", is_kept(F.col("key"), least_key(keys, keep, benefit)))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in text_slices(batch):
-                at, row = features(data, offsets)
-                n = np.bincount(row, minlength=len(part))
-                total = np.bincount(row, ratio[at], minlength=len(part))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(passage * total / (n + PRIOR_GRAMS), mask=n == 0)], names=["id", "log_weight"])
 
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keys = written(rows.mapInArrow(weigh, "id bigint, log_weight double").withColumn("key", F.col("log_weight") - F.log(-F.log(u))), f"{shared_folder(spark)}/keys")
-    n, like = keys.agg(F.count("key"), F.sum(F.least(F.lit(1.0), F.exp(F.col("log_weight") + benefit)))).first()
-    least = smallest_kept(keys, round(like or 0.0) if keep is None else int(np.ceil(keep * n)))
-    return keys.withColumn("kept", F.col("key").isNotNull() if least is None else F.coalesce(F.col("key") >= F.lit(least), F.lit(False)))
+def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that resample keeps, all columns as they were; weighs the texts again instead of joining them."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    cut = {k: options[k] for k in ("keep", "benefit") if k in options}
+    drawn = {k: options[k] for k in ("passage", "seed") if k in options}
+    ratio = passage_ratios(docs, labels, id_col, text_col, **{k: v for k, v in options.items() if k not in cut and k not in drawn})
+    keys = with_key(docs.select(id_col, text_col), ratio, id_col, text_col, **drawn).select(F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
+    keys = written(keys, f"{shared_folder(spark)}/keys")
+    return with_key(docs, ratio, id_col, text_col, **drawn).where(is_kept(F.col("_key"), least_key(keys, **cut))).drop("_log_weight", "_key")
 
 
 def op8_importance(spark, sf_dir: str) -> DataFrame:

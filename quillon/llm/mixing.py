@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """How often a mix takes each document: (id, source, size, source_size, target, copies, taken), one row per input row.
+    """How often a mix takes each document: (id, text_hash, source, size, source_size, target, copies, taken), one row per input row.
 
     Each source is taken whole floor(target / source_size) times; what is left of the target goes to the documents with
     the smallest sampling keys, up to and without the one after which the sum is farther from the target. Keys weigh by
@@ -58,14 +58,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (repeated ids) go by size, then arbitrarily among equal rows. An empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     if quality is None:
         rows = rows.withColumn("quality_weight", F.lit(1.0))
     else:
         rows = rows.join(quality.select(F.col(id_col).alias("id"), F.col("weight").cast("double").alias("quality_weight")), "id", "left")
     key = sampling_key(F.col("id"), F.coalesce("quality_weight", F.lit(1.0)), seed)
     # 1 - exp(-key) rises with the key and lies in [0, 1)
-    rows = rows.select("id", "source", "size", key.alias("key")).withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = rows.select("id", "text_hash", "source", "size", key.alias("key")).withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
     rows = written(rows, f"{shared_folder(spark)}/rows")
 
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -73,14 +73,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-9), F.lit(max_epochs))).otherwise(0).cast("int")).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
     order = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("range_size").over(order), F.lit(0))).withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    marked = rows.select("id", F.col("source").alias("s"), F.col("range").alias("g"), "size", "key").join(ranges, F.col("s").eqNullSafe(F.col("source")) & (F.col("g") == F.col("range"))).drop("s", "g")
+    marked = rows.select("id", "text_hash", F.col("source").alias("s"), F.col("range").alias("g"), "size", "key").join(ranges, F.col("s").eqNullSafe(F.col("source")) & (F.col("g") == F.col("range"))).drop("s", "g")
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("range_size") > F.col("rest"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "size", "id")
+    inside = Window.partitionBy("source", "range").orderBy("key", "size", "id", "text_hash")
     sorted_ = marked.where(cut).withColumn("upto", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # the document that crosses the target is taken if that comes closer to it
     sorted_ = sorted_.withColumn("extra", ((F.col("size") > 0) & ((F.col("upto") - F.col("rest")) <= (F.col("rest") - (F.col("upto") - F.col("size"))))).cast("int")).drop("upto")
     whole = marked.where(~cut).withColumn("extra", ((F.col("size") > 0) & (F.col("before") + F.col("range_size") <= F.col("rest"))).cast("int"))
-    return whole.unionByName(sorted_).select("id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("copies"), ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"))
+    return whole.unionByName(sorted_).select("id", "text_hash", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("copies"), ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies, all columns as they were; rows equal in id and text as often as the one most taken."""
+    mix = mix_sources(docs, id_col, text_col, **options).where("copies > 0").groupBy("id", "text_hash").agg(F.max("copies").alias("_copies"))
+    mix = mix.withColumnsRenamed({"id": "_mix_id", "text_hash": "_mix_hash"})
+    taken = docs.join(mix, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_hash")))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 LABEL_WEIGHTS = {1: 2.0, 0: 0.25}

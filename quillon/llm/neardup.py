@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._batches import LOWER, SPACED_WORD, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
@@ -217,6 +217,20 @@ def _labelled(signed: DataFrame, own: DataFrame, component: DataFrame) -> DataFr
     return out.select("id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near-duplicates, the one with the smallest id, all columns as they were.
+
+    Of rows that repeat a kept id, the first by text stays; rows with a NULL id all stay.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, **options).where("kept").select("id"), f"{shared_folder(docs.sparkSession)}/kept")
+    ids = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("times"))
+    own = docs.join(found.distinct().select(F.col("id").alias("_kept_id")), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    if ids.where("times > 1").isEmpty():
+        return own
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return own.withColumn("_place", F.when(F.col(id_col).isNotNull(), place).otherwise(1)).where("_place = 1").drop("_place")
+
+
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, words=3, percent=85).withColumnRenamed("id", "doc_id")
