@@ -1,16 +1,53 @@
-"""From raw documents to token ids: the STAGES, each over all that the one before kept."""
+"""From raw documents to token ids: the STAGES, each over all that the one before kept.
+
+Columns of documents pass unchanged through all stages but the last, whose rows are the token index of op3: doc_id, start,
+n_tokens and ids_crc32 per row of the mix. SQL cannot express the quality classifier, so there is no ORACLE_SQL; the
+tests hold the pipeline against brute force.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from quillon.llm._batches import shared_folder, written
+from quillon.llm.decontaminate import drop_contaminated
+from quillon.llm.importance import keep_resampled
+from quillon.llm.mixing import label_weights, mixed_rows
+from quillon.llm.neardup import drop_near_duplicates
 from quillon.llm.planes import op3_token_planes
 
-STAGES = [("token_planes", lambda spark, docs, sf_dir: op3_token_planes(spark, sf_dir, docs))]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampler keeps."""
+    return keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at a similarity of 0.8 or more of five-word shingles."""
+    return drop_near_duplicates(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_rows(docs, quality=label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def token_planes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of what was taken, written as compressed planes, and their index read back."""
+    return op3_token_planes(spark, sf_dir, docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_planes", token_planes)]
 
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; each stage is written as Parquet and read again by the next."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
