@@ -1,4 +1,4 @@
-"""Toxicity: cumulative-link ordinal regression over sparse word features, one weight vector for all grade thresholds."""
+"""Toxicity: cumulative-link ordinal regression over sparse word and word-start features, one weight vector for all grade thresholds."""
 
 from __future__ import annotations
 
@@ -19,14 +19,23 @@ TRAIN_ROWS = 20_000
 FEATURES = 2048
 MIN_DOCUMENTS = 5
 GRADES = 4
-PENALTY = 1e-4
+MIN_Z = 3.0
+PENALTY = 1e-3
 STEPS = 400
+PREFIXES = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def terms_of(text: str, known: dict | None = None) -> Counter:
+    """Counts of a text's words and of their beginnings (marked by a hyphen) by PREFIXES letters; with `known`, of its keys only."""
+    words = Counter(_WORD.findall(text.lower()))
+    out: Counter = Counter()
+    for w, n in words.items():
+        for term in (w, *[w[:k] + "-" for k in PREFIXES if len(w) > k]):
+            if known is None or term in known:
+                out[term] += n
+    return out
 
 
 @dataclass(frozen=True)
@@ -39,8 +48,7 @@ class OrdinalModel:
     def severity(self, text: str | None) -> tuple[float, list[float]]:
         """(expected grade, probability of each grade) of a text."""
         w = self.weights
-        counts = Counter(x for x in words_of(text or "") if x in w)
-        score = sum(w[x] * np.log1p(n) for x, n in sorted(counts.items()))
+        score = sum(w[x] * np.log1p(n) for x, n in sorted(terms_of(text or "", w).items()))
         below = [*(1 / (1 + np.exp(-np.clip(c - score, -40, 40))) for c in self.cuts), 1.0]
         return float(sum(1 - p for p in below)), [float(b - a) for a, b in zip([0.0, *below], below, strict=False)]
 
@@ -90,8 +98,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fit on at most train_rows labelled documents, those with the smallest hash of the id.
 
     The labels are 0/1, so the severity grades above 0 are weak ones: toxic rows fall into n_grades - 1 quantiles of
-    their evidence, the log-odds of the words that toxic rows have more often. Words that at least MIN_DOCUMENTS of the
-    rows have compete for `features` places by the size of their log-odds over its error. Rows with NULL text, id or
+    their evidence, the log-odds of the features times log(1 + count). Features are the words and beginnings of words
+    that at least MIN_DOCUMENTS of the rows have, and toxic ones more often by MIN_Z errors of the log-odds; the
+    `features` surest. Rows with NULL text, id or
     label are left out. Without both kinds of rows the model has no weights and grades all texts alike.
     """
     small_batches(docs.sparkSession)
@@ -100,7 +109,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(words_of(t.as_py())) for t in batch.column("text")]
+            counts = [terms_of(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([sorted(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], names=["id", "toxic", "bag"])
 
     bag = train.mapInArrow(bags, "id bigint, toxic int, bag map<string, bigint>").persist(StorageLevel.DISK_ONLY)
@@ -114,11 +123,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         bag.select("toxic", F.explode(F.map_keys("bag")).alias("word"))
         .groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         .where(F.col("a") + F.col("b") >= MIN_DOCUMENTS)
-        .select("word", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("z"))
+        .select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+        .where(F.col("z") >= MIN_Z)
         .orderBy(F.desc("z"), "word").limit(features).collect()
     )
     place = {r["word"]: k for k, r in enumerate(picked)}
-    evidence_of = np.array([max(r["odds"], 0.0) if r["z"] > 4 else 0.0 for r in picked])
+    evidence_of = np.array([r["odds"] for r in picked])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
