@@ -1,4 +1,6 @@
 """The registered queries of the library's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillon.plans import audit_queries
+
+QUERIES: dict = dict(audit_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(audit_queries.ORACLE_SQL)
