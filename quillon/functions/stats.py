@@ -54,12 +54,18 @@ def average_ranks(df: DataFrame, by: list[str], value: str, rank: str) -> DataFr
     return df.join(ranked, [*by, value])
 
 
+def rank_correlation(x: str, y: str) -> Column:
+    """Pearson's r of a group, NULL where either side doesn't vary; corr() fails on those in ANSI mode."""
+    spread_ = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread_ > 0, F.covar_pop(x, y) / spread_)
+
+
 def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y", min_n: int = 8, min_distinct: int = 2) -> DataFrame:
     """(by..., n, rho): rank correlation of complete pairs within each group of at least min_n pairs and min_distinct values."""
     full = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = average_ranks(average_ranks(full, by, x, "_rx"), by, y, "_ry")
-    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"))
-    return found.where((F.col("n") >= min_n) & (F.col("_dx") >= min_distinct) & (F.col("_dy") >= min_distinct)).select(*by, "n", finite(F.col("rho")).alias("rho"))
+    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), rank_correlation("_rx", "_ry").alias("rho"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"))
+    return found.where((F.col("n") >= min_n) & (F.col("_dx") >= min_distinct) & (F.col("_dy") >= min_distinct)).select(*by, "n", "rho")
 
 
 def adjusted_skewness(x: str) -> Column:

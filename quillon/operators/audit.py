@@ -213,7 +213,8 @@ def outlier_qc_association(flags: DataFrame, qc_long: DataFrame) -> DataFrame:
 
 def qc_integration_summary(qc_long: DataFrame, correlation: DataFrame, missing: DataFrame, outlier: DataFrame) -> DataFrame:
     """(metric, value) counts of associations at 0.30 and 0.50."""
-    size = qc_long.agg(F.count_distinct("record_key").alias("qc_rows"), F.count_distinct("feature").alias("numeric_qc_metrics"), F.count_distinct(F.when(qc_family_of(F.col("feature")) != "unclassified", qc_family_of(F.col("feature")))).alias("artifact_families_detected"))
+    families = qc_long.select("feature").distinct().select(qc_family_of(F.col("feature")).alias("f")).where("f <> 'unclassified'").agg(F.count_distinct("f").alias("artifact_families_detected"))
+    size = qc_long.agg(F.count_distinct("record_key").alias("qc_rows"), F.count_distinct("feature").alias("numeric_qc_metrics")).join(families)
     strong = lambda df, limit, name: df.agg(F.count_if(F.abs(F.col("rho")) >= limit).alias(name))
     row = size.join(strong(correlation, 0.3, "feature_qc_pairs_abs_rho_ge_0_30")).join(strong(correlation, 0.5, "feature_qc_pairs_abs_rho_ge_0_50")).join(strong(missing, 0.3, "missingness_qc_pairs_abs_rho_ge_0_30")).join(strong(outlier, 0.3, "row_outlier_qc_pairs_abs_rho_ge_0_30"))
     return row.unpivot([], row.columns, "metric", "value")

@@ -42,6 +42,7 @@ def correlation_modules(correlation: DataFrame, registry: DataFrame, threshold:
     Labels spread over the links of at most a few hundred features until none changes. The table is that small, whatever
     the number of rows behind the correlations.
     """
+    correlation = correlation.persist()  # one row per pair of features
     edges = correlation.where(F.col("abs_spearman") >= threshold).select("feature_1", "feature_2")
     both = edges.union(edges.select("feature_2", "feature_1")).toDF("a", "b").persist()
     labels = both.select(F.col("a").alias("feature")).distinct().withColumn("module", F.col("feature"))

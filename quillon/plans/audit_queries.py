@@ -223,8 +223,8 @@ def _(read):
     return audit.qc_integration_summary(qc, audit.feature_qc_correlation(long, qc), audit.missingness_qc_association(long, qc), audit.outlier_qc_association(audit.robust_outlier_flags(long, read("registry")), qc))
 
 
-@query("q24_reliability_screen", f"""WITH {LONG}, {DIST}, {QLONG}, {FQ}, a AS (SELECT d.feature, missing_fraction AS m, robust_outlier_fraction AS o, zero_variance AS zv, c.q FROM d LEFT JOIN (SELECT feature, max(abs(rho)) AS q FROM fq GROUP BY feature) c USING (feature)), b AS (SELECT *, zv OR m >= 0.5 AS bad, coalesce(q >= 0.7, false) AS q2 FROM a), c1 AS (SELECT *, m >= 0.2 AND NOT bad AS mm FROM b), c2 AS (SELECT *, coalesce(o >= 0.2, false) AND NOT bad AND NOT mm AS oo FROM c1), c3 AS (SELECT *, coalesce(q >= 0.5, false) AND NOT (q2 OR bad OR mm OR oo) AS qq FROM c2)
-SELECT feature, CASE WHEN bad OR q2 THEN 'exclude_or_review' WHEN mm OR oo OR qq THEN 'use_with_caution' ELSE 'use' END AS recommendation, round(m, 6) AS missing_fraction, round(o, 6) AS robust_outlier_fraction, zv AS zero_variance, round(q, 6) AS max_abs_qc_spearman, coalesce(nullif(concat_ws('; ', CASE WHEN zv THEN 'zero variance' END, CASE WHEN m >= 0.5 THEN 'high missingness' END, CASE WHEN mm THEN 'moderate missingness' END, CASE WHEN oo THEN 'many robust outliers' END, CASE WHEN q2 THEN 'strong QC association' END, CASE WHEN qq THEN 'moderate QC association' END), ''), 'no major screening issue detected') AS review_reason FROM c3""")
+@query("q24_reliability_screen", f"""WITH {LONG}, {DIST}, {QLONG}, {FQ}, sa AS (SELECT d.feature, missing_fraction AS m, robust_outlier_fraction AS outl, zero_variance AS zv, cq.q FROM d LEFT JOIN (SELECT feature, max(abs(rho)) AS q FROM fq GROUP BY feature) cq USING (feature)), sb AS (SELECT *, zv OR m >= 0.5 AS bad, coalesce(q >= 0.7, false) AS q2 FROM sa), c1 AS (SELECT *, m >= 0.2 AND NOT bad AS mm FROM sb), c2 AS (SELECT *, coalesce(outl >= 0.2, false) AND NOT bad AND NOT mm AS oo FROM c1), c3 AS (SELECT *, coalesce(q >= 0.5, false) AND NOT (q2 OR bad OR mm OR oo) AS qq FROM c2)
+SELECT feature, CASE WHEN bad OR q2 THEN 'exclude_or_review' WHEN mm OR oo OR qq THEN 'use_with_caution' ELSE 'use' END AS recommendation, round(m, 6) AS missing_fraction, round(outl, 6) AS robust_outlier_fraction, zv AS zero_variance, round(q, 6) AS max_abs_qc_spearman, coalesce(nullif(concat_ws('; ', CASE WHEN zv THEN 'zero variance' END, CASE WHEN m >= 0.5 THEN 'high missingness' END, CASE WHEN mm THEN 'moderate missingness' END, CASE WHEN oo THEN 'many robust outliers' END, CASE WHEN q2 THEN 'strong QC association' END, CASE WHEN qq THEN 'moderate QC association' END), ''), 'no major screening issue detected') AS review_reason FROM c3""")
 def _(read):
     long = features_long(read)
     return audit.reliability_screen(audit.distribution_summary(long), audit.feature_qc_correlation(long, qc_long(read)))
