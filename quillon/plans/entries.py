@@ -1,6 +1,6 @@
 """The registered queries of the library's own operators and their SQL."""
 
-from quillon.plans import audit_queries
+from quillon.plans import audit_queries, signal_queries  # noqa: F401
 
 QUERIES: dict = dict(audit_queries.QUERIES)
 ORACLE_SQL: dict[str, str] = dict(audit_queries.ORACLE_SQL)
