@@ -176,3 +176,45 @@ def recommendation_rollups(recommended: DataFrame) -> DataFrame:
     reasons = recommended.select(F.explode(F.split("primary_reasons", "; ")).alias("label")).groupBy("label").agg(F.count("*").alias("n")).select(F.lit("reason").alias("kind"), "label", "n")
     families = recommended.where("ml_export_default").groupBy(F.col("family").alias("label")).agg(F.count("*").alias("n")).select(F.lit("export_family").alias("kind"), "label", "n")
     return decisions.unionByName(reasons).unionByName(families)
+
+
+def reliability_design(df: DataFrame, subject: str, session: str, task: str) -> DataFrame:
+    """Records, sessions and tasks of each subject, and whether it can show repeatability."""
+    found = df.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*").alias("n_records"), F.count_distinct(session).alias("n_sessions"), F.count_distinct(task).alias("n_tasks"))
+    return found.withColumn("repeated", F.col("n_records") >= 2)
+
+
+def longitudinal_readiness(df: DataFrame, subject: str, task: str, session: str, date: str) -> DataFrame:
+    """Records, sessions, dates and days of each subject and task, in bands of depth and span."""
+    found = df.where(F.col(subject).isNotNull() & F.col(task).isNotNull()).groupBy(subject, task).agg(F.count("*").alias("n_records"), F.count_distinct(session).alias("n_sessions"), F.count_distinct(date).alias("n_dates"), F.datediff(F.max(date), F.min(date)).alias("span_days"))
+    depth = F.when(F.col("n_records") >= 5, "5+").when(F.col("n_records") >= 3, "3-4").when(F.col("n_records") == 2, "2").otherwise("1")
+    span = F.when(F.col("span_days").isNull(), "unknown").when(F.col("span_days") == 0, "same day").when(F.col("span_days") < 30, "under a month").when(F.col("span_days") < 365, "under a year").otherwise("a year or more")
+    return found.withColumn("depth_band", depth).withColumn("span_band", span)
+
+
+def pca(df: DataFrame, key: str, features: list[str], components: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(variance, loadings, scores) of median-imputed features scaled by IQR, or SD where that is 0; constant ones are left out.
+
+    One aggregate gives all covariances, features squared of them; their eigenvectors are found on the driver, and scores are
+    sums of products in Spark. Of each component the largest loading, the first by name if several, is positive.
+    """
+    import numpy as np
+
+    spark = df.sparkSession
+    about = df.select(*[F.array(F.get(quantiles(c, [0.25]), F.lit(0)), F.get(quantiles(c, [0.5]), F.lit(0)), F.get(quantiles(c, [0.75]), F.lit(0)), F.stddev_samp(c)).alias(c) for c in features]).first()
+    scale = {c: (x[2] - x[0]) or x[3] for c in features if (x := about[c])[1] is not None}
+    used = sorted(c for c, s in scale.items() if s)
+    z = df.select(key, *[((F.coalesce(c, F.lit(about[c][1])) - about[c][1]) / scale[c]).alias(c) for c in used])
+    pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
+    row = z.select(F.array(*[F.avg(c) for c in used]).alias("m"), F.array(*[F.covar_samp(a, b) for a, b in pairs]).alias("c")).first()
+    cov = np.zeros((len(used), len(used)))
+    for (a, b), v in zip(pairs, row["c"] or [], strict=True):
+        cov[used.index(a), used.index(b)] = cov[used.index(b), used.index(a)] = v
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(values)[::-1][:components]
+    top = vectors[:, order]
+    top = top * np.sign(top[np.abs(top).round(12).argmax(0), np.arange(top.shape[1])])
+    variance = spark.createDataFrame([(k + 1, float(values[o]), float(values[o] / values.sum())) for k, o in enumerate(order)], "component int, eigenvalue double, explained double")
+    loadings = spark.createDataFrame([(k + 1, c, float(top[i, k])) for k in range(top.shape[1]) for i, c in enumerate(used)], "component int, feature string, loading double")
+    scores = z.select(key, *[sum(((F.col(c) - row["m"][i]) * float(top[i, k]) for i, c in enumerate(used)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(min(3, top.shape[1]))])
+    return variance, loadings, scores

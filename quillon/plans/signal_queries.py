@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions.stats import long_form
-from quillon.operators import aggregates, assemble, windows
+from quillon.operators import aggregates, assemble, relations, signals, windows
 from quillon.plans.audit_queries import LONG, _R, _unpivot, features_long, query
 from quillon.plans.views import FEATURES
 
@@ -307,3 +307,91 @@ def _(read):
 @query("s01_union_tables", "SELECT record_key, n_lines, NULL::DOUBLE AS qadd_returns, 'acoustic' AS modality FROM recordings UNION ALL SELECT record_key, NULL, round(qadd_returns, 6), 'quality' FROM qc")
 def _(read):
     return assemble.union_tables({"acoustic": read("recordings").select("record_key", "n_lines"), "quality": read("qc").select("record_key", "qadd_returns")})
+
+
+XF = "xf AS (SELECT recording_id, floor((frame - 1) / 5e0)::BIGINT AS frame_idx, sqrt(sum(coalesce(value, 0) * coalesce(value, 0)) / 5e0) AS rms FROM frames GROUP BY ALL), xg AS (SELECT *, (frame_idx + 0.5e0) * 5 / 25e0 AS mid_sec, 20 * log10(greatest(rms, 1e-10)) AS rms_db FROM xf)"
+
+
+def _levels(read):
+    return signals.frame_rms_db(read("frames"), BY, AT, "value", 5, 25.0)
+
+
+@query("x01_frame_rms_db", f"WITH {XF} SELECT recording_id, frame_idx, {_R('mid_sec', 'rms', 'rms_db')} FROM xg")
+def _(read):
+    return _levels(read)
+
+
+@query("x03_energy_mask", f"WITH {XF}, l AS (SELECT recording_id, quantile_cont(rms_db, 0.35) AS threshold FROM xg GROUP BY recording_id) SELECT xg.recording_id, frame_idx, round(threshold, 6) AS threshold, rms_db > threshold AS speech FROM xg JOIN l ON l.recording_id = xg.recording_id")
+def _(read):
+    return signals.energy_mask(_levels(read), BY, "rms_db").select("recording_id", "frame_idx", "threshold", "speech")
+
+
+@query("x05_snr_low_energy", f"WITH {XF}, a AS (SELECT recording_id, count(*) AS n, avg(rms * rms) AS m, quantile_cont(rms * rms, 0.1) AS l FROM xg GROUP BY recording_id), b AS (SELECT *, (m - l) / CASE WHEN l > 0 THEN l END AS r FROM a) SELECT recording_id, round(CASE WHEN n >= 3 AND r > 0 THEN 10 * log10(r) END, 6) AS snr_db FROM b")
+def _(read):
+    return signals.snr_low_energy(_levels(read), BY)
+
+
+@query("x07_gain_qc", f"WITH {XF} SELECT recording_id, round(quantile_cont(rms_db, 0.5), 6) AS level_median, round(stddev_pop(rms_db), 6) AS level_sd, round(quantile_cont(rms_db, 0.75) - quantile_cont(rms_db, 0.25), 6) AS level_iqr, round(quantile_cont(rms_db, 0.95), 6) AS level_p95, round(quantile_cont(rms_db, 0.99), 6) AS level_p99, round(quantile_cont(rms_db, 0.99) - quantile_cont(rms_db, 0.5), 6) AS crest FROM xg GROUP BY recording_id")
+def _(read):
+    return signals.gain_qc(_levels(read), BY, "rms_db")
+
+
+@query("x17_intensity_cv", f"WITH {XF} SELECT recording_id, round(stddev_samp(rms_db) / nullif(abs(avg(rms_db)), 0), 6) AS intensity_cv FROM xg GROUP BY recording_id")
+def _(read):
+    return signals.intensity_cv(_levels(read), BY, "rms_db")
+
+
+@query("x22_valid_energy_frames", f"WITH {XF}, l AS (SELECT recording_id, greatest(quantile_cont(rms, 0.2), 0.1e0 * quantile_cont(rms, 0.5), 1e-5) AS least FROM xg GROUP BY recording_id) SELECT xg.recording_id, frame_idx, round(rms, 6) AS rms FROM xg JOIN l ON l.recording_id = xg.recording_id WHERE rms >= least")
+def _(read):
+    return signals.valid_energy_frames(_levels(read), BY).select("recording_id", "frame_idx", "rms")
+
+
+@query("x13_spectral_shape", f"WITH {XF}, s AS (SELECT recording_id, frame_idx + 1 AS f, rms AS p FROM xg WHERE rms > 0), u AS (SELECT *, sum(p) OVER (PARTITION BY recording_id ORDER BY f) AS up, sum(p) OVER (PARTITION BY recording_id) AS al FROM s) SELECT recording_id, round(exp(avg(ln(p))) / avg(p), 6) AS flatness, round(sum(f * p) / sum(p), 6) AS centroid, min(f) FILTER (up >= 0.95e0 * al) AS rolloff95, round(regr_slope(10 * log10(p), log2(f)), 6) AS tilt_db_per_octave FROM u GROUP BY recording_id")
+def _(read):
+    spectrum = _levels(read).select("recording_id", (F.col("frame_idx") + 1).alias("f"), F.col("rms").alias("p"))
+    return signals.spectral_shape(spectrum, BY, "f", "p")
+
+
+@query("x12_band_ratio", f"WITH {XF}, s AS (SELECT recording_id, frame_idx AS f, lag(frame_idx) OVER w AS f0, (rms + lag(rms) OVER w) / 2 * (frame_idx - lag(frame_idx) OVER w) AS a FROM xg WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)) SELECT recording_id, round(coalesce(sum(a) FILTER (f BETWEEN 2 AND 6 AND f0 BETWEEN 2 AND 6), 0) / CASE WHEN sum(a) > 0 THEN sum(a) END, 6) AS band_ratio FROM s GROUP BY recording_id")
+def _(read):
+    return signals.band_ratio(_levels(read), BY, "frame_idx", "rms", 2, 6)
+
+
+MOVES = f"""{EXTREMA}, mv AS (SELECT recording_id, kind, frame AS f0, lead(frame) OVER w AS f1, lead(kind) OVER w AS nk FROM ex WINDOW w AS (PARTITION BY recording_id ORDER BY frame)), mw AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY f0) AS movement_id, CASE kind WHEN 'trough' THEN 'open' ELSE 'close' END AS movement_kind, f0, f1 FROM mv WHERE nk IS NOT NULL AND nk <> kind AND f1 - f0 + 1 >= 3),
+mf AS (SELECT f.recording_id, f.frame, f.value, m.movement_id, m.movement_kind FROM frames f LEFT JOIN mw m ON m.recording_id = f.recording_id AND f.frame BETWEEN f0 AND f1 QUALIFY row_number() OVER (PARTITION BY f.recording_id, f.frame ORDER BY m.movement_id DESC NULLS LAST) = 1),
+mm AS (SELECT mf.recording_id, frame, value, CASE WHEN h.recording_id IS NULL THEN 1 ELSE movement_id END AS movement_id, CASE WHEN h.recording_id IS NULL THEN 'whole' ELSE movement_kind END AS movement_kind FROM mf LEFT JOIN (SELECT DISTINCT recording_id FROM mw) h ON h.recording_id = mf.recording_id)"""
+
+
+def _moved(read):
+    frames = read("frames").select("recording_id", "frame", "value")
+    return signals.movement_windows(frames, windows.local_extrema(frames, BY, AT, "value").drop("value"), BY, AT)
+
+
+@query("w25_movement_windows", f"WITH {MOVES} SELECT recording_id, frame, round(value, 6) AS value, movement_id, movement_kind FROM mm")
+def _(read):
+    return _moved(read)
+
+
+@query("w27_path_rom", f"WITH {MOVES}, d AS (SELECT recording_id, movement_id, abs(value - lag(value) OVER (PARTITION BY recording_id, movement_id ORDER BY frame)) AS d FROM mm WHERE movement_id IS NOT NULL), p AS (SELECT recording_id, movement_id, sum(d) AS path FROM d GROUP BY ALL) SELECT recording_id, round(quantile_cont(path, 0.5), 6) AS path_median, round(quantile_cont(path, 0.75) - quantile_cont(path, 0.25), 6) AS path_iqr FROM p GROUP BY recording_id")
+def _(read):
+    return signals.path_rom(_moved(read), BY, AT, "value")
+
+
+@query("w28_level_family", f"WITH {MOVES}, p AS (SELECT recording_id, movement_id, quantile_cont(value, 0.05) AS p05, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.95) - quantile_cont(value, 0.05) AS rng FROM mm WHERE movement_id IS NOT NULL GROUP BY ALL) SELECT recording_id, {', '.join(f'round(quantile_cont({c}, 0.5), 6) AS {n}_median, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS {n}_iqr' for c, n in (('p05', 'p05'), ('median', 'median'), ('p95', 'p95'), ('rng', 'range')))} FROM p GROUP BY recording_id")
+def _(read):
+    return signals.level_family(_moved(read), BY, "value")
+
+
+@query("q45_reliability_design", "SELECT subject_id, count(*) AS n_records, count(DISTINCT session_id) AS n_sessions, count(DISTINCT task) AS n_tasks, count(*) >= 2 AS repeated FROM recordings WHERE subject_id IS NOT NULL GROUP BY subject_id")
+def _(read):
+    return relations.reliability_design(read("recordings"), "subject_id", "session_id", "task")
+
+
+@query("q50_longitudinal_readiness", "WITH a AS (SELECT subject_id, task, count(*) AS n_records, count(DISTINCT session_id) AS n_sessions, count(DISTINCT recording_date) AS n_dates, date_diff('day', min(recording_date), max(recording_date)) AS span_days FROM recordings GROUP BY ALL) SELECT *, CASE WHEN n_records >= 5 THEN '5+' WHEN n_records >= 3 THEN '3-4' WHEN n_records = 2 THEN '2' ELSE '1' END AS depth_band, CASE WHEN span_days IS NULL THEN 'unknown' WHEN span_days = 0 THEN 'same day' WHEN span_days < 30 THEN 'under a month' WHEN span_days < 365 THEN 'under a year' ELSE 'a year or more' END AS span_band FROM a")
+def _(read):
+    return relations.longitudinal_readiness(read("recordings"), "subject_id", "task", "session_id", "recording_date")
+
+
+@query("q29_pca_scores", digits=4)
+def _(read):
+    return relations.pca(read("recordings"), "record_key", FEATURES)[2]
