@@ -6,8 +6,8 @@ pairs, is enough for two linked documents to meet (prefix filter), and pairs tha
 Who meets is told by counts of collisions; candidates are confirmed on full shingle sets.
 
 Equal sets are one node from the start. In a posting list of near copies all pairs would be far too many; but only
-components are asked for, so rounds link each node to one leader of its lists, and only what is then still in different
-components meets pair by pair.
+components are asked for, so rounds link each node to a leader of its lists, the most central one first, and only what is then still in different
+components meets pair by pair, where it also shares rare shingles.
 """
 
 from __future__ import annotations
@@ -138,6 +138,28 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(at.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, component, n, gram, place): the rarest shingles of each set, from place 1 on, as many as any linked set must share one of."""
+    grams = sets.select("rep", "component", "n", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("rep", "n").orderBy("often", "gram"))
+    return grams.join(counts, "gram").withColumn("place", place).where(f"place <= n - (({percent} * n + 99) DIV 100) + 1").select("rep", "component", "n", "gram", "place")
+
+
+def meeting_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share a rare shingle early enough to be linked.
+
+    The smaller set of a pair has the shorter prefix, as the other's size is then known to be no less; and from the
+    places of the first shingle shared on, enough must be left of both sets for the overlap that a link takes.
+    """
+    whole = 100 + percent
+    one, two = (rare.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "place"))) for x in "ab")
+    one = one.where(f"place_a <= n_a - ((2 * {percent} * n_a + {whole - 1}) DIV {whole}) + 1")
+    smaller = "(n_a < n_b OR (n_a = n_b AND rep_a < rep_b))"
+    met = one.join(two, "gram").where(f"{smaller} AND component_a <> component_b AND 100 * n_a >= {percent} * n_b AND 1 + least(n_a - place_a, n_b - place_b) >= ({percent} * (n_a + n_b) + {whole - 1}) DIV {whole}")
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = COORDINATES, rounds: int = ROUNDS) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per input row.
 
@@ -161,7 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     # pairs that are skipped stand first in the order by rarity, so of m shared ones the rarest m - needed + 1 remain of the prefix
     prefix = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= needed)
-    posted = written(prefix.select("rep", F.explode(F.expr(f"slice(shared, 1, size(shared) - {needed - 1})")).alias("x")).select("rep", F.col("x.token").alias("token")).distinct(), f"{folder}/posted")
+        # the node most like all that it meets: its pairs are the most frequent ones
+    prefix = prefix.withColumn("central", F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["often"]))
+    posted = prefix.select("rep", "central", F.explode(F.expr(f"slice(shared, 1, size(shared) - {needed - 1})")).alias("x"))
+    posted = written(posted.groupBy("rep", F.col("x.token").alias("token")).agg(F.max("central").alias("central"), F.min("x.often").alias("often")), f"{folder}/posted")
 
     nodes = written(reps.join(posted.select("rep").distinct(), "rep", "left_semi"), f"{folder}/nodes")
     sets = written(_sets_of(rows, nodes.select("rep", "f1", "f2"), words), f"{folder}/sets")
@@ -189,21 +214,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = merged(alike, "alike")
     for k in range(rounds):
         lists = posted.join(component, "rep")
-        leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("leader"), F.col("component").alias("leads"))).alias("x"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "x.leader", "x.leads")
-        met = lists.join(leaders, "token").where("component <> leads").groupBy("rep", "leader").agg(F.count("*").alias("collisions"))
-        best = met.groupBy("rep").agg(F.max(F.struct("collisions", "leader")).alias("x")).select(F.col("rep").alias("b"), F.col("x.leader").alias("a"))
+        leaders = lists.groupBy("token").agg(F.min(F.struct((F.xxhash64("rep", F.lit(k)) if k else -F.col("central")).alias("h"), F.col("rep").alias("leader"), F.col("component").alias("leads"))).alias("x"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "x.leader", "x.leads")
+        met = lists.join(leaders, "token").where("component <> leads").groupBy("rep", "leader").agg(F.count("*").alias("collisions"), F.min("often").alias("often"))
+        # each node is tried with the leader it meets most often and with that of its rarest list
+        best = met.groupBy("rep").agg(F.max(F.struct("collisions", "leader")).alias("x"), F.min(F.struct("often", "leader")).alias("y"))
+        best = best.select(F.col("rep").alias("b"), F.explode(F.array_distinct(F.array("x.leader", "y.leader"))).alias("a"))
         links = written(confirmed(best), f"{folder}/{k}-links")
         if links.isEmpty():
             break
         component = merged(links, str(k))
 
-    # what shares a list and is in different components still: each pair once, if its signatures match often enough
+    # What shares a list and is in different components still. Most of such sets are copies just too far from the rest
+    # of their family, and share its shingles with all of it; but linked sets share one of their rarest shingles, too.
     lists = posted.join(component, "rep")
     split = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    lists = lists.join(split, "token").join(nodes.select("rep", "n", "tokens"), "rep")
-    one, two = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "tokens"))) for s in "ab")
-    near = one.join(two, "token").where(f"rep_a < rep_b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND size(array_intersect(tokens_a, tokens_b)) >= {needed}")
-    links = written(confirmed(near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()), f"{folder}/last-links")
+    open_ = lists.join(split, "token").select("rep", "component").distinct()
+    rare = written(rare_shingles(sets.join(open_, "rep"), percent), f"{folder}/rare")
+    near = meeting_pairs(rare, percent).join(nodes.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(nodes.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed).select("a", "b")
+    links = written(confirmed(near.distinct()), f"{folder}/last-links")
     if not links.isEmpty():
         component = merged(links, "last")
 
