@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillon.llm._batches import LOWER, SPACED_WORD, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
+from quillon.llm._batches import LOWER, SPACED_WORD, holds_cache, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
 
 BUCKET_BITS = 16
 TARGET_ROWS = 20_000
 PASSAGE = 24
 BENEFIT = 3.0
 PRIOR_GRAMS = 16
+RARE = 1000
+SMOOTH = 5.0
 SEED = "pick-1"
 
 _KIND = np.zeros(256, np.uint8)
@@ -56,6 +58,7 @@ def bucket_counts(docs: DataFrame, target: DataFrame, bits: int = BUCKET_BITS) -
     """(bucket, raw, target) over all rows of docs (id, text), and over those whose id is in target, one id a row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_cache("importance")
         raw, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for batch in batches:
             for part, data, offsets in text_slices(batch):
@@ -70,16 +73,29 @@ def bucket_counts(docs: DataFrame, target: DataFrame, bits: int = BUCKET_BITS) -
     return marked.mapInArrow(count, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(counts: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, smoothed by the raw model; 2**bits numbers whatever the input's size."""
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    for r in counts.collect():  # at most 2**bits rows
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    p_raw = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
-    if not target.sum():
-        return np.zeros(1 << bits)
-    prior = 20.0
-    return np.log((target + prior * len(raw) / 1000 * p_raw) / (target.sum() + prior * len(raw) / 1000)) - np.log(p_raw)
+class Ratios:
+    """log p_target - log p_raw of hashed n-grams, a document's own ones left out; two arrays of 2**bits, whatever the input's size.
+
+    Counts are smoothed by SMOOTH expected ones. A rare n-gram would otherwise tell whether the document itself was counted in
+    the target, not what it looks like; so of buckets with fewer than RARE n-grams in all, a document's own don't count.
+    """
+
+    def __init__(self, counts: DataFrame, bits: int = BUCKET_BITS):
+        self.raw, self.target = np.zeros(1 << bits), np.zeros(1 << bits)
+        for r in counts.collect():  # at most 2**bits rows
+            self.raw[r["bucket"]], self.target[r["bucket"]] = r["raw"], r["target"]
+        self.share = self.target.sum() / max(self.raw.sum(), 1)
+
+    def of(self, buckets: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The log-ratio of each n-gram; wanted: whether a row was counted in the target."""
+        if not self.share:
+            return np.zeros(len(buckets))
+        raw, target = self.raw[buckets], self.target[buckets]
+        rare = np.flatnonzero(raw < RARE)
+        _, at, own = np.unique(rows[rare] * len(self.raw) + buckets[rare], return_inverse=True, return_counts=True)
+        raw[rare] -= own[at]
+        target[rare] -= own[at] * wanted[rows[rare]]
+        return np.log((np.maximum(target, 0) + SMOOTH) / (self.share * np.maximum(raw, 0) + SMOOTH))
 
 
 def smallest_kept(keys: DataFrame, k: int) -> float | None:
@@ -105,29 +121,31 @@ def smallest_kept(keys: DataFrame, k: int) -> float | None:
             return low
 
 
-def passage_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log_ratios of the target documents to all of docs."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = labels.select(F.col(id_col).alias("id"), F.col(quality_col).cast("int").alias("q")).where("id IS NOT NULL AND q IN (0, 1)").groupBy("id").agg(F.min("q").alias("q"))
-    target = marks.where("q = 1").orderBy(F.xxhash64("id"), "id").limit(target_rows).select("id")  # so small that it can be broadcast
-    return log_ratios(bucket_counts(rows, target))
+def target_ids(labels: DataFrame, id_col: str, quality_col: str, target_rows: int) -> DataFrame:
+    """(id) of at most target_rows documents labelled quality 1, those with the smallest hash: so few that they can be broadcast."""
+    marks = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(quality_col).cast("int").alias("q")).where("id IS NOT NULL AND q IN (0, 1)").groupBy("id").agg(F.min("q").alias("q"))
+    return marks.where("q = 1").orderBy(F.xxhash64("id"), "id").limit(target_rows).select("id")
 
 
-def with_key(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, passage: int = PASSAGE, seed: str = SEED) -> DataFrame:
+def with_key(docs: DataFrame, ratios: Ratios, target: DataFrame, id_col: str, text_col: str, passage: int = PASSAGE, seed: str = SEED) -> DataFrame:
     """docs, all columns, with `_log_weight` and `_key`, its sum with Gumbel noise; both NULL for texts without a word."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_cache("importance")
         for batch in batches:
             for part, data, offsets in text_slices(batch, text_col):
                 at, row = features(data, offsets)
+                wanted = np.asarray(part.column("_wanted").to_numpy(zero_copy_only=False), bool)
                 n = np.bincount(row, minlength=len(part))
-                total = np.bincount(row, ratio[at], minlength=len(part))
+                total = np.bincount(row, ratios.of(at, row, wanted), minlength=len(part))
                 weight = pa.array(passage * total / (n + PRIOR_GRAMS), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*part.columns, weight], names=[*part.schema.names, "_log_weight"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], weight], names=[*part.schema.names[:-1], "_log_weight"])
 
     schema = StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())])
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    return docs.mapInArrow(weigh, schema).withColumn("_key", F.col("_log_weight") - F.log(-F.log(u)))
+    marks = F.broadcast(target.select(F.col("id").alias("_target_id"), F.lit(True).alias("_is_target")))
+    marked = docs.join(marks, F.col(id_col).cast("bigint") == F.col("_target_id"), "left").select(*docs.columns, F.coalesce("_is_target", F.lit(False)).alias("_wanted"))
+    return marked.mapInArrow(weigh, schema).withColumn("_key", F.col("_log_weight") - F.log(-F.log(u)))
 
 
 def least_key(keys: DataFrame, keep: float | None = None, benefit: float = BENEFIT) -> float | None:
@@ -158,23 +176,22 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ratio = passage_ratios(docs, labels, id_col, text_col, quality_col, target_rows)
+    target = target_ids(labels, id_col, quality_col, target_rows)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = with_key(rows, ratio, "id", "text", passage, seed).select("id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
+    keys = with_key(rows, Ratios(bucket_counts(rows, target)), target, "id", "text", passage, seed).select("id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
     keys = written(keys, f"{shared_folder(spark)}/keys")
     return keys.withColumn("kept", is_kept(F.col("key"), least_key(keys, keep, benefit)))
 
 
-def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", keep: float | None = None, benefit: float = BENEFIT, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The rows of docs that resample keeps, all columns as they were; weighs the texts again instead of joining them."""
     spark = docs.sparkSession
     small_batches(spark)
-    cut = {k: options[k] for k in ("keep", "benefit") if k in options}
-    drawn = {k: options[k] for k in ("passage", "seed") if k in options}
-    ratio = passage_ratios(docs, labels, id_col, text_col, **{k: v for k, v in options.items() if k not in cut and k not in drawn})
-    keys = with_key(docs.select(id_col, text_col), ratio, id_col, text_col, **drawn).select(F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
+    target = target_ids(labels, id_col, quality_col, target_rows)
+    ratios = Ratios(bucket_counts(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), target))
+    keys = with_key(docs.select(id_col, text_col), ratios, target, id_col, text_col).select(F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
     keys = written(keys, f"{shared_folder(spark)}/keys")
-    return with_key(docs, ratio, id_col, text_col, **drawn).where(is_kept(F.col("_key"), least_key(keys, **cut))).drop("_log_weight", "_key")
+    return with_key(docs, ratios, target, id_col, text_col).where(is_kept(F.col("_key"), least_key(keys, keep, benefit))).drop("_log_weight", "_key")
 
 
 def op8_importance(spark, sf_dir: str) -> DataFrame:
