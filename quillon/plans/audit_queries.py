@@ -15,7 +15,7 @@ QUERIES, ORACLE_SQL = {}, {}
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded and counts as BIGINT, as both engines report them."""
-    to = {"double": lambda c: F.round(c, digits), "int": lambda c: c.cast("bigint"), "decimal": lambda c: c.cast("double")}
+    to = {"double": lambda c: F.round(c, digits) + F.lit(0.0), "int": lambda c: c.cast("bigint"), "decimal": lambda c: c.cast("double")}
     return df.select(*[next((f(F.col(c)) for k, f in to.items() if t.startswith(k)), F.col(c)).alias(c) for c, t in df.dtypes])
 
 

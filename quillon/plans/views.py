@@ -21,8 +21,8 @@ VIEWS = {
           CASE WHEN o.o_orderkey % 5 < 3 THEN NULL ELSE l.discount_mean END AS discount_mean,
           l.tax_mean, l.price_sum, l.price_sd, CAST(l.n_lines AS DOUBLE) AS n_lines, 1e0 AS flat
         FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN (
-          SELECT l_orderkey, count(*) AS n_lines, round(sum(l_quantity), 4) AS qty_sum, round(avg(l_quantity), 4) AS qty_mean, round(avg(l_discount), 4) AS discount_mean,
-            round(avg(l_tax), 4) AS tax_mean, round(sum(l_extendedprice), 2) AS price_sum, round(stddev_samp(l_extendedprice), 2) AS price_sd
+          SELECT l_orderkey, count(*) AS n_lines, round(sum(l_quantity), 4) AS qty_sum, round(avg(l_quantity), 4) AS qty_mean, round(sum(l_discount), 2) / count(*) AS discount_mean,
+            round(sum(l_tax), 2) / count(*) AS tax_mean, round(sum(l_extendedprice), 2) AS price_sum, round(stddev_samp(l_extendedprice), 2) AS price_sd
           FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey""",
     "qc": """
         SELECT l_orderkey AS record_key, round(avg(CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END), 4) AS qadd_returns, round(stddev_samp(l_discount), 4) AS qgain_discount_sd,
