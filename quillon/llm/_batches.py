@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH = 1000
-BYTES_PER_SLICE = 4 << 20
+BYTES_PER_SLICE = 1 << 20
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -35,6 +36,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def holds_cache(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Say in a task whose cache is used from now on; Python workers outlive stages, so the caches of other operators are let go."""
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if clear is not None:
+        _caches[name] = clear
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, which only local mode allows, below a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import LOWER, SPACED_WORD, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
+from quillon.llm._batches import LOWER, SPACED_WORD, holds_cache, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
 
 COORDINATES = 32
 MISS = 1e-7
@@ -88,6 +88,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _signed(rows: DataFrame, words: int, coordinates: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_cache("neardup")
         for batch in batches:
             for part, data, offsets in text_slices(batch):
                 sets = shingle_sets(data, offsets, words)
@@ -102,6 +103,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, n, grams) of the wanted nodes (rep, f1, f2), from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_cache("neardup")
         for batch in batches:
             for part, data, offsets in text_slices(batch):
                 grams = shingle_sets(data, offsets, words)

@@ -17,7 +17,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import shared_folder, small_batches, written
+from quillon.llm._batches import holds_cache, shared_folder, small_batches, written
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
 LEVEL = 1
 END_ID = 2
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 
 SCHEMA = "shard int, segment int, doc_ids array<bigint>, doc_tokens array<int>, width int, chunk_index array<struct<block: int, plane: int, ids: int, offset: int, bytes: int>>, payload binary"
 _INDEX = pa.list_(pa.struct([(n, pa.int32()) for n in ("block", "plane", "ids", "offset", "bytes")]))
@@ -95,9 +95,10 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path = path
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.added = [t["content"] for t in spec["added_tokens"]]
         parts = [p["type"] for p in (spec["normalizer"] or {}).get("normalizers", [])], [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         suffix = spec["model"].get("end_of_word_suffix")
@@ -110,8 +111,15 @@ class WordEncoder:
             self.last = np.zeros(self.size, bool)
             self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as its file has it; few texts need it, so it is loaded for the first."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 512):
@@ -165,6 +173,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     small_batches(spark)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds_cache("planes", _encoder.cache_clear)
         encoder, shard, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         width = max(1, (max(encoder.size - 1, end_id).bit_length() + 7) // 8)
         end = np.array([end_id], "<u4").tobytes()
