@@ -12,8 +12,6 @@ from quillon.plans.views import FEATURES
 BY, AT = ["recording_id"], "frame"
 W = "OVER (PARTITION BY recording_id ORDER BY frame)"
 DESIGN = ["task", "diagnosis", "device"]
-#: Features whose means over a few rows never end in a 5 that rounding could turn either way.
-EXACT = ["total_price", "qty_sum", "price_sum", "n_lines"]
 
 RUNS = f"""rm AS (SELECT recording_id, frame, coalesce(detected, false) AS detected, lag(coalesce(detected, false)) {W} AS p FROM frames), rn AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> detected THEN 1 ELSE 0 END) {W} AS run FROM rm),
 ru AS (SELECT recording_id, run::BIGINT AS run, detected, min(frame) AS first, max(frame) AS last, count(*) AS length FROM rn GROUP BY recording_id, run, detected)"""
@@ -196,14 +194,15 @@ def _(read):
     return aggregates.task_readiness(read("recordings"), "task", "subject_id", "diagnosis", FEATURES)
 
 
-@query("g10_aggregate_features", f"SELECT subject_id, task, count(*) AS n_files, {', '.join(f'round(avg({c}), 6) AS {c}' for c in EXACT)}, min_by(device, record_key) AS device FROM recordings GROUP BY subject_id, task")
+@query("g10_aggregate_features", f"SELECT subject_id, task, count(*) AS n_files, {', '.join(f'round(avg({c}), 6) AS {c}' for c in FEATURES)}, min_by(device, record_key) AS device FROM recordings GROUP BY subject_id, task")
 def _(read):
-    return aggregates.aggregate_features(read("recordings"), ["subject_id", "task"], EXACT, first={"device": "record_key"})
+    means = aggregates.aggregate_features(read("recordings"), ["subject_id", "task"], FEATURES, first={"device": "record_key"})
+    return means.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in FEATURES})  # scaled first, as DuckDB rounds: means of a few rows often tie
 
 
-@query("g11_aggregate_multistat", f"WITH tl AS ({_unpivot('recordings', 'task', EXACT)}) SELECT task, feature, count(value) AS n, round(1 - count(value)::DOUBLE / count(*)::DOUBLE, 4) AS missing_fraction, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(CASE WHEN count(value) >= 2 THEN stddev_pop(value) END, 4) AS sd, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(quantile_cont(value, 0.05), 4) AS q05, round(quantile_cont(value, 0.25), 4) AS q25, round(quantile_cont(value, 0.75), 4) AS q75, round(quantile_cont(value, 0.95), 4) AS q95, round(min(value), 4) AS \"min\", round(max(value), 4) AS \"max\" FROM tl GROUP BY task, feature", digits=4)
+@query("g11_aggregate_multistat", f"WITH tl AS ({_unpivot('recordings', 'task', FEATURES)}) SELECT task, feature, count(value) AS n, round(1 - count(value)::DOUBLE / count(*)::DOUBLE, 4) AS missing_fraction, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(CASE WHEN count(value) >= 2 THEN stddev_pop(value) END, 4) AS sd, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(quantile_cont(value, 0.05), 4) AS q05, round(quantile_cont(value, 0.25), 4) AS q25, round(quantile_cont(value, 0.75), 4) AS q75, round(quantile_cont(value, 0.95), 4) AS q95, round(min(value), 4) AS \"min\", round(max(value), 4) AS \"max\" FROM tl GROUP BY task, feature", digits=4)
 def _(read):
-    return aggregates.aggregate_multistat(long_form(read("recordings"), "task", EXACT), ["task"])
+    return aggregates.aggregate_multistat(long_form(read("recordings"), "task", FEATURES), ["task"])
 
 
 @query("g12_impute_global_median", f"SELECT record_key, {', '.join(f'round(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM recordings)), 6) AS {c}' for c in FEATURES)} FROM recordings")
