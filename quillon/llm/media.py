@@ -40,10 +40,10 @@ def from_wav(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(frame, bin) of the PEAKS strongest local maxima of each frame's spectrum, in time order, and the number of frames."""
+    """(frame, bin) of the PEAKS strongest local maxima of each frame's spectrum, in time order, and the number of frames; every sample lies in a frame."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+    # zeros up to FRAME and a whole number of HOPs, so that the last samples lie in a frame too
+    x = np.concatenate([x, np.zeros(FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     times, bins = [], []
     for at in range(0, len(frames), _FRAMES_AT_ONCE):

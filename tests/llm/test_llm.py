@@ -74,6 +74,19 @@ def test_landmarks_of_two_tones():
     assert len(media.landmarks(*media.spectral_peaks(bytes(64))[:2])) == 0
 
 
+def test_the_end_of_a_text_lies_in_a_frame():
+    rng = np.random.default_rng(6)
+    for size, frames in ((64, 1), (576, 2), (704, 2), (768, 2), (832, 3)):
+        found = set()
+        text = rng.integers(32, 127, size, dtype=np.uint8)
+        for _ in range(20):
+            text[-64:] = rng.integers(32, 127, 64, dtype=np.uint8)
+            times, bins, n = media.spectral_peaks(text.tobytes())
+            assert n == frames
+            found.add((*times.tolist(), *bins.tolist()))
+        assert len(found) > 1
+
+
 # 3 token planes
 
 @pytest.mark.parametrize("bits", [False, True])
