@@ -17,7 +17,6 @@ TARGET_ROWS = 20_000
 PASSAGE = 24
 BENEFIT = 3.0
 PRIOR_GRAMS = 16
-RARE = 1000
 SMOOTH = 5.0
 SEED = "pick-1"
 
@@ -76,8 +75,8 @@ def bucket_counts(docs: DataFrame, target: DataFrame, bits: int = BUCKET_BITS) -
 class Ratios:
     """log p_target - log p_raw of hashed n-grams, a document's own ones left out; two arrays of 2**bits, whatever the input's size.
 
-    Counts are smoothed by SMOOTH expected ones. A rare n-gram would otherwise tell whether the document itself was counted in
-    the target, not what it looks like; so of buckets with fewer than RARE n-grams in all, a document's own don't count.
+    Counts are smoothed by SMOOTH expected ones. An n-gram would otherwise tell whether the document itself was counted in the
+    target, not what it looks like; so a document's own n-grams don't count, in any bucket.
     """
 
     def __init__(self, counts: DataFrame, bits: int = BUCKET_BITS):
@@ -90,12 +89,10 @@ class Ratios:
         """The log-ratio of each n-gram; wanted: whether a row was counted in the target."""
         if not self.share:
             return np.zeros(len(buckets))
-        raw, target = self.raw[buckets], self.target[buckets]
-        rare = np.flatnonzero(raw < RARE)
-        _, at, own = np.unique(rows[rare] * len(self.raw) + buckets[rare], return_inverse=True, return_counts=True)
-        raw[rare] -= own[at]
-        target[rare] -= own[at] * wanted[rows[rare]]
-        return np.log((np.maximum(target, 0) + SMOOTH) / (self.share * np.maximum(raw, 0) + SMOOTH))
+        seen, at, own = np.unique(rows * len(self.raw) + buckets, return_inverse=True, return_counts=True)
+        row, bucket = np.divmod(seen, len(self.raw))
+        raw, target = self.raw[bucket] - own, self.target[bucket] - own * wanted[row]
+        return np.log((np.maximum(target, 0) + SMOOTH) / (self.share * np.maximum(raw, 0) + SMOOTH))[at]
 
 
 def smallest_kept(keys: DataFrame, k: int) -> float | None:

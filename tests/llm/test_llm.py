@@ -271,6 +271,17 @@ def test_importance_odd_cases(spark, docs, empty):
     assert all(r["kept"] for r in importance.resample(docs, labels.where("false")).collect() if r["key"] is not None)
 
 
+@pytest.mark.parametrize("times", [3, 900, 1100, 50_000])
+def test_own_ngrams_do_not_count(spark, times):
+    other = 200_000
+    counts = spark.createDataFrame([(1, times, times), (2, times, 0), (3, times + other, times + 700), (4, other, 700)], "bucket int, raw bigint, target bigint")
+    ratios = importance.Ratios(counts)
+    buckets = np.repeat([1, 2, 3, 4], [times, times, times, 1])
+    got = ratios.of(buckets, np.repeat([0, 1, 0, 1], [times, times, times, 1]), np.array([True, False]))
+    assert (got[: 2 * times] == 0).all()  # words of one document alone tell nothing, however often it says them
+    assert np.allclose(got[2 * times : -1], np.log((700 + importance.SMOOTH) / (ratios.share * other + importance.SMOOTH)))
+
+
 def test_smallest_kept_is_the_order_statistic(spark):
     values = [random.Random(2).choice([0.0, -1.5, 3.25, random.Random(i).gauss(0, 1e3)]) for i in range(500)]
     keys = spark.createDataFrame([(v,) for v in values], "key double")
