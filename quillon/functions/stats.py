@@ -27,14 +27,46 @@ def quantiles(x: str, qs: list[float], approx: bool = False) -> Column:
     return F.percentile_approx(x, at, 10_000) if approx else F.percentile(x, at)
 
 
+def value_range(value: Column) -> Column:
+    """A number that never falls as the value rises, 256 of them for each doubling: it cuts values into ranges without looking at them first."""
+    at = F.floor(F.least(F.log2(F.abs(value)), F.lit(1025.0)) * 256) + 300_000  # the smallest double is 2 ** -1074
+    return F.when(value > 0, at).when(value < 0, -at).otherwise(0)
+
+
+def _ties(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(by..., value, _ties, _range) per distinct value, and (by..., _range, _held, _before, _all) per range: rows in it, in lower ones and in the group."""
+    ties = df.groupBy(*by, value).agg(F.count("*").alias("_ties")).withColumn("_range", value_range(F.col(value).cast("double")))
+    group = Window.partitionBy(*by)
+    held = ties.groupBy(*by, "_range").agg(F.sum("_ties").alias("_held"))
+    lower = F.sum("_held").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    return ties, held.select(*by, "_range", "_held", F.coalesce(lower, F.lit(0)).alias("_before"), F.sum("_held").over(group).alias("_all"))
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+    """(by..., q): what quantiles() gives for each group, without a map of a group's values: only the ranges that hold a quantile are sorted.
+
+    Groups without a value are left out.
+    """
+    ties, ranges = _ties(df.where(F.col(value).isNotNull()), by, value)
+    places = [F.lit(q) * (F.col("_all") - 1) for q in qs]
+    ranks = [r for p in places for r in (F.floor(p), F.ceil(p))]
+    some = ranges.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_held"))))
+    upto = F.col("_before") + F.sum("_ties").over(Window.partitionBy(*by, "_range").orderBy(value))
+    near = ties.join(some, [*by, "_range"]).withColumn("_upto", upto)
+    at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_ties")) & (r < F.col("_upto")), F.col(value)))
+    found = near.groupBy(*by, "_all").agg(*[at(r).alias(f"_v{k}") for k, r in enumerate(ranks)])
+    q = [F.when(F.col(f"_v{2 * k}") == F.col(f"_v{2 * k + 1}"), F.col(f"_v{2 * k}")).otherwise((F.ceil(p) - p) * F.col(f"_v{2 * k}") + (p - F.floor(p)) * F.col(f"_v{2 * k + 1}")) for k, p in enumerate(places)]
+    return found.select(*by, F.array(*q).alias("q"))
+
+
 def spread(long: DataFrame, by: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Per feature: n, med, q1, q3, iqr, mad."""
     by = by or ["feature"]
-    first = long.groupBy(*by).agg(F.count("value").alias("n"), quantiles("value", [0.25, 0.5, 0.75], approx).alias("q"))
+    of = lambda df, x, qs: df.groupBy(*by).agg(quantiles(x, qs, True).alias("q")) if approx else group_quantiles(df, by, x, qs)
+    first = long.groupBy(*by).agg(F.count("value").alias("n")).join(of(long, "value", [0.25, 0.5, 0.75]), by, "left")
     first = first.select(*by, "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("med"), F.get("q", F.lit(2)).alias("q3"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"))
     away = long.join(first.select(*by, "med"), by).withColumn("away", F.abs(F.col("value") - F.col("med")))
-    away = away.groupBy(*by).agg(F.get(quantiles("away", [0.5], approx), F.lit(0)).alias("mad"))
-    return first.join(away, by)
+    return first.join(of(away, "away", [0.5]).select(*by, F.get("q", F.lit(0)).alias("mad")), by, "left")
 
 
 def robust_z(value: Column, spread_less: float | None = None) -> Column:
@@ -46,12 +78,13 @@ def robust_z(value: Column, spread_less: float | None = None) -> Column:
 def average_ranks(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
     """df with the average rank of `value` among rows equal in `by`; values should not be NULL.
 
-    Ranks come from counts per distinct value, so only distinct values are sorted within a group.
+    Ranks come from counts per distinct value, and each range's first rank from the sums of the lower ones, so only a
+    range's distinct values are sorted in one task.
     """
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("_ties"))
-    ranked = ties.withColumn(rank, F.sum("_ties").over(order) - (F.col("_ties") - 1) / 2).drop("_ties")
-    return df.join(ranked, [*by, value])
+    ties, ranges = _ties(df, by, value)
+    order = Window.partitionBy(*by, "_range").orderBy(value)
+    ranked = ties.join(ranges, [*by, "_range"]).withColumn(rank, F.col("_before") + F.sum("_ties").over(order) - (F.col("_ties") - 1) / 2)
+    return df.join(ranked.select(*by, value, rank), [*by, value])
 
 
 def rank_correlation(x: str, y: str) -> Column:

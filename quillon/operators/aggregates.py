@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.stats import quantiles
+from quillon.functions.stats import group_quantiles, long_form, quantiles
 
 
 def group_counts(df: DataFrame, design: list[str]) -> DataFrame:
@@ -74,7 +74,8 @@ def aggregate_multistat(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def impute_global_median(df: DataFrame, features: list[str]) -> DataFrame:
     """Missing values as the column's median over all rows."""
-    medians = df.agg(*[F.get(quantiles(c, [0.5]), F.lit(0)).alias(f"_{c}") for c in features])
+    found = group_quantiles(long_form(df, [], features), ["feature"], "value", [0.5])
+    medians = found.agg(*[F.max(F.when(F.col("feature") == c, F.get("q", F.lit(0)))).alias(f"_{c}") for c in features])
     filled = df.crossJoin(F.broadcast(medians))  # one row
     return filled.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in features else F.col(c) for c in df.columns])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import missingness_band, qc_family_of, range_band, reason_list, worst_of
-from quillon.functions.stats import OUTLIER_Z, quantiles, robust_z, spearman, spread
+from quillon.functions.stats import OUTLIER_Z, group_quantiles, quantiles, robust_z, spearman, spread
 
 
 def with_family(df: DataFrame, registry: DataFrame, feature: str = "feature", out: str = "family") -> DataFrame:
@@ -64,10 +64,13 @@ def distribution_summary(long: DataFrame, approx: bool = False) -> DataFrame:
     Outliers: robust score above 3.5 by the median deviation, Tukey's fences where that is 0, none where the IQR is 0 too.
     """
     names = ["q01", "q05", "q25", "median", "q75", "q95", "q99"]
-    base = long.groupBy("feature").agg(F.count("*").alias("n_rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("value").alias("unique_values"), quantiles("value", [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99], approx).alias("q"))
+    of = lambda df, x, qs: df.groupBy("feature").agg(quantiles(x, qs, True).alias("q")) if approx else group_quantiles(df, ["feature"], x, qs)
+    base = long.groupBy("feature").agg(F.count("*").alias("n_rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("value").alias("unique_values"))
+    base = base.join(of(long, "value", [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]), "feature", "left")
     base = base.select("feature", "n_rows", "n", "mean", "sd", "min", "max", "unique_values", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(names)]).withColumn("iqr", F.col("q75") - F.col("q25"))
     valid = long.where("value IS NOT NULL")
-    away = valid.join(base.select("feature", "median"), "feature").withColumn("away", F.abs(F.col("value") - F.col("median"))).groupBy("feature").agg(F.get(quantiles("away", [0.5], approx), F.lit(0)).alias("mad"))
+    away = valid.join(base.select("feature", "median"), "feature").withColumn("away", F.abs(F.col("value") - F.col("median")))
+    away = of(away, "away", [0.5]).select("feature", F.get("q", F.lit(0)).alias("mad"))
     known = base.join(away, "feature", "left")
     v = F.col("value")
     out = F.when(F.col("mad") > 0, F.abs(0.6745 * (v - F.col("median")) / F.col("mad")) > OUTLIER_Z).when(F.col("iqr") > 0, (v < F.col("q25") - 1.5 * F.col("iqr")) | (v > F.col("q75") + 1.5 * F.col("iqr"))).otherwise(False)

@@ -56,3 +56,24 @@ def test_constant_columns_have_no_correlation(spark):
     pairs = spark.createDataFrame([("p", 1.0, float(i)) for i in range(9)], "g string, x double, y double")
     assert stats.spearman(pairs, ["g"], min_distinct=1).first()["rho"] is None
     assert stats.spearman(pairs.limit(0), ["g"]).count() == 0
+
+
+def test_no_group_is_ranked_or_cut_into_quantiles_in_one_piece(spark):
+    import random
+
+    rng = random.Random(8)
+    draw = {"a": lambda: rng.lognormvariate(8, 2), "b": lambda: rng.choice([-3.5, -0.0, 0.0, 1e-9, 2.0]), "c": lambda: rng.gauss(0, 1e3), "d": lambda: 7.25}
+    rows = [(f, draw[f]()) for f in draw for _ in range(400)] + [("one", 5.0), ("none", None), ("a", None)]
+    long, qs = spark.createDataFrame(rows, "feature string, value double"), [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    want = {r["feature"]: r["q"] for r in long.groupBy("feature").agg(stats.quantiles("value", qs).alias("q")).collect()}
+    got = stats.group_quantiles(long, ["feature"], "value", qs)
+    assert {r["feature"]: r["q"] for r in got.collect()} == {k: v for k, v in want.items() if v is not None}
+    ranked = stats.average_ranks(long.where("value IS NOT NULL"), ["feature"], "value", "r")
+    for f in draw:
+        values = [v for g, v in rows if g == f and v is not None]
+        expected = {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values}
+        assert {r["value"]: r["r"] for r in ranked.where(F.col("feature") == f).collect()} == expected
+    for table in (got, ranked):  # values are sorted within a range of a feature only
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        sorts = [x for x in plan.splitlines() if "Window [" in x and "value" in x]
+        assert sorts and all("_range" in x for x in sorts) and "percentile" not in plan
