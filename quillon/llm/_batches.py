@@ -6,11 +6,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS_PER_BATCH = 1000
 BYTES_PER_SLICE = 1 << 20
 
@@ -32,8 +34,33 @@ PLAIN_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most ROWS_PER_BATCH rows at a time, so that long texts don't pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Hand Python at most ROWS_PER_BATCH rows at a time for the rest of the session; only registered queries and stages call this.
+
+    Spark's own limit of bytes per batch holds anyway; operators that run their work themselves lower the rows meanwhile.
+    """
+    spark.conf.set(BATCH_SETTING, str(ROWS_PER_BATCH))
+
+
+@contextmanager
+def smaller_batches(spark: SparkSession) -> Iterator[None]:
+    """The same for a while; the session gets its own setting back."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 _caches: dict[str, Callable[[], None]] = {}
@@ -64,7 +91,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path: cuts the lineage, and survives the loss of executors."""
-    df.write.parquet(path)
+    with smaller_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

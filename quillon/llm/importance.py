@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillon.llm._batches import LOWER, SPACED_WORD, holds_cache, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
+from quillon.llm._batches import LOWER, SPACED_WORD, holds_cache, mix, shared_folder, span_hashes, text_slices, word_spans, written
 
 BUCKET_BITS = 16
 TARGET_ROWS = 20_000
@@ -172,7 +172,6 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     target = target_ids(labels, id_col, quality_col, target_rows)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     keys = with_key(rows, Ratios(bucket_counts(rows, target)), target, "id", "text", passage, seed).select("id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
@@ -183,7 +182,6 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", keep: float | None = None, benefit: float = BENEFIT, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The rows of docs that resample keeps, all columns as they were; weighs the texts again instead of joining them."""
     spark = docs.sparkSession
-    small_batches(spark)
     target = target_ids(labels, id_col, quality_col, target_rows)
     ratios = Ratios(bucket_counts(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), target))
     keys = with_key(docs.select(id_col, text_col), ratios, target, id_col, text_col).select(F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))

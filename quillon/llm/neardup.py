@@ -3,11 +3,17 @@
 Documents are posted under the (coordinate, value) pairs of their MinHash signature. A link at the similarity asked for
 shares at least `needed` of the pairs but with a tiny probability (MISS), so a prefix of each signature, its rarest
 pairs, is enough for two linked documents to meet (prefix filter), and pairs that no other document has are skipped.
-Who meets is told by counts of collisions; candidates are confirmed on full shingle sets.
-
-Equal sets are one node from the start. In a posting list of near copies all pairs would be far too many; but only
-components are asked for, so rounds link each node to a leader of its lists, the most central one first, and only what is then still in different
-components meets pair by pair, where it also shares rare shingles.
+Who meets is told by counts of collisions; candidates are confirmed on full shingle sets. With exact=True documents
+are posted under their rarest shingles instead, as many as any linked set must share one of, and no link is missed.
+
+Equal sets are one node from the start (by a 128-bit print; a shingle is a 64-bit hash of its words). In a posting list
+of near copies all pairs would be far too many; but only components are asked for, so rounds link each node to a leader
+of its lists, the most central one first. Of what is then still in different components, short lists meet pair by pair.
+The members of a long list meet in a frame: each is told by its differences from the list's leader alone, with what most
+members have in common taken out. Two members whose differences add up to few enough are linked, and the one with the
+fewest stands for all of these; any others that are linked share one of their rarest differences. Lists of differences
+are short as a rule; a long one is a frame again, of half the members at most. So families of documents that are nearly
+linked, but not quite, don't meet pair by pair.
 """
 
 from __future__ import annotations
@@ -17,15 +23,19 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import LOWER, SPACED_WORD, holds_cache, mix, shared_folder, small_batches, span_hashes, text_slices, word_spans, written
+from quillon.llm._batches import LOWER, SPACED_WORD, free_names, holds_cache, mix, shared_folder, span_hashes, text_slices, word_spans, written
 
-COORDINATES = 32
-MISS = 1e-7
+COORDINATES = 40
+MISS = 1e-12
 ROUNDS = 3
 BROADCAST_IDS = 500_000
+#: Lists of up to so many nodes, or a quarter of their differences, meet pair by pair.
+SHORT = 8
+#: Nodes of one list that a task joins with what is known of the list; longer ones are dealt over several.
+DEALT = 512
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
@@ -140,29 +150,89 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(at.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, component, n, gram, place): the rarest shingles of each set, from place 1 on, as many as any linked set must share one of."""
-    grams = sets.select("rep", "component", "n", F.explode("grams").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("rep", "n").orderBy("often", "gram"))
-    return grams.join(counts, "gram").withColumn("place", place).where(f"place <= n - (({percent} * n + 99) DIV 100) + 1").select("rep", "component", "n", "gram", "place")
+def dealt_join(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """many joined with few (one row per key), both with a column `often`: a bound on the key's rows; keys of more than DEALT rows are dealt over tasks."""
+    parts = lambda: F.greatest(F.ceil(F.col("often") / DEALT), F.lit(1))
+    one = many.withColumn("_part", F.pmod(F.xxhash64("rep"), parts()))
+    two = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts() - 1))).drop("often")
+    return one.join(two, [*on, "_part"]).drop("_part")
 
 
-def meeting_pairs(rare: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a rare shingle early enough to be linked.
+def post_coordinates(reps: DataFrame, needed: int) -> DataFrame:
+    """(rep, token, central, often): each node under the rarest of its signature's pairs, `needed` - 1 of the shared ones left out."""
+    tokens = reps.select("rep", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    # pairs that are skipped stand first in the order by rarity, so of m shared ones the rarest m - needed + 1 remain of the prefix
+    prefix = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= needed)
+    # the node most like all that it meets: its pairs are the most frequent ones
+    prefix = prefix.withColumn("central", F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["often"]))
+    posted = prefix.select("rep", "central", F.explode(F.expr(f"slice(shared, 1, size(shared) - {needed - 1})")).alias("x"))
+    return posted.groupBy("rep", F.col("x.token").alias("token")).agg(F.max("central").alias("central"), F.max("x.often").alias("often"))
 
-    The smaller set of a pair has the shorter prefix, as the other's size is then known to be no less; and from the
-    places of the first shingle shared on, enough must be left of both sets for the overlap that a link takes.
-    """
-    whole = 100 + percent
-    one, two = (rare.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "n", "place"))) for x in "ab")
-    one = one.where(f"place_a <= n_a - ((2 * {percent} * n_a + {whole - 1}) DIV {whole}) + 1")
-    smaller = "(n_a < n_b OR (n_a = n_b AND rep_a < rep_b))"
-    met = one.join(two, "gram").where(f"{smaller} AND component_a <> component_b AND 100 * n_a >= {percent} * n_b AND 1 + least(n_a - place_a, n_b - place_b) >= ({percent} * (n_a + n_b) + {whole - 1}) DIV {whole}")
+
+def post_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, token, central, often): each node under the rarest of its shingles, as many as any linked set must share one of."""
+    grams = sets.select("rep", "n", F.explode("grams").alias("token"))
+    often = grams.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    by_rep = Window.partitionBy("rep", "n")
+    place = F.row_number().over(by_rep.orderBy("often", "token")) + F.col("n") - F.count("*").over(by_rep)  # those of no other node stand first
+    placed = grams.join(often, "token").withColumn("central", F.sum("often").over(by_rep)).withColumn("place", place)
+    return placed.where(f"place <= n - (({percent} * n + 99) DIV 100) + 1").groupBy("rep", "token").agg(F.max("central").alias("central"), F.max("often").alias("often"))
+
+
+def _short_pairs(listed: DataFrame, on: list[str], where: str) -> DataFrame:
+    """(a, b) of different components in the same short list, once each."""
+    own, other = (listed.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in listed.columns if c not in on)) for x in "ab")
+    met = own.join(other, on).where(f"rep_a < rep_b AND component_a <> component_b AND {where}")
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = COORDINATES, rounds: int = ROUNDS) -> DataFrame:
+def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT) -> DataFrame:
+    """(a, b): candidates among the members of frames (frame, rep, component, n, delta, often), no link between components left out.
+
+    n is the size of a member's set, delta its differences from the frame's centre, often a bound on the frame's members.
+    With y = (100 + percent) * size(delta) - (100 - percent) * n, two members are linked just if their deltas share
+    (y_a + y_b) / (2 * (100 + percent)) differences or more: none if y_a + y_b <= 0, and then the member with the least y
+    is linked to both of them.
+    """
+    whole, found, step = 100 + percent, [], 0
+    while not frames.isEmpty():
+        at = f"{folder}/{step}"
+        rows = frames.groupBy("frame").agg(F.count("*").alias("members"), F.max("often").alias("often"))
+        seen = frames.select("frame", "often", F.explode("delta").alias("gram")).groupBy("frame", "gram").agg(F.count("*").alias("k"), F.max("often").alias("often")).where("k > 1")
+        counts = written(dealt_join(seen.withColumnRenamed("gram", "rep"), rows, ["frame"]).select("frame", F.col("rep").alias("gram"), "k", "members", "often"), f"{at}-counts")
+        # what more than half of the members differ in belongs to the centre
+        usual = counts.where("2 * k > members").groupBy("frame").agg(F.collect_list("gram").alias("usual"))
+        moved = dealt_join(frames, rows.join(usual, "frame", "left").select("frame", "often", "usual"), ["frame"])
+        moved = moved.withColumn("delta", F.when(F.col("usual").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "usual"), F.array_except("usual", "delta")))).drop("usual")
+        moved = written(moved.withColumn("y", whole * F.size("delta") - (100 - percent) * F.col("n")), f"{at}-moved")
+        nearest = moved.groupBy("frame").agg(F.min(F.struct("y", "rep", "component")).alias("x"), F.max("often").alias("often"))
+        moved = dealt_join(moved, nearest, ["frame"])
+        found.append(written(moved.where("y + x.y <= 0 AND component <> x.component").select(F.col("x.rep").alias("a"), F.col("rep").alias("b")), f"{at}-near"))
+
+        kept = F.size("delta") - F.greatest(F.lit(1).cast("bigint"), -F.floor(-(F.col("y") + F.col("x.y")) / (2 * whole))) + 1
+        rarity = counts.select("frame", "gram", F.when(F.expr("2 * k > members"), F.expr("members - k")).otherwise(F.col("k")).alias("often")).where("often > 1")
+        spread = 8  # one frame's difference may be in half of its members
+        grams = moved.select("frame", "rep", "component", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), F.pmod(F.xxhash64("rep"), F.lit(spread)).alias("part"), F.explode("delta").alias("gram")).where("kept > 0")
+        known = grams.join(rarity.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))), ["frame", "gram", "part"]).drop("part")
+        by_rep = Window.partitionBy("frame", "rep")
+        place = F.row_number().over(by_rep.orderBy("often", "gram")) + F.col("size") - F.count("*").over(by_rep)
+        posted = written(known.withColumn("place", place).where("place <= kept").drop("kept"), f"{at}-posted")
+        lists = posted.groupBy("frame", "gram").agg(F.count("*").alias("members"), F.avg("size").alias("mean"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("often").alias("often")).where("low <> high")
+        tagged = written(dealt_join(posted, lists.select("frame", "gram", "often", (F.expr(f"members <= greatest({short}, mean / 4)")).alias("short")), ["frame", "gram"]), f"{at}-tagged")
+        enough = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND 2 * {whole} * (1 + least(size_a - place_a, size_b - place_b)) >= y_a + y_b"
+        found.append(written(_short_pairs(tagged.where("short").select("frame", "gram", "rep", "component", "n", "y", "size", "place"), ["frame", "gram"], enough), f"{at}-pairs"))
+
+        again = tagged.where("NOT short").select("frame", "rep", F.xxhash64("frame", "gram").alias("inner"), F.col("often").alias("inner_often"))
+        frames = written(moved.select("frame", "rep", "component", "n", "delta").join(again, ["frame", "rep"]).select(F.col("inner").alias("frame"), "rep", "component", "n", "delta", F.col("inner_often").alias("often")), f"{at}-inner")
+        step += 1
+    out = frames.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    for more in found:
+        out = out.union(more)
+    return out.distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = COORDINATES, rounds: int = ROUNDS, exact: bool = False) -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per input row.
 
     A document's set: the distinct shingles of `words` words `[^\\x20\\x09-\\x0D]+` after A-Z went to lower case; with fewer
@@ -170,9 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id reachable, kept tells whether it is the row's own. NULL, empty and wordless texts have an empty set and
     are linked with nothing. Rows with a NULL id take no part: component_id NULL, kept true. Rows that repeat an id are one
     node, with the links of each of their texts. An empty table gives an empty one. Other columns are not read.
+
+    A link may be missed with a probability of MISS at most; exact=True posts documents by shingles and misses none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = shared_folder(spark)
     rows = _rows(docs, id_col, text_col)
     signed = written(_signed(rows, words, coordinates), f"{folder}/signed")
@@ -181,17 +252,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = written(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), f"{folder}/classes")
     reps = full.join(classes, ["f1", "f2", "n"]).where("id = rep").select("rep", "f1", "f2", "n", "tokens").dropDuplicates(["rep", "f1", "f2"])
-    tokens = reps.select("rep", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    # pairs that are skipped stand first in the order by rarity, so of m shared ones the rarest m - needed + 1 remain of the prefix
-    prefix = tokens.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= needed)
-        # the node most like all that it meets: its pairs are the most frequent ones
-    prefix = prefix.withColumn("central", F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["often"]))
-    posted = prefix.select("rep", "central", F.explode(F.expr(f"slice(shared, 1, size(shared) - {needed - 1})")).alias("x"))
-    posted = written(posted.groupBy("rep", F.col("x.token").alias("token")).agg(F.max("central").alias("central"), F.min("x.often").alias("often")), f"{folder}/posted")
-
-    nodes = written(reps.join(posted.select("rep").distinct(), "rep", "left_semi"), f"{folder}/nodes")
-    sets = written(_sets_of(rows, nodes.select("rep", "f1", "f2"), words), f"{folder}/sets")
+    if exact:
+        sets = written(_sets_of(rows, reps.select("rep", "f1", "f2"), words), f"{folder}/sets")
+        posted = written(post_shingles(sets, percent), f"{folder}/posted")
+        nodes = written(reps.join(posted.select("rep").distinct(), "rep", "left_semi"), f"{folder}/nodes")
+    else:
+        posted = written(post_coordinates(reps, needed), f"{folder}/posted")
+        nodes = written(reps.join(posted.select("rep").distinct(), "rep", "left_semi"), f"{folder}/nodes")
+        sets = written(_sets_of(rows, nodes.select("rep", "f1", "f2"), words), f"{folder}/sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         own, other = (sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("grams").alias(f"grams_{c}")) for c in "ab")
@@ -212,12 +280,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         moved = component.join(roots.withColumnRenamed("node", "component"), "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
         return written(moved, f"{folder}/{at}-components")
 
+    def split_lists(choice: Column) -> DataFrame:
+        """(token, often, members, leader, leads): the lists that hold several components, with the member first by `choice`."""
+        x = F.min(F.struct(choice.alias("h"), F.col("rep").alias("leader"), F.col("component").alias("leads"))).alias("x")
+        found = lists.groupBy("token").agg(x, F.count("*").alias("members"), F.max("often").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return found.where("low <> high").select("token", "often", "members", "x.leader", "x.leads")
+
     if not alike.isEmpty():
         component = merged(alike, "alike")
     for k in range(rounds):
         lists = posted.join(component, "rep")
-        leaders = lists.groupBy("token").agg(F.min(F.struct((F.xxhash64("rep", F.lit(k)) if k else -F.col("central")).alias("h"), F.col("rep").alias("leader"), F.col("component").alias("leads"))).alias("x"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "x.leader", "x.leads")
-        met = lists.join(leaders, "token").where("component <> leads").groupBy("rep", "leader").agg(F.count("*").alias("collisions"), F.min("often").alias("often"))
+        leaders = split_lists(F.xxhash64("rep", F.lit(k)) if k else -F.col("central"))
+        met = dealt_join(lists, leaders, ["token"]).where("component <> leads").groupBy("rep", "leader").agg(F.count("*").alias("collisions"), F.min("often").alias("often"))
         # each node is tried with the leader it meets most often and with that of its rarest list
         best = met.groupBy("rep").agg(F.max(F.struct("collisions", "leader")).alias("x"), F.min(F.struct("often", "leader")).alias("y"))
         best = best.select(F.col("rep").alias("b"), F.explode(F.array_distinct(F.array("x.leader", "y.leader"))).alias("a"))
@@ -226,14 +300,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         component = merged(links, str(k))
 
-    # What shares a list and is in different components still. Most of such sets are copies just too far from the rest
-    # of their family, and share its shingles with all of it; but linked sets share one of their rarest shingles, too.
     lists = posted.join(component, "rep")
-    split = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = lists.join(split, "token").select("rep", "component").distinct()
-    rare = written(rare_shingles(sets.join(open_, "rep"), percent), f"{folder}/rare")
-    near = meeting_pairs(rare, percent).join(nodes.select(F.col("rep").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(nodes.select(F.col("rep").alias("b"), F.col("tokens").alias("tokens_b")), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed).select("a", "b")
-    links = written(confirmed(near.distinct()), f"{folder}/last-links")
+    tagged = written(dealt_join(lists, split_lists(-F.col("central")), ["token"]), f"{folder}/tagged")
+    near = _short_pairs(tagged.where(f"members <= {SHORT}").select("token", "rep", "component"), ["token"], "true")
+    if not exact:
+        of = lambda c: nodes.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+        near = near.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed).select("a", "b")
+    # lists of the same documents have the same leader as a rule, so that a node is in few frames
+    framed = tagged.where(f"members > {SHORT}").groupBy(F.col("leader").alias("frame"), "rep").agg(F.max("often").alias("often"), F.first("component").alias("component"))
+    centres = framed.groupBy("frame").agg(F.max("often").alias("often")).join(sets.select(F.col("rep").alias("frame"), F.col("grams").alias("centre")), "frame")
+    placed = dealt_join(framed.join(sets, "rep"), centres, ["frame"])
+    frames = written(placed.select("frame", "rep", "component", "n", F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams")).alias("delta"), "often"), f"{folder}/frames")
+    met = near.union(frame_pairs(frames, percent, f"{folder}/frame")).distinct()
+    links = written(confirmed(met), f"{folder}/last-links")
     if not links.isEmpty():
         component = merged(links, "last")
 
@@ -254,11 +333,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = written(near_duplicates(docs, id_col, text_col, **options).where("kept").select("id"), f"{shared_folder(docs.sparkSession)}/kept")
     ids = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("times"))
-    own = docs.join(found.distinct().select(F.col("id").alias("_kept_id")), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept_id, place = free_names(docs, "kept_id", "place")
+    own = docs.join(found.distinct().select(F.col("id").alias(kept_id)), F.col(id_col).cast("bigint").eqNullSafe(F.col(kept_id)), "left_semi")
     if ids.where("times > 1").isEmpty():
         return own
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return own.withColumn("_place", F.when(F.col(id_col).isNotNull(), place).otherwise(1)).where("_place = 1").drop("_place")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return own.withColumn(place, F.when(F.col(id_col).isNotNull(), nth).otherwise(1)).where(F.col(place) == 1).drop(place)
 
 
 def op4_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import holds_cache, shared_folder, small_batches, written
+from quillon.llm._batches import holds_cache, shared_folder, written
 
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 19
@@ -170,7 +170,6 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     to each other, in the order of their texts; an empty table writes an empty store. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds_cache("planes", _encoder.cache_clear)

@@ -13,7 +13,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import small_batches
 
 TRAIN_ROWS = 20_000
 FEATURES = 2048
@@ -103,7 +102,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     `features` surest. Rows with NULL text, id or
     label are left out. Without both kinds of rows the model has no weights and grades all texts alike.
     """
-    small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(marks), "id")  # at most train_rows rows of two numbers
 
@@ -155,7 +153,6 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     likelier than 0. NULL and empty texts get what a text without any known word gets. NULL ids stay NULL,
     repeated rows give equal rows, an empty table gives an empty one; other columns are not read.
     """
-    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
