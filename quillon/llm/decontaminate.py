@@ -1,6 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned by training token windows.
 
-Built-in DataFrame functions only.
+Built-in DataFrame functions only. A window of n words has one of every `step` places in a row that its first step places
+are, so only every step-th place of a document is looked up: by the words there that lie in the window wherever it
+begins (its seed). The hashes of all seeds are the set that is broadcast; a seed that meets gives windows, whose
+hashes find the benchmark's windows, which are verified word by word.
 """
 
 from __future__ import annotations
@@ -8,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm._batches import shared_folder, written
+
 N = 10
-BROADCAST_WINDOWS = 2_000_000
+#: Numbers of 64 bits that are broadcast at most; beyond, the join is left to Spark.
+BROADCAST_SEEDS = 2_000_000
+BROADCAST_KEYS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,9 +28,15 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(small, F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def windows_of(words: str, n: int) -> Column:
-    """A 64-bit hash of each n consecutive words of the array column, in order."""
-    return F.expr(f"IF(size({words}) >= {n}, transform(sequence(1, size({words}) - {n - 1}), i -> xxhash64(slice({words}, i, {n}))), CAST(array() AS array<bigint>))")
+def seed_step(size: int) -> int:
+    """Every so many places of a document are looked up for windows of this size; a seed has size - step + 1 words."""
+    return max(1, 2 * size // 5)
+
+
+def seeds_of(words: str, size: int, every: int) -> Column:
+    """(size, at, seed) at each `every`-th place of the array column that a seed of a window of this size may begin at, words from 0."""
+    block = size - seed_step(size) + 1
+    return F.expr(f"IF(size({words}) >= {size}, transform(sequence(0, (size({words}) - {block}) DIV {every}), j -> named_struct('size', {size}, 'at', j * {every}, 'seed', xxhash64({size}, slice({words}, j * {every} + 1, {block})))), array())")
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = N) -> DataFrame:
@@ -33,25 +46,39 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     return cut.select("item_id", F.size("words").alias("n_words"), F.xxhash64("words").alias("window"), "words").distinct()
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, n: int = N, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_windows(docs: DataFrame, windows: DataFrame, n: int = N, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(id, text_hash, start, n_words, item_id): where docs (id, text) have a benchmark window, words from 0.
 
-    The hash set is broadcast while it has at most broadcast_windows windows; beyond, the join is left to Spark. A hash
-    that meets is verified word by word. Items of fewer than n words are looked up by windows of their own size.
+    Items of fewer than n words are looked up by windows, and seeds, of their own size. No row that stands for a place in
+    a document carries more words than a window has.
     """
+    folder = shared_folder(docs.sparkSession)
+    windows = written(windows, f"{folder}/windows")
     sizes = [r[0] for r in windows.select("n_words").distinct().orderBy("n_words").collect()]  # at most n numbers
-    small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    seeds = [windows.where(F.col("n_words") == size).select(F.explode(seeds_of("words", size, 1)).alias("x")).select("x.seed") for size in sizes or [n]]
+    known = seeds[0]
+    for more in seeds[1:]:
+        known = known.union(more)
+    known = written(known.distinct(), f"{folder}/seeds")
+    if known.count() <= broadcast_seeds:
+        known = F.broadcast(known)
+
     words = docs.select("id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("words"))
-    found = []
-    for size in sizes or [n]:
-        own = windows.where(F.col("n_words") == size).select("window", "item_id", F.col("words").alias("item_words"))
-        at = words.select("id", "text_hash", "words", F.posexplode(windows_of("words", size)).alias("start", "window"))
-        met = at.join(F.broadcast(own) if small else own, "window").where(F.slice("words", F.col("start") + 1, size) == F.col("item_words"))
-        found.append(met.select("id", "text_hash", "start", F.lit(size).alias("n_words"), "item_id"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    places = words.select("id", "text_hash", F.explode(F.concat(*[seeds_of("words", size, seed_step(size)) for size in sizes or [n]])).alias("x")).select("id", "text_hash", "x.*")
+    met = places.join(known, "seed", "left_semi").groupBy("id", "text_hash").agg(F.collect_set(F.struct("size", "at")).alias("met"))
+    met = written(met.select(F.col("id").alias("met_id"), F.col("text_hash").alias("met_hash"), "met"), f"{folder}/met")
+    same = F.col("id").eqNullSafe(F.col("met_id")) & (F.col("text_hash") == F.col("met_hash"))
+    own = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    keys = met.select("met_id", "met_hash")
+    if keys.count() <= broadcast_keys:
+        own = own.join(F.broadcast(keys), same, "left_semi")
+    near = own.join(met, same).select("id", "text_hash", "met", plain_words(F.col("text")).alias("words")).dropDuplicates(["id", "text_hash"])
+    step = F.create_map(*[F.lit(x) for size in sizes or [n] for x in (size, seed_step(size))])
+    starts = F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.greatest(m["at"] - F.element_at(step, m["size"]) + 1, F.lit(0)), m["at"]), lambda t: F.struct(t.alias("start"), m["size"].alias("size"))))))
+    cut = near.select("id", "text_hash", "words", F.filter(starts, lambda x: x["start"] + x["size"] <= F.size("words")).alias("starts"))
+    cut = cut.select("id", "text_hash", F.explode(F.transform("starts", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("n_words"), F.slice("words", x["start"] + 1, x["size"]).alias("own_words")))).alias("x"))
+    cut = cut.select("id", "text_hash", "x.*", F.xxhash64("x.own_words").alias("window"))
+    return cut.join(windows, ["window", "n_words"]).where("own_words = words").select("id", "text_hash", "start", "n_words", "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = N) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillon.llm._batches import LOWER, SPACED_WORD, holds_cache, mix, shared_folder, span_hashes, text_slices, word_spans, written
+from quillon.llm._batches import LOWER, SPACED_WORD, free_names, holds_cache, mix, shared_folder, span_hashes, text_slices, word_spans, written
 
 BUCKET_BITS = 16
 TARGET_ROWS = 20_000
@@ -103,19 +103,16 @@ def smallest_kept(keys: DataFrame, k: int) -> float | None:
     if k <= 0:
         return float("inf")
     above = 0
-    while True:
+    while low < high:
         inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
-        width = (high - low) / 1024
-        if width <= abs(high) * 1e-15 + 1e-300:
-            return high if low == high else low
-        found = inside.groupBy(F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(1023)).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.desc("bin")).collect()  # at most 1024 rows
+        share = (F.col("key") / 2 - low / 2) / ((high / 2 - low / 2) or 1.0)  # halves, as the width itself may be beyond the largest double
+        found = inside.groupBy(F.when(F.col("key") >= high, 1023).otherwise(F.least(F.floor(share * 1023), F.lit(1022))).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.desc("bin")).collect()  # at most 1024 rows
         for r in found:
             if above + r["n"] >= k:
                 low, high = r["low"], r["high"]
                 break
             above += r["n"]
-        if low == high:
-            return low
+    return low
 
 
 def target_ids(labels: DataFrame, id_col: str, quality_col: str, target_rows: int) -> DataFrame:
@@ -124,25 +121,26 @@ def target_ids(labels: DataFrame, id_col: str, quality_col: str, target_rows: in
     return marks.where("q = 1").orderBy(F.xxhash64("id"), "id").limit(target_rows).select("id")
 
 
-def with_key(docs: DataFrame, ratios: Ratios, target: DataFrame, id_col: str, text_col: str, passage: int = PASSAGE, seed: str = SEED) -> DataFrame:
-    """docs, all columns, with `_log_weight` and `_key`, its sum with Gumbel noise; both NULL for texts without a word."""
+def with_key(docs: DataFrame, ratios: Ratios, target: DataFrame, id_col: str, text_col: str, passage: int = PASSAGE, seed: str = SEED) -> tuple[DataFrame, str, str]:
+    """(docs with two more columns, their names): the log-weight and the key, its sum with Gumbel noise; both NULL for texts without a word."""
+    log_weight, key, wanted, target_id, is_target = free_names(docs, "log_weight", "key", "wanted", "target_id", "is_target")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds_cache("importance")
         for batch in batches:
             for part, data, offsets in text_slices(batch, text_col):
                 at, row = features(data, offsets)
-                wanted = np.asarray(part.column("_wanted").to_numpy(zero_copy_only=False), bool)
+                counted = np.asarray(part.column(wanted).to_numpy(zero_copy_only=False), bool)
                 n = np.bincount(row, minlength=len(part))
-                total = np.bincount(row, ratios.of(at, row, wanted), minlength=len(part))
+                total = np.bincount(row, ratios.of(at, row, counted), minlength=len(part))
                 weight = pa.array(passage * total / (n + PRIOR_GRAMS), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], weight], names=[*part.schema.names[:-1], "_log_weight"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], weight], names=[*part.schema.names[:-1], log_weight])
 
-    schema = StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(log_weight, DoubleType())])
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    marks = F.broadcast(target.select(F.col("id").alias("_target_id"), F.lit(True).alias("_is_target")))
-    marked = docs.join(marks, F.col(id_col).cast("bigint") == F.col("_target_id"), "left").select(*docs.columns, F.coalesce("_is_target", F.lit(False)).alias("_wanted"))
-    return marked.mapInArrow(weigh, schema).withColumn("_key", F.col("_log_weight") - F.log(-F.log(u)))
+    marks = F.broadcast(target.select(F.col("id").alias(target_id), F.lit(True).alias(is_target)))
+    marked = docs.join(marks, F.col(id_col).cast("bigint") == F.col(target_id), "left").select(*[F.col(c) for c in docs.columns], F.coalesce(is_target, F.lit(False)).alias(wanted))
+    return marked.mapInArrow(weigh, schema).withColumn(key, F.col(log_weight) - F.log(-F.log(u))), log_weight, key
 
 
 def least_key(keys: DataFrame, keep: float | None = None, benefit: float = BENEFIT) -> float | None:
@@ -174,7 +172,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     target = target_ids(labels, id_col, quality_col, target_rows)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keys = with_key(rows, Ratios(bucket_counts(rows, target)), target, "id", "text", passage, seed).select("id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
+    weighed, log_weight, key = with_key(rows, Ratios(bucket_counts(rows, target)), target, "id", "text", passage, seed)
+    keys = weighed.select("id", F.col(log_weight).alias("log_weight"), F.col(key).alias("key"))
     keys = written(keys, f"{shared_folder(spark)}/keys")
     return keys.withColumn("kept", is_kept(F.col("key"), least_key(keys, keep, benefit)))
 
@@ -184,9 +183,11 @@ def keep_resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     target = target_ids(labels, id_col, quality_col, target_rows)
     ratios = Ratios(bucket_counts(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), target))
-    keys = with_key(docs.select(id_col, text_col), ratios, target, id_col, text_col).select(F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"))
+    weighed, log_weight, key = with_key(docs.select(id_col, text_col), ratios, target, id_col, text_col)
+    keys = weighed.select(F.col(log_weight).alias("log_weight"), F.col(key).alias("key"))
     keys = written(keys, f"{shared_folder(spark)}/keys")
-    return with_key(docs, ratios, target, id_col, text_col).where(is_kept(F.col("_key"), least_key(keys, keep, benefit))).drop("_log_weight", "_key")
+    weighed, log_weight, key = with_key(docs, ratios, target, id_col, text_col)
+    return weighed.where(is_kept(F.col(key), least_key(keys, keep, benefit))).drop(log_weight, key)
 
 
 def op8_importance(spark, sf_dir: str) -> DataFrame:

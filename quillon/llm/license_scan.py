@@ -94,11 +94,13 @@ class NoticeScanner:
             near = own if len(own) < 8 else own[-8:] + [x for x in own if x[0] < b and x[1] > a]
             if any(s < start + size and e > start for s, e in near):
                 continue
-            m = self.patterns[n].search(plain[a:b])
-            if m and (a == 0 or m.start() > 0) and (b == n_chars or m.end() < b - a) and self._short_words_kept(notice, m[0]):
-                errors = sum(m.fuzzy_counts)
-                out.append((n, a + m.start(), a + m.end(), errors))
-                own.append((a + m.start(), a + m.end()))
+            # no letter can be inserted where a search starts, so that a space must stand in front of the text
+            lead = 1 if a == 0 else 0
+            m = self.patterns[n].search(" " * lead + plain[a:b])
+            if m and (lead or m.start() > 0) and (b == n_chars or m.end() < lead + b - a) and self._short_words_kept(notice, m[0]):
+                span = (max(0, a - lead + m.start()), a - lead + m.end())  # that space may stand for a letter left out
+                out.append((n, *span, sum(m.fuzzy_counts)))
+                own.append(span)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def scan(self, text: bytes) -> tuple[int, list[dict]]:

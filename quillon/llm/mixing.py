@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm._batches import shared_folder, written
+from quillon.llm._batches import free_names, shared_folder, written
 
 MAX_EPOCHS = 3
 BUCKETS = 1024
+#: Rows of a source that are sorted at most, and sources that are broadcast at most.
+SORTED_ROWS = 4096
+BROADCAST_SOURCES = 100_000
+LAST = 1.7976931348623157e308
 SEED = "mix-1"
 
 
@@ -18,9 +22,12 @@ def text_size(text: Column) -> Column:
 
 
 def sampling_key(id_: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the md5 of seed and id: the smallest keys are a weighted sample without replacement."""
+    """-ln(u) / weight with u in (0, 1) from the md5 of seed and id: the smallest keys are a weighted sample without replacement.
+
+    Weights of 0 or less, and NaN, stand after all others.
+    """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    return -F.log(u) / weight
+    return F.when((weight > 0) & ~F.isnan(weight), F.least(-F.log(u) / F.when(weight > 0, weight), F.lit(LAST))).otherwise(LAST)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -45,50 +52,101 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     )
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+_ORDER = ("key", "size", "text_hash")
+
+
+def _known(few: DataFrame) -> DataFrame:
+    """One row per source, broadcast while there are few sources."""
+    return F.broadcast(few) if few.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else few
+
+
+def cut_ranges(rows: DataFrame, targets: DataFrame, folder: str, bins: int = BUCKETS, most: int = SORTED_ROWS) -> DataFrame:
+    """targets with low, high and before: the rows of a source between low and high hold the place where its target falls.
+
+    low and high are structs of _ORDER; before is the size of the rows ahead of low. A range is cut into `bins`, by
+    counting, again and again until it holds `most` rows or equal ones.
+    """
+    at = F.struct(*_ORDER)
+    every = rows.groupBy("source").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("rows"))
+    cut = every.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s").withColumn("before", F.lit(0).cast("bigint"))
+    step = 0
+    while True:
+        cut = written(cut, f"{folder}/cut{step}")
+        wide = cut.where(f"rows > {most} AND low < high")
+        if wide.isEmpty():
+            return cut
+        limits = wide.select(F.col("source").alias("s"), "low", "high", "rest", "before")
+        inside = rows.join(_known(limits), F.col("source").eqNullSafe(F.col("s"))).where((at >= F.col("low")) & (at <= F.col("high")))
+        share = F.lit(0.0)
+        for c in reversed(_ORDER):  # by the first column that differs
+            x, low, high = (v.cast("double") for v in (F.col(c), F.col(f"low.{c}"), F.col(f"high.{c}")))
+            share = F.when(low < high, (x - low) / F.nullif(high - low, F.lit(0.0))).otherwise(share)
+        counted = inside.groupBy("source", F.when(at >= F.col("high"), bins - 1).otherwise(F.coalesce(F.least(F.floor(share * (bins - 1)), F.lit(bins - 2)), F.lit(0))).alias("bin")).agg(F.sum("size").alias("held"), F.count("*").alias("rows"), F.min(at).alias("low"), F.max(at).alias("high"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        ahead = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `bins` rows a source
+        placed = counted.withColumn("before", F.col("before") + ahead)
+        one = F.struct("bin", "low", "high", "rows", "before")
+        found = placed.groupBy(F.col("source").alias("s")).agg(F.coalesce(F.min(F.when(F.col("before") + F.col("held") >= F.col("rest"), one)), F.max(one)).alias("x"))
+        kept = [c for c in cut.columns if c not in ("low", "high", "rows", "before")]
+        narrowed = wide.join(found, F.col("source").eqNullSafe(F.col("s"))).select(*kept, "x.low", "x.high", "x.rows", "x.before")
+        cut = cut.where(f"NOT (rows > {most} AND low < high)").unionByName(narrowed)
+        step += 1
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = SEED, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """How often a mix takes each document: (id, text_hash, source, size, source_size, target, copies, taken), one row per input row.
 
     Each source is taken whole floor(target / source_size) times; what is left of the target goes to the documents with
     the smallest sampling keys, up to and without the one after which the sum is farther from the target. Keys weigh by
-    `quality` (id_col, weight > 0; the ids distinct), 1 where it has no row or NULL.
+    `quality` (id_col, weight), the mean of the rows of an id, 1 where it has none or NULL; weights of 0 or less come last.
 
-    Keys are cut into `buckets` ranges per source; sums per range find the range in which the target falls, and only
-    that range is sorted, so a source with a third of all rows never meets in one task. NULL text and empty text have
-    size 0 and are copied by whole epochs only; NULL source is a source of its own, the last; equal keys
-    (repeated ids) go by size, then arbitrarily among equal rows. An empty table gives an empty one. Other columns are not read.
+    The range of keys in which a source's target falls is narrowed by sums over ever smaller ranges, and only the last
+    one, of at most sorted_rows rows or of equal rows, is sorted. NULL text and empty text have size 0 and are copied by
+    whole epochs only; NULL source is a source of its own, the last; equal keys (repeated ids) go by size, then
+    text, then arbitrarily among equal rows. An empty table gives an empty one. Other columns are not read.
     """
-    spark = docs.sparkSession
+    folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     if quality is None:
         rows = rows.withColumn("quality_weight", F.lit(1.0))
     else:
-        rows = rows.join(quality.select(F.col(id_col).alias("id"), F.col("weight").cast("double").alias("quality_weight")), "id", "left")
-    key = sampling_key(F.col("id"), F.coalesce("quality_weight", F.lit(1.0)), seed)
-    # 1 - exp(-key) rises with the key and lies in [0, 1)
-    rows = rows.select("id", "text_hash", "source", "size", key.alias("key")).withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-    rows = written(rows, f"{shared_folder(spark)}/rows")
-
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
+        rows = rows.join(quality.groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col("weight").cast("double")).alias("quality_weight")), "id", "left")
+    rows = rows.select("id", "text_hash", "source", "size", sampling_key(F.col("id"), F.coalesce("quality_weight", F.lit(1.0)), seed).alias("key"))
+    rows = written(rows, f"{folder}/rows")
+
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-9), F.lit(max_epochs))).otherwise(0).cast("int")).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
-    order = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("before", F.coalesce(F.sum("range_size").over(order), F.lit(0))).withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    marked = rows.select("id", "text_hash", F.col("source").alias("s"), F.col("range").alias("g"), "size", "key").join(ranges, F.col("s").eqNullSafe(F.col("source")) & (F.col("g") == F.col("range"))).drop("s", "g")
-    cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("range_size") > F.col("rest"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "size", "id", "text_hash")
-    sorted_ = marked.where(cut).withColumn("upto", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut_ranges(rows, targets, folder, buckets, sorted_rows).select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "low", "high", "before")
+    marked = rows.join(_known(cut), F.col("source").eqNullSafe(F.col("s"))).withColumn("at", F.struct(*_ORDER))
+    between = (F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))
+    order = Window.partitionBy("source").orderBy(*_ORDER, "id").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = marked.where(between).withColumn("upto", F.col("before") + F.sum("size").over(order))
     # the document that crosses the target is taken if that comes closer to it
     sorted_ = sorted_.withColumn("extra", ((F.col("size") > 0) & ((F.col("upto") - F.col("rest")) <= (F.col("rest") - (F.col("upto") - F.col("size"))))).cast("int")).drop("upto")
-    whole = marked.where(~cut).withColumn("extra", ((F.col("size") > 0) & (F.col("before") + F.col("range_size") <= F.col("rest"))).cast("int"))
+    whole = marked.where(~between).withColumn("extra", ((F.col("size") > 0) & (F.col("at") < F.col("low"))).cast("int"))
     return whole.unionByName(sorted_).select("id", "text_hash", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("copies"), ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies, all columns as they were; rows equal in id and text as often as the one most taken."""
-    mix = mix_sources(docs, id_col, text_col, **options).where("copies > 0").groupBy("id", "text_hash").agg(F.max("copies").alias("_copies"))
-    mix = mix.withColumnsRenamed({"id": "_mix_id", "text_hash": "_mix_hash"})
-    taken = docs.join(mix, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_hash")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """docs as the mix takes them: each row as often as its copies, all columns as they were.
+
+    Of rows equal in id and text, the first by its other columns comes as often as the mix takes all of them.
+    """
+    mix_id, mix_hash, copies, copy, row, chunk = free_names(docs, "mix_id", "mix_hash", "copies", "copy", "row", "chunk")
+    mix = mix_sources(docs, id_col, text_col, **options).groupBy("id", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("times"))
+    mix = written(mix, f"{shared_folder(docs.sparkSession)}/copies").where("copies > 0")
+
+    def joined(part: DataFrame) -> DataFrame:
+        part = part.select(F.col("id").alias(mix_id), F.col("text_hash").alias(mix_hash), F.col("copies").alias(copies))
+        return docs.join(part, F.col(id_col).eqNullSafe(F.col(mix_id)) & (F.xxhash64(text_col) == F.col(mix_hash)))
+
+    once = joined(mix.where("times = 1")).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))).alias(copy)).select(*docs.columns)
+    several = mix.where("times > 1")
+    if several.isEmpty():
+        return once
+    first = joined(several).groupBy(mix_id, mix_hash, copies).agg(F.min(F.struct(*docs.columns)).alias(row))
+    dealt = first.select(row, copies, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(1000).cast("bigint"))).alias(chunk)).repartition(chunk)
+    again = dealt.select(row, F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col(copies) - F.col(chunk), F.lit(1000)))).alias(copy)).select(f"{row}.*")
+    return once.unionByName(again)
 
 
 LABEL_WEIGHTS = {1: 2.0, 0: 0.25}

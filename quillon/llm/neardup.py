@@ -180,11 +180,12 @@ def post_shingles(sets: DataFrame, percent: int) -> DataFrame:
     return placed.where(f"place <= n - (({percent} * n + 99) DIV 100) + 1").groupBy("rep", "token").agg(F.max("central").alias("central"), F.max("often").alias("often"))
 
 
-def _short_pairs(listed: DataFrame, on: list[str], where: str) -> DataFrame:
-    """(a, b) of different components in the same short list, once each."""
-    own, other = (listed.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in listed.columns if c not in on)) for x in "ab")
-    met = own.join(other, on).where(f"rep_a < rep_b AND component_a <> component_b AND {where}")
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+def _pairs_of_few(listed: DataFrame, on: list[str], where: str = "true") -> DataFrame:
+    """(a, b) of different components in the same list, once each; of each pair one at least is `far`, outside the list's main component."""
+    own = listed.where("far").select(*on, "often", *(F.col(c).alias(f"{c}_a") for c in listed.columns if c not in (*on, "often")))
+    other = listed.select(*on, "often", "rep", *(F.col(c).alias(f"{c}_b") for c in listed.columns if c not in (*on, "often")))
+    met = dealt_join(other, own, on).where(f"component_a <> component_b AND (rep_a < rep_b OR NOT far_b) AND {where}")
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT) -> DataFrame:
@@ -193,7 +194,7 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT
     n is the size of a member's set, delta its differences from the frame's centre, often a bound on the frame's members.
     With y = (100 + percent) * size(delta) - (100 - percent) * n, two members are linked just if their deltas share
     (y_a + y_b) / (2 * (100 + percent)) differences or more: none if y_a + y_b <= 0, and then the member with the least y
-    is linked to both of them.
+    is linked to both of them. All of its component are one side; only far members, those outside, are to be compared.
     """
     whole, found, step = 100 + percent, [], 0
     while not frames.isEmpty():
@@ -208,20 +209,25 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT
         moved = written(moved.withColumn("y", whole * F.size("delta") - (100 - percent) * F.col("n")), f"{at}-moved")
         nearest = moved.groupBy("frame").agg(F.min(F.struct("y", "rep", "component")).alias("x"), F.max("often").alias("often"))
         moved = dealt_join(moved, nearest, ["frame"])
-        found.append(written(moved.where("y + x.y <= 0 AND component <> x.component").select(F.col("x.rep").alias("a"), F.col("rep").alias("b")), f"{at}-near"))
-
-        kept = F.size("delta") - F.greatest(F.lit(1).cast("bigint"), -F.floor(-(F.col("y") + F.col("x.y")) / (2 * whole))) + 1
+        near = F.expr("y + x.y <= 0")
+        found.append(written(moved.where(near & F.expr("component <> x.component")).select(F.col("x.rep").alias("a"), F.col("rep").alias("b")), f"{at}-near"))
+
+        moved = moved.withColumn("component", F.when(near, F.col("x.component")).otherwise(F.col("component"))).withColumn("far", F.expr("component <> x.component"))
+        outside = moved.where("far").groupBy("frame").agg(F.min("y").alias("far_y"), F.max("often").alias("often"))
+        outside = rows.select("frame", "often").join(outside.drop("often"), "frame")
+        moved = written(dealt_join(moved, outside, ["frame"]), f"{at}-open")
+        kept = F.size("delta") - F.greatest(F.lit(1).cast("bigint"), -F.floor(-(F.col("y") + F.when(F.col("far"), F.col("x.y")).otherwise(F.col("far_y"))) / (2 * whole))) + 1
         rarity = counts.select("frame", "gram", F.when(F.expr("2 * k > members"), F.expr("members - k")).otherwise(F.col("k")).alias("often")).where("often > 1")
         spread = 8  # one frame's difference may be in half of its members
-        grams = moved.select("frame", "rep", "component", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), F.pmod(F.xxhash64("rep"), F.lit(spread)).alias("part"), F.explode("delta").alias("gram")).where("kept > 0")
+        grams = moved.select("frame", "rep", "component", "far", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), F.pmod(F.xxhash64("rep"), F.lit(spread)).alias("part"), F.explode("delta").alias("gram")).where("kept > 0")
         known = grams.join(rarity.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))), ["frame", "gram", "part"]).drop("part")
         by_rep = Window.partitionBy("frame", "rep")
         place = F.row_number().over(by_rep.orderBy("often", "gram")) + F.col("size") - F.count("*").over(by_rep)
         posted = written(known.withColumn("place", place).where("place <= kept").drop("kept"), f"{at}-posted")
-        lists = posted.groupBy("frame", "gram").agg(F.count("*").alias("members"), F.avg("size").alias("mean"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("often").alias("often")).where("low <> high")
-        tagged = written(dealt_join(posted, lists.select("frame", "gram", "often", (F.expr(f"members <= greatest({short}, mean / 4)")).alias("short")), ["frame", "gram"]), f"{at}-tagged")
+        lists = posted.groupBy("frame", "gram").agg(F.count_if("far").alias("n_far"), F.avg("size").alias("mean"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("often").alias("often")).where("low <> high")
+        tagged = written(dealt_join(posted, lists.select("frame", "gram", "often", F.expr(f"n_far <= greatest({short}, mean / 2)").alias("short")), ["frame", "gram"]), f"{at}-tagged")
         enough = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND 2 * {whole} * (1 + least(size_a - place_a, size_b - place_b)) >= y_a + y_b"
-        found.append(written(_short_pairs(tagged.where("short").select("frame", "gram", "rep", "component", "n", "y", "size", "place"), ["frame", "gram"], enough), f"{at}-pairs"))
+        found.append(written(_pairs_of_few(tagged.where("short").drop("short"), ["frame", "gram"], enough), f"{at}-pairs"))
 
         again = tagged.where("NOT short").select("frame", "rep", F.xxhash64("frame", "gram").alias("inner"), F.col("often").alias("inner_often"))
         frames = written(moved.select("frame", "rep", "component", "n", "delta").join(again, ["frame", "rep"]).select(F.col("inner").alias("frame"), "rep", "component", "n", "delta", F.col("inner_often").alias("often")), f"{at}-inner")
@@ -281,10 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(moved, f"{folder}/{at}-components")
 
     def split_lists(choice: Column) -> DataFrame:
-        """(token, often, members, leader, leads): the lists that hold several components, with the member first by `choice`."""
-        x = F.min(F.struct(choice.alias("h"), F.col("rep").alias("leader"), F.col("component").alias("leads"))).alias("x")
-        found = lists.groupBy("token").agg(x, F.count("*").alias("members"), F.max("often").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-        return found.where("low <> high").select("token", "often", "members", "x.leader", "x.leads")
+        """(token, often, leader, leads, n_far): the lists that hold several components, with the member first by `choice` and how many are not in its component."""
+        by_side = lists.groupBy("token", "component").agg(F.min(F.struct(choice.alias("h"), F.col("rep").alias("leader"))).alias("x"), F.count("*").alias("k"), F.max("often").alias("often"))
+        found = by_side.groupBy("token").agg(F.min(F.struct("x.h", "x.leader", F.col("component").alias("leads"), "k")).alias("x"), F.sum("k").alias("members"), F.max("often").alias("often"), F.count("*").alias("sides"))
+        return found.where("sides > 1").select("token", "often", "x.leader", "x.leads", (F.col("members") - F.col("x.k")).alias("n_far"))
 
     if not alike.isEmpty():
         component = merged(alike, "alike")
@@ -301,13 +307,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = merged(links, str(k))
 
     lists = posted.join(component, "rep")
-    tagged = written(dealt_join(lists, split_lists(-F.col("central")), ["token"]), f"{folder}/tagged")
-    near = _short_pairs(tagged.where(f"members <= {SHORT}").select("token", "rep", "component"), ["token"], "true")
+    tagged = dealt_join(lists, split_lists(-F.col("central")), ["token"])
+    tagged = written(tagged.withColumn("far", F.expr("component <> leads")), f"{folder}/tagged")
+    near = _pairs_of_few(tagged.where(f"n_far <= {SHORT}").select("token", "often", "rep", "component", "far"), ["token"])
     if not exact:
         of = lambda c: nodes.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         near = near.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed).select("a", "b")
     # lists of the same documents have the same leader as a rule, so that a node is in few frames
-    framed = tagged.where(f"members > {SHORT}").groupBy(F.col("leader").alias("frame"), "rep").agg(F.max("often").alias("often"), F.first("component").alias("component"))
+    framed = tagged.where(f"n_far > {SHORT}").groupBy(F.col("leader").alias("frame"), "rep").agg(F.max("often").alias("often"), F.first("component").alias("component"))
     centres = framed.groupBy("frame").agg(F.max("often").alias("often")).join(sets.select(F.col("rep").alias("frame"), F.col("grams").alias("centre")), "frame")
     placed = dealt_join(framed.join(sets, "rep"), centres, ["frame"])
     frames = written(placed.select("frame", "rep", "component", "n", F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams")).alias("delta"), "often"), f"{folder}/frames")

@@ -167,7 +167,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
     One range exchange of (id, text) orders the documents; each shard then streams through one task that holds a
     segment at a time. NULL ids come first, NULL and empty texts are the end id alone; rows that repeat an id stand next
-    to each other, in the order of their texts; an empty table writes an empty store. Other columns are not read.
+    to each other, in the order of a hash of their texts; an empty table writes an empty store. Other columns are not read.
     """
     spark = docs.sparkSession
 
@@ -204,7 +204,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # rows that repeat an id, or have none, are dealt by a hash of their texts, so that they don't all meet in one shard
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(segments, SCHEMA), path)
 
 

@@ -21,6 +21,9 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED, PLAIN = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+CLASHING = ("kept", "size", "n_words", "id", "key", "_key", "_log_weight", "log_weight", "_wanted", "wanted", "_is_target", "target_id", "copies", "_copies", "copy", "_copy", "_mix_id", "mix_id", "row", "chunk", "_place", "place", "kept_id", "_hit_id", "text_hash", "rep", "pos", "block")
+
+
 def odd_texts():
     rng = random.Random(7)
     words = ["ab", "Cd", "É", "ßx", "the", "MIT", "License", "general", "public", "x1", "漢字", "🎉", "a.b", "--"]
@@ -31,7 +34,7 @@ def odd_texts():
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, 1) for i, t in enumerate(odd_texts())]
-    return spark.createDataFrame([*rows, (None, "a null id", None, None, None), (3, "\n\t", "en", "s3", 1)], DOCS).withColumns({"kept": F.lit("x"), "size": F.lit("x"), "n_words": F.lit("x"), "id": F.lit("x")})
+    return spark.createDataFrame([*rows, (None, "a null id", None, None, None), (3, "\n\t", "en", "s3", 1)], DOCS).withColumns({c: F.lit("x") for c in CLASHING})
 
 
 @pytest.fixture(scope="module")
@@ -111,12 +114,15 @@ def test_store_reads_back(spark, docs, empty, tmp_path, shards):
     store = planes.write_store(docs, f"file://{tmp_path}/s", planes.default_tokenizer(), shards=shards, segment_ids=500, block_ids=64)
     rows = planes.id_digests(store).orderBy("start").collect()
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    texts.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
-    encoder, start = planes.WordEncoder(planes.default_tokenizer()), 0
-    for r, (i, t) in zip(rows, texts, strict=True):
+    encoder, start, want = planes.WordEncoder(planes.default_tokenizer()), 0, []
+    for i, t in texts:
         ids = np.append(np.array(encoder.whole.encode(t or "", add_special_tokens=False).ids, np.uint32), np.uint32(2))
-        assert (r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
-        start += len(ids)
+        want.append((i is not None, i or 0, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+    for r in rows:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    got = [(r["id"] is not None, r["id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in rows]
+    assert [x[:2] for x in got] == sorted(x[:2] for x in want) and sorted(got) == sorted(want)
     assert planes.id_digests(planes.write_store(empty, f"file://{tmp_path}/e", planes.default_tokenizer())).count() == 0
 
 
@@ -160,6 +166,50 @@ def test_near_duplicates_match_brute_force(spark, docs, k, percent):
     assert [(r["component_id"], r["kept"]) for r in got if r["id"] is None] == [(None, True)]
 
 
+def family(n, seed, spread):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), rng.randint(*spread)):
+            words[k] = f"v{rng.randint(0, 10**6)}" if rng.random() < 0.8 else f"u{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("exact", "spread"), [(False, (4, 4)), (True, (4, 4)), (True, (0, 9))])
+def test_families_just_below_the_threshold(spark, monkeypatch, exact, spread):
+    met, pairs = [], neardup.frame_pairs
+    monkeypatch.setattr(neardup, "frame_pairs", lambda *a, **k: (met.append((found := pairs(*a, **k)).count()), found)[1])
+    rows = family(300, 1, spread)
+    got = {r["id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85, exact=exact).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert sum(met) < 10 * len(rows)  # of 44,850 pairs
+
+
+def test_frames_in_frames_lose_no_link(spark, tmp_path):
+    rng = random.Random(9)
+    sets = []
+    for i in range(240):  # long lists of differences: groups within groups
+        own = set(range(200)) - set(range(10 * (i % 3), 10 * (i % 3) + 10)) - set(rng.sample(range(40, 60), 6)) | {1000 + 10 * (i % 5) + k for k in range(6)} | {5000 + i}
+        sets.append((1, i, i, len(own), sorted(own ^ set(range(200))), 240))
+    frames = spark.createDataFrame(sets, "frame long, rep long, component long, n long, delta array<long>, often long")
+    met = {(r["a"], r["b"]) for r in neardup.frame_pairs(frames, 85, f"file://{tmp_path}/f", short=2).collect()}
+    full = [set(range(200)) ^ set(x[4]) for x in sets]
+    links = [(i, j) for i, j in itertools.combinations(range(240), 2) if 100 * len(full[i] & full[j]) >= 85 * len(full[i] | full[j])]
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in met:
+        if 100 * len(full[a] & full[b]) >= 85 * len(full[a] | full[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert links and all(find(i) == find(j) for i, j in links)
+
+
 def test_drop_near_duplicates_keeps_columns(docs, empty):
     left = neardup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
@@ -187,6 +237,35 @@ def test_fuzzy_notices(text, labels):
     assert {s["label"] for s in spans} == labels
 
 
+def edit_distance_labels(plain):
+    scanner, found = license_scan.NoticeScanner(license_scan.NOTICES), set()
+    for notice in license_scan.NOTICES:
+        p, k = notice.phrase, notice.errors
+        for at in [0, *(m.end() for m in re.finditer(" ", plain))]:
+            row = list(range(len(p) + 1))
+            for j, c in enumerate(plain[at : at + len(p) + k], 1):
+                before, row = row, [j]
+                for i in range(1, len(p) + 1):
+                    row.append(min(before[i] + 1, row[i - 1] + 1, before[i - 1] + (p[i - 1] != c)))
+                if row[-1] <= k and (at + j == len(plain) or plain[at + j] == " ") and scanner._short_words_kept(notice, plain[at : at + j]):
+                    found.add(notice.label)
+    return found
+
+
+def test_fuzzy_notices_match_an_edit_distance_scan():
+    rng, scanner = random.Random(12), license_scan.NoticeScanner(license_scan.NOTICES)
+    for _ in range(600):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            p = list(rng.choice(license_scan.NOTICES).phrase)
+            for _ in range(rng.randint(0, 5)):
+                i, kind = rng.randrange(len(p)), rng.randrange(3)
+                p[i : i + (kind != 0)] = [] if kind == 1 else [rng.choice("abcils e")]
+            parts.append("".join(p) if rng.random() < 0.7 else "use the license")
+        plain = " ".join(" ".join(parts).split())
+        assert {license_scan.NOTICES[n].label for n, *_ in scanner.spans(plain)} == edit_distance_labels(plain), plain
+
+
 # 6 transcripts
 
 def test_transcripts_recover_roles_of_held_out_conversations(spark):
@@ -202,13 +281,38 @@ def test_blocks_change_nothing(spark):
     raw = transcripts.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
     long = raw.select(F.lit(1).alias("conv_id"), F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("conv_id", "turn")).alias("turn"), "text", "role").union(spark.createDataFrame([(None, 1, None, "user"), (None, None, "", "user"), (2, 5, "User: a", "user")], "conv_id int, turn int, text string, role string"))
     model = transcripts.fit_roles(raw)
-    whole, cut = (transcripts.parse_transcripts(long, model, block_turns=b).collect() for b in (100_000, 3))
-    begins = lambda rows: sorted((str(r["conv"]), str(r["turn"]), r["line"], r["role"]) for r in rows if r["part"] == 0)
-    assert begins(whole) == begins(cut)
-    assert sum(r["n_lines"] for r in whole) == sum(r["n_lines"] for r in cut)
+    whole, cut = (transcripts.parse_transcripts(long, model, block_lines=b).collect() for b in (100_000, 3))
+    turns = lambda rows: sorted((str(r["conv"]), str(r["turn"]), r["line"], r["part"], r["role"], r["n_lines"], r["rendered"]) for r in rows)
+    assert turns(whole) == turns(cut) and all(r["part"] == 0 for r in whole)
+    parts = transcripts.parse_transcripts(long, model, block_lines=3, joined_chars=0).collect()
+    assert {t[:3] + t[4:5] for t in turns(parts) if not t[3]} == {t[:3] + t[4:5] for t in turns(whole)}
+    assert sum(r["n_lines"] for r in whole) == sum(r["n_lines"] for r in parts)
     assert transcripts.parse_transcripts(long.where("false"), model).count() == 0
 
 
+def test_transcripts_take_the_best_of_all_paths(spark):
+    raw = transcripts.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model = transcripts.fit_roles(raw)
+    rng = random.Random(8)
+    lines = ["User: hi", "what is it?", "it is a long answer " * 9, "AI> yes", "", "Speaker 1: so", "[SYS] > be kind", "a"]
+    convs = [[rng.choice(lines) for _ in range(rng.randint(1, 4))] for _ in range(30)]
+    # one row per line, all of one turn, or with turns that are NULL or equal
+    rows = [(c, None if c % 3 == 0 else 1 if c % 3 == 1 else k, t) for c, ls in enumerate(convs) for k, t in enumerate(ls) if c % 3 == 2] + [(c, None if c % 3 == 0 else 1, "\n".join(ls)) for c, ls in enumerate(convs) if c % 3 < 2]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    features = {(r["conv"], r["pos"]): (r["mark"], r["shape"]) for r in transcripts.lines_of(table).collect()}
+    found = {}
+    for r in transcripts.parse_transcripts(table, model, block_lines=2).orderBy("conv", F.col("turn").asc_nulls_first(), "line").collect():
+        found.setdefault(r["conv"], []).extend([2 * transcripts.ROLES.index(r["role"]), *[2 * transcripts.ROLES.index(r["role"]) + 1] * (r["n_lines"] - 1)])
+
+    def score(states, seen):
+        return sum(model.move[a, b] + model.show[(b, *x)] for a, b, x in zip([transcripts.START, *states], states, seen))
+
+    for c in range(len(convs)):
+        seen = [features[k] for k in sorted(k for k in features if k[0] == c)]
+        best = max(score(p, seen) for p in itertools.product(range(transcripts.START), repeat=len(seen)))
+        assert len(found[c]) == len(seen) and abs(score(found[c], seen) - best) < 1e-9
+
+
 # 7 decontamination
 
 def test_decontamination_matches_brute_force(spark, docs, empty):
@@ -237,6 +341,12 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     assert decontaminate.contamination(table, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_rows_of_places_carry_no_texts(spark, docs):
+    items = docs.select(F.col("doc_id").alias("item_id"), "text")
+    plan = decontaminate.find_windows(docs.select(F.col("doc_id").alias("id"), "text"), decontaminate.benchmark_windows(items))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if line.strip(" :+-").startswith("Generate") and re.search(r"\[\d+(, \d+)*\]", line) is None]
+
+
 def test_decontamination_runs_no_python(spark, docs):
     plan = decontaminate.contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -282,6 +392,40 @@ def test_own_ngrams_do_not_count(spark, times):
     assert np.allclose(got[2 * times : -1], np.log((700 + importance.SMOOTH) / (ratios.share * other + importance.SMOOTH)))
 
 
+def test_importance_matches_plain_python(spark):
+    rng = random.Random(3)
+    words = ["Alpha", "beta", "x1!", "GAMMA", "delta,", "é"]
+    rows = [(i, " ".join(rng.choice(words[: 3 if i % 2 else 6]) for _ in range(rng.randint(1, 30)))) for i in range(60)]
+    labels = [(i, 1 if i % 2 else 0) for i in range(0, 60, 3)]
+
+    def grams(text):
+        ws = text.encode().split()
+        h = lambda w: int(importance.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+        m = lambda x: int(importance.mix(np.array([x % 2**64], np.uint64))[0])
+        c, low = 0x9E3779B97F4A7C15, [h(w.lower() if w.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w)) for w in ws]
+        shape = [m(min(sum(65 <= b <= 90 for b in w), 3) + 4 * min(sum(b < 128 and not chr(b).isalnum() for b in w), 3) + 16 * min(len(w) // 3, 5) + 128 * (k > 0 and low[k] == low[k - 1]) + 0x51ED270B) for k, w in enumerate(ws)]
+        out = [*low, *(m(a * c + b) for a, b in itertools.pairwise(low)), *shape, *(m((a * c + b) * c + d) for a, b, d in zip(shape, shape[1:], shape[2:]))]
+        return [x >> (64 - importance.BUCKET_BITS) for x in out]
+
+    bags, good = {i: grams(t) for i, t in rows}, {i for i, q in labels if q}
+    raw, target = ({}, {})
+    for i, bag in bags.items():
+        for b in bag:
+            raw[b] = raw.get(b, 0) + 1
+            target[b] = target.get(b, 0) + (i in good)
+    share = sum(target.values()) / sum(raw.values())
+    want = {}
+    for i, bag in bags.items():
+        total = sum(np.log((max(target[b] - bag.count(b) * (i in good), 0) + importance.SMOOTH) / (share * (raw[b] - bag.count(b)) + importance.SMOOTH)) for b in bag)
+        weight = importance.PASSAGE * total / (len(bag) + importance.PRIOR_GRAMS)
+        u = (int(hashlib.md5(f"{importance.SEED}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        want[i] = (weight, weight - np.log(-np.log(u)))
+    got = by_id(importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), keep=0.25))
+    assert all(np.allclose((got[i]["log_weight"], got[i]["key"]), want[i]) for i in want)
+    top = sorted(want, key=lambda i: -want[i][1])[:15]
+    assert {i for i in got if got[i]["kept"]} == set(top)
+
+
 def test_smallest_kept_is_the_order_statistic(spark):
     values = [random.Random(2).choice([0.0, -1.5, 3.25, random.Random(i).gauss(0, 1e3)]) for i in range(500)]
     keys = spark.createDataFrame([(v,) for v in values], "key double")
@@ -309,6 +453,19 @@ def test_toxicity_odd_cases(spark, docs, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_severity_is_the_formula(spark, docs):
+    weights = {"the": 0.7, "pub-": -0.4, "publ-": 1.1, "license": 0.3, "é": 2.0}
+    model = toxicity.OrdinalModel(weights, (-0.5, 1.0, 2.5))
+    got = toxicity.score_toxicity(docs.withColumn("doc_id", F.col("doc_id").cast("int")), model)
+    for r in got.join(docs.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id").collect():
+        words = re.findall(r"[^\W_]+", (r["text"] or "").lower())
+        score = sum(w * np.log1p(sum(x == t if t[-1] != "-" else len(x) > len(t) - 1 and x.startswith(t[:-1]) for x in words)) for t, w in weights.items())
+        below = [1 / (1 + np.exp(-(c - score))) for c in model.cuts] + [1.0]
+        assert np.allclose(r["grade_probabilities"], np.diff([0.0, *below])) and abs(r["severity"] - sum(1 - b for b in below)) < 1e-9
+    labels = spark.createDataFrame([(9, 1), (10, 0)], "doc_id int, toxic int")
+    assert toxicity.fit_toxicity(docs.withColumn("doc_id", F.col("doc_id").cast("int")), labels).cuts
+
+
 def test_cumulative_link_gradient_orders_grades():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 4, 600)
@@ -363,6 +520,42 @@ def test_mix_meets_targets(docs, empty):
     assert copies.columns == docs.columns and copies.where("length(text) > 4000").count() == sum(r["copies"] for r in got if r["size"] == 3000 or r["id"] == 7)
 
 
+def test_ranges_narrow_to_the_cut(spark):
+    rows = [(i % 700 if i % 3 else None, f"t {'w ' * (i % 4)}{i % 5}", "ab"[i % 2]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    quality = spark.createDataFrame([(i, [1e-3, 1e-6, 0.0, -1.0, 5.0, float("nan")][i % 6]) for i in range(0, 700, 2)] + [(1, 2.0), (1, 4.0)], "doc_id long, weight double")
+    wide, narrow = (mixing.mix_sources(docs, quality=quality, buckets=b, sorted_rows=n).collect() for b, n in ((1024, 10**6), (4, 5)))
+    count = lambda got: sorted((r["id"] is not None, r["id"] or 0, r["text_hash"], r["source"], r["taken"]) for r in got)
+    assert len(wide) == 2000 and count(wide) == count(narrow)
+    for s in "ab":
+        own = [r for r in wide if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    mixed = mixing.mixed_rows(docs, quality=quality)
+    assert sorted(mixed.groupBy("source").agg(F.sum(mixing.text_size(F.col("text"))).alias("n")).collect()) == sorted((s, sum(r["taken"] for r in wide if r["source"] == s)) for s in "ab")
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 60_000, 500_000))
+    table = spark.createDataFrame([(1, long, "a"), (2, long + " MIT License", "a"), (3, "short", "b")], "doc_id long, text string, source string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(long) > 3_000_000
+    media_rows = by_id(media.fingerprint_media(table, keep_media=False))
+    assert media_rows[1]["payload_sha256"] == hashlib.sha256(long.encode() + bytes(-len(long) % 64)).hexdigest() and media_rows[1]["n_frames"] > 4096
+    assert {r["id"]: r["component_id"] for r in neardup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3}
+    scanned = by_id(license_scan.scan_licenses(table))
+    assert scanned[2]["n_words"] == 500_002 and [s["word"] for s in scanned[2]["spans"]] == [500_000]
+    bench = spark.createDataFrame([(7, " ".join(long.split()[499_980:499_995]))], "item_id long, text string")
+    assert {i: r["n_hit"] for i, r in by_id(decontaminate.contamination(table, bench)).items()} == {1: 15, 2: 15, 3: 0}
+    assert importance.resample(table, spark.createDataFrame([(3, 1)], "doc_id long, quality int")).count() == 3
+    assert sum(r["size"] for r in mixing.mix_sources(table).collect()) == 1_000_003
+    assert piece_count.count_pieces(table, piece_count.default_model()).where("n_pieces > 500000").count() == 2
+    lines = spark.createDataFrame([(1, None, long.replace(" w1", "\nw1"))], "conv_id long, turn long, text string")
+    model = transcripts.RoleModel(np.log(np.full((transcripts.START + 1, transcripts.START), 1 / 6)), np.log(np.full((transcripts.START, len(transcripts.CLASSES), transcripts.SHAPES), 0.1)))
+    assert transcripts.parse_transcripts(lines, model).agg(F.sum("n_lines")).first()[0] == long.count(" w1") + 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_targets_share_out_what_full_sources_leave(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1), ("c", 1), (None, 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
