@@ -18,7 +18,7 @@ linked, but not quite, don't meet pair by pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -188,11 +188,12 @@ def _pairs_of_few(listed: DataFrame, on: list[str], where: str = "true") -> Data
     return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
-def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT) -> DataFrame:
-    """(a, b): candidates among the members of frames (frame, rep, component, n, delta, often), no link between components left out.
+def frame_pairs(frames: DataFrame, percent: int, folder: str, relabel: Callable[[DataFrame, str], DataFrame], short: int = SHORT) -> DataFrame:
+    """(a, b): candidates among the members of frames (frame, rep, n, delta, often), no link between components left out.
 
-    n is the size of a member's set, delta its differences from the frame's centre, often a bound on the frame's members.
-    With y = (100 + percent) * size(delta) - (100 - percent) * n, two members are linked just if their deltas share
+    n is the size of a member's set, delta its differences from the frame's centre, often a bound on the frame's members;
+    relabel(links, name) takes links (a, b) into account and gives (rep, component) after them. With
+    y = (100 + percent) * size(delta) - (100 - percent) * n, two members are linked just if their deltas share
     (y_a + y_b) / (2 * (100 + percent)) differences or more: none if y_a + y_b <= 0, and then the member with the least y
     is linked to both of them. All of its component are one side; only far members, those outside, are to be compared.
     """
@@ -207,19 +208,21 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT
         moved = dealt_join(frames, rows.join(usual, "frame", "left").select("frame", "often", "usual"), ["frame"])
         moved = moved.withColumn("delta", F.when(F.col("usual").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "usual"), F.array_except("usual", "delta")))).drop("usual")
         moved = written(moved.withColumn("y", whole * F.size("delta") - (100 - percent) * F.col("n")), f"{at}-moved")
-        nearest = moved.groupBy("frame").agg(F.min(F.struct("y", "rep", "component")).alias("x"), F.max("often").alias("often"))
-        moved = dealt_join(moved, nearest, ["frame"])
-        near = F.expr("y + x.y <= 0")
-        found.append(written(moved.where(near & F.expr("component <> x.component")).select(F.col("x.rep").alias("a"), F.col("rep").alias("b")), f"{at}-near"))
-
-        moved = moved.withColumn("component", F.when(near, F.col("x.component")).otherwise(F.col("component"))).withColumn("far", F.expr("component <> x.component"))
-        outside = moved.where("far").groupBy("frame").agg(F.min("y").alias("far_y"), F.max("often").alias("often"))
-        outside = rows.select("frame", "often").join(outside.drop("often"), "frame")
-        moved = written(dealt_join(moved, outside, ["frame"]), f"{at}-open")
+        nearest = written(moved.groupBy("frame").agg(F.min(F.struct("y", "rep")).alias("x"), F.max("often").alias("often")), f"{at}-nearest")
+        near = dealt_join(moved.select("frame", "rep", "y", "often"), nearest, ["frame"]).where("y + x.y <= 0 AND rep <> x.rep")
+        component = relabel(near.select(F.col("x.rep").alias("a"), F.col("rep").alias("b")), f"near{step}")
+
+        centres = nearest.join(component.select(F.col("rep").alias("_r"), F.col("component").alias("main")), F.col("x.rep") == F.col("_r")).drop("_r")
+        moved = dealt_join(moved.join(component, "rep"), centres, ["frame"]).withColumn("far", F.expr("component <> main"))
+        outside = moved.where("far").groupBy("frame").agg(F.min("y").alias("far_y"))
+        moved = written(dealt_join(moved, rows.select("frame", "often").join(outside, "frame"), ["frame"]), f"{at}-open")
         kept = F.size("delta") - F.greatest(F.lit(1).cast("bigint"), -F.floor(-(F.col("y") + F.when(F.col("far"), F.col("x.y")).otherwise(F.col("far_y"))) / (2 * whole))) + 1
-        rarity = counts.select("frame", "gram", F.when(F.expr("2 * k > members"), F.expr("members - k")).otherwise(F.col("k")).alias("often")).where("often > 1")
+        open_ = moved.select("frame", "rep", "component", "far", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), "delta").where("kept > 0")
+        # only what a far member differs in, too, can be shared with one; all else stands first in the order, with what nobody shares
+        told = open_.where("far").select("frame", F.explode("delta").alias("gram")).distinct()
+        rarity = counts.join(told, ["frame", "gram"], "left_semi").select("frame", "gram", F.when(F.expr("2 * k > members"), F.expr("members - k")).otherwise(F.col("k")).alias("often")).where("often > 1")
         spread = 8  # one frame's difference may be in half of its members
-        grams = moved.select("frame", "rep", "component", "far", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), F.pmod(F.xxhash64("rep"), F.lit(spread)).alias("part"), F.explode("delta").alias("gram")).where("kept > 0")
+        grams = open_.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(spread))).select(*(c for c in open_.columns if c != "delta"), "part", F.explode("delta").alias("gram"))
         known = grams.join(rarity.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))), ["frame", "gram", "part"]).drop("part")
         by_rep = Window.partitionBy("frame", "rep")
         place = F.row_number().over(by_rep.orderBy("often", "gram")) + F.col("size") - F.count("*").over(by_rep)
@@ -229,8 +232,8 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, short: int = SHORT
         enough = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND 2 * {whole} * (1 + least(size_a - place_a, size_b - place_b)) >= y_a + y_b"
         found.append(written(_pairs_of_few(tagged.where("short").drop("short"), ["frame", "gram"], enough), f"{at}-pairs"))
 
-        again = tagged.where("NOT short").select("frame", "rep", F.xxhash64("frame", "gram").alias("inner"), F.col("often").alias("inner_often"))
-        frames = written(moved.select("frame", "rep", "component", "n", "delta").join(again, ["frame", "rep"]).select(F.col("inner").alias("frame"), "rep", "component", "n", "delta", F.col("inner_often").alias("often")), f"{at}-inner")
+        again = tagged.where("NOT short").select("frame", "rep", F.concat_ws("/", "frame", F.hex("gram")).alias("inner"), F.col("often").alias("inner_often"))
+        frames = written(moved.select("frame", "rep", "n", "delta").join(again, ["frame", "rep"]).select(F.col("inner").alias("frame"), "rep", "n", "delta", F.col("inner_often").alias("often")), f"{at}-inner")
         step += 1
     out = frames.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
     for more in found:
@@ -314,11 +317,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = lambda c: nodes.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         near = near.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed).select("a", "b")
     # lists of the same documents have the same leader as a rule, so that a node is in few frames
-    framed = tagged.where(f"n_far > {SHORT}").groupBy(F.col("leader").alias("frame"), "rep").agg(F.max("often").alias("often"), F.first("component").alias("component"))
+    framed = tagged.where(f"n_far > {SHORT}").groupBy(F.col("leader").alias("frame"), "rep").agg(F.max("often").alias("often"))
     centres = framed.groupBy("frame").agg(F.max("often").alias("often")).join(sets.select(F.col("rep").alias("frame"), F.col("grams").alias("centre")), "frame")
     placed = dealt_join(framed.join(sets, "rep"), centres, ["frame"])
-    frames = written(placed.select("frame", "rep", "component", "n", F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams")).alias("delta"), "often"), f"{folder}/frames")
-    met = near.union(frame_pairs(frames, percent, f"{folder}/frame")).distinct()
+    frames = written(placed.select(F.col("frame").cast("string").alias("frame"), "rep", "n", F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams")).alias("delta"), "often"), f"{folder}/frames")
+
+    def relabel(links: DataFrame, at: str) -> DataFrame:
+        nonlocal component
+        links = written(links.distinct(), f"{folder}/{at}-links")
+        if not links.isEmpty():
+            component = merged(links, at)
+        return component
+
+    met = near.union(frame_pairs(frames, percent, f"{folder}/frame", relabel)).distinct()
     links = written(confirmed(met), f"{folder}/last-links")
     if not links.isEmpty():
         component = merged(links, "last")

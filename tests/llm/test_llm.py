@@ -192,10 +192,16 @@ def test_frames_in_frames_lose_no_link(spark, tmp_path):
     sets = []
     for i in range(240):  # long lists of differences: groups within groups
         own = set(range(200)) - set(range(10 * (i % 3), 10 * (i % 3) + 10)) - set(rng.sample(range(40, 60), 6)) | {1000 + 10 * (i % 5) + k for k in range(6)} | {5000 + i}
-        sets.append((1, i, i, len(own), sorted(own ^ set(range(200))), 240))
-    frames = spark.createDataFrame(sets, "frame long, rep long, component long, n long, delta array<long>, often long")
-    met = {(r["a"], r["b"]) for r in neardup.frame_pairs(frames, 85, f"file://{tmp_path}/f", short=2).collect()}
-    full = [set(range(200)) ^ set(x[4]) for x in sets]
+        sets.append(("1", i, len(own), sorted(own ^ set(range(200))), 240))
+    frames = spark.createDataFrame(sets, "frame string, rep long, n long, delta array<long>, often long")
+    near = []
+
+    def relabel(links, at):
+        near.extend((r["a"], r["b"]) for r in links.collect())
+        return frames.select("rep", F.col("rep").alias("component"))
+
+    met = {(r["a"], r["b"]) for r in neardup.frame_pairs(frames, 85, f"file://{tmp_path}/f", relabel, short=2).collect()} | set(near)
+    full = [set(range(200)) ^ set(x[3]) for x in sets]
     links = [(i, j) for i, j in itertools.combinations(range(240), 2) if 100 * len(full[i] & full[j]) >= 85 * len(full[i] | full[j])]
     root = list(range(240))
 
@@ -454,7 +460,7 @@ def test_toxicity_odd_cases(spark, docs, empty):
 
 
 def test_severity_is_the_formula(spark, docs):
-    weights = {"the": 0.7, "pub-": -0.4, "publ-": 1.1, "license": 0.3, "é": 2.0}
+    weights = {"the": 0.7, "publi-": -0.4, "publ-": 1.1, "license": 0.3, "é": 2.0}
     model = toxicity.OrdinalModel(weights, (-0.5, 1.0, 2.5))
     got = toxicity.score_toxicity(docs.withColumn("doc_id", F.col("doc_id").cast("int")), model)
     for r in got.join(docs.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "id").collect():
