@@ -170,9 +170,10 @@ def row_key(*parts: Column) -> Column:
 
 
 def log_transform(x: Column, skew: Column, low: Column) -> Column:
-    """log1p for skewed values that are never negative, asinh for other skewed ones."""
-    return F.when(F.abs(skew) > 1, F.when(low >= 0, F.log1p(F.greatest(x, F.lit(0.0)))).otherwise(F.asinh(x))).otherwise(x)
+    """log1p for values that are never negative and skewed by more than 1, asinh for others skewed by more than 1 either way; NULL stays NULL."""
+    return F.when(x.isNull(), x).when((skew > 1) & (low >= 0), F.log1p(F.greatest(x, F.lit(0.0)))).when(F.abs(skew) > 1, F.asinh(x)).otherwise(x)
 
 
 def winsorize(x: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(x, low), high)
+    """x held within low and high; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))

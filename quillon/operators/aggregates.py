@@ -123,3 +123,45 @@ def timing_features(segments: DataFrame, by: list[str], words: Column | None = N
     found = inside.groupBy(*by).agg(total.alias("total_duration"), F.coalesce(F.sum(F.when(speech, d)), F.lit(0.0)).alias("speech_duration"), F.coalesce(F.sum(p), F.lit(0.0)).alias("pause_duration"), F.count(p).alias("n_pauses"), F.count(s).alias("n_phrases"), F.avg(p).alias("mean_pause"), F.avg(s).alias("mean_phrase"), cv(p).alias("cv_pause"), cv(s).alias("cv_phrase"))
     found = found.withColumn("percent_pause", 100 * F.col("pause_duration") / F.when(F.col("total_duration") > 0, F.col("total_duration")))
     return found if words is None else found.withColumn("words_per_minute", 60 * words / F.when(F.col("total_duration") > 0, F.col("total_duration")))
+
+
+def feature_family_overview(long: DataFrame, registry: DataFrame) -> DataFrame:
+    """Features, numeric ones (all in a long table), mean missing share and median number of values of each family."""
+    per = long.groupBy("feature").agg((1 - F.count("value") / F.count("*")).alias("_m"), F.count("value").alias("_k"))
+    named = per.join(registry.select("feature", F.col("family")).dropDuplicates(["feature"]), "feature", "left").withColumn("family", F.coalesce("family", F.lit("unclassified")))
+    return named.groupBy("family").agg(F.count("*").alias("n_features"), F.count("*").alias("n_numeric_features"), F.avg("_m").alias("mean_missing_fraction"), F.get(quantiles("_k", [0.5]), F.lit(0)).alias("median_nonmissing"))
+
+
+def _warned() -> Column:
+    return (F.lower(F.coalesce("status", F.lit(""))) != "pass") | (F.trim(F.coalesce("warning", F.lit(""))) != "")
+
+
+def format_summary(files: DataFrame, by: list[str]) -> DataFrame:
+    """Files of each format and resolution: medians of rate and duration, frames and those with a warning; NULL formats are groups, too."""
+    size = F.coalesce(F.concat_ws(" x ", *[F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), F.col(c).cast("int").cast("string")) for c in ("width", "height")]), F.lit(""))
+    rows = files.withColumn("resolution", F.when(size == "", "unknown").otherwise(size))
+    return rows.groupBy(*by, "resolution").agg(F.count("*").alias("files"), F.get(quantiles("fps", [0.5]), F.lit(0)).alias("median_fps"), F.get(quantiles("duration_sec", [0.5]), F.lit(0)).alias("median_duration_sec"), F.coalesce(F.sum("n_frames"), F.lit(0)).alias("estimated_frames"), F.count_if(_warned()).alias("warnings"))
+
+
+def ingest_summary(files: DataFrame) -> DataFrame:
+    """One row: whether the files can be read (FAIL, REVIEW, PASS), their numbers, frames, rates and durations."""
+    ok = F.lower(F.coalesce("status", F.lit(""))) == "pass"
+    mid = lambda c: F.get(quantiles(c, [0.5]), F.lit(0))
+    found = files.agg(F.count("*").alias("n_videos"), F.count_if(ok).alias("readable_videos"), F.count_if(_warned()).alias("warning_videos"), F.count_if(~ok).alias("unreadable_videos"), F.coalesce(F.sum("n_frames"), F.lit(0)).alias("total_frames"), mid("fps").alias("median_fps"), F.min("fps").alias("min_fps"), F.max("fps").alias("max_fps"), mid("duration_sec").alias("median_duration_sec"), F.sum("duration_sec").alias("total_duration_sec"))
+    return found.withColumn("readiness", F.when(F.col("readable_videos") == 0, "FAIL").when(F.col("warning_videos") > 0, "REVIEW").otherwise("PASS"))
+
+
+def warning_rows(files: DataFrame) -> DataFrame:
+    """Files that aren't read as pass, or have a warning."""
+    return files.where(_warned())
+
+
+def feature_completion(status: DataFrame, by: list[str]) -> DataFrame:
+    """Selected and computed values of each file (by..., feature, status), and the share of the latter."""
+    done = F.count_if(F.col("status").isin("computed", "computed_proxy"))
+    return status.groupBy(*by).agg(F.count("feature").alias("selected_feature_values"), done.alias("computed_feature_values"), (done / F.when(F.count("feature") > 0, F.count("feature"))).alias("feature_completion_fraction"))
+
+
+def status_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows per status, family or label."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"))

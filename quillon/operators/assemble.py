@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import any_of
+from quillon.functions.shared import global_rank
 
 # Quality statuses that each policy lets through.
 POLICIES = {"pass_only": ("pass", "ok"), "pass_review": ("pass", "ok", "review", "monitor", "warning")}
@@ -101,8 +102,9 @@ def group_split(df: DataFrame, subject: str, share: float = 0.2, seed: str = "0"
     The cut is the k-th smallest md5, found over subjects, not rows. Rows without a subject go to train.
     """
     subjects = df.select(subject).where(F.col(subject).isNotNull()).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.col(subject).cast("string"))))
-    k = F.ceil(F.count("*").over(Window.partitionBy()) * F.lit(share))
-    test = subjects.withColumn("_k", k).withColumn("_n", F.row_number().over(Window.orderBy("_h", subject))).where("_n <= _k").select(subject, F.lit("test").alias("split"))
+    ranked = global_rank(subjects, [F.asc("_h"), F.asc(subject)], "_n")
+    size = ranked.agg(F.ceil(F.count("*") * F.lit(share)).alias("_k"))
+    test = ranked.join(F.broadcast(size)).where("_n <= _k").select(subject, F.lit("test").alias("split"))  # size is one row
     return df.join(test, subject, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 

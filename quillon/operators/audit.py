@@ -6,11 +6,12 @@ Registries are (feature, family, expected_low, expected_high), one row per featu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import missingness_band, qc_family_of, range_band, reason_list, worst_of
-from quillon.functions.stats import OUTLIER_Z, group_quantiles, quantiles, robust_z, spearman, spread
+from quillon.functions.scalars import log_transform, missingness_band, qc_family_of, range_band, reason_list, winsorize, worst_of
+from quillon.functions.shared import global_rank
+from quillon.functions.stats import OUTLIER_Z, adjusted_skewness, group_quantiles, quantiles, robust_z, spearman, spread
 
 
 def with_family(df: DataFrame, registry: DataFrame, feature: str = "feature", out: str = "family") -> DataFrame:
@@ -149,11 +150,13 @@ def distribution_shape(dist: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def quality_landscape(dist: DataFrame, registry: DataFrame) -> DataFrame:
-    """A score from 100 down by missingness, outliers and lack of variance, and its band."""
-    score = 100 - 70 * F.coalesce("missing_fraction", F.lit(0.0)) - F.least(125 * F.coalesce("robust_outlier_fraction", F.lit(0.0)), F.lit(25.0)) - F.when(F.col("zero_variance"), 40).when(F.col("near_zero_variance"), 30).otherwise(0)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
-    scored = dist.select("feature", "missing_fraction", "robust_outlier_fraction", score.alias("quality_score"))
-    return with_family(scored, registry).withColumn("quality_status", worst_of([(F.col("quality_score") < 50, "review"), (F.col("quality_score") < 75, "monitor")]))
+    """A score from 100 down, to one digit, by missing values, outliers, zero variance and fewer than 3 values; the status by conditions of its own."""
+    miss, out = F.col("missing_fraction"), F.col("robust_outlier_fraction")
+    c = _checks({"zero": F.col("zero_variance"), "few": F.col("n_valid") < 3, "miss": miss >= 0.5, "some_miss": miss >= 0.2, "out": out >= 0.2, "some_out": out >= 0.05})
+    penalty = F.least(70 * F.coalesce(miss, F.lit(0.0)), F.lit(70.0)) + F.least(125 * F.coalesce(out, F.lit(0.0)), F.lit(25.0)) + F.when(c["zero"], 40.0).otherwise(0.0) + F.when(c["few"], 30.0).otherwise(0.0)
+    scored = dist.withColumn("n_valid", F.coalesce("n", F.lit(0))).withColumn("quality_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - penalty)), 1))
+    status = worst_of([(c["zero"] | c["few"] | c["miss"] | c["out"], "review"), (c["some_miss"] | c["some_out"], "monitor")])
+    return with_family(scored.select("feature", "missing_fraction", "robust_outlier_fraction", "n_valid", "zero_variance", status.alias("quality_status"), "quality_score"), registry)
 
 
 def qc_catalog(qc_long: DataFrame) -> DataFrame:
@@ -216,11 +219,14 @@ def outlier_qc_association(flags: DataFrame, qc_long: DataFrame) -> DataFrame:
 
 def qc_integration_summary(qc_long: DataFrame, correlation: DataFrame, missing: DataFrame, outlier: DataFrame) -> DataFrame:
     """(metric, value) counts of associations at 0.30 and 0.50."""
-    families = qc_long.select("feature").distinct().select(qc_family_of(F.col("feature")).alias("f")).where("f <> 'unclassified'").agg(F.count_distinct("f").alias("artifact_families_detected"))
-    size = qc_long.agg(F.count_distinct("record_key").alias("qc_rows"), F.count_distinct("feature").alias("numeric_qc_metrics")).join(families)
-    strong = lambda df, limit, name: df.agg(F.count_if(F.abs(F.col("rho")) >= limit).alias(name))
-    row = size.join(strong(correlation, 0.3, "feature_qc_pairs_abs_rho_ge_0_30")).join(strong(correlation, 0.5, "feature_qc_pairs_abs_rho_ge_0_50")).join(strong(missing, 0.3, "missingness_qc_pairs_abs_rho_ge_0_30")).join(strong(outlier, 0.3, "row_outlier_qc_pairs_abs_rho_ge_0_30"))
-    return row.unpivot([], row.columns, "metric", "value")
+    families = qc_long.select("feature").distinct().withColumn("f", qc_family_of(F.col("feature"))).groupBy("f").agg(F.count("*").alias("n"))
+    known = families.agg(F.sum("n").alias("numeric_qc_metrics"), F.count_if(F.col("f") != "unclassified").alias("artifact_families_detected"))
+    size = qc_long.agg(F.count_distinct("record_key").alias("qc_rows"))
+    rows = [correlation.select("rho", F.lit("c").alias("of")), missing.select("rho", F.lit("m").alias("of")), outlier.select("rho", F.lit("o").alias("of"))]
+    strong = lambda of, limit: F.count_if((F.col("of") == of) & (F.abs(F.col("rho")) >= limit))
+    counts = rows[0].unionByName(rows[1]).unionByName(rows[2]).agg(strong("c", 0.3).alias("feature_qc_pairs_abs_rho_ge_0_30"), strong("c", 0.5).alias("feature_qc_pairs_abs_rho_ge_0_50"), strong("m", 0.3).alias("missingness_qc_pairs_abs_rho_ge_0_30"), strong("o", 0.3).alias("row_outlier_qc_pairs_abs_rho_ge_0_30"))
+    tall = [x.unpivot([], x.columns, "metric", "value") for x in (size, known, counts)]
+    return tall[0].unionByName(tall[1]).unionByName(tall[2])
 
 
 def reliability_screen(dist: DataFrame, correlation: DataFrame) -> DataFrame:
@@ -236,27 +242,85 @@ def reliability_screen(dist: DataFrame, correlation: DataFrame) -> DataFrame:
     return df.select("feature", label.alias("recommendation"), "missing_fraction", "robust_outlier_fraction", "zero_variance", F.col("qc").alias("max_abs_qc_spearman"), reason_list(reasons, "no major screening issue detected").alias("review_reason"))
 
 
-def qc_threshold_warnings(qc_long: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (record_key, qc_variable, value, limit, severity) that break a rule (qc_variable, direction, limit); severe at twice or half the limit."""
-    met = qc_long.withColumnRenamed("feature", "qc_variable").join(rules, "qc_variable")
-    high, v, lim = F.col("direction") == "high", F.col("value"), F.col("limit")
-    severe = F.when(high, v >= 2 * lim).otherwise(v <= lim / 2)
-    return met.where(F.when(high, v > lim).otherwise(v < lim)).select("record_key", "qc_variable", "value", "limit", F.when(severe, "severe").otherwise("moderate").alias("severity"))
+# Metrics whose values beyond a limit are reviewed.
+QC_RULES = (
+    ("additive_interference", "qadd_speech_pause_level_diff_db", "low", 10.0, "Low speech-pause level contrast; speech/pause separation may be noisy."),
+    ("additive_interference", "qadd_pause_hum50_ratio", "high", 0.05, "Elevated 50 Hz pause-region energy; possible line interference."),
+    ("additive_interference", "qadd_pause_hum60_ratio", "high", 0.05, "Elevated 60 Hz pause-region energy; possible line interference."),
+    ("gain_dynamics", "qgain_speech_rms_db_std", "high", 6.0, "High speech-level variability; possible gain instability or variable distance."),
+    ("reverberation_echo", "qrev_post_offset_tail_db_above_floor", "high", 6.0, "Post-offset speech tail above floor; possible reverberation/echo."),
+    ("nonlinear_distortion", "qdist_near_clipped_sample_fraction", "high", 0.01, "Near-clipped samples present in high-level speech frames."),
+    ("temporal_discontinuity", "qtemp_waveform_continuity_break_score", "high", 0.02, "Waveform continuity-break proxy elevated; possible dropout/glitch."),
+)
+# What a flagged family means for the features.
+QC_ADVICE = {
+    "additive_interference": "Inspect noise-sensitive spectral, phonatory, and low-energy timing features. Pause-derived measures may be contaminated.",
+    "gain_dynamics": "Use caution with amplitude/intensity and energy-envelope features; consider reporting gain instability alongside biomarkers.",
+    "reverberation_echo": "Use caution with pause duration, pause energy, timing boundaries, and rhythm/prosody features sensitive to speech tails.",
+    "channel_device": "Use caution comparing spectral/formant/channel-sensitive features across devices or microphones.",
+    "nonlinear_distortion": "Use caution with amplitude, CPP, spectral, and phonatory features; clipped files may need exclusion or sensitivity analysis.",
+    "temporal_discontinuity": "Use caution with temporal/rhythm and signal-continuity-sensitive features; inspect files with dropouts/glitches.",
+}
+NO_ADVICE = "Review affected files before interpreting downstream acoustic features."
+NOTHING_FOUND = "No QC warning thresholds were triggered. Continue feature extraction, but still inspect plots and metadata."
+
+
+def rules_table(df: DataFrame, rules: tuple[tuple, ...] = QC_RULES) -> DataFrame:
+    """(family, feature, direction, threshold, warning): one row per rule, in the session of df."""
+    return df.sparkSession.createDataFrame(list(rules), "family string, feature string, direction string, threshold double, warning string")
+
+
+def qc_threshold_warnings(qc_long: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One row per value over a high or under a low threshold; strong_review over twice, or under half of it."""
+    met = qc_long.join(F.broadcast(rules_table(qc_long) if rules is None else rules), "feature")  # a handful of rules
+    high, v, limit = F.col("direction") == "high", F.col("value"), F.col("threshold")
+    strong = F.when(high, v > 2 * limit).otherwise(v < F.greatest(F.lit(0.0), limit / 2))
+    return met.where(F.when(high, v > limit).otherwise(v < limit)).select("record_key", "family", "feature", "value", "threshold", "direction", "warning", F.when(strong, "strong_review").otherwise("review").alias("severity"))
+
+
+def qc_recommendations(warnings: DataFrame, records: DataFrame) -> DataFrame:
+    """Records flagged per family, their share and advice; one row `overall` where nothing was flagged, none without records."""
+    n = records.agg(F.count("*").alias("n"))
+    per = warnings.groupBy("family").agg(F.count_distinct("record_key").alias("n_records_flagged"))
+    advice = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in QC_ADVICE.items() for x in kv]), F.col("family")), F.lit(NO_ADVICE))
+    some = per.join(F.broadcast(n)).where("n > 0").select("family", "n_records_flagged", (F.col("n_records_flagged") / F.col("n")).alias("fraction_records_flagged"), advice.alias("recommendation"))  # n is one row
+    none = n.join(F.broadcast(warnings.agg(F.count("*").alias("w")))).where("n > 0 AND w = 0")
+    return some.unionByName(none.select(F.lit("overall").alias("family"), F.lit(0).cast("bigint").alias("n_records_flagged"), F.lit(0.0).alias("fraction_records_flagged"), F.lit(NOTHING_FOUND).alias("recommendation")))
+
+
+def qc_review_level(warnings: DataFrame, records: DataFrame) -> DataFrame:
+    """Warnings, their families and the level of every record, those without any as well."""
+    found = warnings.groupBy("record_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ";").alias("f"))
+    n = F.coalesce("n", F.lit(0))
+    return records.select("record_key").join(found, "record_key", "left").select("record_key", n.alias("n_warnings"), F.coalesce("f", F.lit("")).alias("families"), worst_of([(n >= 2, "review"), (n == 1, "minor_review")], "no_threshold_warning").alias("review_level"))
+
+
+def transform_skewed(long: DataFrame) -> DataFrame:
+    """long with `value` transformed where its feature is skewed, cut at its 1st and 99th percentile, and scaled to median and IQR.
+
+    Features whose IQR is 1e-12 or less aren't scaled: their values are NULL.
+    """
+    shape = long.where("value IS NOT NULL").groupBy("feature").agg(adjusted_skewness("value").alias("skew"), F.min("value").alias("low"))
+    moved = long.join(shape, "feature").withColumn("value", log_transform(F.col("value"), F.coalesce("skew", F.lit(0.0)), F.col("low"))).select("record_key", "feature", "value")
+    limits = group_quantiles(moved, ["feature"], "value", [0.01, 0.99]).withColumnRenamed("q", "limits")
+    held = moved.join(limits, "feature").withColumn("value", winsorize(F.col("value"), F.col("limits")[0], F.col("limits")[1])).drop("limits")
+    middle = group_quantiles(held, ["feature"], "value", [0.25, 0.5, 0.75])
+    iqr = F.col("q")[2] - F.col("q")[0]
+    return held.join(middle, "feature").select("record_key", "feature", ((F.col("value") - F.col("q")[1]) / F.when(iqr > 1e-12, iqr)).alias("value"))
 
 
-def qc_recommendations(warnings: DataFrame, n_records: DataFrame) -> DataFrame:
-    """Share of records flagged per family; n_records has one row (n)."""
-    found = warnings.groupBy(qc_family_of(F.col("qc_variable")).alias("artifact_family")).agg(F.count_distinct("record_key").alias("n_flagged"))
-    return found.crossJoin(F.broadcast(n_records)).select("artifact_family", "n_flagged", (F.col("n_flagged") / F.col("n")).alias("flagged_fraction"))  # one row
+def qc_family_scores(scaled: DataFrame, families: DataFrame) -> DataFrame:
+    """(record_key, family, n_features, score): per record the median of a family's scaled metrics; families has (feature, family)."""
+    met = scaled.join(families, "feature")
+    return met.groupBy("record_key", "family").agg(F.count("value").alias("n_features"), F.get(quantiles("value", [0.5]), F.lit(0)).alias("score"))  # a handful of values
 
 
-def qc_review_level(warnings: DataFrame) -> DataFrame:
-    """Warnings, families and level of each record that has any."""
-    found = warnings.groupBy("record_key").agg(F.count("*").alias("n_warnings"), F.array_join(F.array_sort(F.collect_set(qc_family_of(F.col("qc_variable")))), "; ").alias("families"), F.max((F.col("severity") == "severe").cast("int")).alias("severe"))
-    return found.select("record_key", "n_warnings", "families", worst_of([((F.col("severe") == 1) | (F.col("n_warnings") >= 3), "review")], "monitor").alias("review_level"))
+def qc_burden(scores: DataFrame) -> DataFrame:
+    """(record_key, burden): the median size of a record's family scores."""
+    return scores.withColumn("_a", F.abs("score")).groupBy("record_key").agg(F.get(quantiles("_a", [0.5]), F.lit(0)).alias("burden"))
 
 
-def review_rank(burden: DataFrame) -> DataFrame:
-    """Records in order of review, by flags, then the highest score. Ranks all rows: the sort has one last task, so give it the flagged rows only."""
-    order = Window.orderBy(F.desc("total_qc_flags"), F.desc_nulls_last("max_abs_qc_z"), "record_key")
-    return burden.select("record_key", "total_qc_flags", "max_abs_qc_z", F.row_number().over(order).alias("review_rank"))
+def review_rank(levels: DataFrame, burden: DataFrame) -> DataFrame:
+    """All records in order of review: by warnings, then by burden, unknown burdens last, then by key."""
+    rows = levels.select("record_key", "n_warnings").join(burden, "record_key", "left")
+    return global_rank(rows, [F.desc("n_warnings"), F.desc_nulls_last("burden"), F.asc("record_key")], "review_rank")

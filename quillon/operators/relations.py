@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import reason_list, relation_band, stability_band, strength_band
-from quillon.functions.stats import average_ranks, quantiles, spearman
+from quillon.functions.shared import settled
+from quillon.functions.stats import average_ranks, group_quantiles, long_form, quantiles, spearman
 from quillon.operators.audit import with_family
 
 
@@ -36,22 +39,24 @@ def family_correlation(correlation: DataFrame, registry: DataFrame) -> DataFrame
     return found.groupBy("family_1", "family_2").agg(F.avg("abs_spearman").alias("mean_abs_spearman"), F.get(quantiles("abs_spearman", [0.5]), F.lit(0)).alias("median_abs_spearman"), F.count("*").alias("n_pairs")).withColumn("relationship_type", F.when(F.col("family_1") == F.col("family_2"), "within_family").otherwise("between_family"))
 
 
-def correlation_modules(correlation: DataFrame, registry: DataFrame, threshold: float = 0.70, max_steps: int = 50) -> DataFrame:
+def correlation_modules(correlation: DataFrame, registry: DataFrame, threshold: float = 0.70) -> DataFrame:
     """Connected blocks of features with |rho| at or over the threshold, largest first; the representative has most links.
 
-    Labels spread over the links of at most a few hundred features until none changes. The table is that small, whatever
-    the number of rows behind the correlations.
+    Labels spread over the links, and over the links of labels, until none changes; a chain of n features takes some
+    log2(n) steps. The table has a row per pair of features, whatever the number of rows behind the correlations.
     """
-    correlation = correlation.persist()  # one row per pair of features
+    correlation = settled(correlation)
     edges = correlation.where(F.col("abs_spearman") >= threshold).select("feature_1", "feature_2")
-    both = edges.union(edges.select("feature_2", "feature_1")).toDF("a", "b").persist()
-    labels = both.select(F.col("a").alias("feature")).distinct().withColumn("module", F.col("feature"))
-    for _ in range(max_steps):
+    both = settled(edges.union(edges.select("feature_2", "feature_1")).toDF("a", "b"))
+    labels = settled(both.select(F.col("a").alias("feature")).distinct().withColumn("module", F.col("feature")))
+    changed = True
+    while changed:
         near = both.join(labels.select(F.col("feature").alias("b"), "module"), "b").groupBy("a").agg(F.min("module").alias("low"))
-        moved = labels.join(near, F.col("feature") == F.col("a")).select("feature", F.least("module", "low").alias("module"), (F.col("low") < F.col("module")).alias("changed")).persist()
-        labels = moved.select("feature", "module")
-        if moved.where("changed").isEmpty():
-            break
+        lower = labels.join(near, F.col("feature") == F.col("a")).select("feature", "module", F.least("module", "low").alias("low"))
+        # a label takes over the label of the feature it names
+        jump = labels.select(F.col("feature").alias("low"), F.col("module").alias("lowest"))
+        moved = settled(lower.join(jump, "low").select("feature", F.least("low", "lowest").alias("module"), (F.least("low", "lowest") < F.col("module")).alias("changed")))
+        labels, changed = moved.select("feature", "module"), not moved.where("changed").isEmpty()
     degree = both.groupBy(F.col("a").alias("feature")).agg(F.count("*").alias("links"))
     inside = correlation.join(labels.toDF("feature_1", "m1"), "feature_1").join(labels.toDF("feature_2", "m2"), "feature_2").where("m1 = m2").groupBy(F.col("m1").alias("module")).agg(F.avg("abs_spearman").alias("mean_abs_spearman"), F.max("abs_spearman").alias("max_abs_spearman"))
     members = with_family(labels.join(degree, "feature"), registry).groupBy("module").agg(F.count("*").alias("n_features"), F.min(F.struct((-F.col("links")).alias("links"), "feature")).getField("feature").alias("representative_feature"), F.array_join(F.array_sort(F.collect_set("family")), "; ").alias("families"), F.array_join(F.array_sort(F.collect_set("feature")), "; ").alias("features"))
@@ -59,9 +64,14 @@ def correlation_modules(correlation: DataFrame, registry: DataFrame, threshold:
     return members.join(inside, "module").withColumn("module_id", F.format_string("M%02d", number)).drop("module")
 
 
-def relationship_summary(correlation: DataFrame, modules: DataFrame) -> DataFrame:
-    row = correlation.agg(F.count("*").alias("feature_pairs"), *[F.count_if(F.col("abs_spearman") >= t).alias(f"pairs_abs_rho_ge_{t:.2f}".replace(".", "_")) for t in (0.6, 0.8, 0.9)]).join(modules.agg(F.count("*").alias("modules")))
-    return row.unpivot([], row.columns, "metric", "value")
+def relationship_summary(correlation: DataFrame, modules: DataFrame, variance: DataFrame | None = None) -> DataFrame:
+    """(metric, value): pairs by strength, modules and, from pca()'s variance table, percent of the first and the first three components."""
+    pairs = correlation.agg(F.count("*").alias("feature_pairs_evaluated"), *[F.count_if(F.col("abs_spearman") >= t).alias(f"{name}pairs_abs_rho_ge_{t:.2f}".replace(".", "_")) for name, t in (("", 0.6), ("redundant_", 0.8), ("near_duplicate_", 0.9))])
+    parts = [pairs, modules.agg(F.count("*").alias("correlation_modules_abs_rho_ge_0_70"))]
+    if variance is not None:
+        parts.append(variance.agg(F.round(100 * F.max(F.when(F.col("component") == 1, F.col("explained"))), 2).alias("pc1_variance_percent"), F.round(100 * F.sum(F.when(F.col("component") <= 3, F.col("explained"))), 2).alias("pc1_pc3_cumulative_percent")))
+    rows = [p.select(*[F.col(c).cast("double").alias(c) for c in p.columns]).unpivot([], p.columns, "metric", "value") for p in parts]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def continuous_screen(long: DataFrame, outcomes_long: DataFrame) -> DataFrame:
@@ -147,17 +157,30 @@ def recommendations(dist: DataFrame, shape: DataFrame, qc_correlation: DataFrame
     )
     df = with_family(df, registry).withColumn("reliability_status", F.coalesce("reliability_status", F.lit("not_evaluable")))
     miss, out, qc, red, status, shape_ = (F.col(c) for c in ("missing_fraction", "robust_outlier_fraction", "qc", "red", "reliability_status", "shape_priority"))
+    # Conditions, points, reasons and actions.
     rules = [
-        (F.col("n") < 10, 30, "very small valid n"), (F.col("zero_variance"), 55, "zero variance"), (F.col("near_zero_variance") & ~F.col("zero_variance"), 20, "near-zero variance"),
-        (miss >= 0.8, 45, "extreme missingness"), ((miss >= 0.5) & (miss < 0.8), 30, "high missingness"), ((miss >= 0.2) & (miss < 0.5), 12, "moderate missingness"),
-        (out >= 0.2, 20, "high robust outlier burden"), ((out >= 0.08) & (out < 0.2), 8, "moderate outlier burden"),
-        (shape_ == "review", 18, "distribution shape review"), (shape_ == "monitor", 8, "distribution shape monitor"),
-        (qc >= 0.7, 30, "strong QC association"), ((qc >= 0.5) & (qc < 0.7), 18, "moderate QC association"), ((qc >= 0.3) & (qc < 0.5), 7, "weak/moderate QC association"),
-        (red >= 0.9, 10, "near-duplicate redundancy"), ((red >= 0.8) & (red < 0.9), 5, "strong redundancy"),
-        (status == "unstable", 18, "unstable repeatability"), (status == "variable", 10, "variable repeatability"), (status == "not_evaluable", 4, "repeatability not evaluable"),
+        (F.col("n") < 10, 30, "very small valid n", "insufficient data; review support before export"),
+        (F.col("zero_variance"), 55, "zero variance", "exclude by default unless kept for audit only"),
+        (F.col("near_zero_variance") & ~F.col("zero_variance"), 20, "near-zero variance", "monitor; weak information in this dataset"),
+        (miss >= 0.8, 45, "extreme missingness", "exclude/recompute unless scientifically required"),
+        ((miss >= 0.5) & (miss < 0.8), 30, "high missingness", "review missing-data mechanism"),
+        ((miss >= 0.2) & (miss < 0.5), 12, "moderate missingness", "retain with missingness sensitivity checks"),
+        (out >= 0.2, 20, "high robust outlier burden", "inspect extreme rows and QC"),
+        ((out >= 0.08) & (out < 0.2), 8, "moderate outlier burden", "monitor distribution tails"),
+        (shape_ == "review", 18, "distribution shape review", None),
+        (shape_ == "monitor", 8, "distribution shape monitor", None),
+        (qc >= 0.7, 30, "strong QC association", "do not interpret without QC sensitivity/covariate analysis"),
+        ((qc >= 0.5) & (qc < 0.7), 18, "moderate QC association", "export with QC caution"),
+        ((qc >= 0.3) & (qc < 0.5), 7, "weak/moderate QC association", None),
+        (red >= 0.9, 10, "near-duplicate redundancy", "consider one representative per redundant block in ML"),
+        ((red >= 0.8) & (red < 0.9), 5, "strong redundancy", None),
+        (status == "unstable", 18, "unstable repeatability", "avoid longitudinal interpretation without reliability sensitivity"),
+        (status == "variable", 10, "variable repeatability", "avoid longitudinal interpretation without reliability sensitivity"),
+        (status == "not_evaluable", 4, "repeatability not evaluable", None),
     ]
-    rules = [(F.coalesce(c, F.lit(False)), p, why) for c, p, why in rules]
-    score = F.greatest(F.lit(0), F.least(F.lit(100), sum((-F.when(c, p).otherwise(0) for c, p, _ in rules), F.lit(100))))
+    no_action = "eligible for downstream ML export after standard leakage-safe preprocessing"
+    rules = [(F.coalesce(c, F.lit(False)), p, why, do) for c, p, why, do in rules]
+    score = F.greatest(F.lit(0), F.least(F.lit(100), sum((-F.when(c, p).otherwise(0) for c, p, _, _ in rules), F.lit(100))))
     never = F.col("zero_variance") | (F.col("n") < 5) | F.coalesce(miss >= 0.8, F.lit(False))
     s = F.col("readiness_score")
     label = F.when(never, "exclude_by_default").when(s >= 80, "recommended").when(s >= 60, "recommended_with_caution").when(s >= 40, "review_before_use").otherwise("exclude_or_recompute")
@@ -165,8 +188,9 @@ def recommendations(dist: DataFrame, shape: DataFrame, qc_correlation: DataFrame
         df.withColumn("readiness_score", score)
         .withColumn("readiness_recommendation", label)
         .withColumn("ml_export_default", F.col("readiness_recommendation").isin("recommended", "recommended_with_caution"))
-        .withColumn("primary_reasons", reason_list([(c, why) for c, _, why in rules], "no major review flags detected"))
-        .select("feature", "family", "readiness_recommendation", "readiness_score", "primary_reasons", "ml_export_default", "missing_fraction", "robust_outlier_fraction", F.col("qc").alias("max_abs_qc_spearman"), F.col("red").alias("max_abs_redundancy"), F.coalesce("redundant_pair_count", F.lit(0)).alias("redundant_pair_count"), "icc1_proxy", "reliability_status", "max_screening_effect", "shape_priority")
+        .withColumn("primary_reasons", reason_list([(c, why) for c, _, why, _ in rules], "no major review flags detected"))
+        .withColumn("recommended_action", reason_list([(c, do) for c, _, _, do in rules if do], no_action))
+        .select("feature", "family", "readiness_recommendation", "readiness_score", "primary_reasons", "recommended_action", "ml_export_default", "missing_fraction", "robust_outlier_fraction", F.col("qc").alias("max_abs_qc_spearman"), F.col("red").alias("max_abs_redundancy"), F.coalesce("redundant_pair_count", F.lit(0)).alias("redundant_pair_count"), "icc1_proxy", "reliability_status", "max_screening_effect", "shape_priority")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import db
 from quillon.functions.stats import quantiles
-
+from quillon.operators.windows import label_in
 
 
 def frame_rms_db(samples: DataFrame, by: list[str], at: str, value: str, frame: int, rate: float) -> DataFrame:
@@ -39,10 +39,15 @@ def gain_qc(frames: DataFrame, by: list[str], level: str) -> DataFrame:
     return found.select(*by, q[1].alias("level_median"), "level_sd", (q[2] - q[0]).alias("level_iqr"), q[3].alias("level_p95"), q[4].alias("level_p99"), (q[4] - q[1]).alias("crest"))
 
 
-def intensity_cv(frames: DataFrame, by: list[str], level: str) -> DataFrame:
-    """Sample SD of the level over its mean's size."""
-    mean = F.abs(F.avg(level))
-    return frames.groupBy(*by).agg((F.stddev_samp(level) / F.when(mean > 0, mean)).alias("intensity_cv"))
+#: Fixed value: the pressure, in pascal, that sound levels are told against.
+REFERENCE_PRESSURE = 20e-6
+
+
+def intensity_cv(frames: DataFrame, by: list[str], rms: str = "rms") -> DataFrame:
+    """Sample SD over the size of the mean of the sound level, in dB re 20 uPa, of frames with energy; NULL for fewer than two."""
+    level = 20 * F.log10(F.greatest(F.col(rms), F.lit(1e-12)) / REFERENCE_PRESSURE)
+    found = frames.withColumn("_l", F.when(F.col(rms) > 0, level)).groupBy(*by).agg(F.avg("_l").alias("_m"), F.stddev_samp("_l").alias("_s"))
+    return found.select(*by, (F.col("_s") / F.when(F.abs("_m") >= 1e-12, F.abs("_m"))).alias("intensity_cv"))
 
 
 def valid_energy_frames(frames: DataFrame, by: list[str], rms: str = "rms", share: float = 0.2, of_median: float = 0.1) -> DataFrame:
@@ -63,7 +68,7 @@ def movement_windows(frames: DataFrame, extrema: DataFrame, by: list[str], at: s
     kind = F.when((F.col("kind") == "trough") & (F.col("_next") == "peak"), "open").when((F.col("kind") == "peak") & (F.col("_next") == "trough"), "close")
     moves = ends.withColumn("movement_kind", kind).where(f"movement_kind IS NOT NULL AND _to - _from + 1 >= {min_frames}")
     moves = moves.select(*by, F.row_number().over(w).alias("movement_id"), "movement_kind", "_from", "_to")
-    inside = frames.select(*by, at).join(moves, by).where((F.col(at) >= F.col("_from")) & (F.col(at) <= F.col("_to")))
+    inside = label_in(frames.select(*by, at), moves, by, F.col(at), "_from", "_to", 64.0)
     own = inside.groupBy(*by, at).agg(F.max(F.struct("movement_id", "movement_kind")).alias("_m"))
     any_ = moves.select(*by, F.lit(True).alias("_has")).distinct()
     tagged = frames.join(own, [*by, at], "left").join(any_, by, "left")
@@ -88,12 +93,14 @@ def path_rom(moved: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
 
 
 def band_ratio(spectrum: DataFrame, by: list[str], frequency: str, power: str, low: float, high: float) -> DataFrame:
-    """The share of power between two frequencies, by trapezoids of successive bins inside the band."""
+    """The share of power from `low` up to but without `high`, by trapezoids of successive bins inside; NULL for a band without bins."""
     w = Window.partitionBy(*by).orderBy(frequency)
     area = (F.col(power) + F.lag(power).over(w)) / 2 * (F.col(frequency) - F.lag(frequency).over(w))
-    inside = F.col(frequency).between(low, high) & F.lag(frequency).over(w).between(low, high)
-    found = spectrum.withColumn("_a", area).withColumn("_in", F.when(inside, area)).groupBy(*by).agg(F.coalesce(F.sum("_in"), F.lit(0.0)).alias("band"), F.sum("_a").alias("all"))
-    return found.select(*by, (F.col("band") / F.when(F.col("all") > 0, F.col("all"))).alias("band_ratio"))
+    within = lambda f: (f >= low) & (f < high)
+    inside = within(F.col(frequency)) & F.coalesce(within(F.lag(frequency).over(w)), F.lit(False))
+    rows = spectrum.where(F.col(power).isNotNull()).withColumn("_a", area).withColumn("_in", F.when(inside, area))
+    found = rows.groupBy(*by).agg(F.coalesce(F.sum("_in"), F.lit(0.0)).alias("band"), F.sum("_a").alias("all"), F.count_if(within(F.col(frequency))).alias("bins"))
+    return found.select(*by, F.when(F.col("bins") > 0, F.col("band") / F.when(F.col("all") > 0, F.col("all"))).alias("band_ratio"))
 
 
 def spectral_shape(spectrum: DataFrame, by: list[str], frequency: str, power: str) -> DataFrame:

@@ -6,6 +6,8 @@ one sort within a task, as windows need; recordings share nothing, so tables of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,12 +100,12 @@ def scale_jumps(df: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
 
 
 def energy_jumps(df: DataFrame, by: list[str], at: str, value: str, flag: str, limit: float = 18.0) -> DataFrame:
-    """Count and share of changes of at least `limit` between two successive flagged samples."""
+    """Count of changes of at least `limit` between two successive flagged samples, and its share of all successive pairs, 0 without flagged ones."""
     w = _before(by, at)
     both = F.col(flag) & F.lag(flag).over(w) & F.col(value).isNotNull() & F.lag(value).over(w).isNotNull()
     jumped = df.withColumn("_both", F.coalesce(both, F.lit(False))).withColumn("_jump", F.coalesce(F.abs(F.col(value) - F.lag(value).over(w)) >= limit, F.lit(False)))
-    found = jumped.groupBy(*by).agg(F.count_if("_both").alias("_n"), F.count_if(F.col("_both") & F.col("_jump")).alias("n_jumps"))
-    return found.select(*by, "n_jumps", (F.col("n_jumps") / F.when(F.col("_n") > 0, F.col("_n"))).alias("jump_fraction"))
+    found = jumped.groupBy(*by).agg(F.count("*").alias("_all"), F.count_if("_both").alias("_n"), F.count_if(F.col("_both") & F.col("_jump")).alias("n_jumps"))
+    return found.select(*by, "n_jumps", F.when((F.col("_n") > 0) & (F.col("_all") > 1), F.col("n_jumps") / F.nullif(F.col("_all") - 1, F.lit(0))).otherwise(0.0).alias("jump_fraction"))
 
 
 def start_end_diff(df: DataFrame, by: list[str], at: str, value: str, share: float = 0.10) -> DataFrame:
@@ -159,8 +161,17 @@ def visit_order(df: DataFrame, by: list[str], date: str, tie: str) -> DataFrame:
 def baseline_change(df: DataFrame, by: list[str], order: list[str], value: str, scale_by: list[str]) -> DataFrame:
     """value less the first known one among rows equal in `by`, over the sample SD of the value among rows equal in scale_by."""
     first = F.first(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    sd = F.stddev_samp(value).over(Window.partitionBy(*scale_by))
-    return df.withColumn("change", F.col(value) - first).withColumn("standardized_change", F.col("change") / F.when(sd > 0, sd))
+    sds = df.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(scale_by)]).agg(F.stddev_samp(value).alias("_sd"))
+    met = df.withColumn("change", F.col(value) - first).join(sds, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(scale_by)]), "left")
+    return met.withColumn("standardized_change", F.col("change") / F.when(F.col("_sd") > 0, F.col("_sd"))).drop("_sd", *[f"_g{k}" for k in range(len(scale_by))])
+
+
+def manual_qc_change(df: DataFrame, by: list[str], order: list[str], answer: str) -> DataFrame:
+    """flag, 1 for yes and 0 for no in any spelling, NULL for other answers, and its change from the first known one among rows equal in `by`."""
+    said = F.lower(F.trim(F.col(answer).cast("string")))
+    rows = df.withColumn("flag", F.when(said.isin("true", "1", "yes", "y"), 1.0).when(said.isin("false", "0", "no", "n"), 0.0))
+    first = F.first("flag", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("change", F.col("flag") - first)
 
 
 def sigma_clip(df: DataFrame, by: list[str], value: str, limits: tuple[float, ...] = (5.0, 3.0), ddof: int = 0) -> DataFrame:
@@ -181,7 +192,7 @@ def estimate_fps(df: DataFrame, by: list[str], at: str, time: str, default: floa
 
 
 def label_in(events: DataFrame, intervals: DataFrame, by: list[str], at: Column, start: str, end: str, width: float = 10.0) -> DataFrame:
-    """events joined to the intervals [start, end) that hold `at`, met by recording and by buckets of `width`, so that a long recording is no nested loop."""
+    """events joined to the intervals that hold `at`, both ends included, met by recording and by buckets of `width`, so that a long recording is no nested loop."""
     cut = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     met = events.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / width)).join(cut, [*by, "_bucket"])
-    return met.where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(end))).drop("_bucket", "_at")
+    return met.where((F.col("_at") >= F.col(start)) & (F.col("_at") <= F.col(end))).drop("_bucket", "_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.shared import settled
 from quillon.functions.stats import long_form
 from quillon.operators import audit, relations
 from quillon.plans.views import FEATURES, QC_METRICS, oracle, view
@@ -19,12 +20,27 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[next((f(F.col(c)) for k, f in to.items() if t.startswith(k)), F.col(c)).alias(c) for c, t in df.dtypes])
 
 
+class Reader:
+    """Gives views and tables by name; `once` gives one that several parts of a query share, computed a single time."""
+
+    def __init__(self, spark, sf_dir: str):
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.kept[name] if name in self.kept else view(self.spark, self.sf_dir, name)
+
+    def once(self, name: str) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = settled(self(name))
+        return self.kept[name]
+
+
 def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a function (read) -> DataFrame, where read(name) gives a view or table."""
 
     def add(f):
         def run(spark, sf_dir):
-            return rounded(f(lambda v: view(spark, sf_dir, v)), digits)
+            return rounded(f(Reader(spark, sf_dir)), digits)
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run
@@ -35,12 +51,12 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     return add
 
 
-def features_long(read) -> DataFrame:
-    return long_form(read("recordings"), "record_key", FEATURES)
+def features_long(read, once: bool = False) -> DataFrame:
+    return long_form(read.once("recordings") if once else read("recordings"), "record_key", FEATURES)
 
 
-def qc_long(read) -> DataFrame:
-    return long_form(read("qc"), "record_key", QC_METRICS)
+def qc_long(read, once: bool = False) -> DataFrame:
+    return long_form(read.once("qc") if once else read("qc"), "record_key", QC_METRICS)
 
 
 def _unpivot(view_: str, keys: str, cols: list[str]) -> str:
@@ -122,8 +138,8 @@ def _(read):
 
 
 def _dist_expected(read):
-    long = features_long(read)
-    return audit.distribution_summary(long), audit.expected_range_flags(long, read("registry"))
+    long = features_long(read, True)
+    return settled(audit.distribution_summary(long)), audit.expected_range_flags(long, read("registry"))
 
 
 REVIEW = """v AS (SELECT d.feature, d.n, d.missing_fraction, d.robust_outlier_fraction, fraction_outside_expected, range_status, zero_variance, coalesce(missing_fraction >= 0.5, false) AS m2, coalesce(missing_fraction >= 0.2, false) AS m1, coalesce(robust_outlier_fraction >= 0.2, false) AS o2, coalesce(robust_outlier_fraction >= 0.05, false) AS o1 FROM d JOIN x USING (feature)),
@@ -152,8 +168,8 @@ def _(read):
     return audit.distribution_shape(*_dist_expected(read))
 
 
-@query("q14_quality_landscape", f"""WITH {LONG}, {DIST}, q AS (SELECT d.feature, missing_fraction, robust_outlier_fraction, {FAMILY} AS family, greatest(0e0, least(100e0, 100 - 70 * coalesce(missing_fraction, 0) - least(125 * coalesce(robust_outlier_fraction, 0), 25e0) - CASE WHEN zero_variance THEN 40 WHEN near_zero_variance THEN 30 ELSE 0 END)) AS quality_score FROM d LEFT JOIN registry g ON g.feature = d.feature)
-SELECT feature, {_R('missing_fraction', 'robust_outlier_fraction', 'quality_score')}, family, CASE WHEN quality_score < 50 THEN 'review' WHEN quality_score < 75 THEN 'monitor' ELSE 'ok' END AS quality_status FROM q""")
+@query("q14_quality_landscape", f"""WITH {LONG}, {DIST}, q AS (SELECT d.feature, missing_fraction, robust_outlier_fraction, n AS n_valid, zero_variance, {FAMILY} AS family, round(greatest(0e0, least(100e0, 100 - (least(70 * coalesce(missing_fraction, 0), 70e0) + least(125 * coalesce(robust_outlier_fraction, 0), 25e0) + CASE WHEN zero_variance THEN 40e0 ELSE 0e0 END + CASE WHEN n < 3 THEN 30e0 ELSE 0e0 END))), 1) AS quality_score FROM d LEFT JOIN registry g ON g.feature = d.feature)
+SELECT feature, {_R('missing_fraction', 'robust_outlier_fraction')}, n_valid, zero_variance, quality_score, family, CASE WHEN zero_variance OR n_valid < 3 OR coalesce(missing_fraction >= 0.5, false) OR coalesce(robust_outlier_fraction >= 0.2, false) THEN 'review' WHEN coalesce(missing_fraction >= 0.2, false) OR coalesce(robust_outlier_fraction >= 0.05, false) THEN 'monitor' ELSE 'ok' END AS quality_status FROM q""")
 def _(read):
     return audit.quality_landscape(audit.distribution_summary(features_long(read)), read("registry"))
 
@@ -193,13 +209,13 @@ FQ = _spearman_sql("SELECT f.feature, q.feature AS qc_variable, f.value AS x, q.
 
 @query("q19_feature_qc_correlation", f"WITH {LONG}, {QLONG}, {FQ} SELECT feature, qc_variable, n, round(rho, 6) AS rho FROM fq")
 def _(read):
-    return audit.feature_qc_correlation(features_long(read), qc_long(read))
+    return audit.feature_qc_correlation(features_long(read, True), qc_long(read, True))
 
 
 @query("q20_feature_qc_family", f"""WITH {LONG}, {QLONG}, {FQ}, a AS (SELECT *, abs(rho) AS a, {QFAM.format('qc_variable')} AS artifact_family FROM fq), b AS (SELECT feature, artifact_family, max(a) AS max_abs_spearman, quantile_cont(a, 0.5) AS median_abs_spearman, count(DISTINCT qc_variable) AS n_qc_metrics, (list(qc_variable ORDER BY a DESC, qc_variable))[1] AS strongest_qc_variable, (list(rho ORDER BY a DESC, qc_variable))[1] AS r FROM a GROUP BY ALL)
 SELECT feature, artifact_family, {_R('max_abs_spearman', 'median_abs_spearman')}, n_qc_metrics, strongest_qc_variable, CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'zero' END AS strongest_direction, CASE WHEN max_abs_spearman >= 0.5 THEN 'review' WHEN max_abs_spearman >= 0.3 THEN 'monitor' ELSE 'context' END AS review_priority FROM b""")
 def _(read):
-    return audit.feature_qc_family(audit.feature_qc_correlation(features_long(read), qc_long(read)))
+    return audit.feature_qc_family(audit.feature_qc_correlation(features_long(read, True), qc_long(read, True)))
 
 
 MQ = _spearman_sql("SELECT f.feature, q.feature AS qc_variable, (f.value IS NULL)::INT::DOUBLE AS x, q.value AS y FROM lf f JOIN qf q USING (record_key)", "feature, qc_variable", 8, out="mq")
@@ -208,26 +224,26 @@ OQ = _spearman_sql("SELECT q.feature AS qc_variable, coalesce(c, 0)::DOUBLE AS x
 
 @query("q21_missingness_qc_association", f"WITH {LONG}, {QLONG}, {MQ} SELECT feature, qc_variable, n, round(rho, 6) AS rho FROM mq")
 def _(read):
-    return audit.missingness_qc_association(features_long(read), qc_long(read))
+    return audit.missingness_qc_association(features_long(read, True), qc_long(read, True))
 
 
 @query("q22_outlier_qc_association", f"WITH {LONG}, {DIST}, {FLAGS}, {QLONG}, {OQ} SELECT qc_variable, n, round(rho, 6) AS rho FROM oq")
 def _(read):
-    return audit.outlier_qc_association(audit.robust_outlier_flags(features_long(read), read("registry")), qc_long(read))
+    return audit.outlier_qc_association(audit.robust_outlier_flags(features_long(read, True), read("registry")), qc_long(read, True))
 
 
 @query("q23_qc_integration_summary", f"""WITH {LONG}, {DIST}, {FLAGS}, {QLONG}, {FQ}, {MQ}, {OQ}
 SELECT 'qc_rows' AS metric, count(DISTINCT record_key) AS value FROM qf UNION ALL SELECT 'numeric_qc_metrics', count(DISTINCT feature) FROM qf UNION ALL SELECT 'artifact_families_detected', 5 UNION ALL SELECT 'feature_qc_pairs_abs_rho_ge_0_30', count(*) FROM fq WHERE abs(rho) >= 0.3 UNION ALL SELECT 'feature_qc_pairs_abs_rho_ge_0_50', count(*) FROM fq WHERE abs(rho) >= 0.5 UNION ALL SELECT 'missingness_qc_pairs_abs_rho_ge_0_30', count(*) FROM mq WHERE abs(rho) >= 0.3 UNION ALL SELECT 'row_outlier_qc_pairs_abs_rho_ge_0_30', count(*) FROM oq WHERE abs(rho) >= 0.3""")
 def _(read):
-    long, qc = features_long(read), qc_long(read)
+    long, qc = features_long(read, True), qc_long(read, True)
     return audit.qc_integration_summary(qc, audit.feature_qc_correlation(long, qc), audit.missingness_qc_association(long, qc), audit.outlier_qc_association(audit.robust_outlier_flags(long, read("registry")), qc))
 
 
 @query("q24_reliability_screen", f"""WITH {LONG}, {DIST}, {QLONG}, {FQ}, sa AS (SELECT d.feature, missing_fraction AS m, robust_outlier_fraction AS outl, zero_variance AS zv, cq.q FROM d LEFT JOIN (SELECT feature, max(abs(rho)) AS q FROM fq GROUP BY feature) cq USING (feature)), sb AS (SELECT *, zv OR m >= 0.5 AS bad, coalesce(q >= 0.7, false) AS q2 FROM sa), c1 AS (SELECT *, m >= 0.2 AND NOT bad AS mm FROM sb), c2 AS (SELECT *, coalesce(outl >= 0.2, false) AND NOT bad AND NOT mm AS oo FROM c1), c3 AS (SELECT *, coalesce(q >= 0.5, false) AND NOT (q2 OR bad OR mm OR oo) AS qq FROM c2)
 SELECT feature, CASE WHEN bad OR q2 THEN 'exclude_or_review' WHEN mm OR oo OR qq THEN 'use_with_caution' ELSE 'use' END AS recommendation, round(m, 6) AS missing_fraction, round(outl, 6) AS robust_outlier_fraction, zv AS zero_variance, round(q, 6) AS max_abs_qc_spearman, coalesce(nullif(concat_ws('; ', CASE WHEN zv THEN 'zero variance' END, CASE WHEN m >= 0.5 THEN 'high missingness' END, CASE WHEN mm THEN 'moderate missingness' END, CASE WHEN oo THEN 'many robust outliers' END, CASE WHEN q2 THEN 'strong QC association' END, CASE WHEN qq THEN 'moderate QC association' END), ''), 'no major screening issue detected') AS review_reason FROM c3""")
 def _(read):
-    long = features_long(read)
-    return audit.reliability_screen(audit.distribution_summary(long), audit.feature_qc_correlation(long, qc_long(read)))
+    long = features_long(read, True)
+    return audit.reliability_screen(audit.distribution_summary(long), audit.feature_qc_correlation(long, qc_long(read, True)))
 
 
 FF = _spearman_sql("SELECT a.feature AS feature_1, b.feature AS feature_2, a.value AS x, b.value AS y FROM lf a JOIN lf b ON a.record_key = b.record_key AND a.feature < b.feature", "feature_1, feature_2", 8, out="ff")
@@ -237,7 +253,7 @@ co AS (SELECT feature_1, feature_2, rho AS spearman_rho, abs(rho) AS abs_spearma
 
 @query("q25_feature_correlation", f"""WITH {LONG}, {CORR} SELECT feature_1, feature_2, {_R('spearman_rho', 'abs_spearman')}, n_pairwise, CASE WHEN spearman_rho >= 0 THEN 'positive' WHEN spearman_rho < 0 THEN 'negative' ELSE 'not_modelable' END AS direction, CASE WHEN abs_spearman IS NULL THEN 'not_modelable' WHEN abs_spearman >= 0.9 THEN 'near_duplicate' WHEN abs_spearman >= 0.8 THEN 'strong_redundancy' WHEN abs_spearman >= 0.6 THEN 'moderate_block' WHEN abs_spearman >= 0.3 THEN 'weak_to_moderate' ELSE 'low' END AS relationship_strength FROM co""")
 def _(read):
-    return relations.feature_correlation(features_long(read))
+    return relations.feature_correlation(features_long(read, True))
 
 
 BOTH = "SELECT co.*, coalesce(g1.family, 'unclassified') AS family_1, coalesce(g2.family, 'unclassified') AS family_2 FROM co LEFT JOIN registry g1 ON g1.feature = feature_1 LEFT JOIN registry g2 ON g2.feature = feature_2"
@@ -245,12 +261,12 @@ BOTH = "SELECT co.*, coalesce(g1.family, 'unclassified') AS family_1, coalesce(g
 
 @query("q26_redundant_pairs", f"WITH {LONG}, {CORR}, bo AS ({BOTH}) SELECT feature_1, feature_2, {_R('spearman_rho', 'abs_spearman')}, n_pairwise, family_1, family_2, family_1 = family_2 AS same_family, CASE WHEN abs_spearman >= 0.9 THEN 'high' ELSE 'moderate' END AS review_priority FROM bo WHERE abs_spearman >= 0.8")
 def _(read):
-    return relations.redundant_pairs(relations.feature_correlation(features_long(read)), read("registry"))
+    return relations.redundant_pairs(relations.feature_correlation(features_long(read, True)), read("registry"))
 
 
 @query("q28_family_correlation", f"WITH {LONG}, {CORR}, bo AS ({BOTH}) SELECT family_1, family_2, round(avg(abs_spearman), 6) AS mean_abs_spearman, round(quantile_cont(abs_spearman, 0.5), 6) AS median_abs_spearman, count(*) AS n_pairs, CASE WHEN family_1 = family_2 THEN 'within_family' ELSE 'between_family' END AS relationship_type FROM bo WHERE abs_spearman IS NOT NULL GROUP BY ALL")
 def _(read):
-    return relations.family_correlation(relations.feature_correlation(features_long(read)), read("registry"))
+    return relations.family_correlation(relations.feature_correlation(features_long(read, True)), read("registry"))
 
 
 MODULES = """ed AS (SELECT feature_1 AS a, feature_2 AS b FROM co WHERE abs_spearman >= 0.7 UNION ALL SELECT feature_2, feature_1 FROM co WHERE abs_spearman >= 0.7), re AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM ed) UNION SELECT re.a, ed.b FROM re JOIN ed ON ed.a = re.b), la AS (SELECT a AS feature, min(b) AS module FROM re GROUP BY a),
@@ -260,12 +276,12 @@ ins AS (SELECT l1.module, avg(abs_spearman) AS mean_abs_spearman, max(abs_spearm
 
 @query("q27_correlation_modules", f"WITH RECURSIVE {LONG}, {CORR}, {MODULES} SELECT 'M' || lpad((row_number() OVER (ORDER BY n_features DESC, mo.module))::VARCHAR, 2, '0') AS module_id, n_features, representative_feature, families, features, {_R('mean_abs_spearman', 'max_abs_spearman')} FROM mo JOIN ins ON ins.module = mo.module")
 def _(read):
-    return relations.correlation_modules(relations.feature_correlation(features_long(read)), read("registry"))
+    return relations.correlation_modules(relations.feature_correlation(features_long(read, True)), read("registry"))
 
 
-@query("q30_relationship_summary", f"WITH RECURSIVE {LONG}, {CORR}, {MODULES} SELECT 'feature_pairs' AS metric, count(*) AS value FROM co UNION ALL SELECT 'pairs_abs_rho_ge_0_60', count(*) FROM co WHERE abs_spearman >= 0.6 UNION ALL SELECT 'pairs_abs_rho_ge_0_80', count(*) FROM co WHERE abs_spearman >= 0.8 UNION ALL SELECT 'pairs_abs_rho_ge_0_90', count(*) FROM co WHERE abs_spearman >= 0.9 UNION ALL SELECT 'modules', count(*) FROM mo")
+@query("q30_relationship_summary", f"WITH RECURSIVE {LONG}, {CORR}, {MODULES} SELECT 'feature_pairs_evaluated' AS metric, count(*)::DOUBLE AS value FROM co UNION ALL SELECT 'pairs_abs_rho_ge_0_60', count(*) FROM co WHERE abs_spearman >= 0.6 UNION ALL SELECT 'redundant_pairs_abs_rho_ge_0_80', count(*) FROM co WHERE abs_spearman >= 0.8 UNION ALL SELECT 'near_duplicate_pairs_abs_rho_ge_0_90', count(*) FROM co WHERE abs_spearman >= 0.9 UNION ALL SELECT 'correlation_modules_abs_rho_ge_0_70', count(*) FROM mo")
 def _(read):
-    correlation = relations.feature_correlation(features_long(read))
+    correlation = settled(relations.feature_correlation(features_long(read, True)))
     return relations.relationship_summary(correlation, relations.correlation_modules(correlation, read("registry")))
 
 
@@ -297,7 +313,7 @@ ef AS (SELECT *, CASE WHEN n_levels = 2 THEN am - bm ELSE tm - lm END / CASE WHE
 
 @query("q40_group_screen", f"WITH {LONG}, {GS} SELECT group_variable, feature, round(effect, 6) AS effect, round(abs(effect), 6) AS abs_effect, CASE WHEN effect > 0 THEN 'higher_in_' || level_1 WHEN effect < 0 THEN 'higher_in_' || level_2 ELSE 'none' END AS direction, n AS n_pairwise, n_levels, level_1, level_2, round(cliffs_delta, 6) AS cliffs_delta, {STRENGTH.format('effect')} AS screening_strength FROM ef")
 def _(read):
-    return relations.group_screen(features_long(read), _groups(read))
+    return relations.group_screen(features_long(read, True), _groups(read))
 
 
 @query("q41_group_balance", f"WITH {GROUPS}, c AS (SELECT group_variable, level, count(*) AS n_rows FROM gl WHERE level IS NOT NULL GROUP BY ALL) SELECT group_variable, level, n_rows, round(n_rows::DOUBLE / sum(n_rows) OVER (PARTITION BY group_variable), 6) AS proportion, CASE WHEN n_rows < 10 THEN 'small_level' ELSE 'ok' END AS imbalance_note FROM c")
@@ -307,12 +323,12 @@ def _(read):
 
 @query("q43_screening_priority", f"WITH {LONG}, {CS}, {GS} SELECT feature, outcome_variable AS screened_against, 'continuous' AS screen, round(abs(rho), 6) AS abs_effect, n AS n_pairwise FROM cs UNION ALL SELECT feature, group_variable, 'group', round(abs(effect), 6), n FROM ef")
 def _(read):
-    long = features_long(read)
+    long = features_long(read, True)
     return relations.screening_priority(relations.continuous_screen(long, _outcomes(read)), relations.group_screen(long, _groups(read)))
 
 
 def _units(read, task: bool = False):
-    r = read("recordings")
+    r = read.once("recordings")
     unit = F.concat_ws("|", F.col("subject_id").cast("string"), "task") if task else F.col("subject_id").cast("string")
     return long_form(r.withColumn("unit", unit), ["record_key", "unit"], FEATURES)
 
@@ -355,23 +371,24 @@ def _(read):
 
 
 def _recommended(read):
-    long, registry = features_long(read), read("registry")
+    long, registry = features_long(read, True), read("registry")
     dist, expected = _dist_expected(read)
     screens = relations.screening_priority(relations.continuous_screen(long, _outcomes(read)), relations.group_screen(long, _groups(read)))
     redundant = relations.redundant_pairs(relations.feature_correlation(long), registry)
-    return relations.recommendations(dist, audit.distribution_shape(dist, expected), audit.feature_qc_correlation(long, qc_long(read)), redundant, relations.repeatability(_units(read), registry), screens, registry)
+    return relations.recommendations(dist, audit.distribution_shape(dist, expected), audit.feature_qc_correlation(long, qc_long(read, True)), redundant, relations.repeatability(_units(read), registry), screens, registry)
 
 
+ACTIONS = {"very small valid n": "insufficient data; review support before export", "zero variance": "exclude by default unless kept for audit only", "near-zero variance": "monitor; weak information in this dataset", "extreme missingness": "exclude/recompute unless scientifically required", "high missingness": "review missing-data mechanism", "moderate missingness": "retain with missingness sensitivity checks", "high robust outlier burden": "inspect extreme rows and QC", "moderate outlier burden": "monitor distribution tails", "strong QC association": "do not interpret without QC sensitivity/covariate analysis", "moderate QC association": "export with QC caution", "near-duplicate redundancy": "consider one representative per redundant block in ML", "unstable repeatability": "avoid longitudinal interpretation without reliability sensitivity", "variable repeatability": "avoid longitudinal interpretation without reliability sensitivity"}
 RULES = [("n < 10", 30, "very small valid n"), ("zv", 55, "zero variance"), ("nz", 20, "near-zero variance"), ("m >= 0.8", 45, "extreme missingness"), ("m >= 0.5 AND m < 0.8", 30, "high missingness"), ("m >= 0.2 AND m < 0.5", 12, "moderate missingness"), ("o >= 0.2", 20, "high robust outlier burden"), ("o >= 0.08 AND o < 0.2", 8, "moderate outlier burden"), ("priority = 'review'", 18, "distribution shape review"), ("priority = 'monitor'", 8, "distribution shape monitor"), ("q >= 0.7", 30, "strong QC association"), ("q >= 0.5 AND q < 0.7", 18, "moderate QC association"), ("q >= 0.3 AND q < 0.5", 7, "weak/moderate QC association"), ("red >= 0.9", 10, "near-duplicate redundancy"), ("red >= 0.8 AND red < 0.9", 5, "strong redundancy"), ("st = 'unstable'", 18, "unstable repeatability"), ("st = 'variable'", 10, "variable repeatability"), ("st = 'not_evaluable'", 4, "repeatability not evaluable")]
 RECOMMEND = f"""{LONG}, {DIST}, {RANGE}, {SHAPE}, {QLONG}, {FQ}, {CORR}, {_repeat_sql('subject_id', 3, 6)}, {CS}, {GS.replace('rs AS (', 'rsum AS (').replace('LEFT JOIN rs ', 'LEFT JOIN rsum ')},
 lk AS (SELECT feature, max(abs_spearman) AS red, count(*) AS rc FROM (SELECT feature_1 AS feature, abs_spearman FROM co WHERE abs_spearman >= 0.8 UNION ALL SELECT feature_2, abs_spearman FROM co WHERE abs_spearman >= 0.8) GROUP BY feature),
 sc AS (SELECT feature, max(a) AS se FROM (SELECT feature, abs(rho) AS a FROM cs UNION ALL SELECT feature, abs(effect) FROM ef) GROUP BY feature),
 al AS (SELECT d.feature, d.n, d.zero_variance AS zv, d.near_zero_variance AND NOT d.zero_variance AS nz, d.missing_fraction AS m, d.robust_outlier_fraction AS o, priority, q, red, coalesce(rc, 0) AS rc, icc1_proxy, coalesce(reliability_status, 'not_evaluable') AS st, se, coalesce(g.family, 'unclassified') AS family FROM d JOIN sp USING (feature) LEFT JOIN (SELECT feature, max(abs(rho)) AS q FROM fq GROUP BY feature) USING (feature) LEFT JOIN lk USING (feature) LEFT JOIN rr USING (feature) LEFT JOIN sc USING (feature) LEFT JOIN registry g ON g.feature = d.feature),
-sd_ AS (SELECT *, greatest(0, least(100, 100 - ({' + '.join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in RULES)}))) AS score, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{w}' END" for c, _, w in RULES)}), ''), 'no major review flags detected') AS reasons FROM al),
+sd_ AS (SELECT *, greatest(0, least(100, 100 - ({' + '.join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in RULES)}))) AS score, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{w}' END" for c, _, w in RULES)}), ''), 'no major review flags detected') AS reasons, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{ACTIONS[w]}' END" for c, _, w in RULES if w in ACTIONS)}), ''), 'eligible for downstream ML export after standard leakage-safe preprocessing') AS actions FROM al),
 rc_ AS (SELECT *, CASE WHEN zv OR n < 5 OR coalesce(m >= 0.8, false) THEN 'exclude_by_default' WHEN score >= 80 THEN 'recommended' WHEN score >= 60 THEN 'recommended_with_caution' WHEN score >= 40 THEN 'review_before_use' ELSE 'exclude_or_recompute' END AS rec FROM sd_)"""
 
 
-@query("q51_recommendations", f"WITH {RECOMMEND} SELECT feature, family, rec AS readiness_recommendation, score::BIGINT AS readiness_score, reasons AS primary_reasons, rec IN ('recommended', 'recommended_with_caution') AS ml_export_default, round(m, 6) AS missing_fraction, round(o, 6) AS robust_outlier_fraction, round(q, 6) AS max_abs_qc_spearman, round(red, 6) AS max_abs_redundancy, rc AS redundant_pair_count, round(icc1_proxy, 6) AS icc1_proxy, st AS reliability_status, round(se, 6) AS max_screening_effect, priority AS shape_priority FROM rc_")
+@query("q51_recommendations", f"WITH {RECOMMEND} SELECT feature, family, rec AS readiness_recommendation, score::BIGINT AS readiness_score, reasons AS primary_reasons, actions AS recommended_action, rec IN ('recommended', 'recommended_with_caution') AS ml_export_default, round(m, 6) AS missing_fraction, round(o, 6) AS robust_outlier_fraction, round(q, 6) AS max_abs_qc_spearman, round(red, 6) AS max_abs_redundancy, rc AS redundant_pair_count, round(icc1_proxy, 6) AS icc1_proxy, st AS reliability_status, round(se, 6) AS max_screening_effect, priority AS shape_priority FROM rc_")
 def _(read):
     return _recommended(read)
 
@@ -381,28 +398,78 @@ def _(read):
     return relations.recommendation_rollups(_recommended(read))
 
 
-def _rules(read):
-    return read("qc").sparkSession.createDataFrame([("qrev_tax_max", "high", 0.06), ("qchan_price_ratio", "high", 20.0), ("qdist_heavy", "high", 0.3), ("qgain_discount_sd", "low", 0.01)], "qc_variable string, direction string, limit double")
+RULE_METRICS = [r[1] for r in audit.QC_RULES]
+WARN = f"""qm AS ({_unpivot('quality', 'record_key', RULE_METRICS)}), ru AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{m}', '{d}', CAST({t} AS DOUBLE), '{w}')" for f, m, d, t, w in audit.QC_RULES)}) AS t(family, feature, direction, threshold, warning)),
+wa AS (SELECT record_key, family, feature, value, threshold, direction, warning, CASE WHEN (direction = 'high' AND value > 2 * threshold) OR (direction = 'low' AND value < threshold / 2) THEN 'strong_review' ELSE 'review' END AS severity FROM qm JOIN ru USING (feature) WHERE (direction = 'high' AND value > threshold) OR (direction = 'low' AND value < threshold)),
+lv AS (SELECT q.record_key, count(w.feature) AS n_warnings, coalesce(string_agg(DISTINCT family, ';' ORDER BY family), '') AS families FROM quality q LEFT JOIN wa w ON w.record_key = q.record_key GROUP BY q.record_key)"""
+
+
+def quality_long(read) -> DataFrame:
+    return long_form(read.once("quality"), "record_key", RULE_METRICS)
+
+
+@query("q33_qc_threshold_warnings", f"WITH {WARN} SELECT record_key, family, feature, {_R('value', 'threshold')}, direction, warning, severity FROM wa")
+def _(read):
+    return audit.qc_threshold_warnings(quality_long(read))
+
+
+@query("q34_qc_recommendations", f"WITH {WARN} SELECT family, count(DISTINCT record_key) AS n_records_flagged, round(count(DISTINCT record_key)::DOUBLE / (SELECT count(*) FROM quality), 6) AS fraction_records_flagged, CASE family {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in audit.QC_ADVICE.items())} END AS recommendation FROM wa GROUP BY family")
+def _(read):
+    return audit.qc_recommendations(audit.qc_threshold_warnings(quality_long(read)), read.once("quality"))
+
+
+@query("q34_qc_recommendations_overall", "SELECT 'overall' AS family, 0::BIGINT AS n_records_flagged, 0e0 AS fraction_records_flagged, '" + audit.NOTHING_FOUND + "' AS recommendation FROM (SELECT count(*) AS n FROM quality) WHERE n > 0")
+def _(read):
+    return audit.qc_recommendations(audit.qc_threshold_warnings(quality_long(read).where("value IS NULL")), read.once("quality"))
+
+
+@query("q35_qc_review_level", f"WITH {WARN} SELECT record_key, n_warnings, families, CASE WHEN n_warnings >= 2 THEN 'review' WHEN n_warnings = 1 THEN 'minor_review' ELSE 'no_threshold_warning' END AS review_level FROM lv")
+def _(read):
+    return audit.qc_review_level(audit.qc_threshold_warnings(quality_long(read)), read.once("quality"))
+
+
+SKEW = "CASE WHEN count(value) > 2 AND var_pop(value) > 0 THEN skewness(value) END"
+SCALED = f"""qk AS (SELECT feature, coalesce({SKEW}, 0) AS skew, min(value) AS low FROM qm GROUP BY feature), qt AS (SELECT record_key, qm.feature, CASE WHEN skew > 1 AND low >= 0 THEN ln(1 + greatest(value, 0)) WHEN abs(skew) > 1 THEN asinh(value) ELSE value END AS value FROM qm JOIN qk ON qk.feature = qm.feature),
+ql AS (SELECT feature, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM qt GROUP BY feature), qw AS (SELECT record_key, qt.feature, CASE WHEN value IS NULL THEN NULL ELSE least(greatest(value, lo), hi) END AS value FROM qt JOIN ql ON ql.feature = qt.feature),
+qi AS (SELECT feature, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM qw GROUP BY feature), qp AS (SELECT record_key, qw.feature, (value - med) / CASE WHEN iqr > 1e-12 THEN iqr END AS value FROM qw JOIN qi ON qi.feature = qw.feature),
+fs AS (SELECT record_key, family, count(value) AS n_features, quantile_cont(value, 0.5) AS score FROM qp JOIN ru USING (feature) GROUP BY record_key, family), bu AS (SELECT record_key, quantile_cont(abs(score), 0.5) AS burden FROM fs GROUP BY record_key)"""
 
 
-WARN = f"""ru AS (SELECT * FROM (VALUES ('qrev_tax_max', 'high', 6e-2), ('qchan_price_ratio', 'high', 20e0), ('qdist_heavy', 'high', 3e-1), ('qgain_discount_sd', 'low', 1e-2)) AS t(qc_variable, direction, lim)), wa AS (SELECT record_key, qc_variable, value, lim, CASE WHEN (direction = 'high' AND value >= 2 * lim) OR (direction = 'low' AND value <= lim / 2) THEN 'severe' ELSE 'moderate' END AS severity, {QFAM.format('qc_variable')} AS fam FROM qf JOIN ru ON qf.feature = ru.qc_variable WHERE (direction = 'high' AND value > lim) OR (direction = 'low' AND value < lim))"""
+def _scaled(read):
+    return audit.transform_skewed(quality_long(read))
 
 
-@query("q33_qc_threshold_warnings", f'WITH {QLONG}, {WARN} SELECT record_key, qc_variable, round(value, 6) AS value, round(lim, 6) AS "limit", severity FROM wa')
+def _families(read):
+    return audit.rules_table(read("registry")).select("feature", "family")
+
+
+@query("q31_qc_scaled", f"WITH {WARN}, {SCALED} SELECT record_key, feature, round(value, 6) AS value FROM qp")
 def _(read):
-    return audit.qc_threshold_warnings(qc_long(read), _rules(read))
+    return _scaled(read)
+
+
+@query("q31_qc_family_scores", f"WITH {WARN}, {SCALED} SELECT record_key, family, n_features, round(score, 6) AS score FROM fs")
+def _(read):
+    return audit.qc_family_scores(_scaled(read), _families(read))
+
+
+FAMILY_CORR = _spearman_sql("SELECT a.family AS feature_1, b.family AS feature_2, a.score AS x, b.score AS y FROM fs a JOIN fs b ON a.record_key = b.record_key AND a.family < b.family", "feature_1, feature_2", 3, out="fc")
 
 
-@query("q34_qc_recommendations", f"WITH {QLONG}, {WARN} SELECT fam AS artifact_family, count(DISTINCT record_key) AS n_flagged, round(count(DISTINCT record_key)::DOUBLE / (SELECT count(*) FROM qc), 6) AS flagged_fraction FROM wa GROUP BY fam")
+@query("q31_qc_family_correlation", f"WITH {WARN}, {SCALED}, {FAMILY_CORR} SELECT feature_1 AS family_1, feature_2 AS family_2, round(rho, 6) AS spearman_rho, n AS n_pairwise FROM fc")
 def _(read):
-    return audit.qc_recommendations(audit.qc_threshold_warnings(qc_long(read), _rules(read)), read("qc").agg(F.count("*").alias("n")))
+    scores = settled(audit.qc_family_scores(_scaled(read), _families(read)))
+    found = relations.feature_correlation(scores.select("record_key", F.col("family").alias("feature"), F.col("score").alias("value")), min_n=3)
+    return found.where("spearman_rho IS NOT NULL").select(F.col("feature_1").alias("family_1"), F.col("feature_2").alias("family_2"), "spearman_rho", "n_pairwise")
 
 
-@query("q35_qc_review_level", f"WITH {QLONG}, {WARN} SELECT record_key, count(*) AS n_warnings, string_agg(DISTINCT fam, '; ' ORDER BY fam) AS families, CASE WHEN bool_or(severity = 'severe') OR count(*) >= 3 THEN 'review' ELSE 'monitor' END AS review_level FROM wa GROUP BY record_key")
+@query("q31_qc_burden", f"WITH {WARN}, {SCALED} SELECT record_key, round(burden, 6) AS burden FROM bu")
 def _(read):
-    return audit.qc_review_level(audit.qc_threshold_warnings(qc_long(read), _rules(read)))
+    return audit.qc_burden(audit.qc_family_scores(_scaled(read), _families(read)))
 
 
-@query("w36_review_rank", f"WITH {QLONG}, {QSCORE}, rb AS (SELECT record_key, count(*) FILTER (flag) AS total_qc_flags, max(z) AS m FROM qg GROUP BY record_key) SELECT record_key, total_qc_flags, round(m, 6) AS max_abs_qc_z, row_number() OVER (ORDER BY total_qc_flags DESC, m DESC NULLS LAST, record_key) AS review_rank FROM rb WHERE total_qc_flags > 0")
+@query("w36_review_rank", f"WITH {WARN}, {SCALED} SELECT lv.record_key, n_warnings, round(burden, 6) AS burden, row_number() OVER (ORDER BY n_warnings DESC, round(burden, 6) DESC NULLS LAST, lv.record_key) AS review_rank FROM lv LEFT JOIN bu ON bu.record_key = lv.record_key")
 def _(read):
-    return audit.review_rank(audit.qc_row_burden(qc_long(read)).where("total_qc_flags > 0"))
+    levels = audit.qc_review_level(audit.qc_threshold_warnings(quality_long(read)), read.once("quality"))
+    burden = audit.qc_burden(audit.qc_family_scores(_scaled(read), _families(read)))
+    return audit.review_rank(levels, burden.withColumn("burden", F.round("burden", 6)))

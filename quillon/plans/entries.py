@@ -1,6 +1,8 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""All registered queries over the driver's tables, and their SQL."""
 
-from quillon.plans import audit_queries, signal_queries  # noqa: F401
+from __future__ import annotations
 
-QUERIES: dict = dict(audit_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(audit_queries.ORACLE_SQL)
+from quillon.plans import quality_queries, signal_queries, track_queries  # noqa: F401
+from quillon.plans.audit_queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -89,7 +89,7 @@ def _(read):
     return windows.scale_jumps(read("frames"), BY, AT, "value")
 
 
-@query("w15_energy_jumps", f"WITH v AS (SELECT recording_id, coalesce(detected AND lag(detected) {W} AND value IS NOT NULL AND lag(value) {W} IS NOT NULL, false) AS b, coalesce(abs(value - lag(value) {W}) >= 18, false) AS j FROM frames) SELECT recording_id, count(*) FILTER (b AND j) AS n_jumps, round(count(*) FILTER (b AND j)::DOUBLE / nullif(count(*) FILTER (b), 0)::DOUBLE, 6) AS jump_fraction FROM v GROUP BY recording_id")
+@query("w15_energy_jumps", f"WITH v AS (SELECT recording_id, coalesce(detected AND lag(detected) {W} AND value IS NOT NULL AND lag(value) {W} IS NOT NULL, false) AS b, coalesce(abs(value - lag(value) {W}) >= 18, false) AS j FROM frames) SELECT recording_id, count(*) FILTER (b AND j) AS n_jumps, round(CASE WHEN count(*) FILTER (b) > 0 AND count(*) > 1 THEN count(*) FILTER (b AND j)::DOUBLE / (count(*) - 1)::DOUBLE ELSE 0e0 END, 6) AS jump_fraction FROM v GROUP BY recording_id")
 def _(read):
     return windows.energy_jumps(read("frames"), BY, AT, "value", "detected")
 
@@ -150,9 +150,9 @@ def _(read):
     return windows.estimate_fps(read("frames"), BY, AT, "time_s")
 
 
-@query("j08_frames_in_segments", f"WITH {SEGMENTS}, m AS (SELECT s.recording_id, segment_index, f.value FROM frames f JOIN sg s ON s.recording_id = f.recording_id AND (f.frame - 0.5e0) * 0.04e0 >= s.start_sec AND (f.frame - 0.5e0) * 0.04e0 < s.end_sec) SELECT recording_id, segment_index, count(*) AS n_frames, round(quantile_cont(value, 0.5), 6) AS median_value FROM m GROUP BY ALL")
+@query("j08_frames_in_segments", f"WITH {SEGMENTS}, m AS (SELECT s.recording_id, segment_index, f.value FROM frames f JOIN sg s ON s.recording_id = f.recording_id AND f.frame * 0.04e0 >= s.start_sec AND f.frame * 0.04e0 <= s.end_sec) SELECT recording_id, segment_index, count(*) AS n_frames, round(quantile_cont(value, 0.5), 6) AS median_value FROM m GROUP BY ALL")
 def _(read):
-    met = windows.label_in(read("frames"), _segments(read), BY, (F.col("frame") - 0.5) * 0.04, "start_sec", "end_sec")
+    met = windows.label_in(read("frames"), _segments(read), BY, F.col("frame") * 0.04, "start_sec", "end_sec")
     return met.groupBy("recording_id", "segment_index").agg(F.count("*").alias("n_frames"), F.get(F.percentile("value", F.array(F.lit(0.5))), F.lit(0)).alias("median_value"))
 
 
@@ -337,9 +337,9 @@ def _(read):
     return signals.gain_qc(_levels(read), BY, "rms_db")
 
 
-@query("x17_intensity_cv", f"WITH {XF} SELECT recording_id, round(stddev_samp(rms_db) / nullif(abs(avg(rms_db)), 0), 6) AS intensity_cv FROM xg GROUP BY recording_id")
+@query("x17_intensity_cv", f"WITH {XF}, s AS (SELECT recording_id, CASE WHEN rms > 0 THEN 20 * log10(greatest(rms, 1e-12) / 2e-5) END AS l FROM xg) SELECT recording_id, round(stddev_samp(l) / CASE WHEN abs(avg(l)) >= 1e-12 THEN abs(avg(l)) END, 6) AS intensity_cv FROM s GROUP BY recording_id")
 def _(read):
-    return signals.intensity_cv(_levels(read), BY, "rms_db")
+    return signals.intensity_cv(_levels(read), BY)
 
 
 @query("x22_valid_energy_frames", f"WITH {XF}, l AS (SELECT recording_id, greatest(quantile_cont(rms, 0.2), 0.1e0 * quantile_cont(rms, 0.5), 1e-5) AS least FROM xg GROUP BY recording_id) SELECT xg.recording_id, frame_idx, round(rms, 6) AS rms FROM xg JOIN l ON l.recording_id = xg.recording_id WHERE rms >= least")
@@ -353,9 +353,9 @@ def _(read):
     return signals.spectral_shape(spectrum, BY, "f", "p")
 
 
-@query("x12_band_ratio", f"WITH {XF}, s AS (SELECT recording_id, frame_idx AS f, lag(frame_idx) OVER w AS f0, (rms + lag(rms) OVER w) / 2 * (frame_idx - lag(frame_idx) OVER w) AS a FROM xg WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)) SELECT recording_id, round(coalesce(sum(a) FILTER (f BETWEEN 2 AND 6 AND f0 BETWEEN 2 AND 6), 0) / CASE WHEN sum(a) > 0 THEN sum(a) END, 6) AS band_ratio FROM s GROUP BY recording_id")
+@query("x12_band_ratio", f"WITH {XF}, s AS (SELECT recording_id, frame_idx AS f, lag(frame_idx) OVER w AS f0, (rms + lag(rms) OVER w) / 2 * (frame_idx - lag(frame_idx) OVER w) AS a FROM xg WINDOW w AS (PARTITION BY recording_id ORDER BY frame_idx)) SELECT recording_id, round(CASE WHEN count(*) FILTER (f >= 11 AND f < 14) > 0 THEN coalesce(sum(a) FILTER (f >= 11 AND f < 14 AND f0 >= 11 AND f0 < 14), 0) / CASE WHEN sum(a) > 0 THEN sum(a) END END, 6) AS band_ratio FROM s GROUP BY recording_id")
 def _(read):
-    return signals.band_ratio(_levels(read), BY, "frame_idx", "rms", 2, 6)
+    return signals.band_ratio(_levels(read), BY, "frame_idx", "rms", 11, 14)
 
 
 MOVES = f"""{EXTREMA}, mv AS (SELECT recording_id, kind, frame AS f0, lead(frame) OVER w AS f1, lead(kind) OVER w AS nk FROM ex WINDOW w AS (PARTITION BY recording_id ORDER BY frame)), mw AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY f0) AS movement_id, CASE kind WHEN 'trough' THEN 'open' ELSE 'close' END AS movement_kind, f0, f1 FROM mv WHERE nk IS NOT NULL AND nk <> kind AND f1 - f0 + 1 >= 3),
