@@ -97,18 +97,23 @@ def flag_counts(df: DataFrame, column: str, sep: str = ";") -> DataFrame:
     return df.select(F.explode(F.split(column, sep)).alias("flag")).select(F.trim("flag").alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count("*").alias("n"))
 
 
-def temporal_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Share of valid samples, location, spread and quantiles of a signal per recording."""
-    found = df.groupBy(*by).agg(F.count("*").alias("n_samples"), (F.count(value) / F.count("*")).alias("valid_fraction"), quantiles(value, [0.05, 0.25, 0.5, 0.75, 0.95]).alias("q"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
-    q = [F.get("q", F.lit(k)) for k in range(5)]
-    return found.select(*by, "n_samples", "valid_fraction", q[2].alias("median"), (q[3] - q[1]).alias("iqr"), q[0].alias("p05"), q[4].alias("p95"), (F.col("max") - F.col("min")).alias("range"), "mean", "sd", "min", "max")
+def temporal_summary(df: DataFrame, by: list[str], value: str, dense: bool = False) -> DataFrame:
+    """Share of valid samples, median, IQR, p05, p95 and their distance of a signal per recording; dense: mean, SD, min, max, p01, p25, p75 and p99, too."""
+    found = df.groupBy(*by).agg(F.count("*").alias("n_samples"), (F.count(value) / F.count("*")).alias("valid_fraction"), quantiles(value, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]).alias("q"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = [F.get("q", F.lit(k)) for k in range(7)]
+    more = ["mean", "sd", "min", "max", q[0].alias("p01"), q[2].alias("p25"), q[4].alias("p75"), q[6].alias("p99")] if dense else []
+    return found.select(*by, "n_samples", "valid_fraction", q[3].alias("median"), (q[4] - q[2]).alias("iqr"), q[1].alias("p05"), q[5].alias("p95"), (q[5] - q[1]).alias("range_p05_p95"), *more)
 
 
-def segment_summary(segments: DataFrame, by: list[str]) -> DataFrame:
-    """Segments, the share of speech, silence before and after, and the longest pause inside."""
+def segment_summary(segments: DataFrame, by: list[str], frames: DataFrame | None = None, level: str = "rms_db") -> DataFrame:
+    """Segments, the share of speech, silence before and after, the longest pause inside and, of frames, median and SD of the level."""
     d, role = F.col("duration_sec"), F.col("segment_role")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return segments.groupBy(*by).agg(F.count("*").alias("n_segments"), (zero(F.sum(F.when(role == "speech", d))) / F.when(F.sum(d) > 0, F.sum(d))).alias("speech_fraction"), zero(F.sum(F.when(role == "leading", d))).alias("leading_silence_sec"), zero(F.sum(F.when(role == "trailing", d))).alias("trailing_silence_sec"), zero(F.max(F.when(role == "internal", d))).alias("longest_internal_pause_sec"))
+    found = segments.groupBy(*by).agg(F.count("*").alias("n_segments"), (zero(F.sum(F.when(role == "speech", d))) / F.when(F.sum(d) > 0, F.sum(d))).alias("speech_fraction"), zero(F.sum(F.when(role == "leading", d))).alias("leading_silence_sec"), zero(F.sum(F.when(role == "trailing", d))).alias("trailing_silence_sec"), zero(F.max(F.when(role == "internal", d))).alias("longest_internal_pause_sec"))
+    if frames is None:
+        return found
+    levels = frames.groupBy(*by).agg(F.get(quantiles(level, [0.5]), F.lit(0)).alias(f"{level}_median"), F.stddev_pop(level).alias(f"{level}_std"))
+    return found.join(levels, by, "left")
 
 
 def timing_features(segments: DataFrame, by: list[str], words: Column | None = None, min_pause: float = 0.30) -> DataFrame:

@@ -146,3 +146,28 @@ def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def key_intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
+
+
+def align_feature_qc(features: DataFrame, qc: DataFrame, cascade: tuple[str, ...] = ("record_key", "file_name", "filename", "source_file", "subject_id", "session_id"), ordinal: str | None = None) -> tuple[DataFrame, str]:
+    """(features with the columns of qc that they lack, how): LEFT join by the first shared key, else by an explicit ordinal column, else features alone."""
+    keys = first_shared_key(features, qc, [[c] for c in cascade])
+    if keys:
+        return join_new_columns(features, qc, keys), keys[0]
+    if ordinal is not None and ordinal in features.columns and ordinal in qc.columns:
+        return join_new_columns(features, qc, [ordinal]), "row_order"
+    return features, "none"
+
+
+def join_all_shared_keys(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("record_key", "file_name", "subject_id")) -> DataFrame:
+    """INNER join by all of the keys that both tables have; columns of b that a has already are left out."""
+    shared = [k for k in keys if k in a.columns and k in b.columns]
+    if not shared:
+        raise ValueError(f"no shared key among {keys}")
+    return a.join(b.drop(*[c for c in b.columns if c in a.columns and c not in shared]), shared)
+
+
+def missing_policy(df: DataFrame, features: list[str], policy: str, limit: float = 0.5) -> DataFrame:
+    """preserve: as it is; drop: without the features missing in more than `limit` of the rows; impute: missing values as the column's median."""
+    from quillon.operators.aggregates import drop_sparse_features, impute_global_median
+
+    return {"preserve": lambda: df, "drop": lambda: drop_sparse_features(df, features, limit), "impute": lambda: impute_global_median(df, features)}[policy]()

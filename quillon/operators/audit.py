@@ -324,3 +324,36 @@ def review_rank(levels: DataFrame, burden: DataFrame) -> DataFrame:
     """All records in order of review: by warnings, then by burden, unknown burdens last, then by key."""
     rows = levels.select("record_key", "n_warnings").join(burden, "record_key", "left")
     return global_rank(rows, [F.desc("n_warnings"), F.desc_nulls_last("burden"), F.asc("record_key")], "review_rank")
+
+
+def distribution_summary_basic(long: DataFrame) -> DataFrame:
+    """Fourteen statistics of each feature; outliers by 0.67448975 times the distance over the median deviation, none counted where that is 0."""
+    base = long.groupBy("feature").agg(F.count("value").alias("n_valid"), (1 - F.count("value") / F.count("*")).alias("missing_fraction"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("value").alias("_u"))
+    base = base.join(group_quantiles(long, ["feature"], "value", [0.05, 0.25, 0.5, 0.75, 0.95]), "feature", "left")
+    valid = long.where("value IS NOT NULL").join(base.select("feature", F.col("q")[2].alias("_med")), "feature").withColumn("_away", F.abs(F.col("value") - F.col("_med")))
+    mad = group_quantiles(valid, ["feature"], "_away", [0.5]).select("feature", F.col("q")[0].alias("_mad"))
+    # a missing value isn't over the limit, but counts among the rows
+    out = valid.join(mad.where("_mad > 0"), "feature").groupBy("feature").agg(F.count_if(0.67448975 * F.col("_away") / F.col("_mad") > OUTLIER_Z).alias("_k"))
+    rows = long.groupBy("feature").agg(F.count("*").alias("_rows"))
+    met = base.join(out, "feature", "left").join(rows, "feature")
+    q = [F.col("q")[k] for k in range(5)]
+    return met.select("feature", "n_valid", "missing_fraction", "mean", q[2].alias("median"), "sd", (q[3] - q[1]).alias("iqr"), q[0].alias("q05"), q[1].alias("q25"), q[3].alias("q75"), q[4].alias("q95"), "min", "max", F.when(F.col("n_valid") > 0, F.coalesce("_k", F.lit(0)) / F.col("_rows")).alias("robust_outlier_fraction_abs_z_gt_3_5"), (F.col("_u") <= 1).alias("zero_variance"))
+
+
+def registry_distribution_audit(long: DataFrame, registry: DataFrame) -> DataFrame:
+    """Location, spread (over n) and quantiles of each feature, and values outside the registry's bounds."""
+    base = long.groupBy("feature").agg(F.count("value").alias("n_available"), (1 - F.count("value") / F.count("*")).alias("missing_fraction"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    base = base.join(group_quantiles(long, ["feature"], "value", [0.05, 0.25, 0.5, 0.75, 0.95]), "feature", "left")
+    flags = expected_range_flags(long, registry).select("feature", "expected_low", "expected_high", "n_below_expected", "n_above_expected")
+    q = [F.col("q")[k] for k in range(5)]
+    n = F.col("n_available")
+    return with_family(base.join(flags, "feature", "left"), registry).select("feature", "family", "n_available", "missing_fraction", "mean", q[2].alias("median"), "sd", q[0].alias("q05"), q[1].alias("q25"), q[3].alias("q75"), q[4].alias("q95"), "expected_low", "expected_high", "n_below_expected", "n_above_expected", ((F.col("n_below_expected") + F.col("n_above_expected")) / F.when(n > 0, n)).alias("out_of_expected_fraction"))
+
+
+def readiness_dimensions(by_feature: DataFrame, facts: DataFrame, n_features: int, n_numeric: int, qc: bool, metadata: float, design: int) -> DataFrame:
+    """(dimension, score, status): seven scores from 0 to 100; facts has one row (n_rows), metadata is 100, 70, 35 or 0, design counts known group columns of five."""
+    means = by_feature.agg(F.avg("missing_fraction").alias("miss")).join(F.broadcast(facts))  # one row each
+    share = 100.0 * n_numeric / n_features if n_features else 0.0
+    scores = [("Feature completeness", F.coalesce(100 * (1 - F.col("miss")), F.lit(0.0))), ("Numeric analyzability", F.lit(share)), ("Metadata context", F.lit(float(metadata))), ("QC context", F.lit(100.0 if qc else 0.0)), ("Design richness", F.lit(100.0 * design / 5)), ("Row depth", F.least(F.lit(100.0), 100.0 * F.col("n_rows") / 100)), ("Feature breadth", F.lit(min(100.0, 100.0 * n_numeric / 50)))]
+    tall = means.select(F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), s)).cast("double").alias("s")) for d, s in scores])))
+    return tall.select("dimension", F.round("s", 1).alias("score"), worst_of([(F.col("s") >= 80, "strong"), (F.col("s") >= 50, "adequate"), (F.col("s") > 0, "limited")], "absent").alias("status"))

@@ -216,8 +216,8 @@ def longitudinal_readiness(df: DataFrame, subject: str, task: str, session: str,
     return found.withColumn("depth_band", depth).withColumn("span_band", span)
 
 
-def pca(df: DataFrame, key: str, features: list[str], components: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(variance, loadings, scores) of median-imputed features scaled by IQR, or SD where that is 0; constant ones are left out.
+def pca(df: DataFrame, key: str, features: list[str], components: int = 5, plain: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(variance, loadings, scores) of median-imputed features scaled by IQR, or SD where that is 0 (plain: by the SD over n after filling, from the mean); constant ones are left out.
 
     One aggregate gives all covariances, features squared of them; their eigenvectors are found on the driver, and scores are
     sums of products in Spark. Of each component the largest loading, the first by name if several, is positive.
@@ -227,6 +227,10 @@ def pca(df: DataFrame, key: str, features: list[str], components: int = 5) -> tu
     spark = df.sparkSession
     about = df.select(*[F.array(F.get(quantiles(c, [0.25]), F.lit(0)), F.get(quantiles(c, [0.5]), F.lit(0)), F.get(quantiles(c, [0.75]), F.lit(0)), F.stddev_samp(c)).alias(c) for c in features]).first()
     scale = {c: (x[2] - x[0]) or x[3] for c in features if (x := about[c])[1] is not None}
+    if plain:
+        filled = df.select(*[F.coalesce(c, F.lit(about[c][1])).alias(c) for c in scale])
+        sds = filled.agg(*[F.stddev_pop(c).alias(c) for c in scale]).first() if scale else {}
+        scale = {c: sds[c] for c in scale}
     used = sorted(c for c, s in scale.items() if s)
     z = df.select(key, *[((F.coalesce(c, F.lit(about[c][1])) - about[c][1]) / scale[c]).alias(c) for c in used])
     pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
@@ -242,3 +246,47 @@ def pca(df: DataFrame, key: str, features: list[str], components: int = 5) -> tu
     loadings = spark.createDataFrame([(k + 1, c, float(top[i, k])) for k in range(top.shape[1]) for i, c in enumerate(used)], "component int, feature string, loading double")
     scores = z.select(key, *[sum(((F.col(c) - row["m"][i]) * float(top[i, k]) for i, c in enumerate(used)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(min(3, top.shape[1]))])
     return variance, loadings, scores
+
+
+def loading_rank(loadings: DataFrame, top: int = 20) -> DataFrame:
+    """The `top` largest loadings of each component by size, ties by name."""
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature"))  # one row per feature
+    return loadings.withColumn("place", place).where(F.col("place") <= top)
+
+
+def screening_summary(catalog: DataFrame, continuous: DataFrame, groups: DataFrame) -> DataFrame:
+    """(metric, value): variables, screens of each kind, and effects of 0.30 and more."""
+    parts = [
+        catalog.agg(F.count("*").alias("screening_variables_detected")), continuous.agg(F.count("*").alias("continuous_feature_outcome_tests"), F.count_if(F.col("abs_effect") >= 0.3).alias("continuous_abs_effect_ge_0_30")),
+        groups.agg(F.count("*").alias("categorical_group_feature_tests"), F.count_if(F.col("abs_effect") >= 0.3).alias("group_abs_effect_ge_0_30")),
+    ]
+    return reduce(DataFrame.unionByName, [p.unpivot([], p.columns, "metric", "value") for p in parts])
+
+
+def task_feature_profile(long: DataFrame, tasks: DataFrame, task: str | None = None) -> DataFrame:
+    """(feature, effect, abs_effect, task_median, other_median): one task's median against the rest, or the range of the tasks' medians, in SDs over n.
+
+    tasks has (record_key, task). One task and the rest need three values each; the range needs six values and two tasks.
+    """
+    rows = long.where("value IS NOT NULL").join(tasks.where("task IS NOT NULL"), "record_key")
+    spread_ = rows.groupBy("feature").agg(F.stddev_pop("value").alias("_sd"), F.count("*").alias("_n"))
+    if task is None:
+        per = group_quantiles(rows, ["feature", "task"], "value", [0.5]).groupBy("feature").agg(F.max(F.col("q")[0]).alias("task_median"), F.min(F.col("q")[0]).alias("other_median"), F.count("*").alias("_tasks"))
+        met = per.join(spread_, "feature").where("_tasks >= 2 AND _n >= 6 AND _sd > 0")
+    else:
+        side = rows.withColumn("_in", F.col("task") == task)
+        sizes = side.groupBy("feature").agg(F.count_if("_in").alias("_a"), F.count_if(~F.col("_in")).alias("_b"))
+        per = group_quantiles(side, ["feature", "_in"], "value", [0.5]).groupBy("feature").agg(F.max(F.when(F.col("_in"), F.col("q")[0])).alias("task_median"), F.max(F.when(~F.col("_in"), F.col("q")[0])).alias("other_median"))
+        met = per.join(sizes, "feature").join(spread_, "feature").where("_a >= 3 AND _b >= 3 AND _sd > 0")
+    return met.select("feature", ((F.col("task_median") - F.col("other_median")) / F.col("_sd")).alias("effect"), F.abs((F.col("task_median") - F.col("other_median")) / F.col("_sd")).alias("abs_effect"), "task_median", "other_median")
+
+
+def exemplar_subjects(long: DataFrame, subjects: DataFrame, feature: str, top: int = 45) -> DataFrame:
+    """(subject_id, n): the `top` subjects with most values, two at least, of a feature, ties by name; subjects has (record_key, subject_id)."""
+    counts = long.where((F.col("feature") == feature) & F.col("value").isNotNull()).join(subjects.where("subject_id IS NOT NULL"), "record_key").groupBy("subject_id").agg(F.count("*").alias("n"))
+    return counts.where("n >= 2").orderBy(F.desc("n"), "subject_id").limit(top)
+
+
+def sorted_report(df: DataFrame, *order: tuple[str, bool]) -> DataFrame:
+    """df in a report's fixed order: (column, descending) pairs, missing values last."""
+    return df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order])

@@ -453,13 +453,13 @@ def _(read):
     return audit.qc_family_scores(_scaled(read), _families(read))
 
 
-FAMILY_CORR = _spearman_sql("SELECT a.family AS feature_1, b.family AS feature_2, a.score AS x, b.score AS y FROM fs a JOIN fs b ON a.record_key = b.record_key AND a.family < b.family", "feature_1, feature_2", 3, out="fc")
+FAMILY_CORR = _spearman_sql("SELECT a.family AS feature_1, b.family AS feature_2, round(a.score, 6) AS x, round(b.score, 6) AS y FROM fs a JOIN fs b ON a.record_key = b.record_key AND a.family < b.family", "feature_1, feature_2", 3, out="fc")
 
 
 @query("q31_qc_family_correlation", f"WITH {WARN}, {SCALED}, {FAMILY_CORR} SELECT feature_1 AS family_1, feature_2 AS family_2, round(rho, 6) AS spearman_rho, n AS n_pairwise FROM fc")
 def _(read):
     scores = settled(audit.qc_family_scores(_scaled(read), _families(read)))
-    found = relations.feature_correlation(scores.select("record_key", F.col("family").alias("feature"), F.col("score").alias("value")), min_n=3)
+    found = relations.feature_correlation(scores.select("record_key", F.col("family").alias("feature"), F.round("score", 6).alias("value")), min_n=3)  # equal scores differ in their last bits
     return found.where("spearman_rho IS NOT NULL").select(F.col("feature_1").alias("family_1"), F.col("feature_2").alias("family_2"), "spearman_rho", "n_pairwise")
 
 

@@ -220,14 +220,22 @@ def _(read):
     return aggregates.flag_counts(read("events"), "props", ",")
 
 
-@query("g20_temporal_summary", 'SELECT recording_id, count(*) AS n_samples, round(count(value)::DOUBLE / count(*)::DOUBLE, 6) AS valid_fraction, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value) - min(value), 6) AS "range", round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(min(value), 6) AS "min", round(max(value), 6) AS "max" FROM frames GROUP BY recording_id')
+TEMPORAL = "SELECT recording_id, count(*) AS n_samples, round(count(value)::DOUBLE / count(*)::DOUBLE, 6) AS valid_fraction, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6) AS range_p05_p95"
+
+
+@query("g20_temporal_summary", f"{TEMPORAL} FROM frames GROUP BY recording_id")
 def _(read):
     return aggregates.temporal_summary(read("frames"), BY, "value")
 
 
-@query("g23_segment_summary", f"WITH {SEGMENTS} SELECT recording_id, count(*) AS n_segments, round(coalesce(sum(duration_sec) FILTER (segment_role = 'speech'), 0) / sum(duration_sec), 6) AS speech_fraction, round(coalesce(sum(duration_sec) FILTER (segment_role = 'leading'), 0), 6) AS leading_silence_sec, round(coalesce(sum(duration_sec) FILTER (segment_role = 'trailing'), 0), 6) AS trailing_silence_sec, round(coalesce(max(duration_sec) FILTER (segment_role = 'internal'), 0), 6) AS longest_internal_pause_sec FROM sg GROUP BY recording_id")
+@query("g20_temporal_summary_dense", TEMPORAL + ', round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(min(value), 6) AS "min", round(max(value), 6) AS "max", round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.99), 6) AS p99 FROM frames GROUP BY recording_id')
+def _(read):
+    return aggregates.temporal_summary(read("frames"), BY, "value", dense=True)
+
+
+@query("g23_segment_summary", f"WITH {SEGMENTS}, lv AS (SELECT recording_id, quantile_cont(value, 0.5) AS m, stddev_pop(value) AS s FROM frames GROUP BY recording_id) SELECT sg.recording_id, count(*) AS n_segments, round(coalesce(sum(duration_sec) FILTER (segment_role = 'speech'), 0) / sum(duration_sec), 6) AS speech_fraction, round(coalesce(sum(duration_sec) FILTER (segment_role = 'leading'), 0), 6) AS leading_silence_sec, round(coalesce(sum(duration_sec) FILTER (segment_role = 'trailing'), 0), 6) AS trailing_silence_sec, round(coalesce(max(duration_sec) FILTER (segment_role = 'internal'), 0), 6) AS longest_internal_pause_sec, round(any_value(m), 6) AS value_median, round(any_value(s), 6) AS value_std FROM sg JOIN lv ON lv.recording_id = sg.recording_id GROUP BY sg.recording_id")
 def _(read):
-    return aggregates.segment_summary(_segments(read), BY)
+    return aggregates.segment_summary(_segments(read), BY, read("frames"), "value")
 
 
 @query("g24_timing_features", f"WITH {SEGMENTS}, i AS (SELECT *, min(start_sec) FILTER (segment_type = 'speech') OVER (PARTITION BY recording_id) AS a, max(end_sec) FILTER (segment_type = 'speech') OVER (PARTITION BY recording_id) AS b FROM sg), j AS (SELECT *, segment_type = 'speech' AS sp, CASE WHEN segment_type <> 'speech' AND duration_sec >= 0.07e0 THEN duration_sec END AS p, CASE WHEN segment_type = 'speech' AND duration_sec > 0.07e0 THEN duration_sec END AS s FROM i WHERE start_sec >= a AND end_sec <= b), k AS (SELECT recording_id, max(b) - min(a) AS total_duration, coalesce(sum(duration_sec) FILTER (sp), 0) AS speech_duration, coalesce(sum(p), 0) AS pause_duration, count(p) AS n_pauses, count(s) AS n_phrases, avg(p) AS mean_pause, avg(s) AS mean_phrase, stddev_samp(p) / CASE WHEN avg(p) > 0 THEN avg(p) END AS cv_pause, stddev_samp(s) / CASE WHEN avg(s) > 0 THEN avg(s) END AS cv_phrase FROM j GROUP BY recording_id) SELECT recording_id, n_pauses, n_phrases, {_R('total_duration', 'speech_duration', 'pause_duration', 'mean_pause', 'mean_phrase', 'cv_pause', 'cv_phrase')}, round(100 * pause_duration / CASE WHEN total_duration > 0 THEN total_duration END, 6) AS percent_pause FROM k")

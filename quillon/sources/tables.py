@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillon.functions.scalars import finite
 
@@ -21,17 +24,24 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[finite(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def read_table(spark: SparkSession, path: str, txt_separator: str = "\t", infer: bool = True) -> DataFrame:
-    """CSV, TSV, TXT or Parquet by suffix, names trimmed, NaN as NULL; any other suffix is an error.
+def read_table(spark: SparkSession, path: str | None, txt_separator: str = "\t", infer: bool = True, text: tuple[str, ...] = ()) -> DataFrame | None:
+    """CSV, TSV, TXT or Parquet by suffix, names trimmed, NaN as NULL; any other suffix is an error, no path is no table.
 
-    With infer=False all columns of a text file stay strings, so that identifiers that look like numbers keep their form.
+    With infer=False all columns of a text file stay strings, so that identifiers that look like numbers keep their form;
+    `text` names columns that stay strings while the others are inferred. Lenient readers of .txt pass a comma.
     """
+    if path is None:
+        return None
     suffix = path.rstrip("/").rpartition(".")[2].lower()
     separators = {"csv": ",", "tsv": "\t", "txt": txt_separator}
     if suffix == "parquet":
         df = spark.read.parquet(path)
     elif suffix in separators:
-        df = spark.read.option("header", True).option("sep", separators[suffix]).option("inferSchema", infer).csv(path)
+        reader = spark.read.option("header", True).option("sep", separators[suffix])
+        df = reader.option("inferSchema", infer).csv(path)
+        if infer and text:
+            schema = StructType([StructField(f.name, StringType() if f.name.strip() in text else f.dataType) for f in df.schema])
+            df = reader.schema(schema).csv(path)
     else:
         raise ValueError(f"unknown kind of table: {path}")
     return nan_to_null(trim_columns(df))
@@ -53,19 +63,35 @@ def normalize_registry(registry: DataFrame) -> DataFrame:
     return registry.select(*out).where("feature IS NOT NULL")
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, csv: bool = False) -> None:
+    """Parquet, or CSV with a header; folders are made, what was there is replaced, and an empty CSV table is its header alone."""
+    if csv and partition_by is None and df.isEmpty():
+        df = df.coalesce(1)  # a header needs one partition
+        if not df.rdd.getNumPartitions():
+            df = df.sparkSession.createDataFrame([], df.schema).repartition(1)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    writer = writer.partitionBy(partition_by) if partition_by else writer
+    writer.option("header", True).csv(path) if csv else writer.parquet(path)
 
 
 def write_feature_handoff(values: DataFrame, registry: DataFrame, status: DataFrame, folder: str, modality: str) -> None:
-    """Values, registry and status of a modality, and a one-row manifest that tells how many rows each has."""
+    """Values, registry and status of a modality in a folder of their own, and then a one-row manifest that names it and tells how many rows each has.
+
+    The manifest is replaced last: until then it names the tables of the hand-off before.
+    """
+    version = uuid.uuid4().hex
     tables = {"values": values, "registry": normalize_registry(registry), "status": status}
-    for name, df in tables.items():
-        write_table(df, f"{folder}/{name}")
     spark = values.sparkSession
-    counts = [spark.read.parquet(f"{folder}/{name}").count() for name in tables]
-    write_table(spark.createDataFrame([(modality, *counts)], "modality string, n_values long, n_registry long, n_status long"), f"{folder}/manifest")
+    for name, df in tables.items():
+        write_table(df, f"{folder}/{version}/{name}")
+    counts = [spark.read.parquet(f"{folder}/{version}/{name}").count() for name in tables]
+    write_table(spark.createDataFrame([(modality, version, *counts)], "modality string, version string, n_values long, n_registry long, n_status long"), f"{folder}/manifest")
+
+
+def read_feature_handoff(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the hand-off that the manifest names."""
+    version = spark.read.parquet(f"{folder}/manifest").first()["version"]
+    return {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in ("values", "registry", "status")}
 
 
 def write_ml_tables(df: DataFrame, ids: list[str], context: list[str], predictors: list[str], folder: str, partition_by: str | None = None) -> None:

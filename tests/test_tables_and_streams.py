@@ -28,8 +28,28 @@ def test_media_and_handoff(spark, tmp_path):
     values = spark.createDataFrame([("r1", 1.0)], "record_key string, f0 double")
     registry = spark.createDataFrame([("f0", "phonatory", "50")], "feature_name string, subsystem string, low string")
     tables.write_feature_handoff(values, registry, values, f"file://{tmp_path}/out", "acoustic")
-    assert spark.read.parquet(f"file://{tmp_path}/out/registry").first()["expected_low"] == 50
-    assert tuple(spark.read.parquet(f"file://{tmp_path}/out/manifest").first()) == ("acoustic", 1, 1, 1)
+    assert tables.read_feature_handoff(spark, f"file://{tmp_path}/out")["registry"].first()["expected_low"] == 50
+    tables.write_feature_handoff(values.union(values), registry, values, f"file://{tmp_path}/out", "acoustic")
+    assert tables.read_feature_handoff(spark, f"file://{tmp_path}/out")["values"].count() == 2
+    assert tuple(spark.read.parquet(f"file://{tmp_path}/out/manifest").drop("version").first()) == ("acoustic", 2, 1, 1)
+
+
+def test_csv_keeps_headers_and_ids(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1.5)], "id string, x double")
+    tables.write_table(df.where("false"), f"file://{tmp_path}/empty.csv", csv=True)
+    tables.write_table(df, f"file://{tmp_path}/some.csv", csv=True)
+    assert tables.read_table(spark, f"file://{tmp_path}/empty.csv").columns == ["id", "x"]
+    assert tuple(tables.read_table(spark, f"file://{tmp_path}/some.csv", text=("id",)).first()) == ("007", 1.5)
+    assert tables.read_table(spark, None) is None
+    (tmp_path / "t.txt").write_text("a,b\n1,2\n")
+    assert tables.read_table(spark, f"file://{tmp_path}/t.txt", ",").columns == ["a", "b"]
+
+
+def test_ml_tables(spark, tmp_path):
+    df = spark.createDataFrame([("r1", "t", 1.0, 2.0)], "id string, task string, f double, g double")
+    tables.write_ml_tables(df, ["id"], ["task"], ["f", "g"], f"file://{tmp_path}/ml", "task")
+    read = lambda n: sorted(spark.read.parquet(f"file://{tmp_path}/ml/{n}").columns)
+    assert (read("ids_predictors"), read("ids_context_predictors"), read("predictors")) == (["f", "g", "id"], ["f", "g", "id", "task"], ["f", "g"])
 
 
 def test_plugin_failure_is_a_result(spark):
@@ -84,3 +104,40 @@ def test_streams_equal_batch(spark, tmp_path, name):
     q.awaitTermination(120)
     seen = lambda d: sorted(tuple(round(x, 6) if isinstance(x, float) else str(x) for x in r) for r in d.collect())
     assert seen(spark.table(f"t_{name}")) == seen(run(rows))
+
+
+def test_stream_dedupe_join_and_runs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:01", "a", True), (2, "2024-01-01 00:00:02", "a", True), (1, "2024-01-01 00:00:03", "a", False), (3, "2024-01-01 00:00:04", "b", True)], "id long, t string, rec string, ok boolean").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    meta = spark.createDataFrame([("a", "site 1"), ("a", "again")], "rec string, site string")
+    source = lambda: spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in")
+
+    def run(name, df, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        return spark.table(name).collect()
+
+    assert sorted(r["id"] for r in run("t_dedupe", live.stream_dedupe(source(), "ts", ["id"]), "append")) == [1, 2, 3]
+    assert [r["site"] for r in run("t_join", live.stream_metadata_join(source(), meta, ["rec"]).where("rec = 'b'"), "append")] == [None]
+    assert len(spark.table("t_join").collect()) == 1
+
+
+def test_run_state_carries_on():
+    import pandas as pd
+
+    class Value:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+    state = live.RunState()
+    state.run = Value()
+    feed = lambda *flags: next(state.handleInputRows(("a",), iter([pd.DataFrame({"recording": "a", "at": range(len(flags)), "flag": flags})]), None)).iloc[0].tolist()
+    assert feed(True, True) == ["a", True, 2] and feed(True) == ["a", True, 3] and feed(False, True) == ["a", True, 1]
