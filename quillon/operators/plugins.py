@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.audit import qc_threshold_warnings
+from quillon.operators.audit import qc_threshold_warnings, rules_table
 
 RESULT = "feature string, value double, status string, note string"
 
@@ -42,7 +42,6 @@ def register_statistic(reduce: Callable[[pd.Series], float]) -> Callable[[str],
     return statistic
 
 
-def apply_rules(qc_long: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """Warnings of rules (metric, 'high' or 'low', limit)."""
-    table = qc_long.sparkSession.createDataFrame(rules, "qc_variable string, direction string, limit double")
-    return qc_threshold_warnings(qc_long, table)
+def apply_rules(qc_long: DataFrame, rules: list[tuple[str, str, str, float, str]]) -> DataFrame:
+    """Warnings of a user's rules: (family, feature, 'high' or 'low', threshold, warning)."""
+    return qc_threshold_warnings(qc_long, rules_table(qc_long, tuple(rules)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import audit, columns, export, landmarks, relations, signals, spectra, windows
+from quillon.operators import audit, columns, export, landmarks, plugins, relations, signals, spectra, windows
 
 BY = ["r"]
 
@@ -195,3 +195,9 @@ def test_screened_bands_of_two_tones(spark):
     spectrum = spectra.modulation_spectrum(envelope, BY, "at", "x", 100.0)
     row = spectra.modulation_features(spectrum, BY).first()
     assert (row["peak1_hz"], row["peak2_hz"]) == (2.0, 5.0) and row["below"] > 0.7 and row["below"] + row["above"] == pytest.approx(1, abs=0.01)
+
+
+def test_rules_of_a_user(spark):
+    long = spark.createDataFrame([("a", "loudness", 3.0), ("b", "loudness", 9.0)], "record_key string, feature string, value double")
+    got = plugins.apply_rules(long, [("level", "loudness", "high", 4.0, "loud")])
+    assert rows_of(got, "record_key", "family", "warning", "severity") == [("b", "level", "loud", "strong_review")]
