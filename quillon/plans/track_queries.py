@@ -11,6 +11,11 @@ from quillon.plans.views import POINTS
 
 W = "OVER (PARTITION BY recording_id ORDER BY frame)"
 
+def _scaled_first(df, digits: int):
+    """Doubles scaled before rounding, as DuckDB rounds: means of a few values with two decimals often tie."""
+    return df.withColumns({c: F.round(F.col(c) * 10.0**digits) / 10.0**digits for c, t in df.dtypes if t == "double"})
+
+
 # A spectrum of some 66 bins, 5 Hz apart, per recording.
 SP = "sp AS (SELECT recording_id, frame * 5e0 AS f, coalesce(value, 0e0) + 1 AS p FROM frames)"
 
@@ -87,14 +92,14 @@ FINE_TRACKS = f"{TRACKS}, ok AS (SELECT recording_id, frame, " + ", ".join(f"CAS
 
 @query("x18_formant_summary", f"WITH {FINE_TRACKS} SELECT recording_id, {', '.join(f'round(avg(f{k}), 5) AS f{k}, round(quantile_cont(bw{k}, 0.5), 5) AS f{k}_bw' for k in range(1, 6))}, {', '.join(f'round(CASE WHEN count(f{k}) >= 2 THEN max(f{k}) - min(f{k}) END, 5) AS f{k}_range' for k in (1, 2, 3))}, round(avg((f1 IS NOT NULL AND f2 IS NOT NULL)::INT), 5) AS valid_fraction, CASE WHEN avg((f1 IS NOT NULL AND f2 IS NOT NULL)::INT) < 0.35 THEN 'low_validity' ELSE 'computed' END AS status FROM ok GROUP BY recording_id", digits=5)
 def _(read):
-    return spectra.formant_summary(_formants(read), BY, "frame")
+    return _scaled_first(spectra.formant_summary(_formants(read), BY, "frame"), 5)
 
 
 @query("x19_phonatory_summary", "WITH v AS (SELECT recording_id, detected AND frame % 6 = 0 AS voiced, 80 + value AS f0, value / 4 AS cpp, value / 8 AS hnr, 90 + value AS h1f, -value AS h1a, 180 + value AS h2f, -2 * value AS h2a FROM frames) SELECT recording_id, round(avg(f0) FILTER (voiced), 6) AS f0_mean, round(avg(cpp) FILTER (voiced), 6) AS cpp_mean, round(avg(hnr) FILTER (voiced), 6) AS hnr, round(avg(h1f) FILTER (voiced), 6) AS h1_freq, round(avg(h1a) FILTER (voiced), 6) AS h1_amp, round(avg(h2f) FILTER (voiced), 6) AS h2_freq, round(avg(h2a) FILTER (voiced), 6) AS h2_amp, round(stddev_pop(f0) FILTER (voiced), 6) AS f0_sd, round(avg(voiced::INT), 6) AS voice_fraction, CASE WHEN count(f0) FILTER (voiced) >= 5 THEN 'computed' ELSE 'computed_with_warning' END AS status FROM v GROUP BY recording_id")
 def _(read):
     v = F.col("value")
     rows = read("frames").select("recording_id", (F.col("detected") & (F.col("frame") % 6 == 0)).alias("voiced"), (80 + v).alias("f0"), (v / 4).alias("cpp"), (v / 8).alias("hnr"), (90 + v).alias("h1_freq"), (-v).alias("h1_amp"), (180 + v).alias("h2_freq"), (-2 * v).alias("h2_amp"))
-    return spectra.phonatory_summary(rows, BY)
+    return _scaled_first(spectra.phonatory_summary(rows, BY), 6)
 
 
 # Spectra of 60 bins, 60 Hz apart, three to a recording.
