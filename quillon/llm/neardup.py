@@ -316,9 +316,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not exact:
         of = lambda c: nodes.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         near = near.join(of("a"), "a").join(of("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= needed).select("a", "b")
-    # lists of the same documents have the same leader as a rule, so that a node is in few frames
-    framed = tagged.where(f"n_far > {SHORT}").groupBy(F.col("leader").alias("frame"), "rep").agg(F.max("often").alias("often"))
-    centres = framed.groupBy("frame").agg(F.max("often").alias("often")).join(sets.select(F.col("rep").alias("frame"), F.col("grams").alias("centre")), "frame")
+    # long lists with the same main component are one frame, so that a node is in few of them; the leader of the longest is its centre
+    long = tagged.where(f"n_far > {SHORT}").select(F.col("leads").alias("frame"), "rep", "often", "leader")
+    framed = long.groupBy("frame", "rep").agg(F.max("often").alias("often"))
+    centres = long.groupBy("frame").agg(F.max(F.struct("often", "leader")).alias("x")).select("frame", "x.often", "x.leader").join(sets.select(F.col("rep").alias("leader"), F.col("grams").alias("centre")), "leader").drop("leader")
     placed = dealt_join(framed.join(sets, "rep"), centres, ["frame"])
     frames = written(placed.select(F.col("frame").cast("string").alias("frame"), "rep", "n", F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams")).alias("delta"), "often"), f"{folder}/frames")
 
