@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, importance, license_scan, line_rules, media, mixing, neardup, piece_count, planes, toxicity, transcripts
+from quillon.llm import decontaminate, importance, license_scan, line_rules, media, mixing, neardup, piece_count, planes, spelling, toxicity, transcripts
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         importance.op8_importance,
         piece_count.op9_piece_counts,
         mixing.op10_source_mix,
+        spelling.op11_spelling_variants,
         line_rules.op13_line_rules,
     )
 }
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op4_minhash_dedup": neardup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
+    "op11_spelling_variants": spelling.ORACLE_SQL,
     "op13_line_rules": line_rules.ORACLE_SQL,
 }

@@ -70,7 +70,7 @@ def test_empty_table(spark):
 
 def test_lines_and_documents_that_go(spark):
     clean = "The river ran high in the spring of that year, and nobody crossed it.\nWe waited for the water to fall."
-    menu = "Home | About | Contact\nSign up\nRead more\n" + clean
+    menu = "Home | About | Contact | Products | Press\nSign up\nRead more\n" + clean
     shout = "BUY!! NOW!! ONLY!! TODAY!! FOR!! YOU!! AND!! ALL!! YOUR!! FRIENDS!! HERE!!"
     docs = spark.createDataFrame(list(enumerate([clean, menu, shout])), "doc_id int, text string")
     got = {r["id"]: r for r in line_rules.clean_lines(docs).collect()}
