@@ -42,10 +42,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def smaller_batches(spark: SparkSession) -> Iterator[None]:
+def smaller_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> Iterator[None]:
     """The same for a while; the session gets its own setting back."""
     before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    spark.conf.set(BATCH_SETTING, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, importance, license_scan, line_rules, media, mixing, neardup, piece_count, planes, spelling, toxicity, transcripts
+from quillon.llm import decontaminate, importance, license_scan, line_rules, media, mixing, negatives, neardup, piece_count, planes, spelling, toxicity, transcripts
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         piece_count.op9_piece_counts,
         mixing.op10_source_mix,
         spelling.op11_spelling_variants,
+        negatives.op12_hard_negatives,
         line_rules.op13_line_rules,
     )
 }
@@ -27,5 +28,6 @@ ORACLE_SQL = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op10_source_mix": mixing.ORACLE_SQL,
     "op11_spelling_variants": spelling.ORACLE_SQL,
+    "op12_hard_negatives": negatives.ORACLE_SQL,
     "op13_line_rules": line_rules.ORACLE_SQL,
 }
