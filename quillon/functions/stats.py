@@ -1,4 +1,4 @@
-"""Statistics over long tables (key, feature, value): quantiles, robust scores, ranks and rank correlation.
+"""Statistics over long tables (key, feature, value): quantiles and robust scores; ranks are in quillon.functions.gram.
 
 Values are DOUBLE with NULL for missing; `long_form` turns NaN into NULL. Quantiles are exact and linear between ranks;
 `approx` gives percentile_approx instead, which needs no map of all values of a feature but doesn't interpolate.
@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import finite
+from quillon.functions.shared import settled
 
 OUTLIER_Z = 3.5
+#: Accuracy of the sketch that narrows quantiles, groups that need none, and groups whose ranges are broadcast.
+SKETCH = 10_000
+SMALL_GROUP = 4096
+BROADCAST_GROUPS = 100_000
 
 
 def long_form(df: DataFrame, key: str | list[str], features: list[str]) -> DataFrame:
@@ -27,36 +32,34 @@ def quantiles(x: str, qs: list[float], approx: bool = False) -> Column:
     return F.percentile_approx(x, at, 10_000) if approx else F.percentile(x, at)
 
 
-def value_range(value: Column) -> Column:
-    """A number that never falls as the value rises, 256 of them for each doubling: it cuts values into ranges without looking at them first."""
-    at = F.floor(F.least(F.log2(F.abs(value)), F.lit(1025.0)) * 256) + 300_000  # the smallest double is 2 ** -1074
-    return F.when(value > 0, at).when(value < 0, -at).otherwise(0)
-
-
-def _ties(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """(by..., value, _ties, _range) per distinct value, and (by..., _range, _held, _before, _all) per range: rows in it, in lower ones and in the group."""
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("_ties")).withColumn("_range", value_range(F.col(value).cast("double")))
-    group = Window.partitionBy(*by)
-    held = ties.groupBy(*by, "_range").agg(F.sum("_ties").alias("_held"))
-    lower = F.sum("_held").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    return ties, held.select(*by, "_range", "_held", F.coalesce(lower, F.lit(0)).alias("_before"), F.sum("_held").over(group).alias("_all"))
-
-
 def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
-    """(by..., q): what quantiles() gives for each group, without a map of a group's values: only the ranges that hold a quantile are sorted.
+    """(by..., q): what quantiles() gives for each group, without a map of a group's values. Groups without a value are left out; NULL in `by` is a group.
 
-    Groups without a value are left out.
+    Two passes, whose ranges are narrowed by the data: the first finds by a sketch, for each quantile, two values that lie
+    some thousandths of the group's rows below and above it; the second counts the rows between those ranges as one, and
+    only what lies within them value by value. Groups of up to SMALL_GROUP rows are one range.
     """
-    ties, ranges = _ties(df.where(F.col(value).isNotNull()), by, value)
-    places = [F.lit(q) * (F.col("_all") - 1) for q in qs]
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_g"), F.col(value).cast("double").alias("_v"))
+    qs, margin = list(qs), 8 / SKETCH
+    ends = [min(max(q + side * margin, 0.0), 1.0) for q in sorted(set(qs)) for side in (-1, 1)]
+    ranges = rows.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.percentile_approx("_v", ends, SKETCH).alias("_e"))
+    small = F.col("_n") <= SMALL_GROUP
+    pairs = [(F.when(F.lit(ends[k] <= 0.0) | small, F.col("_low")).otherwise(F.col("_e")[k]), F.when(F.lit(ends[k + 1] >= 1.0) | small, F.col("_high")).otherwise(F.col("_e")[k + 1])) for k in range(0, len(ends), 2)]
+    ranges = settled(ranges.select("_g", "_n", F.array(*[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs]).alias("_r")))
+    few = F.broadcast(ranges) if ranges.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else ranges
+    met = rows.join(few, "_g")
+    inside = F.exists("_r", lambda r: (F.col("_v") >= r["a"]) & (F.col("_v") <= r["b"]))
+    gap = F.aggregate("_r", F.lit(0), lambda k, r: k + (r["b"] < F.col("_v")).cast("int"))
+    cells = met.groupBy("_g", "_n", F.when(inside, F.col("_v")).alias("_x"), F.when(~inside, gap).alias("_gap")).agg(F.count("*").alias("_ties"), F.min("_v").alias("_v"))
+    upto = F.sum("_ties").over(Window.partitionBy("_g", "_n").orderBy("_v"))
+    ranked = cells.withColumn("_upto", upto)
+    places = [F.lit(q) * (F.col("_n") - 1) for q in qs]
     ranks = [r for p in places for r in (F.floor(p), F.ceil(p))]
-    some = ranges.where(F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_held"))))
-    upto = F.col("_before") + F.sum("_ties").over(Window.partitionBy(*by, "_range").orderBy(value))
-    near = ties.join(some, [*by, "_range"]).withColumn("_upto", upto)
-    at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_ties")) & (r < F.col("_upto")), F.col(value)))
-    found = near.groupBy(*by, "_all").agg(*[at(r).alias(f"_v{k}") for k, r in enumerate(ranks)])
-    q = [F.when(F.col(f"_v{2 * k}") == F.col(f"_v{2 * k + 1}"), F.col(f"_v{2 * k}")).otherwise((F.ceil(p) - p) * F.col(f"_v{2 * k}") + (p - F.floor(p)) * F.col(f"_v{2 * k + 1}")) for k, p in enumerate(places)]
-    return found.select(*by, F.array(*q).alias("q"))
+    at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_ties")) & (r < F.col("_upto")), F.col("_x")))
+    found = ranked.groupBy("_g", "_n").agg(*[at(r).alias(f"_v{k}") for k, r in enumerate(ranks)])
+    there = lambda k: F.coalesce(F.col(f"_v{k}"), F.raise_error(F.lit("a quantile lies outside its range")).cast("double"))
+    q = [F.when(there(2 * k) == there(2 * k + 1), there(2 * k)).otherwise((F.ceil(p) - p) * there(2 * k) + (p - F.floor(p)) * there(2 * k + 1)) for k, p in enumerate(places)]
+    return found.select("_g.*", F.array(*q).alias("q"))
 
 
 def spread(long: DataFrame, by: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -75,33 +78,14 @@ def robust_z(value: Column, spread_less: float | None = None) -> Column:
     return F.when(F.col("mad") > 0, 0.6745 * away / F.col("mad")).when(F.col("iqr") > 0, away / (F.col("iqr") / 1.349)).when(F.lit(spread_less is not None) & F.col("med").isNotNull(), F.lit(spread_less).cast("double"))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
-    """df with the average rank of `value` among rows equal in `by`; values should not be NULL.
-
-    Ranks come from counts per distinct value, and each range's first rank from the sums of the lower ones, so only a
-    range's distinct values are sorted in one task.
-    """
-    ties, ranges = _ties(df, by, value)
-    order = Window.partitionBy(*by, "_range").orderBy(value)
-    ranked = ties.join(ranges, [*by, "_range"]).withColumn(rank, F.col("_before") + F.sum("_ties").over(order) - (F.col("_ties") - 1) / 2)
-    return df.join(ranked.select(*by, value, rank), [*by, value])
-
-
-def rank_correlation(x: str, y: str) -> Column:
-    """Pearson's r of a group, NULL where either side doesn't vary; corr() fails on those in ANSI mode."""
-    spread_ = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread_ > 0, F.covar_pop(x, y) / spread_)
-
-
-def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y", min_n: int = 8, min_distinct: int = 2) -> DataFrame:
-    """(by..., n, rho): rank correlation of complete pairs within each group of at least min_n pairs and min_distinct values."""
-    full = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_ranks(average_ranks(full, by, x, "_rx"), by, y, "_ry")
-    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), rank_correlation("_rx", "_ry").alias("rho"), F.count_distinct(x).alias("_dx"), F.count_distinct(y).alias("_dy"))
-    return found.where((F.col("n") >= min_n) & (F.col("_dx") >= min_distinct) & (F.col("_dy") >= min_distinct)).select(*by, "n", "rho")
-
-
 def adjusted_skewness(x: str) -> Column:
     """Bias-corrected G1 of a group; Spark's skewness is the population's."""
     n = F.count(x)
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def joined_by(df: DataFrame, other: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """df with other's columns for equal `by`, NULL being equal to NULL; other has one row per group."""
+    named = other.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(named, on, how).drop(*[f"_by_{c}" for c in by])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.stats import group_quantiles, long_form, quantiles
+from quillon.functions.stats import group_quantiles, joined_by, long_form, quantiles
 
 
 def group_counts(df: DataFrame, design: list[str]) -> DataFrame:
@@ -67,7 +67,8 @@ def aggregate_features(df: DataFrame, keys: list[str], features: list[str], medi
 
 def aggregate_multistat(long: DataFrame, keys: list[str]) -> DataFrame:
     """Twelve statistics of each feature per group: the SD is that of the values themselves, from two on."""
-    found = long.groupBy(*keys, "feature").agg(F.count("value").alias("n"), (1 - F.count("value") / F.count("*")).alias("missing_fraction"), F.avg("value").alias("mean"), F.when(F.count("value") >= 2, F.stddev_pop("value")).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), quantiles("value", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("q"))
+    found = long.groupBy(*keys, "feature").agg(F.count("value").alias("n"), (1 - F.count("value") / F.count("*")).alias("missing_fraction"), F.avg("value").alias("mean"), F.when(F.count("value") >= 2, F.stddev_pop("value")).alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    found = joined_by(found, group_quantiles(long, [*keys, "feature"], "value", [0.05, 0.25, 0.5, 0.75, 0.95]), [*keys, "feature"])
     q = [F.get("q", F.lit(k)) for k in range(5)]
     return found.select(*keys, "feature", "n", "missing_fraction", "mean", q[2].alias("median"), "sd", (q[3] - q[1]).alias("iqr"), q[0].alias("q05"), q[1].alias("q25"), q[3].alias("q75"), q[4].alias("q95"), "min", "max")
 
@@ -151,8 +152,9 @@ def format_summary(files: DataFrame, by: list[str]) -> DataFrame:
 def ingest_summary(files: DataFrame) -> DataFrame:
     """One row: whether the files can be read (FAIL, REVIEW, PASS), their numbers, frames, rates and durations."""
     ok = F.lower(F.coalesce("status", F.lit(""))) == "pass"
-    mid = lambda c: F.get(quantiles(c, [0.5]), F.lit(0))
-    found = files.agg(F.count("*").alias("n_videos"), F.count_if(ok).alias("readable_videos"), F.count_if(_warned()).alias("warning_videos"), F.count_if(~ok).alias("unreadable_videos"), F.coalesce(F.sum("n_frames"), F.lit(0)).alias("total_frames"), mid("fps").alias("median_fps"), F.min("fps").alias("min_fps"), F.max("fps").alias("max_fps"), mid("duration_sec").alias("median_duration_sec"), F.sum("duration_sec").alias("total_duration_sec"))
+    middle = group_quantiles(files.select(F.lit(0).alias("of"), "fps", "duration_sec").unpivot(["of"], ["fps", "duration_sec"], "measure", "x"), ["measure"], "x", [0.5])
+    middle = middle.agg(*[F.max(F.when(F.col("measure") == c, F.col("q")[0])).alias(f"median_{c}") for c in ("fps", "duration_sec")])
+    found = files.agg(F.count("*").alias("n_videos"), F.count_if(ok).alias("readable_videos"), F.count_if(_warned()).alias("warning_videos"), F.count_if(~ok).alias("unreadable_videos"), F.coalesce(F.sum("n_frames"), F.lit(0)).alias("total_frames"), F.min("fps").alias("min_fps"), F.max("fps").alias("max_fps"), F.sum("duration_sec").alias("total_duration_sec")).crossJoin(middle)  # one row each
     return found.withColumn("readiness", F.when(F.col("readable_videos") == 0, "FAIL").when(F.col("warning_videos") > 0, "REVIEW").otherwise("PASS"))
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import log_transform, missingness_band, qc_family_of, range_band, reason_list, winsorize, worst_of
+from quillon.functions.gram import cross_correlations
 from quillon.functions.shared import global_rank
-from quillon.functions.stats import OUTLIER_Z, adjusted_skewness, group_quantiles, quantiles, robust_z, spearman, spread
+from quillon.functions.stats import OUTLIER_Z, adjusted_skewness, group_quantiles, quantiles, robust_z, spread
 
 
 def with_family(df: DataFrame, registry: DataFrame, feature: str = "feature", out: str = "family") -> DataFrame:
@@ -161,7 +162,8 @@ def quality_landscape(dist: DataFrame, registry: DataFrame) -> DataFrame:
 
 def qc_catalog(qc_long: DataFrame) -> DataFrame:
     """Family, counts and spread of each quality metric."""
-    found = qc_long.groupBy("feature").agg(F.count("value").alias("n"), (1 - F.count("value") / F.count("*")).alias("missing_fraction"), quantiles("value", [0.25, 0.5, 0.75]).alias("q"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("value").alias("unique_values"))
+    found = qc_long.groupBy("feature").agg(F.count("value").alias("n"), (1 - F.count("value") / F.count("*")).alias("missing_fraction"), F.min("value").alias("min"), F.max("value").alias("max"), F.count_distinct("value").alias("unique_values"))
+    found = found.join(group_quantiles(qc_long, ["feature"], "value", [0.25, 0.5, 0.75]), "feature", "left")
     return found.select(F.col("feature").alias("qc_variable"), qc_family_of(F.col("feature")).alias("artifact_family"), "n", "missing_fraction", F.get("q", F.lit(1)).alias("median"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"), "min", "max", "unique_values")
 
 
@@ -187,14 +189,13 @@ def qc_family_burden(qc_long: DataFrame) -> DataFrame:
     return metrics.join(rows, "artifact_family")
 
 
-def _against_qc(long: DataFrame, qc_long: DataFrame) -> DataFrame:
-    """(feature, qc_variable, x, y) of rows with the same key."""
-    return long.select("record_key", "feature", F.col("value").alias("x")).join(qc_long.select("record_key", F.col("feature").alias("qc_variable"), F.col("value").alias("y")), "record_key")
+def _as_qc(qc_long: DataFrame) -> DataFrame:
+    return qc_long.select("record_key", F.col("feature").alias("qc_variable"), "value")
 
 
 def feature_qc_correlation(long: DataFrame, qc_long: DataFrame, min_n: int = 4) -> DataFrame:
     """Rank correlation of every feature with every quality metric over the rows that have both."""
-    return spearman(_against_qc(long, qc_long), ["feature", "qc_variable"], min_n=min_n)
+    return cross_correlations(long, _as_qc(qc_long), "feature", "qc_variable", min_n)
 
 
 def feature_qc_family(correlation: DataFrame) -> DataFrame:
@@ -207,14 +208,14 @@ def feature_qc_family(correlation: DataFrame) -> DataFrame:
 
 def missingness_qc_association(long: DataFrame, qc_long: DataFrame) -> DataFrame:
     absent = long.withColumn("value", F.col("value").isNull().cast("double"))
-    return spearman(_against_qc(absent, qc_long), ["feature", "qc_variable"])
+    return cross_correlations(absent, _as_qc(qc_long), "feature", "qc_variable")
 
 
 def outlier_qc_association(flags: DataFrame, qc_long: DataFrame) -> DataFrame:
     """Rank correlation of a row's number of outlier flags, 0 where it has none, with every quality metric."""
     counts = flags.groupBy("record_key").agg(F.count("*").alias("flags"))
-    pairs = qc_long.select("record_key", F.col("feature").alias("qc_variable"), F.col("value").alias("y")).join(counts, "record_key", "left").withColumn("x", F.coalesce("flags", F.lit(0)).cast("double"))
-    return spearman(pairs, ["qc_variable"])
+    rows = qc_long.select("record_key").distinct().join(counts, "record_key", "left").select("record_key", F.lit("flags").alias("of"), F.coalesce("flags", F.lit(0)).alias("value"))
+    return cross_correlations(rows, _as_qc(qc_long), "of", "qc_variable").drop("of")
 
 
 def qc_integration_summary(qc_long: DataFrame, correlation: DataFrame, missing: DataFrame, outlier: DataFrame) -> DataFrame:
@@ -261,6 +262,7 @@ QC_ADVICE = {
     "nonlinear_distortion": "Use caution with amplitude, CPP, spectral, and phonatory features; clipped files may need exclusion or sensitivity analysis.",
     "temporal_discontinuity": "Use caution with temporal/rhythm and signal-continuity-sensitive features; inspect files with dropouts/glitches.",
 }
+MANY_RULES = 10_000
 NO_ADVICE = "Review affected files before interpreting downstream acoustic features."
 NOTHING_FOUND = "No QC warning thresholds were triggered. Continue feature extraction, but still inspect plots and metadata."
 
@@ -272,7 +274,9 @@ def rules_table(df: DataFrame, rules: tuple[tuple, ...] = QC_RULES) -> DataFrame
 
 def qc_threshold_warnings(qc_long: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per value over a high or under a low threshold; strong_review over twice, or under half of it."""
-    met = qc_long.join(F.broadcast(rules_table(qc_long) if rules is None else rules), "feature")  # a handful of rules
+    rules = rules_table(qc_long) if rules is None else rules
+    few = rules.limit(MANY_RULES + 1).count() <= MANY_RULES
+    met = qc_long.join(F.broadcast(rules) if few else rules, "feature")
     high, v, limit = F.col("direction") == "high", F.col("value"), F.col("threshold")
     strong = F.when(high, v > 2 * limit).otherwise(v < F.greatest(F.lit(0.0), limit / 2))
     return met.where(F.when(high, v > limit).otherwise(v < limit)).select("record_key", "family", "feature", "value", "threshold", "direction", "warning", F.when(strong, "strong_review").otherwise("review").alias("severity"))
@@ -283,8 +287,8 @@ def qc_recommendations(warnings: DataFrame, records: DataFrame) -> DataFrame:
     n = records.agg(F.count("*").alias("n"))
     per = warnings.groupBy("family").agg(F.count_distinct("record_key").alias("n_records_flagged"))
     advice = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in QC_ADVICE.items() for x in kv]), F.col("family")), F.lit(NO_ADVICE))
-    some = per.join(F.broadcast(n)).where("n > 0").select("family", "n_records_flagged", (F.col("n_records_flagged") / F.col("n")).alias("fraction_records_flagged"), advice.alias("recommendation"))  # n is one row
-    none = n.join(F.broadcast(warnings.agg(F.count("*").alias("w")))).where("n > 0 AND w = 0")
+    some = per.crossJoin(n).where("n > 0").select("family", "n_records_flagged", (F.col("n_records_flagged") / F.col("n")).alias("fraction_records_flagged"), advice.alias("recommendation"))  # n is one row
+    none = n.crossJoin(warnings.agg(F.count("*").alias("w"))).where("n > 0 AND w = 0")
     return some.unionByName(none.select(F.lit("overall").alias("family"), F.lit(0).cast("bigint").alias("n_records_flagged"), F.lit(0.0).alias("fraction_records_flagged"), F.lit(NOTHING_FOUND).alias("recommendation")))
 
 

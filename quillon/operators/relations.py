@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import reason_list, relation_band, stability_band, strength_band
+from quillon.functions.scalars import finite, reason_list, relation_band, stability_band, strength_band
+from quillon.functions.gram import column_names, cross_correlations, moments, rank_correlations
 from quillon.functions.shared import settled
-from quillon.functions.stats import average_ranks, group_quantiles, long_form, quantiles, spearman
+from quillon.functions.stats import group_quantiles, long_form, quantiles
 from quillon.operators.audit import with_family
 
 
 def feature_correlation(long: DataFrame, min_n: int = 8) -> DataFrame:
     """Rank correlation of all pairs of features over the rows that have both, f1 before f2 by name; rho NULL below min_n rows."""
-    one = long.select("record_key", F.col("feature").alias("feature_1"), F.col("value").alias("x"))
-    two = long.select("record_key", F.col("feature").alias("feature_2"), F.col("value").alias("y"))
-    pairs = one.join(two, "record_key").where("feature_1 < feature_2")
-    counts = pairs.groupBy("feature_1", "feature_2").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n_pairwise"))
-    rho = spearman(pairs, ["feature_1", "feature_2"], min_n=min_n).drop("n")
-    out = counts.join(rho, ["feature_1", "feature_2"], "left")
+    found = rank_correlations(long, column_names(long), column="feature")
+    out = found.select(F.col("x").alias("feature_1"), F.col("y").alias("feature_2"), F.when(F.col("n") >= min_n, F.col("rho")).alias("rho"), F.col("n").alias("n_pairwise"))
     r = F.col("rho")
     return out.select("feature_1", "feature_2", r.alias("spearman_rho"), F.abs(r).alias("abs_spearman"), "n_pairwise", F.when(r >= 0, "positive").when(r < 0, "negative").otherwise("not_modelable").alias("direction"), relation_band(r).alias("relationship_strength"))
 
@@ -76,8 +76,7 @@ def relationship_summary(correlation: DataFrame, modules: DataFrame, variance: D
 
 def continuous_screen(long: DataFrame, outcomes_long: DataFrame) -> DataFrame:
     """Rank correlation of every feature with every outcome (record_key, outcome_variable, y): 8 rows and 3 distinct values at least."""
-    pairs = long.select("record_key", "feature", F.col("value").alias("x")).join(outcomes_long, "record_key")
-    found = spearman(pairs, ["outcome_variable", "feature"], min_n=8, min_distinct=3)
+    found = cross_correlations(long, outcomes_long.withColumnRenamed("y", "value"), "feature", "outcome_variable", min_n=8, min_distinct=3)
     r = F.col("rho")
     return found.select("outcome_variable", "feature", r.alias("effect"), F.abs(r).alias("abs_effect"), F.when(r > 0, "positive").when(r < 0, "negative").otherwise("none").alias("direction"), F.col("n").alias("n_pairwise"), strength_band(r).alias("screening_strength"))
 
@@ -93,18 +92,23 @@ def group_screen(long: DataFrame, groups_long: DataFrame, max_levels: int = 8) -
     levels = sizes.withColumn("place", F.row_number().over(Window.partitionBy("group_variable").orderBy(F.desc("size"), "level"))).withColumn("n_levels", F.count("*").over(Window.partitionBy("group_variable"))).where(F.col("n_levels").between(2, max_levels))
     rows = long.where("value IS NOT NULL").join(known, "record_key").join(levels, ["group_variable", "level"])
     key = ["group_variable", "feature"]
-    pooled = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct"), quantiles("value", [0.25, 0.75]).alias("q"), F.stddev_samp("value").alias("sd"))
-    per = rows.groupBy(*key, "level", "place", "n_levels").agg(F.count("*").alias("m"), F.get(quantiles("value", [0.5]), F.lit(0)).alias("med"))
+    rows = settled(rows.select("record_key", *key, "level", "place", "n_levels", "value"))
+    pooled = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct"), F.stddev_samp("value").alias("sd")).join(group_quantiles(rows, key, "value", [0.25, 0.75]), key)
+    medians = group_quantiles(rows, [*key, "level"], "value", [0.5]).select(*key, "level", F.col("q")[0].alias("med"))
+    per = rows.groupBy(*key, "level", "place", "n_levels").agg(F.count("*").alias("m")).join(medians, [*key, "level"])
     by = per.groupBy(*key, "n_levels").agg(F.min("m").alias("least"), F.max(F.when(F.col("place") == 1, F.struct("level", "med", "m"))).alias("a"), F.max(F.when(F.col("place") == 2, F.struct("level", "med", "m"))).alias("b"), F.max(F.struct("med", "level")).alias("top"), F.min(F.struct("med", "level")).alias("low"))
-    ranks = average_ranks(rows.where("n_levels = 2"), key, "value", "rank").where("place = 1").groupBy(*key).agg(F.sum("rank").alias("ranks"))
+    two_sides = known.join(levels.where("n_levels = 2"), ["group_variable", "level"]).select("record_key", F.concat(F.lit("g"), "group_variable").alias("column"), (F.col("place") == 1).cast("double").alias("value"))
+    values = long.select("record_key", F.concat(F.lit("f"), "feature").alias("column"), "value")
+    names, sides = column_names(values, "column"), column_names(two_sides, "column")
+    # the ranks of two groups are half their rows apart, so the product with them tells the rank sum of one
+    ranks = rank_correlations(values.unionByName(two_sides), [*names, *sides], names, sides).select(F.expr("substring(x, 2)").alias("feature"), F.expr("substring(y, 2)").alias("group_variable"), (4 * F.col("sxy") / F.col("n")).alias("share"))
     df = by.join(pooled, key).join(ranks, key, "left").where("least >= 3 AND n >= 8 AND distinct >= 3")
     iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
     scale = F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd"))
     two = F.col("n_levels") == 2
     effect = F.when(two, F.col("a.med") - F.col("b.med")).otherwise(F.col("top.med") - F.col("low.med")) / scale
     one, other = F.when(two, F.col("a.level")).otherwise(F.col("top.level")), F.when(two, F.col("b.level")).otherwise(F.col("low.level"))
-    u = F.col("ranks") - F.col("a.m") * (F.col("a.m") + 1) / 2
-    return df.select(*key, effect.alias("effect"), F.abs(effect).alias("abs_effect"), F.when(effect > 0, F.concat(F.lit("higher_in_"), one)).when(effect < 0, F.concat(F.lit("higher_in_"), other)).otherwise("none").alias("direction"), F.col("n").alias("n_pairwise"), "n_levels", one.alias("level_1"), other.alias("level_2"), F.when(two, 2 * u / (F.col("a.m") * F.col("b.m")) - 1).alias("cliffs_delta"), strength_band(effect).alias("screening_strength"))
+    return df.select(*key, effect.alias("effect"), F.abs(effect).alias("abs_effect"), F.when(effect > 0, F.concat(F.lit("higher_in_"), one)).when(effect < 0, F.concat(F.lit("higher_in_"), other)).otherwise("none").alias("direction"), F.col("n").alias("n_pairwise"), "n_levels", one.alias("level_1"), other.alias("level_2"), F.when(two, F.col("share") / (F.col("a.m") * F.col("b.m"))).alias("cliffs_delta"), strength_band(effect).alias("screening_strength"))
 
 
 def group_balance(groups_long: DataFrame) -> DataFrame:
@@ -123,9 +127,9 @@ def repeatability(units_long: DataFrame, registry: DataFrame, min_units: int = 3
     Rows without a unit take no part in the variances but in the share of missing values.
     """
     shares = units_long.groupBy("feature").agg((1 - F.count("value") / F.count("*")).alias("missing_fraction"))
-    per = units_long.where("unit IS NOT NULL AND value IS NOT NULL").groupBy("feature", "unit").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), (F.max("value") - F.min("value")).alias("range"))
+    per = settled(units_long.where("unit IS NOT NULL AND value IS NOT NULL").groupBy("feature", "unit").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), (F.max("value") - F.min("value")).alias("range")))
     again = F.col("n") >= 2
-    found = per.groupBy("feature").agg(F.sum("n").alias("n_valid"), F.count("*").alias("n_subjects"), F.count_if(again).alias("n_repeated_subjects"), F.avg(F.when(again, F.col("var"))).alias("within"), F.var_samp(F.when(again, F.col("mean"))).alias("between"), F.get(F.percentile(F.when(again, F.col("range")), F.array(F.lit(0.5))), F.lit(0)).alias("range"))
+    found = per.groupBy("feature").agg(F.sum("n").alias("n_valid"), F.count("*").alias("n_subjects"), F.count_if(again).alias("n_repeated_subjects"), F.avg(F.when(again, F.col("var"))).alias("within"), F.var_samp(F.when(again, F.col("mean"))).alias("between")).join(group_quantiles(per.where(again), ["feature"], "range", [0.5]).select("feature", F.col("q")[0].alias("range")), "feature", "left")
     enough = (F.col("n_repeated_subjects") >= min_units) & (F.col("n_valid") >= min_values)
     icc = F.when(enough & (F.col("between") + F.col("within") > 0), F.col("between") / (F.col("between") + F.col("within")))
     out = shares.join(found, "feature", "left").select("feature", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("n_subjects", F.lit(0)).alias("n_subjects"), F.coalesce("n_repeated_subjects", F.lit(0)).alias("n_repeated_subjects"), icc.alias("icc1_proxy"), F.when(enough, F.col("within")).alias("within_subject_variance"), F.when(enough, F.col("between")).alias("between_subject_variance"), F.when(enough, F.col("range")).alias("median_within_subject_range"), "missing_fraction")
@@ -219,32 +223,43 @@ def longitudinal_readiness(df: DataFrame, subject: str, task: str, session: str,
 def pca(df: DataFrame, key: str, features: list[str], components: int = 5, plain: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variance, loadings, scores) of median-imputed features scaled by IQR, or SD where that is 0 (plain: by the SD over n after filling, from the mean); constant ones are left out.
 
-    One aggregate gives all covariances, features squared of them; their eigenvectors are found on the driver, and scores are
-    sums of products in Spark. Of each component the largest loading, the first by name if several, is positive.
+    One pass adds up the products of all features as matrices, block by block of rows; quantiles come from group_quantiles.
+    Eigenvectors of that matrix, features squared of them, are found on the driver, and scores in the tasks. Of each component
+    the largest loading, the first by name if several, is positive.
     """
-    import numpy as np
-
     spark = df.sparkSession
-    about = df.select(*[F.array(F.get(quantiles(c, [0.25]), F.lit(0)), F.get(quantiles(c, [0.5]), F.lit(0)), F.get(quantiles(c, [0.75]), F.lit(0)), F.stddev_samp(c)).alias(c) for c in features]).first()
-    scale = {c: (x[2] - x[0]) or x[3] for c in features if (x := about[c])[1] is not None}
-    if plain:
-        filled = df.select(*[F.coalesce(c, F.lit(about[c][1])).alias(c) for c in scale])
-        sds = filled.agg(*[F.stddev_pop(c).alias(c) for c in scale]).first() if scale else {}
-        scale = {c: sds[c] for c in scale}
-    used = sorted(c for c, s in scale.items() if s)
-    z = df.select(key, *[((F.coalesce(c, F.lit(about[c][1])) - about[c][1]) / scale[c]).alias(c) for c in used])
-    pairs = [(a, b) for i, a in enumerate(used) for b in used[i:]]
-    row = z.select(F.array(*[F.avg(c) for c in used]).alias("m"), F.array(*[F.covar_samp(a, b) for a, b in pairs]).alias("c")).first()
-    cov = np.zeros((len(used), len(used)))
-    for (a, b), v in zip(pairs, row["c"] or [], strict=True):
-        cov[used.index(a), used.index(b)] = cov[used.index(b), used.index(a)] = v
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1][:components]
+    values = settled(df.select(F.col(key), F.array(*[finite(F.col(c).cast("double")) for c in features]).alias("v")))
+    long = values.select(F.posexplode("v").alias("feature", "value")).where("value IS NOT NULL")
+    found = long.groupBy("feature").agg(F.stddev_samp("value").alias("sd")).join(group_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75]), "feature").collect()  # one row per feature
+    known = {r["feature"]: (r["q"], r["sd"]) for r in found}
+    middle = np.array([known[k][0][1] if k in known else 0.0 for k in range(len(features))])
+    sums = moments(values.select("v"), middle.tolist())
+    n, mean, total = sums[0, 0], sums[0, 1:], sums[1:, 1:]
+    cov = total - np.outer(mean, mean) / max(n, 1)
+    scale = np.zeros(len(features))
+    for k, (q, sd) in known.items():
+        scale[k] = np.sqrt(max(cov[k, k], 0.0) / n) if plain else (q[2] - q[0]) or sd or 0.0
+    # rounding alone must not make a constant feature vary
+    flat = np.array([k not in known or cov[k, k] <= 1e-12 * total[k, k] for k in range(len(features))])
+    used = [k for k in sorted(range(len(features)), key=lambda k: features[k]) if scale[k] > 0 and not (plain and flat[k])]
+    cov = cov[np.ix_(used, used)] / max(n - 1, 1) / np.outer(scale[used], scale[used])
+    eigen, vectors = np.linalg.eigh(cov)
+    order = np.argsort(eigen)[::-1][:components]
     top = vectors[:, order]
     top = top * np.sign(top[np.abs(top).round(12).argmax(0), np.arange(top.shape[1])])
-    variance = spark.createDataFrame([(k + 1, float(values[o]), float(values[o] / values.sum())) for k, o in enumerate(order)], "component int, eigenvalue double, explained double")
-    loadings = spark.createDataFrame([(k + 1, c, float(top[i, k])) for k in range(top.shape[1]) for i, c in enumerate(used)], "component int, feature string, loading double")
-    scores = z.select(key, *[sum(((F.col(c) - row["m"][i]) * float(top[i, k]) for i, c in enumerate(used)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(min(3, top.shape[1]))])
+    variance = spark.createDataFrame([(k + 1, float(eigen[o]), float(eigen[o] / eigen.sum())) for k, o in enumerate(order)], "component int, eigenvalue double, explained double")
+    loadings = spark.createDataFrame([(k + 1, features[c], float(top[i, k])) for k in range(top.shape[1]) for i, c in enumerate(used)], "component int, feature string, loading double")
+    shown, width, centre = min(3, top.shape[1]), len(features), (mean / max(n, 1))[used]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), width)
+            z = (np.where(np.isnan(v), middle, v) - middle)[:, used]
+            out = ((z - centre) / scale[used]) @ top[:, :shown]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k]) for k in range(shown))], names=[key, *(f"pc{k + 1}" for k in range(shown))])
+
+    kind = values.schema[key].dataType.simpleString()
+    scores = values.mapInArrow(project, ", ".join([f"`{key}` {kind}", *(f"pc{k + 1} double" for k in range(shown))]))
     return variance, loadings, scores
 
 

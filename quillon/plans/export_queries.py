@@ -64,14 +64,49 @@ def _(read):
     return report
 
 
-@query("q29_pca_variance", digits=4)
+def _components(rows: str, features: list[str], centre: str, scale: str, components: int = 5) -> str:
+    """SQL of the components of `rows` (record_key, one column per feature): pz (record_key, z), pe (component, eigenvalue, explained, v).
+
+    A covariance matrix is squared, and divided by its trace, until only the projection on its first component is left;
+    that is taken out for the next one. Features without spread have no place in it.
+    """
+    z = ", ".join(f"(coalesce({c}, c_{c}) - c_{c}) / nullif(s_{c}, 0)" for c in features)
+    about = ", ".join(f"{centre.format(c)} AS c_{c}" for c in features)
+    spread_ = ", ".join(f"{scale.format(c)} AS s_{c}" for c in features)
+    n = len(features)
+    return f"""pm AS (SELECT {about} FROM {rows}), pf AS (SELECT {", ".join(f"coalesce({c}, c_{c}) AS {c}" for c in features)}, {", ".join(f"{c} AS r_{c}" for c in features)} FROM {rows}, pm), ps AS (SELECT {spread_} FROM pf),
+pz0 AS (SELECT record_key, [{z}] AS z FROM {rows}, pm, ps), pc AS (SELECT {", ".join(f"avg(z[{k + 1}])::DOUBLE AS m{k}" for k in range(n))} FROM pz0), pz AS (SELECT record_key, [{", ".join(f"coalesce(z[{k + 1}] - m{k}, 0)" for k in range(n))}] AS z FROM pz0, pc),
+pa AS (SELECT [{", ".join("[" + ", ".join(f"sum(z[{a + 1}] * z[{b + 1}]) / (count(*) - 1)" for b in range(n)) + "]" for a in range(n))}] AS a FROM pz),
+pt AS (SELECT a, list_sum(list_transform(range(1, {n + 1}), lambda i: a[i][i])) AS total FROM pa),
+pi AS (SELECT 1 AS component, 0 AS step, a, total, list_transform(a, lambda r: list_transform(r, lambda x: x / total)) AS m FROM pt UNION ALL
+  SELECT component, step, a, total, list_transform(m, lambda r: list_transform(r, lambda x: x / list_sum(list_transform(range(1, {n + 1}), lambda i: m[i][i])))) AS m FROM (
+    SELECT CASE WHEN step < 60 THEN component ELSE component + 1 END AS component, CASE WHEN step < 60 THEN step + 1 ELSE 0 END AS step, total,
+      CASE WHEN step < 60 THEN a ELSE list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: a[i][j] - m[i][j] * list_sum(list_transform(range(1, {n + 1}), lambda k: list_dot_product(m[k], a[k]))))) END AS a,
+      CASE WHEN step < 60 THEN list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: list_dot_product(m[i], m[j]))) ELSE list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: a[i][j] - m[i][j] * list_sum(list_transform(range(1, {n + 1}), lambda k: list_dot_product(m[k], a[k]))))) END AS m
+    FROM pi WHERE component < {components} OR step < 60)),
+pv AS (SELECT component, list_sum(list_transform(range(1, {n + 1}), lambda k: list_dot_product(m[k], a[k]))) AS eigenvalue, total, list_transform(range(1, {n + 1}), lambda i: m[i][list_position(list_transform(range(1, {n + 1}), lambda k: round(m[k][k], 12)), list_max(list_transform(range(1, {n + 1}), lambda k: round(m[k][k], 12))))]) AS p FROM pi WHERE step = 60),
+pe AS (SELECT component, eigenvalue, eigenvalue / total AS explained, list_transform(p, lambda x: x / sqrt(list_dot_product(p, p))) AS v FROM pv)"""
+
+
+# Features in the order of their names, as the first largest loading is positive.
+_NAMED = sorted(FEATURES)
+COMPONENTS = _components("recordings", _NAMED, "quantile_cont({0}, 0.5)", "coalesce(nullif(quantile_cont(r_{0}, 0.75) - quantile_cont(r_{0}, 0.25), 0), stddev_samp(r_{0}))")
+_KEPT = [c for c in _NAMED if c != "flat"]
+
+
+@query("q29_pca_variance", f"WITH RECURSIVE {COMPONENTS} SELECT component, round(eigenvalue, 4) AS eigenvalue, round(explained, 4) AS explained FROM pe", digits=4)
 def _(read):
     return relations.pca(read.once("recordings"), "record_key", FEATURES)[0]
 
 
-@query("w37_loading_rank", digits=4)
+@query("w37_loading_rank", f"WITH RECURSIVE {COMPONENTS}, l AS ({' UNION ALL '.join(f"SELECT component, '{c}' AS feature, v[{k + 1}] AS loading FROM pe" for k, c in enumerate(_NAMED) if c in _KEPT)}) SELECT component, feature, round(loading, 4) AS loading, row_number() OVER (PARTITION BY component ORDER BY round(abs(loading), 9) DESC, feature) AS place FROM l", digits=4)
 def _(read):
-    return relations.loading_rank(relations.pca(read.once("recordings"), "record_key", FEATURES)[1], 3)
+    return relations.loading_rank(relations.pca(read.once("recordings"), "record_key", FEATURES)[1])
+
+
+@query("q29_pca_scores", f"WITH RECURSIVE {COMPONENTS} SELECT record_key, {', '.join(f'round(max(list_dot_product(z, v)) FILTER (component = {k}), 4) AS pc{k}' for k in (1, 2, 3))} FROM pz, pe GROUP BY record_key", digits=4)
+def _(read):
+    return relations.pca(read.once("recordings"), "record_key", FEATURES)[2]
 
 
 @query("q32_qc_pca", digits=4)
@@ -184,7 +219,7 @@ def _rec(read):
     return settled(_recommended(read))
 
 
-@query("q53_recommendation_plan", f"WITH {RECOMMEND}, po AS (SELECT * FROM (VALUES ('recommended', 'include_by_default'), ('recommended_with_caution', 'include_with_caution'), ('review_before_use', 'hold_pending_review'), ('exclude_or_recompute', 'exclude_or_recompute'), ('exclude_by_default', 'exclude_by_default')) AS t(decision, policy)), re_ AS (SELECT rec, r, count(*) AS k FROM (SELECT rec, unnest(string_split(reasons, '; ')) AS r FROM rc_) GROUP BY ALL), rt AS (SELECT rec, string_agg(r, '; ' ORDER BY k DESC, r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY k DESC, r) AS p FROM re_) WHERE p <= 3 GROUP BY rec), rn AS (SELECT rec, count(*) AS n FROM rc_ GROUP BY rec) SELECT decision, coalesce(n, 0) AS n_features, policy AS default_export_policy, coalesce(t, '') AS top_current_reasons FROM po LEFT JOIN rn ON rn.rec = decision LEFT JOIN rt ON rt.rec = decision")
+@query("q53_recommendation_plan", f"WITH {RECOMMEND}, policies AS (SELECT * FROM (VALUES ('recommended', 'include_by_default'), ('recommended_with_caution', 'include_with_caution'), ('review_before_use', 'hold_pending_review'), ('exclude_or_recompute', 'exclude_or_recompute'), ('exclude_by_default', 'exclude_by_default')) AS t(decision, policy)), re_ AS (SELECT rec, r, count(*) AS k FROM (SELECT rec, unnest(string_split(reasons, '; ')) AS r FROM rc_) GROUP BY ALL), rt AS (SELECT rec, string_agg(r, '; ' ORDER BY k DESC, r) AS t FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY k DESC, r) AS p FROM re_) WHERE p <= 3 GROUP BY rec), rn AS (SELECT rec, count(*) AS n FROM rc_ GROUP BY rec) SELECT decision, coalesce(n, 0) AS n_features, policy AS default_export_policy, coalesce(t, '') AS top_current_reasons FROM policies LEFT JOIN rn ON rn.rec = decision LEFT JOIN rt ON rt.rec = decision")
 def _(read):
     return export.recommendation_plan(_rec(read))
 

@@ -399,8 +399,3 @@ def _(read):
 @query("q50_longitudinal_readiness", "WITH a AS (SELECT subject_id, task, count(*) AS n_records, count(DISTINCT session_id) AS n_sessions, count(DISTINCT recording_date) AS n_dates, date_diff('day', min(recording_date), max(recording_date)) AS span_days FROM recordings GROUP BY ALL) SELECT *, CASE WHEN n_records >= 5 THEN '5+' WHEN n_records >= 3 THEN '3-4' WHEN n_records = 2 THEN '2' ELSE '1' END AS depth_band, CASE WHEN span_days IS NULL THEN 'unknown' WHEN span_days = 0 THEN 'same day' WHEN span_days < 30 THEN 'under a month' WHEN span_days < 365 THEN 'under a year' ELSE 'a year or more' END AS span_band FROM a")
 def _(read):
     return relations.longitudinal_readiness(read("recordings"), "subject_id", "task", "session_id", "recording_date")
-
-
-@query("q29_pca_scores", digits=4)
-def _(read):
-    return relations.pca(read("recordings"), "record_key", FEATURES)[2]

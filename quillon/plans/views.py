@@ -81,6 +81,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def oracle(sql: str) -> str:
     """A query over views as one DuckDB statement: the views it names come as common table expressions in front."""
+    made = re.findall(r"\b(\w+)(?: ?\([\w, ]*\))? AS (?:MATERIALIZED )?\(\s*(?:SELECT|WITH|VALUES)\b", sql)
+    if repeated := {n for n in made if made.count(n) > 1}:
+        raise ValueError(f"named twice: {sorted(repeated)}")
     names = _needs(sql)
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in names)
     body = sql.strip()
