@@ -5,13 +5,17 @@ Spectra are (recording..., frequency, power or level), one row per bin; tracks a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.blocks import BLOCK, array_of, array_sums, sample_blocks
+from quillon.functions.shared import settled
 from quillon.functions.stats import quantiles
 from quillon.operators.windows import gradient, interpolate_linear, local_extrema
 
@@ -51,10 +55,24 @@ def powerline_flags(spectrum: DataFrame, by: list[str], frequency: str, power: s
     return every.select(*by, *[F.coalesce(f"_p{b}", F.lit(False)).alias(f"powerline_{b}hz") for b in bases])
 
 
-def modulation_spectrum(envelope: DataFrame, by: list[str], at: str, x: str, rate: float, highest: float = 10.0, taper: float = 0.25) -> DataFrame:
+def part_of_transform(x: np.ndarray, start: int, n: int, most: int) -> np.ndarray:
+    """What the samples x from place `start` on add to the discrete Fourier transform of n samples at 1 ... most: a chirp transform by FFT."""
+    t, j = np.arange(len(x), dtype=np.int64), np.arange(most + 1, dtype=np.int64)
+    # t * j = (t^2 + j^2 - (j - t)^2) / 2
+    chirp = lambda k: np.exp(-1j * np.pi * ((k * k) % (2 * n)) / n)
+    size = 1 << int(len(x) + most + 1).bit_length()
+    other = np.zeros(size, complex)
+    other[: most + 1] = chirp(j).conj()
+    other[size - len(x) + 1 :] = chirp(t[1:]).conj()[::-1]
+    found = np.fft.ifft(np.fft.fft(x * chirp(t), size) * np.fft.fft(other))[: most + 1] * chirp(j)
+    return (found * np.exp(-2j * np.pi * ((start * j) % n) / n))[1:]
+
+
+def modulation_spectrum(envelope: DataFrame, by: list[str], at: str, x: str, rate: float, highest: float = 10.0, taper: float = 0.25, block: int | None = None) -> DataFrame:
     """(by..., frequency, amplitude): the discrete Fourier transform of each envelope, mean removed and tapered by cosines at both ends, over 0 and up to `highest` Hz.
 
-    Each sample adds to every grid frequency k * rate / n; rows are n times the some 10 * duration frequencies kept.
+    Frequencies are k * rate / n. Blocks of samples are transformed apart and their transforms added, so that what leaves a
+    task has the size of the frequencies kept.
     """
     every = Window.partitionBy(*by)
     rows = envelope.withColumns({"_n": F.count("*").over(every), "_k": F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1}).withColumn("_x", F.col(x) - F.avg(x).over(every))
@@ -62,11 +80,28 @@ def modulation_spectrum(envelope: DataFrame, by: list[str], at: str, x: str, rat
     ramp = lambda d: 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (d / edge - 1)))
     back = F.col("_n") - 1 - F.col("_k")
     weight = F.when(edge <= 0, 1.0).when(F.col("_k") < edge, ramp(F.col("_k"))).when(back < edge, ramp(back)).otherwise(1.0)
-    most = F.least(F.floor(F.col("_n") / 2), F.floor(highest * F.col("_n") / rate + 1e-9))
-    cut = rows.where(most >= 1).select(*by, "_n", "_k", (F.col("_x") * weight).alias("_x"), F.explode(F.sequence(F.lit(1).cast("bigint"), most.cast("bigint"))).alias("_j"))
-    angle = F.lit(2 * 3.141592653589793) * ((F.col("_k") * F.col("_j")) % F.col("_n")) / F.col("_n")
-    sums = cut.groupBy(*by, "_n", "_j").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_c"), F.sum(F.col("_x") * F.sin(angle)).alias("_s"))
-    return sums.select(*by, (F.col("_j") * rate / F.col("_n")).alias("frequency"), F.sqrt(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")).alias("amplitude"))
+    most = F.least(F.floor(F.col("_n") / 2), F.floor(highest * F.col("_n") / rate + 1e-9)).cast("bigint")
+    cut = rows.select(*by, "_n", most.alias("_most"), "_k", (F.col("_x") * weight).alias("_x")).where("_most >= 1")
+    pieces = sample_blocks(cut, by, "_k", ["_x"], block=block, keep=("_n", "_most"))
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for r in range(len(batch)):
+                v = np.nan_to_num(array_of(batch, "_x", r))
+                f = part_of_transform(v, batch.column("ks")[r].values[0].as_py(), batch.column("_n")[r].as_py(), batch.column("_most")[r].as_py())
+                parts.append(np.concatenate([f.real, f.imag]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "_n")), pa.array(parts, pa.binary())], names=[*by, "_n", "sums"])
+
+    kinds = dict(pieces.dtypes)
+    done = pieces.mapInArrow(transform, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "_n")) + ", sums binary")
+
+    def amplitudes(key: list, sums: np.ndarray) -> Iterator[tuple]:
+        half = len(sums) // 2
+        size = np.hypot(sums[:half], sums[half:])
+        yield from zip(((np.arange(half) + 1) * rate / key[-1]).tolist(), size.tolist(), strict=True)
+
+    return array_sums(done, by, ["_n"], amplitudes, "frequency double, amplitude double").drop("_n")
 
 
 def modulation_features(spectrum: DataFrame, by: list[str], frequency: str = "frequency", amplitude: str = "amplitude") -> DataFrame:
@@ -189,17 +224,44 @@ def nasality_contrasts(frames: DataFrame, by: list[str], n_frames: DataFrame, le
     return rows.select(*by, *names, "valid_fraction", F.coalesce("overlap_fraction", F.lit(0.0)).alias("overlap_fraction"), status.alias("status"))
 
 
-def max_cross_correlation(df: DataFrame, by: list[str], at: str, a: str, b: str, max_lag: int | None = None) -> DataFrame:
-    """The largest sum of a(t) b(t + lag) over the root of the sums of squares, means removed and missing samples filled; three samples are needed.
+def max_cross_correlation(df: DataFrame, by: list[str], at: str, a: str, b: str, max_lag: int | None = None, block: int | None = None) -> DataFrame:
+    """The largest sum of a(t) b(t + lag) over the root of the sums of squares, over all lags (or up to max_lag), means removed and missing samples filled; three samples are needed.
 
-    Pairs of samples are met by lag: without max_lag all of a recording, a square of its length; with it 2 * max_lag + 1 rows a sample.
+    Blocks of a meet blocks of b and are correlated by zero-padded FFT; blocks as far apart add to the same lags. A recording
+    of up to a block's samples is one transform; rows out are as many as lags.
     """
+    size = block or BLOCK
     filled = interpolate_linear(interpolate_linear(df.select(*by, at, a, b), by, at, a), by, at, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     every = Window.partitionBy(*by)
-    rows = filled.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(at)).alias("_k"), (F.col(a) - F.avg(a).over(every)).alias("_a"), (F.col(b) - F.avg(b).over(every)).alias("_b"), F.count("*").over(every).alias("_n")).where("_n >= 3")
-    reach = F.lit(max_lag) if max_lag is not None else F.col("_n") - 1
-    left = rows.select(*by, "_a", "_k", F.explode(F.sequence(-reach.cast("bigint"), reach.cast("bigint"))).alias("_lag")).withColumn("_k", F.col("_k") + F.col("_lag"))
-    sums = left.join(rows.select(*by, "_k", "_b"), [*by, "_k"]).groupBy(*by, "_lag").agg(F.sum(F.col("_a") * F.col("_b")).alias("_s")).groupBy(*by).agg(F.max("_s").alias("_best"))
+    rows = filled.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1).alias("_k"), (F.col(a) - F.avg(a).over(every)).alias("_a"), (F.col(b) - F.avg(b).over(every)).alias("_b"), F.count("*").over(every).alias("_n")).where("_n >= 3")
+    pieces = settled(sample_blocks(rows, by, "_k", ["_a", "_b"], block=size))
+    one, two = pieces.select(*by, F.col("block").alias("_i"), "_a"), pieces.select(*by, F.col("block").alias("_j"), "_b")
+    near = one.join(two, by).withColumn("_d", F.col("_j") - F.col("_i"))
+    if max_lag is not None:
+        near = near.where(F.abs("_d") <= max_lag // size + 1)
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for r in range(len(batch)):
+                x, y = array_of(batch, "_a", r), array_of(batch, "_b", r)
+                width = 1 << int(len(x) + len(y)).bit_length()
+                c = np.fft.irfft(np.fft.rfft(x, width).conj() * np.fft.rfft(y, width), width)
+                lags = np.zeros(2 * size - 1)  # from 1 - size on
+                lags[size - len(x) : size - 1] = c[width - len(x) + 1 :]
+                lags[size - 1 : size - 1 + len(y)] = c[: len(y)]
+                parts.append(lags.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "_d")), pa.array(parts, pa.binary())], names=[*by, "_d", "sums"])
+
+    kinds = dict(near.dtypes)
+    met = near.select(*by, "_d", "_a", "_b").mapInArrow(correlate, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "_d")) + ", sums binary")
+
+    def lagged(key: list, sums: np.ndarray) -> Iterator[tuple]:
+        at_lag = key[-1] * size + np.arange(1 - size, size)
+        used = np.flatnonzero((sums != 0) & (True if max_lag is None else np.abs(at_lag) <= max_lag))
+        yield from zip(at_lag[used].tolist(), sums[used].tolist(), strict=True)
+
+    sums = array_sums(met, by, ["_d"], lagged, "_lag bigint, _s double").groupBy(*by, "_lag").agg(F.sum("_s").alias("_s")).groupBy(*by).agg(F.max("_s").alias("_best"))
     norm = rows.groupBy(*by).agg(F.sqrt(F.sum(F.col("_a") * F.col("_a")) * F.sum(F.col("_b") * F.col("_b"))).alias("_d"))
     return norm.join(sums, by, "left").select(*by, (F.col("_best") / F.when(F.col("_d") > 0, F.col("_d"))).alias("max_xcorr"))
 
@@ -212,23 +274,55 @@ def robust_scaled(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.join(found, by).withColumn(value, (F.col(value) - F.get("_q", F.lit(1))) / scale).drop("_q", "_sd")
 
 
-def lagged_correlations(df: DataFrame, by: list[str], at: str, x: str, y: str, max_lag: int) -> DataFrame:
+def lagged_correlations(df: DataFrame, by: list[str], at: str, x: str, y: str, max_lag: int, block: int | None = None) -> DataFrame:
     """(by..., row_1, row_2, r): correlations of the 2 * (2 * max_lag + 1) rows x(t + lag), y(t + lag) over the times at which all of them are known.
 
-    Rows that hardly vary are left out; recordings with too few complete times give no rows.
+    Rows that hardly vary are left out; recordings with too few complete times give no rows. A block of times, with max_lag
+    more samples on either side, gives the products of all pairs of rows as one matrix; matrices of a recording are added.
     """
-    w, lags = Window.partitionBy(*by).orderBy(at), range(-max_lag, max_lag + 1)
-    names = [f"{c}{k}" for c in "xy" for k in range(len(lags))]
-    shifted = [F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w) if k < 0 else F.col(c) for c in (x, y) for k in lags]
+    width, size = 2 * max_lag + 1, block or BLOCK
+    names = [f"{c}{k}" for c in "xy" for k in range(width)]
     both = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).over(Window.partitionBy(*by))
-    rows = df.select(*by, both.alias("_valid"), *[s.alias(n) for s, n in zip(shifted, names, strict=True)]).where(F.col("_valid") >= max(8, 2 * max_lag + 4)).where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
-    # one aggregate with an entry per pair of the few rows
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    found = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.array(*[F.struct(F.lit(a).alias("row_1"), F.lit(b).alias("row_2"), F.covar_pop(a, b).alias("c")) for a, b in pairs]).alias("_c"), F.array(*[F.struct(F.lit(n).alias("row"), F.stddev_pop(n).alias("sd")) for n in names]).alias("_s"))
-    varied = found.where(F.col("_n") >= max(8, len(names) + 2)).withColumn("_s", F.map_from_entries(F.filter("_s", lambda s: s["sd"] > 1e-9)))
-    one = varied.where((F.size("_s") >= 2) & (F.col("_n") >= F.size("_s") + 1)).select(*by, "_s", F.inline("_c"))
-    s1, s2 = F.element_at("_s", F.col("row_1")), F.element_at("_s", F.col("row_2"))
-    return one.where(s1.isNotNull() & s2.isNotNull()).select(*by, "row_1", "row_2", (F.col("c") / (s1 * s2)).alias("r"))
+    rows = df.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), both.alias("_valid")).where(F.col("_valid") >= max(8, 2 * max_lag + 4))
+    pieces = sample_blocks(rows, by, "_k", ["_x", "_y"], halo=max_lag, block=size)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for r in range(len(batch)):
+                ks = batch.column("ks")[r].values.to_numpy()
+                first = max(batch.column("block")[r].as_py() * size, int(ks[0]) + max_lag)
+                last = min((batch.column("block")[r].as_py() + 1) * size, int(ks[-1]) + 1 - max_lag)
+                total = np.zeros((len(names) + 1, len(names) + 1))
+                if last > first:
+                    around = [np.lib.stride_tricks.sliding_window_view(array_of(batch, c, r), width)[first - max_lag - int(ks[0]) : last - max_lag - int(ks[0])] for c in ("_x", "_y")]
+                    step = max(1, (16 << 20) // (16 * len(names)))
+                    for i in range(0, last - first, step):
+                        z = np.concatenate([np.ones((len(around[0][i : i + step]), 1)), *(w[i : i + step] for w in around)], axis=1)
+                        z = z[~np.isnan(z).any(axis=1)]
+                        total += z.T @ z
+                parts.append(total.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(parts, pa.binary())], names=[*by, "sums"])
+
+    kinds = dict(pieces.dtypes)
+    done = pieces.mapInArrow(multiply, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", sums binary")
+
+    def correlations(key: list, sums: np.ndarray) -> Iterator[tuple]:
+        total = sums.reshape(len(names) + 1, -1)
+        n = total[0, 0]
+        if n < max(8, len(names) + 2):
+            return
+        mean = total[0, 1:] / n
+        cov = total[1:, 1:] / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        used = np.flatnonzero(sd > 1e-9)
+        if len(used) < 2 or n < len(used) + 1:
+            return
+        for i, a in enumerate(used):
+            for b in used[i:]:
+                yield names[a], names[b], float(cov[a, b] / (sd[a] * sd[b]))
+
+    return array_sums(done, by, [], correlations, "row_1 string, row_2 string, r double")
 
 
 def participation_ratio(correlations: DataFrame, by: list[str]) -> DataFrame:

@@ -319,13 +319,13 @@ def _(read):
     return spectra.velocity_stats(read("frames"), BY, "frame", "value", "time_s")
 
 
-@query("w35_qc_change", "WITH r AS (SELECT q.record_key, subject_id, recording_date, task, qgain_speech_rms_db_std AS v FROM quality q JOIN recordings USING (record_key)), b AS (SELECT record_key, v, first_value(v IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY recording_date, record_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, stddev_samp(v) OVER (PARTITION BY task) AS s FROM r) SELECT record_key, round(v - f, 6) AS change, round((v - f) / CASE WHEN s > 0 THEN s END, 6) AS standardized_change FROM b")
+@query("w35_qc_change", "WITH r AS (SELECT q.record_key, subject_id, recording_date, task, qgain_speech_rms_db_std AS v FROM quality q JOIN recordings USING (record_key)), b AS (SELECT record_key, v, first_value(v IGNORE NULLS) OVER (PARTITION BY subject_id, task ORDER BY recording_date, record_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, stddev_samp(v) OVER (PARTITION BY task) AS s FROM r) SELECT record_key, round(v - f, 6) AS change, round((v - f) / CASE WHEN s > 0 THEN s END, 6) AS standardized_change FROM b")
 def _(read):
     rows = read("quality").join(read("recordings").select("record_key", "subject_id", "recording_date", "task"), "record_key")
-    return windows.baseline_change(rows, ["subject_id"], ["recording_date", "record_key"], "qgain_speech_rms_db_std", ["task"]).select("record_key", "change", "standardized_change")
+    return windows.baseline_change(rows, ["subject_id", "task"], ["recording_date", "record_key"], "qgain_speech_rms_db_std", ["task"]).select("record_key", "change", "standardized_change")
 
 
-@query("w35_manual_qc_change", "WITH r AS (SELECT record_key, subject_id, recording_date, task, CASE device WHEN 'O' THEN 1e0 WHEN 'F' THEN 0e0 END AS v FROM recordings), b AS (SELECT record_key, v, first_value(v IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY recording_date, record_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM r) SELECT record_key, v AS flag, v - f AS change FROM b")
+@query("w35_manual_qc_change", "WITH r AS (SELECT record_key, subject_id, recording_date, task, CASE device WHEN 'O' THEN 1e0 WHEN 'F' THEN 0e0 END AS v FROM recordings), b AS (SELECT record_key, v, first_value(v IGNORE NULLS) OVER (PARTITION BY subject_id, task ORDER BY recording_date, record_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f FROM r) SELECT record_key, v AS flag, v - f AS change FROM b")
 def _(read):
     rows = read("recordings").withColumn("answer", F.when(F.col("device") == "O", " Yes").when(F.col("device") == "F", "no").otherwise("unsure"))
-    return windows.manual_qc_change(rows, ["subject_id"], ["recording_date", "record_key"], "answer").select("record_key", "flag", "change")
+    return windows.manual_qc_change(rows, ["subject_id", "task"], ["recording_date", "record_key"], "answer").select("record_key", "flag", "change")

@@ -130,14 +130,14 @@ def _(read):
     return windows.path_length(read("frames"), BY, AT, "value", "time_s")
 
 
-@query("w33_visit_order", "SELECT record_key, subject_id, row_number() OVER (PARTITION BY subject_id ORDER BY recording_date NULLS LAST, record_key) AS record_order, date_diff('day', min(recording_date) OVER (PARTITION BY subject_id), recording_date) AS days_since_first, date_diff('day', lag(recording_date) OVER (PARTITION BY subject_id ORDER BY recording_date NULLS LAST, record_key), recording_date) AS interval_from_previous_days FROM recordings")
+@query("w33_visit_order", "SELECT record_key, subject_id, row_number() OVER (PARTITION BY subject_id, task ORDER BY recording_date NULLS LAST, record_key) AS record_order, date_diff('day', min(recording_date) OVER (PARTITION BY subject_id, task), recording_date) AS days_since_first, date_diff('day', lag(recording_date) OVER (PARTITION BY subject_id, task ORDER BY recording_date NULLS LAST, record_key), recording_date) AS interval_from_previous_days FROM recordings")
 def _(read):
-    return windows.visit_order(read("recordings"), ["subject_id"], "recording_date", "record_key").select("record_key", "subject_id", "record_order", "days_since_first", "interval_from_previous_days")
+    return windows.visit_order(read("recordings"), ["subject_id", "task"], "recording_date", "record_key").select("record_key", "subject_id", "record_order", "days_since_first", "interval_from_previous_days")
 
 
-@query("w34_baseline_change", "WITH b AS (SELECT record_key, qty_sum, first_value(qty_sum IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY recording_date, record_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, stddev_samp(qty_sum) OVER (PARTITION BY task) AS s FROM recordings) SELECT record_key, round(qty_sum - f, 6) AS change, round((qty_sum - f) / CASE WHEN s > 0 THEN s END, 6) AS standardized_change FROM b")
+@query("w34_baseline_change", "WITH b AS (SELECT record_key, qty_sum, first_value(qty_sum IGNORE NULLS) OVER (PARTITION BY subject_id, task ORDER BY recording_date, record_key ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f, stddev_samp(qty_sum) OVER (PARTITION BY task) AS s FROM recordings) SELECT record_key, round(qty_sum - f, 6) AS change, round((qty_sum - f) / CASE WHEN s > 0 THEN s END, 6) AS standardized_change FROM b")
 def _(read):
-    return windows.baseline_change(read("recordings"), ["subject_id"], ["recording_date", "record_key"], "qty_sum", ["task"]).select("record_key", "change", "standardized_change")
+    return windows.baseline_change(read("recordings"), ["subject_id", "task"], ["recording_date", "record_key"], "qty_sum", ["task"]).select("record_key", "change", "standardized_change")
 
 
 @query("x27_sigma_clip", "WITH a AS (SELECT recording_id, frame, value AS v0, CASE WHEN abs(value - avg(value) OVER p) > 5 * stddev_pop(value) OVER p THEN NULL ELSE value END AS v1 FROM frames WINDOW p AS (PARTITION BY recording_id)), b AS (SELECT *, CASE WHEN abs(v1 - avg(v1) OVER p) > 3 * stddev_pop(v1) OVER p THEN NULL ELSE v1 END AS v2 FROM a WINDOW p AS (PARTITION BY recording_id)) SELECT recording_id, frame, round(v2, 6) AS value, count(*) FILTER (v0 IS NOT NULL AND v2 IS NULL) OVER (PARTITION BY recording_id) AS n_clipped FROM b")

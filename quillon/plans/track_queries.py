@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import landmarks, spectra
@@ -194,6 +195,45 @@ def _(read):
     return spectra.lagged_correlations(rows, BY, "frame", "x", "y", LAGS)
 
 
+# Three tracks of long recordings, at the reference's reach of 250 ms in steps of 10.
+FAR = 25
+_FAR_TRACKS = {"t1": "value", "t2": "abs(value - 50) + frame % 7", "t3": "value * (frame % 5) + frame % 11"}
+LONG_FRAMES = "nf AS (SELECT recording_id % 3 AS recording_id, row_number() OVER (PARTITION BY recording_id % 3 ORDER BY recording_id, frame) AS frame, coalesce(value, 5e1) AS value FROM frames), tt AS (SELECT recording_id, frame, " + ", ".join(f"{x} AS {c}" for c, x in _FAR_TRACKS.items()) + " FROM nf)"
+
+
+def _far_sql(a: str, b: str) -> str:
+    """Correlations of a and b at all lags, pair by pair of long rows, as fc_<a><b>."""
+    n = f"{a}{b}"
+    scaled = lambda c: f"({c} - quantile_cont({c}, 0.5) OVER w) / (quantile_cont({c}, 0.75) OVER w - quantile_cont({c}, 0.25) OVER w) * 1.349e0"
+    return f"""fs_{n} AS (SELECT recording_id, frame, count(*) OVER w AS n, {scaled(a)} AS x, {scaled(b)} AS y FROM tt WINDOW w AS (PARTITION BY recording_id)),
+fl_{n} AS (SELECT recording_id, frame - lag_ AS t, CASE WHEN k = 0 THEN 'x' ELSE 'y' END || (lag_ + {FAR}) AS name, k * 1000 + lag_ AS ord, CASE WHEN k = 0 THEN x ELSE y END AS v FROM fs_{n}, (SELECT unnest(range(-{FAR}, {FAR + 1})) AS lag_), (SELECT unnest([0, 1]) AS k) WHERE frame - lag_ BETWEEN {FAR + 1} AND n - {FAR}),
+fc_{n} AS (SELECT p.recording_id, p.name AS row_1, q.name AS row_2, corr(p.v, q.v) AS r FROM fl_{n} p JOIN fl_{n} q ON q.recording_id = p.recording_id AND q.t = p.t AND p.ord <= q.ord GROUP BY ALL)"""
+
+
+def _far_tracks(read):
+    rows = read("frames").select((F.col("recording_id") % 3).alias("group"), "recording_id", "frame", F.coalesce("value", F.lit(50.0)).alias("value"))
+    # a long recording: a third of all frames each
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy("recording_id", "frame"))).select(F.col("group").alias("recording_id"), F.col("at").alias("frame"), "value")
+    return rows.select("recording_id", "frame", *[F.expr(x).alias(c) for c, x in _FAR_TRACKS.items()])
+
+
+@query("w31_lagged_correlations_far", f"WITH {LONG_FRAMES}, {_far_sql('t1', 't2')} SELECT recording_id, row_1, row_2, round(r, 5) + 0e0 AS r FROM fc_t1t2", digits=5)
+def _(read):
+    rows = _far_tracks(read)
+    for c in ("t1", "t2"):
+        rows = spectra.robust_scaled(rows, BY, c)
+    return spectra.lagged_correlations(rows, BY, "frame", "t1", "t2", FAR)
+
+
+_FAR_PAIRS = [("t1", "t2"), ("t1", "t3"), ("t2", "t3")]
+_FAR_RATIOS = " UNION ALL ".join(f"SELECT recording_id, '{a}_{b}' AS pair, round(count(*) FILTER (row_1 = row_2) / sum(CASE WHEN row_1 = row_2 THEN r * r ELSE 2 * r * r END), 6) AS complexity, 1e0 AS pair_valid, 'computed' AS status FROM fc_{a}{b} GROUP BY recording_id" for a, b in _FAR_PAIRS)
+
+
+@query("x23_coordination_far", f"WITH {LONG_FRAMES}, {', '.join(_far_sql(a, b) for a, b in _FAR_PAIRS)} {_FAR_RATIOS}")
+def _(read):
+    return spectra.coordination(_far_tracks(read), BY, "frame", _FAR_PAIRS, FAR)
+
+
 PART = f"{LAGGED}, pr AS (SELECT recording_id, count(*) FILTER (split_part(k, '_', 1) = split_part(k, '_', 2)) AS m, sum(CASE WHEN split_part(k, '_', 1) = split_part(k, '_', 2) THEN r * r ELSE 2 * r * r END) AS s FROM cr GROUP BY recording_id)"
 
 
@@ -375,4 +415,4 @@ def _(read):
 @query("x30_kinematic_scalars", digits=4)
 def _(read):
     scaled = landmarks.landmark_scale(read("face"), BY)
-    return landmarks.kinematic_scalars(landmarks.landmark_normalize(scaled, BY, "frame", list(POINTS)), BY, "frame", "time_s", max_lag=20)
+    return landmarks.kinematic_scalars(landmarks.landmark_normalize(scaled, BY, "frame", list(POINTS)), BY, "frame", "time_s")
