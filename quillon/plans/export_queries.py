@@ -8,7 +8,7 @@ from quillon.functions import scalars
 from quillon.functions.shared import settled
 from quillon.functions.stats import long_form
 from quillon.operators import assemble, audit, columns, export, relations
-from quillon.plans.audit_queries import CS, GS, LONG, RANGE, _R, RECOMMEND, _groups, _outcomes, _recommended, features_long, query
+from quillon.plans.audit_queries import CS, GS, LONG, RANGE, RECOMMEND, SCALED, WARN, _R, _groups, _outcomes, _recommended, features_long, query
 from quillon.plans.quality_queries import PROFILE, _mapping
 from quillon.plans.signal_queries import BY, SEGMENTS, _segments
 from quillon.plans.views import FEATURES
@@ -109,7 +109,11 @@ def _(read):
     return relations.pca(read.once("recordings"), "record_key", FEATURES)[2]
 
 
-@query("q32_qc_pca", digits=4)
+_QC = sorted(r[1] for r in audit.QC_RULES)
+_QC_WIDE = "wide AS (SELECT record_key, " + ", ".join(f"max(value) FILTER (feature = '{c}') AS {c}" for c in _QC) + " FROM qp GROUP BY record_key)"
+
+
+@query("q32_qc_pca", f"WITH RECURSIVE {WARN}, {SCALED}, {_QC_WIDE}, {_components('wide', _QC, 'quantile_cont({0}, 0.5)', 'stddev_pop({0})')} SELECT component, round(eigenvalue, 4) AS eigenvalue, round(explained, 4) AS explained FROM pe", digits=4)
 def _(read):
     scaled = audit.transform_skewed(long_form(read.once("quality"), "record_key", [r[1] for r in audit.QC_RULES]))
     names = [r[1] for r in audit.QC_RULES]

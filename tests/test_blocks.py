@@ -73,3 +73,34 @@ def test_rows_of_a_long_recording_are_few(spark):
     assert out.count() == 1000
     top = out.orderBy(F.desc("amplitude")).first()
     assert abs(top["frequency"] - 0.05 * 1000 / (2 * np.pi)) < 0.01
+
+
+@pytest.mark.parametrize("rows", [3, 17, 1000])
+def test_scans_equal_windows_whatever_the_blocks(spark, rows):
+    from quillon.operators import scans, windows
+
+    rng = np.random.default_rng(8)
+    data = []
+    for rec, n in (("a", 1), ("b", 2), ("c", 7), ("long", 90), ("gaps", 30), ("none", 5), (None, 4)):
+        t = 0.0
+        for i in range(n):
+            t += float(rng.choice([0.01, 0.02])) if rec != "gaps" else 0.0
+            v = None if rec == "none" or rng.random() < 0.3 or (rec == "long" and 30 <= i < 50) else float(rng.integers(0, 4))
+            data.append((rec, i * 2, t, v, None if rng.random() < 0.1 else bool(rng.random() < 0.6)))
+    df = spark.createDataFrame(data, "rec string, at long, t double, v double, ok boolean").where("rec IS NOT NULL").repartition(3)
+    seen = lambda d: sorted((tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r) for r in d.select(*sorted(d.columns)).collect()), key=repr)
+    by = ["rec"]
+    assert seen(scans.boolean_runs(df, by, "at", "ok", rows)) == seen(windows.boolean_runs(df, by, "at", "ok"))
+    for gap in (None, 2):
+        assert seen(scans.interpolate_linear(df, by, "at", "v", gap, "f", rows)) == seen(windows.interpolate_linear(df, by, "at", "v", gap, "f"))
+    full = df.withColumn("v", F.coalesce("v", F.lit(1.5)))
+    assert seen(scans.gradient(full, by, "at", "v", "t", "g", rows)) == seen(windows.gradient(full, by, "at", "v", "t", "g"))
+    assert seen(scans.local_extrema(df, by, "at", "v", rows)) == seen(windows.local_extrema(df, by, "at", "v"))
+
+
+def test_a_long_recording_spreads_over_blocks(spark):
+    from quillon.operators import scans
+
+    df = spark.range(900).select(F.when(F.col("id") < 300, F.lit(0)).otherwise(F.col("id")).alias("rec"), F.col("id").alias("at"))
+    held = scans.ordered_blocks(df, ["rec"], "at", 60).groupBy("_block").count().collect()
+    assert len(held) >= 12 and max(r["count"] for r in held) <= 180
