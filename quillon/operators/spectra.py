@@ -384,16 +384,40 @@ def prominent_extrema(df: DataFrame, by: list[str], at: str, value: str, least:
     return out.where(F.col("prominence") >= F.coalesce("_least", F.lit(0.0))).select(*by, at, value, "kind", "prominence")
 
 
-def distant_peaks(peaks: DataFrame, by: list[str], at: str, value: str, distance: int) -> DataFrame:
-    """peaks of which the highest keep others fewer than `distance` steps of `at` away from being kept; of equals the later one goes first.
-
-    The order of heights decides one by one, so a recording's peaks meet in one array.
+def spaced(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the peaks are kept if the highest go first, of equals the later ones, and each keeps away others fewer than `distance` steps off."""
+    keep, taken = np.zeros(len(at), bool), {}
+    for k in np.lexsort((-at, -height)).tolist():
+        t = at[k]
+        cell = t // distance
+        if all(abs(t - x) >= distance for c in (cell - 1, cell, cell + 1) if (x := taken.get(c)) is not None):
+            keep[k], taken[cell] = True, t
+    return keep
+
+
+def distant_peaks(peaks: DataFrame, by: list[str], at: str, value: str, distance: int, rounds: int = 4) -> DataFrame:
+    """peaks of which the highest keep others fewer than `distance` whole steps of `at` away from being kept; of equals the later one goes first.
+
+    A peak higher than all within reach is kept and its neighbours go, whatever else is decided: a few rounds of that over
+    sliding windows settle most peaks. The others fall into groups that lie `distance` apart, and each group is settled alone.
     """
-    one = F.struct((-F.col(value)).alias("h"), (-F.col(at)).alias("t"))
-    rows = peaks.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_all"))
-    none = F.array().cast("array<double>")
-    kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda t: F.abs(t + x["t"]) < distance), acc).otherwise(F.array_append(acc, -x["t"].cast("double"))))
-    chosen = rows.select(*by, F.explode(kept).alias("_t")).select(*by, F.col("_t").cast("bigint").alias(at))
+    w = Window.partitionBy(*by).orderBy(at)
+    near = w.rangeBetween(-(distance - 1), distance - 1)
+    own = F.struct(F.col(value).alias("h"), F.col(at).alias("t"))
+    rows = peaks.select(*by, at, value).withColumn("_s", F.lit(0))
+    for _ in range(rounds):
+        best = F.max(F.when(F.col("_s") == 0, own)).over(near)
+        rows = rows.withColumn("_s", F.when((F.col("_s") == 0) & (best == own), 1).otherwise(F.col("_s")))
+        rows = rows.withColumn("_s", F.when((F.col("_s") == 0) & (F.max((F.col("_s") == 1).cast("int")).over(near) == 1), 2).otherwise(F.col("_s")))
+    rows = settled(rows.where("_s < 2"))
+    left = rows.where("_s = 0").withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(w) >= distance, F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(w))
+    kinds = dict(left.dtypes)
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        return group[spaced(group[at].to_numpy(), group[value].to_numpy(float), distance)]
+
+    kept = left.select(*by, "_group", at, value).groupBy(*by, "_group").applyInPandas(settle, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "_group", at, value)))
+    chosen = rows.where("_s = 1").select(*by, at).unionByName(kept.select(*by, at))
     return peaks.join(chosen, [*by, at], "left_semi")
 
 

@@ -192,7 +192,17 @@ def estimate_fps(df: DataFrame, by: list[str], at: str, time: str, default: floa
 
 
 def label_in(events: DataFrame, intervals: DataFrame, by: list[str], at: Column, start: str, end: str, width: float = 10.0) -> DataFrame:
-    """events joined to the intervals that hold `at`, both ends included, met by recording and by buckets of `width`, so that a long recording is no nested loop."""
-    cut = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    met = events.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / width)).join(cut, [*by, "_bucket"])
-    return met.where((F.col("_at") >= F.col(start)) & (F.col("_at") <= F.col(end))).drop("_bucket", "_at")
+    """events joined to the intervals that hold `at`, both ends included.
+
+    An interval stands in buckets of the least power of two times `width` that is no shorter than it is: two at most,
+    however long it is. An event looks in one bucket of each power that some interval has.
+    """
+    length = F.greatest(F.col(end) - F.col(start), F.lit(0.0))
+    level = F.greatest(F.ceil(F.log2(F.greatest(length / width, F.lit(1e-9)))), F.lit(0)).cast("int")
+    bucket = lambda x: F.floor(x / (width * F.pow(F.lit(2.0), F.col("_level"))))
+    leveled = intervals.withColumn("_level", level)
+    cut = leveled.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    levels = [r[0] for r in leveled.select("_level").distinct().where("_level IS NOT NULL").collect()]  # powers of two of lengths
+    looking = events.withColumn("_at", at).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]).cast("array<int>")))
+    met = looking.withColumn("_bucket", bucket(F.col("_at"))).join(cut, [*by, "_level", "_bucket"])
+    return met.where((F.col("_at") >= F.col(start)) & (F.col("_at") <= F.col(end))).drop("_bucket", "_level", "_at")

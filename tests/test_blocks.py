@@ -104,3 +104,32 @@ def test_a_long_recording_spreads_over_blocks(spark):
     df = spark.range(900).select(F.when(F.col("id") < 300, F.lit(0)).otherwise(F.col("id")).alias("rec"), F.col("id").alias("at"))
     held = scans.ordered_blocks(df, ["rec"], "at", 60).groupBy("_block").count().collect()
     assert len(held) >= 12 and max(r["count"] for r in held) <= 180
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_spacing_by_rounds_equals_the_greedy_order(spark, rounds):
+    rng = np.random.default_rng(2)
+    data, want = [], set()
+    for rec, n, high in (("a", 1, 5), ("ties", 60, 3), ("b", 80, 1000), ("ramp", 50, None)):
+        at = np.sort(rng.choice(3 * n + 5, n, replace=False))
+        height = np.arange(n) if high is None else rng.integers(0, high, n)
+        data += [(rec, int(t), float(h)) for t, h in zip(at, height, strict=True)]
+        kept = []
+        for t, h in sorted(zip(at.tolist(), height.tolist(), strict=True), key=lambda x: (-x[1], -x[0])):
+            if all(abs(t - x) >= 6 for x in kept):
+                kept.append(t)
+        want |= {(rec, t) for t in kept}
+    df = spark.createDataFrame(data, "rec string, at long, h double").repartition(3)
+    assert {(r["rec"], r["at"]) for r in spectra.distant_peaks(df, ["rec"], "at", "h", 6, rounds).collect()} == want
+
+
+def test_a_long_interval_is_few_rows(spark):
+    from quillon.operators.windows import label_in
+
+    spans = [("a", 0.0, 1e6, "all"), ("a", 5.0, 5.0, "point"), ("a", 10.0, 31.0, "short"), ("a", 29.5, 80.0, "next"), ("b", -3.0, 3.0, "b")]
+    intervals = spark.createDataFrame(spans, "rec string, start double, end double, name string")
+    points = [("a", float(x)) for x in (0, 5, 10, 29.5, 31, 80, 81, 999_999, 1e6, 1e6 + 1)] + [("b", -3.0), ("b", 3.5), ("c", 1.0)]
+    got = label_in(spark.createDataFrame(points, "rec string, t double"), intervals, ["rec"], F.col("t"), "start", "end")
+    assert {(r["rec"], r["t"], r["name"]) for r in got.collect()} == {(r, t, n) for r, t in points for q, a, b, n in spans if q == r and a <= t <= b}
+    assert got.count() == len({(r, t, n) for r, t in points for q, a, b, n in spans if q == r and a <= t <= b})
+    assert label_in(spark.createDataFrame(points, "rec string, t double"), intervals.where("false"), ["rec"], F.col("t"), "start", "end").count() == 0
