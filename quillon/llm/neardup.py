@@ -36,6 +36,8 @@ BROADCAST_IDS = 500_000
 SHORT = 8
 #: Nodes of one list that a task joins with what is known of the list; longer ones are dealt over several.
 DEALT = 512
+#: Differences of one frame that are counted in one task, about; a frame with more is dealt by hashes of the differences.
+PART = 50_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) | np.uint64(1)
@@ -188,6 +190,67 @@ def _pairs_of_few(listed: DataFrame, on: list[str], where: str = "true") -> Data
     return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
+def _in_parts(members: DataFrame) -> DataFrame:
+    """A frame's members with their differences in parts: rows (..., part, grams) in place of (..., parts, delta), one for each part that a member has differences in."""
+    cut = F.expr("transform(sequence(0L, parts - 1), p -> struct(p AS part, filter(delta, g -> pmod(g, parts) = p) AS grams))")
+    rows = members.withColumn("_x", F.explode(cut)).select(*(c for c in members.columns if c not in ("delta", "parts")), "_x.part", "_x.grams")
+    return rows.where(F.size("grams") > 0).repartition("frame", "part").sortWithinPartitions("frame", "part")
+
+
+def _part_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, all differences, the row of each) of one frame and part after the other."""
+
+    def given(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        grams = rows.column("grams").chunk(0)
+        return rows, grams.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(rows)), np.diff(np.asarray(grams.offsets)))
+
+    held, now = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = list(zip(batch.column("frame").to_pylist(), batch.column("part").to_pylist(), strict=True))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if keys[i] != now and held:
+                yield given(held)
+                held = []
+            now = keys[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield given(held)
+
+
+def usual_grams(members: DataFrame) -> DataFrame:
+    """(frame, gram): differences of more than half of the members (frame, members, parts, delta)."""
+
+    def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, grams, _ in _part_tables(batches):
+            values, counts = np.unique(grams, return_counts=True)
+            common = values[2 * counts > rows.column("members")[0].as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array([rows.column("frame")[0].as_py()] * len(common), pa.string()), pa.array(common)], names=["frame", "gram"])
+
+    return _in_parts(members).mapInArrow(usual, "frame string, gram bigint")
+
+
+def shared_grams(members: DataFrame) -> DataFrame:
+    """(frame, rep, known): the differences, with how many members have them, that a member (frame, rep, far, parts, delta) shares with others, a far one among them; an array for each part."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("often", pa.int64()), ("gram", pa.int64())]))
+        for rows, grams, owner in _part_tables(batches):
+            _, at, counts = np.unique(grams, return_inverse=True, return_counts=True)
+            far = rows.column("far").to_numpy(zero_copy_only=False).astype(bool)
+            told = np.bincount(at, weights=far[owner], minlength=len(counts)) > 0
+            use = (told & (counts > 1))[at]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[use], minlength=len(rows)))]).astype(np.int32)
+            known = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(counts[at][use].astype(np.int64)), pa.array(grams[use])], names=["often", "gram"])).cast(kind)
+            out = pa.RecordBatch.from_arrays([rows.column("frame").chunk(0), rows.column("rep").chunk(0), known], names=["frame", "rep", "known"])
+            yield out.filter(pa.array(np.diff(ends) > 0))
+
+    return _in_parts(members).mapInArrow(shared, "frame string, rep bigint, known array<struct<often: bigint, gram: bigint>>")
+
+
 def frame_pairs(frames: DataFrame, percent: int, folder: str, relabel: Callable[[DataFrame, str], DataFrame], short: int = SHORT) -> DataFrame:
     """(a, b): candidates among the members of frames (frame, rep, n, delta, often), no link between components left out.
 
@@ -200,12 +263,11 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, relabel: Callable[
     whole, found, step = 100 + percent, [], 0
     while not frames.isEmpty():
         at = f"{folder}/{step}"
-        rows = frames.groupBy("frame").agg(F.count("*").alias("members"), F.max("often").alias("often"))
-        seen = frames.select("frame", "often", F.explode("delta").alias("gram")).groupBy("frame", "gram").agg(F.count("*").alias("k"), F.max("often").alias("often")).where("k > 1")
-        counts = written(dealt_join(seen.withColumnRenamed("gram", "rep"), rows, ["frame"]).select("frame", F.col("rep").alias("gram"), "k", "members", "often"), f"{at}-counts")
+        rows = frames.groupBy("frame").agg(F.count("*").alias("members"), F.max("often").alias("often"), F.greatest(F.ceil(F.sum(F.size("delta")) / PART), F.lit(1)).alias("parts"))
+        sized = written(dealt_join(frames, rows.select("frame", "often", "members", "parts"), ["frame"]), f"{at}-sized")
         # what more than half of the members differ in belongs to the centre
-        usual = counts.where("2 * k > members").groupBy("frame").agg(F.collect_list("gram").alias("usual"))
-        moved = dealt_join(frames, rows.join(usual, "frame", "left").select("frame", "often", "usual"), ["frame"])
+        usual = usual_grams(sized.select("frame", "members", "parts", "delta")).groupBy("frame").agg(F.collect_list("gram").alias("usual"))
+        moved = dealt_join(sized, rows.join(usual, "frame", "left").select("frame", "often", "usual"), ["frame"])
         moved = moved.withColumn("delta", F.when(F.col("usual").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "usual"), F.array_except("usual", "delta")))).drop("usual")
         moved = written(moved.withColumn("y", whole * F.size("delta") - (100 - percent) * F.col("n")), f"{at}-moved")
         nearest = written(moved.groupBy("frame").agg(F.min(F.struct("y", "rep")).alias("x"), F.max("often").alias("often")), f"{at}-nearest")
@@ -217,16 +279,13 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, relabel: Callable[
         outside = moved.where("far").groupBy("frame").agg(F.min("y").alias("far_y"))
         moved = written(dealt_join(moved, rows.select("frame", "often").join(outside, "frame"), ["frame"]), f"{at}-open")
         kept = F.size("delta") - F.greatest(F.lit(1).cast("bigint"), -F.floor(-(F.col("y") + F.when(F.col("far"), F.col("x.y")).otherwise(F.col("far_y"))) / (2 * whole))) + 1
-        open_ = moved.select("frame", "rep", "component", "far", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), "delta").where("kept > 0")
+        open_ = moved.select("frame", "rep", "component", "far", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), "parts", "delta").where("kept > 0")
         # only what a far member differs in, too, can be shared with one; all else stands first in the order, with what nobody shares
-        told = open_.where("far").select("frame", F.explode("delta").alias("gram")).distinct()
-        rarity = counts.join(told, ["frame", "gram"], "left_semi").select("frame", "gram", F.when(F.expr("2 * k > members"), F.expr("members - k")).otherwise(F.col("k")).alias("often")).where("often > 1")
-        spread = 8  # one frame's difference may be in half of its members
-        grams = open_.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(spread))).select(*(c for c in open_.columns if c != "delta"), "part", F.explode("delta").alias("gram"))
-        known = grams.join(rarity.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))), ["frame", "gram", "part"]).drop("part")
-        by_rep = Window.partitionBy("frame", "rep")
-        place = F.row_number().over(by_rep.orderBy("often", "gram")) + F.col("size") - F.count("*").over(by_rep)
-        posted = written(known.withColumn("place", place).where("place <= kept").drop("kept"), f"{at}-posted")
+        known = shared_grams(open_.select("frame", "rep", "far", "parts", "delta")).groupBy("frame", "rep").agg(F.array_sort(F.flatten(F.collect_list("known"))).alias("known"))
+        ordered = open_.drop("delta", "parts").join(known, ["frame", "rep"]).withColumn("first", F.col("size") - F.size("known"))
+        chosen = ordered.withColumn("known", F.expr("slice(known, 1, CAST(greatest(kept - first, 0) AS INT))"))
+        posted = chosen.select("frame", "rep", "component", "far", "n", "y", "size", "first", F.posexplode("known").alias("at", "x"))
+        posted = written(posted.select("frame", "rep", "component", "far", "n", "y", "size", "x.gram", "x.often", (F.col("first") + F.col("at") + 1).alias("place")), f"{at}-posted")
         lists = posted.groupBy("frame", "gram").agg(F.count_if("far").alias("n_far"), F.avg("size").alias("mean"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("often").alias("often")).where("low <> high")
         tagged = written(dealt_join(posted, lists.select("frame", "gram", "often", F.expr(f"n_far <= greatest({short}, mean / 2)").alias("short")), ["frame", "gram"]), f"{at}-tagged")
         enough = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND 2 * {whole} * (1 + least(size_a - place_a, size_b - place_b)) >= y_a + y_b"
