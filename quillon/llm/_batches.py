@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -12,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.functions.shared import shared_folder  # noqa: F401
+
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS_PER_BATCH = 1000
 BYTES_PER_SLICE = 1 << 20
@@ -68,6 +68,8 @@ _caches: dict[str, Callable[[], None]] = {}
 
 def holds_cache(name: str, clear: Callable[[], None] | None = None) -> None:
     """Say in a task whose cache is used from now on; Python workers outlive stages, so the caches of other operators are let go."""
+    # what a batch has taken goes back at once, not to a pool that keeps it
+    pa.set_memory_pool(pa.system_memory_pool())
     others = [k for k in _caches if k != name]
     for k in others:
         _caches.pop(k)()
@@ -78,17 +80,6 @@ def holds_cache(name: str, clear: Callable[[], None] | None = None) -> None:
         _caches[name] = clear
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, which only local mode allows, below a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path: cuts the lineage, and survives the loss of executors."""
     with smaller_batches(df.sparkSession):
