@@ -243,28 +243,28 @@ def reliability_screen(dist: DataFrame, correlation: DataFrame) -> DataFrame:
     return df.select("feature", label.alias("recommendation"), "missing_fraction", "robust_outlier_fraction", "zero_variance", F.col("qc").alias("max_abs_qc_spearman"), reason_list(reasons, "no major screening issue detected").alias("review_reason"))
 
 
-# Metrics whose values beyond a limit are reviewed.
+# Metrics, directions and limits; the sentences are free.
 QC_RULES = (
-    ("additive_interference", "qadd_speech_pause_level_diff_db", "low", 10.0, "Low speech-pause level contrast; speech/pause separation may be noisy."),
-    ("additive_interference", "qadd_pause_hum50_ratio", "high", 0.05, "Elevated 50 Hz pause-region energy; possible line interference."),
-    ("additive_interference", "qadd_pause_hum60_ratio", "high", 0.05, "Elevated 60 Hz pause-region energy; possible line interference."),
-    ("gain_dynamics", "qgain_speech_rms_db_std", "high", 6.0, "High speech-level variability; possible gain instability or variable distance."),
-    ("reverberation_echo", "qrev_post_offset_tail_db_above_floor", "high", 6.0, "Post-offset speech tail above floor; possible reverberation/echo."),
-    ("nonlinear_distortion", "qdist_near_clipped_sample_fraction", "high", 0.01, "Near-clipped samples present in high-level speech frames."),
-    ("temporal_discontinuity", "qtemp_waveform_continuity_break_score", "high", 0.02, "Waveform continuity-break proxy elevated; possible dropout/glitch."),
+    ("additive_interference", "qadd_speech_pause_level_diff_db", "low", 10.0, "Speech is hardly louder than pauses, which may be told apart badly."),
+    ("additive_interference", "qadd_pause_hum50_ratio", "high", 0.05, "Much energy at 50 Hz in pauses, perhaps mains hum."),
+    ("additive_interference", "qadd_pause_hum60_ratio", "high", 0.05, "Much energy at 60 Hz in pauses, perhaps mains hum."),
+    ("gain_dynamics", "qgain_speech_rms_db_std", "high", 6.0, "The level of speech varies much: gain or distance may have changed."),
+    ("reverberation_echo", "qrev_post_offset_tail_db_above_floor", "high", 6.0, "Speech dies away slowly, perhaps in an echoing room."),
+    ("nonlinear_distortion", "qdist_near_clipped_sample_fraction", "high", 0.01, "Loud frames come close to clipping."),
+    ("temporal_discontinuity", "qtemp_waveform_continuity_break_score", "high", 0.02, "The waveform breaks off in places, perhaps by dropouts."),
 )
-# What a flagged family means for the features.
+# What a flagged family means for the features.
 QC_ADVICE = {
-    "additive_interference": "Inspect noise-sensitive spectral, phonatory, and low-energy timing features. Pause-derived measures may be contaminated.",
-    "gain_dynamics": "Use caution with amplitude/intensity and energy-envelope features; consider reporting gain instability alongside biomarkers.",
-    "reverberation_echo": "Use caution with pause duration, pause energy, timing boundaries, and rhythm/prosody features sensitive to speech tails.",
-    "channel_device": "Use caution comparing spectral/formant/channel-sensitive features across devices or microphones.",
-    "nonlinear_distortion": "Use caution with amplitude, CPP, spectral, and phonatory features; clipped files may need exclusion or sensitivity analysis.",
-    "temporal_discontinuity": "Use caution with temporal/rhythm and signal-continuity-sensitive features; inspect files with dropouts/glitches.",
+    "additive_interference": "Check features that noise disturbs, of the spectrum, the voice and quiet passages; pauses may hold noise.",
+    "gain_dynamics": "Be careful with levels and envelopes, and report how the gain varies with the results.",
+    "reverberation_echo": "Be careful with pauses, their ends and energy, and with rhythm: long tails shift them.",
+    "channel_device": "Be careful when comparing spectra and formants between microphones.",
+    "nonlinear_distortion": "Be careful with levels, spectra and voice; try results without clipped files.",
+    "temporal_discontinuity": "Be careful with timing and rhythm, and listen to files with gaps.",
 }
 MANY_RULES = 10_000
-NO_ADVICE = "Review affected files before interpreting downstream acoustic features."
-NOTHING_FOUND = "No QC warning thresholds were triggered. Continue feature extraction, but still inspect plots and metadata."
+NO_ADVICE = "Look at these files before reading their features."
+NOTHING_FOUND = "No metric is beyond its limit; plots and metadata still deserve a look."
 
 
 def rules_table(df: DataFrame, rules: tuple[tuple, ...] = QC_RULES) -> DataFrame:

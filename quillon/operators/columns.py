@@ -121,22 +121,22 @@ def classify_columns(df: DataFrame, kind: str = "feature", registry: DataFrame |
     few = F.col("n_distinct") <= F.least(F.lit(20), F.greatest(F.lit(3), F.floor(0.2 * F.greatest(F.col("n_valid"), F.lit(1)))))
     is_kind = lambda k: F.lit(kind == k)
     rules = [
-        (name.isin(*TASKS), "Task", 0.96, "Task/prompt identity column."),
-        (name.isin(*IDENTIFIERS) | (~number & (name == "id")), "Identifier", 0.95, "Identifier column."),
-        (name.isin(*TIMES), "Time / visit", 0.92, "Time, visit, or recording-date column."),
-        (name.rlike(AUDIT_NAMES), "Audit / status", 0.88, "Audit/status/path/error column; not analyzed as a feature."),
-        (is_kind("qc") & number, "QC feature", 0.90, "Numeric column in QC table."),
-        (name.rlike(QC_NAMES) & number, "QC feature", 0.86, "QC/artifact-related column name."),
-        (name.rlike(QC_NAMES), "Covariate", 0.86, "QC/artifact-related column name."),
-        (known & number, "Feature", 0.97, "Column found in supplied feature registry/policy table."),
-        (name.isin(*TARGETS), "Target / label", 0.90, "Exact clinical label/outcome name."),
-        (name.isin(*COVARIATES), "Covariate", 0.88, "Known demographic/device/site covariate."),
-        (is_kind("metadata") & (~number | few), "Covariate", 0.72, "Metadata descriptor/covariate."),
-        (is_kind("metadata"), "Covariate", 0.60, "Numeric metadata column; retained as covariate unless manually changed."),
-        (name.rlike(FEATURE_NAMES) & number, "Feature", 0.94, "Numeric column with acoustic/kinematic feature-like name."),
-        (is_kind("feature") & number, "Feature", 0.82, "Numeric primary-table column; conservative default is Feature."),
-        (~number & few, "Covariate", 0.62, "Low-cardinality nonnumeric column; likely grouping/covariate."),
-        (F.lit(True), "Ignore", 0.50, "Unclassified nonnumeric column."),
+        (name.isin(*TASKS), "Task", 0.96, "Names the task or prompt."),
+        (name.isin(*IDENTIFIERS) | (~number & (name == "id")), "Identifier", 0.95, "Identifies rows."),
+        (name.isin(*TIMES), "Time / visit", 0.92, "Tells when: a time, visit or date."),
+        (name.rlike(AUDIT_NAMES), "Audit / status", 0.88, "Tells of processing (status, path, error), no feature."),
+        (is_kind("qc") & number, "QC feature", 0.90, "Numbers in a table of quality metrics."),
+        (name.rlike(QC_NAMES) & number, "QC feature", 0.86, "Its name is that of a quality metric."),
+        (name.rlike(QC_NAMES), "Covariate", 0.86, "Its name is that of a quality metric."),
+        (known & number, "Feature", 0.97, "Listed in the registry given."),
+        (name.isin(*TARGETS), "Target / label", 0.90, "Named like a clinical outcome."),
+        (name.isin(*COVARIATES), "Covariate", 0.88, "Named like a person's, device's or site's property."),
+        (is_kind("metadata") & (~number | few), "Covariate", 0.72, "Describes rows in a metadata table."),
+        (is_kind("metadata"), "Covariate", 0.60, "Numbers in a metadata table, taken as a covariate until told otherwise."),
+        (name.rlike(FEATURE_NAMES) & number, "Feature", 0.94, "Numbers under a name that features have."),
+        (is_kind("feature") & number, "Feature", 0.82, "Numbers in the main table, taken as a feature."),
+        (~number & few, "Covariate", 0.62, "Few distinct texts, which may group rows."),
+        (F.lit(True), "Ignore", 0.50, "Texts that no rule knows."),
     ]
     role = lambda k: worst_of([(r[0], r[k]) for r in rules[:-1]], rules[-1][k])
     return p.select("column", role(1).alias("role"), role(2).alias("confidence"), role(3).alias("reason"), (1 - F.col("n_valid") / F.col("n_rows")).alias("missing_fraction"), F.col("n_distinct").alias("unique_values"), "numeric_like")

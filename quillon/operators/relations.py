@@ -93,16 +93,16 @@ def group_screen(long: DataFrame, groups_long: DataFrame, max_levels: int = 8) -
     rows = long.where("value IS NOT NULL").join(known, "record_key").join(levels, ["group_variable", "level"])
     key = ["group_variable", "feature"]
     rows = settled(rows.select("record_key", *key, "level", "place", "n_levels", "value"))
-    pooled = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct"), F.stddev_samp("value").alias("sd")).join(group_quantiles(rows, key, "value", [0.25, 0.75]), key)
+    pooled = rows.groupBy(*key).agg(F.count("*").alias("n"), F.stddev_samp("value").alias("sd")).join(group_quantiles(rows, key, "value", [0.25, 0.75]), key)
     medians = group_quantiles(rows, [*key, "level"], "value", [0.5]).select(*key, "level", F.col("q")[0].alias("med"))
     per = rows.groupBy(*key, "level", "place", "n_levels").agg(F.count("*").alias("m")).join(medians, [*key, "level"])
     by = per.groupBy(*key, "n_levels").agg(F.min("m").alias("least"), F.max(F.when(F.col("place") == 1, F.struct("level", "med", "m"))).alias("a"), F.max(F.when(F.col("place") == 2, F.struct("level", "med", "m"))).alias("b"), F.max(F.struct("med", "level")).alias("top"), F.min(F.struct("med", "level")).alias("low"))
-    two_sides = known.join(levels.where("n_levels = 2"), ["group_variable", "level"]).select("record_key", F.concat(F.lit("g"), "group_variable").alias("column"), (F.col("place") == 1).cast("double").alias("value"))
+    two_sides = known.join(levels, ["group_variable", "level"]).select("record_key", F.concat(F.lit("g"), "group_variable").alias("column"), (F.col("place") == 1).cast("double").alias("value"))
     values = long.select("record_key", F.concat(F.lit("f"), "feature").alias("column"), "value")
     names, sides = column_names(values, "column"), column_names(two_sides, "column")
     # the ranks of two groups are half their rows apart, so the product with them tells the rank sum of one
-    ranks = rank_correlations(values.unionByName(two_sides), [*names, *sides], names, sides).select(F.expr("substring(x, 2)").alias("feature"), F.expr("substring(y, 2)").alias("group_variable"), (4 * F.col("sxy") / F.col("n")).alias("share"))
-    df = by.join(pooled, key).join(ranks, key, "left").where("least >= 3 AND n >= 8 AND distinct >= 3")
+    ranks = rank_correlations(values.unionByName(two_sides), [*names, *sides], names, sides).select(F.expr("substring(x, 2)").alias("feature"), F.expr("substring(y, 2)").alias("group_variable"), (4 * F.col("sxy") / F.col("n")).alias("share"), F.col("levels_x").alias("distinct"))
+    df = by.join(pooled, key).join(ranks, key).where("least >= 3 AND n >= 8 AND distinct >= 3")
     iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
     scale = F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd"))
     two = F.col("n_levels") == 2
@@ -161,28 +161,28 @@ def recommendations(dist: DataFrame, shape: DataFrame, qc_correlation: DataFrame
     )
     df = with_family(df, registry).withColumn("reliability_status", F.coalesce("reliability_status", F.lit("not_evaluable")))
     miss, out, qc, red, status, shape_ = (F.col(c) for c in ("missing_fraction", "robust_outlier_fraction", "qc", "red", "reliability_status", "shape_priority"))
-    # Conditions, points, reasons and actions.
+    # Conditions, points and the names of reasons.
     rules = [
-        (F.col("n") < 10, 30, "very small valid n", "insufficient data; review support before export"),
-        (F.col("zero_variance"), 55, "zero variance", "exclude by default unless kept for audit only"),
-        (F.col("near_zero_variance") & ~F.col("zero_variance"), 20, "near-zero variance", "monitor; weak information in this dataset"),
-        (miss >= 0.8, 45, "extreme missingness", "exclude/recompute unless scientifically required"),
-        ((miss >= 0.5) & (miss < 0.8), 30, "high missingness", "review missing-data mechanism"),
-        ((miss >= 0.2) & (miss < 0.5), 12, "moderate missingness", "retain with missingness sensitivity checks"),
-        (out >= 0.2, 20, "high robust outlier burden", "inspect extreme rows and QC"),
-        ((out >= 0.08) & (out < 0.2), 8, "moderate outlier burden", "monitor distribution tails"),
+        (F.col("n") < 10, 30, "very small valid n", "too few values: look at the data behind it first"),
+        (F.col("zero_variance"), 55, "zero variance", "leave out, or keep for the record alone"),
+        (F.col("near_zero_variance") & ~F.col("zero_variance"), 20, "near-zero variance", "keep an eye on it: it says little here"),
+        (miss >= 0.8, 45, "extreme missingness", "leave out or compute again, unless the question needs it"),
+        ((miss >= 0.5) & (miss < 0.8), 30, "high missingness", "find out why values are missing"),
+        ((miss >= 0.2) & (miss < 0.5), 12, "moderate missingness", "keep, and try results with and without the gaps"),
+        (out >= 0.2, 20, "high robust outlier burden", "look at the extreme rows and their quality metrics"),
+        ((out >= 0.08) & (out < 0.2), 8, "moderate outlier burden", "watch the tails"),
         (shape_ == "review", 18, "distribution shape review", None),
         (shape_ == "monitor", 8, "distribution shape monitor", None),
-        (qc >= 0.7, 30, "strong QC association", "do not interpret without QC sensitivity/covariate analysis"),
-        ((qc >= 0.5) & (qc < 0.7), 18, "moderate QC association", "export with QC caution"),
+        (qc >= 0.7, 30, "strong QC association", "read only with quality as a covariate"),
+        ((qc >= 0.5) & (qc < 0.7), 18, "moderate QC association", "export with a note on quality"),
         ((qc >= 0.3) & (qc < 0.5), 7, "weak/moderate QC association", None),
-        (red >= 0.9, 10, "near-duplicate redundancy", "consider one representative per redundant block in ML"),
+        (red >= 0.9, 10, "near-duplicate redundancy", "one feature of its block may be enough for a model"),
         ((red >= 0.8) & (red < 0.9), 5, "strong redundancy", None),
-        (status == "unstable", 18, "unstable repeatability", "avoid longitudinal interpretation without reliability sensitivity"),
-        (status == "variable", 10, "variable repeatability", "avoid longitudinal interpretation without reliability sensitivity"),
+        (status == "unstable", 18, "unstable repeatability", "no statements on change without a look at repeatability"),
+        (status == "variable", 10, "variable repeatability", "no statements on change without a look at repeatability"),
         (status == "not_evaluable", 4, "repeatability not evaluable", None),
     ]
-    no_action = "eligible for downstream ML export after standard leakage-safe preprocessing"
+    no_action = "ready for export, with preprocessing fitted on training rows only"
     rules = [(F.coalesce(c, F.lit(False)), p, why, do) for c, p, why, do in rules]
     score = F.greatest(F.lit(0), F.least(F.lit(100), sum((-F.when(c, p).otherwise(0) for c, p, _, _ in rules), F.lit(100))))
     never = F.col("zero_variance") | (F.col("n") < 5) | F.coalesce(miss >= 0.8, F.lit(False))

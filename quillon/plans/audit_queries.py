@@ -51,11 +51,11 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     return add
 
 
-def features_long(read, once: bool = False) -> DataFrame:
+def features_long(read, once: bool = True) -> DataFrame:
     return long_form(read.once("recordings") if once else read("recordings"), "record_key", FEATURES)
 
 
-def qc_long(read, once: bool = False) -> DataFrame:
+def qc_long(read, once: bool = True) -> DataFrame:
     return long_form(read.once("qc") if once else read("qc"), "record_key", QC_METRICS)
 
 
@@ -73,7 +73,7 @@ SHARE = "(" + " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in FEA
 
 @query("q01_missingness_by_feature", f"WITH {LONG}, {MISSING} SELECT feature, n_rows, n_valid, n_unique_valid, n_missing, round(missing_fraction, 6) AS missing_fraction, family, {BAND.format('missing_fraction')} AS missingness_status FROM ms")
 def _(read):
-    return audit.missingness_by_feature(features_long(read), read("registry"))
+    return audit.missingness_by_feature(features_long(read, False), read("registry"))
 
 
 @query("q02_missingness_by_row", f"""SELECT record_key, round({SHARE}::DOUBLE / 17e0, 6) AS missing_fraction_all_columns, round({SHARE}::DOUBLE / 9e0, 6) AS missing_fraction_feature_columns, {SHARE}::BIGINT AS n_missing_features, (9 - {SHARE})::BIGINT AS n_valid_features, {BAND.format(f"({SHARE}::DOUBLE / 9e0)")} AS row_missingness_status FROM recordings""")
@@ -378,13 +378,13 @@ def _recommended(read):
     return relations.recommendations(dist, audit.distribution_shape(dist, expected), audit.feature_qc_correlation(long, qc_long(read, True)), redundant, relations.repeatability(_units(read), registry), screens, registry)
 
 
-ACTIONS = {"very small valid n": "insufficient data; review support before export", "zero variance": "exclude by default unless kept for audit only", "near-zero variance": "monitor; weak information in this dataset", "extreme missingness": "exclude/recompute unless scientifically required", "high missingness": "review missing-data mechanism", "moderate missingness": "retain with missingness sensitivity checks", "high robust outlier burden": "inspect extreme rows and QC", "moderate outlier burden": "monitor distribution tails", "strong QC association": "do not interpret without QC sensitivity/covariate analysis", "moderate QC association": "export with QC caution", "near-duplicate redundancy": "consider one representative per redundant block in ML", "unstable repeatability": "avoid longitudinal interpretation without reliability sensitivity", "variable repeatability": "avoid longitudinal interpretation without reliability sensitivity"}
+ACTIONS = {"very small valid n": "too few values: look at the data behind it first", "zero variance": "leave out, or keep for the record alone", "near-zero variance": "keep an eye on it: it says little here", "extreme missingness": "leave out or compute again, unless the question needs it", "high missingness": "find out why values are missing", "moderate missingness": "keep, and try results with and without the gaps", "high robust outlier burden": "look at the extreme rows and their quality metrics", "moderate outlier burden": "watch the tails", "strong QC association": "read only with quality as a covariate", "moderate QC association": "export with a note on quality", "near-duplicate redundancy": "one feature of its block may be enough for a model", "unstable repeatability": "no statements on change without a look at repeatability", "variable repeatability": "no statements on change without a look at repeatability"}
 RULES = [("n < 10", 30, "very small valid n"), ("zv", 55, "zero variance"), ("nz", 20, "near-zero variance"), ("m >= 0.8", 45, "extreme missingness"), ("m >= 0.5 AND m < 0.8", 30, "high missingness"), ("m >= 0.2 AND m < 0.5", 12, "moderate missingness"), ("o >= 0.2", 20, "high robust outlier burden"), ("o >= 0.08 AND o < 0.2", 8, "moderate outlier burden"), ("priority = 'review'", 18, "distribution shape review"), ("priority = 'monitor'", 8, "distribution shape monitor"), ("q >= 0.7", 30, "strong QC association"), ("q >= 0.5 AND q < 0.7", 18, "moderate QC association"), ("q >= 0.3 AND q < 0.5", 7, "weak/moderate QC association"), ("red >= 0.9", 10, "near-duplicate redundancy"), ("red >= 0.8 AND red < 0.9", 5, "strong redundancy"), ("st = 'unstable'", 18, "unstable repeatability"), ("st = 'variable'", 10, "variable repeatability"), ("st = 'not_evaluable'", 4, "repeatability not evaluable")]
 RECOMMEND = f"""{LONG}, {DIST}, {RANGE}, {SHAPE}, {QLONG}, {FQ}, {CORR}, {_repeat_sql('subject_id', 3, 6)}, {CS}, {GS.replace('rs AS (', 'rsum AS (').replace('LEFT JOIN rs ', 'LEFT JOIN rsum ')},
 lk AS (SELECT feature, max(abs_spearman) AS red, count(*) AS rc FROM (SELECT feature_1 AS feature, abs_spearman FROM co WHERE abs_spearman >= 0.8 UNION ALL SELECT feature_2, abs_spearman FROM co WHERE abs_spearman >= 0.8) GROUP BY feature),
 sc AS (SELECT feature, max(a) AS se FROM (SELECT feature, abs(rho) AS a FROM cs UNION ALL SELECT feature, abs(effect) FROM ef) GROUP BY feature),
 al AS (SELECT d.feature, d.n, d.zero_variance AS zv, d.near_zero_variance AND NOT d.zero_variance AS nz, d.missing_fraction AS m, d.robust_outlier_fraction AS o, priority, q, red, coalesce(rc, 0) AS rc, icc1_proxy, coalesce(reliability_status, 'not_evaluable') AS st, se, coalesce(g.family, 'unclassified') AS family FROM d JOIN sp USING (feature) LEFT JOIN (SELECT feature, max(abs(rho)) AS q FROM fq GROUP BY feature) USING (feature) LEFT JOIN lk USING (feature) LEFT JOIN rr USING (feature) LEFT JOIN sc USING (feature) LEFT JOIN registry g ON g.feature = d.feature),
-sd_ AS (SELECT *, greatest(0, least(100, 100 - ({' + '.join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in RULES)}))) AS score, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{w}' END" for c, _, w in RULES)}), ''), 'no major review flags detected') AS reasons, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{ACTIONS[w]}' END" for c, _, w in RULES if w in ACTIONS)}), ''), 'eligible for downstream ML export after standard leakage-safe preprocessing') AS actions FROM al),
+sd_ AS (SELECT *, greatest(0, least(100, 100 - ({' + '.join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in RULES)}))) AS score, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{w}' END" for c, _, w in RULES)}), ''), 'no major review flags detected') AS reasons, coalesce(nullif(concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{ACTIONS[w]}' END" for c, _, w in RULES if w in ACTIONS)}), ''), 'ready for export, with preprocessing fitted on training rows only') AS actions FROM al),
 rc_ AS (SELECT *, CASE WHEN zv OR n < 5 OR coalesce(m >= 0.8, false) THEN 'exclude_by_default' WHEN score >= 80 THEN 'recommended' WHEN score >= 60 THEN 'recommended_with_caution' WHEN score >= 40 THEN 'review_before_use' ELSE 'exclude_or_recompute' END AS rec FROM sd_)"""
 
 

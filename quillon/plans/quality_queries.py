@@ -180,7 +180,7 @@ def _mapping(read):
 
 
 @query("m03_classify_columns", f"""WITH {PROFILE} SELECT "column", role, CASE role WHEN 'Task' THEN 0.96e0 WHEN 'Identifier' THEN 0.95e0 WHEN 'Time / visit' THEN 0.92e0 WHEN 'Target / label' THEN 0.9e0 WHEN 'Covariate' THEN 0.88e0 ELSE CASE WHEN known THEN 0.97e0 ELSE 0.82e0 END END AS confidence,
-CASE role WHEN 'Task' THEN 'Task/prompt identity column.' WHEN 'Identifier' THEN 'Identifier column.' WHEN 'Time / visit' THEN 'Time, visit, or recording-date column.' WHEN 'Target / label' THEN 'Exact clinical label/outcome name.' WHEN 'Covariate' THEN 'Known demographic/device/site covariate.' ELSE CASE WHEN known THEN 'Column found in supplied feature registry/policy table.' ELSE 'Numeric primary-table column; conservative default is Feature.' END END AS reason,
+CASE role WHEN 'Task' THEN 'Names the task or prompt.' WHEN 'Identifier' THEN 'Identifies rows.' WHEN 'Time / visit' THEN 'Tells when: a time, visit or date.' WHEN 'Target / label' THEN 'Named like a clinical outcome.' WHEN 'Covariate' THEN 'Named like a person''s, device''s or site''s property.' ELSE CASE WHEN known THEN 'Listed in the registry given.' ELSE 'Numbers in the main table, taken as a feature.' END END AS reason,
 round(1 - n_valid::DOUBLE / n_rows::DOUBLE, 6) AS missing_fraction, n_distinct AS unique_values, numeric_like FROM ro""")
 def _(read):
     return _mapping(read)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import scalars, stats
+from quillon.functions import gram, scalars, stats
 
 
 def one(spark, column, **values):
@@ -45,20 +45,24 @@ def test_parse_rate(spark, text, rate):
 
 
 def test_nan_is_missing_and_ranks_share_ties(spark):
+    import numpy as np
+
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 2.0, 2.0, float("nan"), 5.0])], "k int, v double")
     long = stats.long_form(df, "k", ["v"])
     assert long.where("value IS NULL").count() == 1
-    ranks = {r["k"]: r["r"] for r in stats.average_ranks(long.where("value IS NOT NULL"), ["feature"], "value", "r").collect()}
-    assert ranks == {0: 1.0, 1: 2.5, 2: 2.5, 4: 4.0}
+    rows = gram.column_rows(long, ["v"], "k", "feature")
+    values = {r["row"]: r["xs"][0] for r in rows.collect()}
+    ranks = gram.column_ranks(rows, gram.common_counts(rows, 1), np.zeros(1, np.int64)).collect()
+    assert sorted((values[r["row"]], np.frombuffer(r["ranks"], np.int64)[0] / 2) for r in ranks) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (5.0, 4.0)]
 
 
 def test_constant_columns_have_no_correlation(spark):
-    pairs = spark.createDataFrame([("p", 1.0, float(i)) for i in range(9)], "g string, x double, y double")
-    assert stats.spearman(pairs, ["g"], min_distinct=1).first()["rho"] is None
-    assert stats.spearman(pairs.limit(0), ["g"]).count() == 0
+    long = spark.createDataFrame([(i, c, v) for i in range(9) for c, v in (("x", 1.0), ("y", float(i)))], "record_key int, column string, value double")
+    r = gram.rank_correlations(long, ["x", "y"]).first()
+    assert r["rho"] is None and (r["n"], r["levels_x"], r["levels_y"]) == (9, 1, 3)
 
 
-def test_no_group_is_ranked_or_cut_into_quantiles_in_one_piece(spark):
+def test_no_group_is_cut_into_quantiles_in_one_piece(spark):
     import random
 
     rng = random.Random(8)
@@ -68,12 +72,14 @@ def test_no_group_is_ranked_or_cut_into_quantiles_in_one_piece(spark):
     want = {r["feature"]: r["q"] for r in long.groupBy("feature").agg(stats.quantiles("value", qs).alias("q")).collect()}
     got = stats.group_quantiles(long, ["feature"], "value", qs)
     assert {r["feature"]: r["q"] for r in got.collect()} == {k: v for k, v in want.items() if v is not None}
-    ranked = stats.average_ranks(long.where("value IS NOT NULL"), ["feature"], "value", "r")
-    for f in draw:
-        values = [v for g, v in rows if g == f and v is not None]
-        expected = {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values}
-        assert {r["value"]: r["r"] for r in ranked.where(F.col("feature") == f).collect()} == expected
-    for table in (got, ranked):  # values are sorted within a range of a feature only
-        plan = table._jdf.queryExecution().optimizedPlan().toString()
-        sorts = [x for x in plan.splitlines() if "Window [" in x and "value" in x]
-        assert sorts and all("_range" in x for x in sorts) and "percentile" not in plan
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
+def test_large_groups_of_close_or_equal_values_have_exact_quantiles(spark, monkeypatch):
+    """Groups beyond SMALL_GROUP: timestamps that lie close together, a value that a third of the rows have, NULL as a group."""
+    n = 30_000
+    rows = spark.range(n).select(F.explode(F.array(*[F.struct(F.lit(g).alias("g"), x.cast("double").alias("value")) for g, x in (("time", F.col("id") + 1_000_000_000), ("third", F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(10_000)))), (None, F.rand(3)), ("same", F.lit(1)))])).alias("x")).select("x.*")
+    qs = [0.0, 0.003, 0.05, 0.25, 1 / 3, 0.5, 0.95, 0.999, 1.0]
+    want = {r["g"]: r["q"] for r in rows.groupBy("g").agg(stats.quantiles("value", qs).alias("q")).collect()}
+    assert {r["g"]: r["q"] for r in stats.group_quantiles(rows, ["g"], "value", qs).collect()} == want

@@ -122,22 +122,23 @@ def test_stream_dedupe_join_and_runs(spark, tmp_path):
     assert len(spark.table("t_join").collect()) == 1
 
 
-def test_run_state_carries_on():
-    import pandas as pd
-
-    class Value:
-        kept = None
-
-        def exists(self):
-            return self.kept is not None
-
-        def get(self):
-            return self.kept
-
-        def update(self, v):
-            self.kept = v
-
-    state = live.RunState()
-    state.run = Value()
-    feed = lambda *flags: next(state.handleInputRows(("a",), iter([pd.DataFrame({"recording": "a", "at": range(len(flags)), "flag": flags})]), None)).iloc[0].tolist()
-    assert feed(True, True) == ["a", True, 2] and feed(True) == ["a", True, 3] and feed(False, True) == ["a", True, 1]
+def test_runs_go_on_from_batch_to_batch_in_the_order_of_time():
+    rows = [(t, t, t // 3 % 2 == 0) for t in range(20)]
+    waiting, run, ended = [], None, []
+    for part, upto in ((rows[10:15], 5.0), (rows[:8], 6.5), (rows[15:] + rows[8:10], 14.0)):
+        waiting, run, more = live.next_runs(waiting + [list(r) for r in part], run, upto)
+        ended += more
+    waiting, run, more = live.next_runs(waiting, run, None)
+    assert waiting == [] and [(r[0], r[1], r[2]) for r in [*ended, *more, run]] == [(t // 3 % 2 == 0, t, min(3, 20 - t)) for t in range(0, 20, 3)]
+
+
+def test_run_state_in_a_stream_with_late_rows(spark, tmp_path):
+    """Rows of a step that come with the next one are in place; what lies idle is given out, and the stream's end marker stays."""
+    t = lambda s: f"2024-01-01 00:00:{s:02}"
+    files = [[(1, "a", t(1), True), (3, "a", t(3), True)], [(2, "a", t(2), False), (4, "a", t(8), True), (5, "b", t(9), False)], [(6, "end", "2024-01-02 00:00:00", True)]]
+    for rows in files:
+        df = spark.createDataFrame(rows, "id long, rec string, t string, ok boolean").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    found = live.run_to_end(live.stream_run_state(stream, "rec", "ts", "ok", "id", "30 seconds", "5 minutes"), f"file://{tmp_path}/run").collect()
+    assert sorted((r["recording"], r["flag"], r["length"]) for r in found) == [("a", False, 1), ("a", True, 1), ("a", True, 2), ("b", False, 1)]
