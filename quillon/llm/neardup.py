@@ -411,10 +411,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat a kept id, the first by text stays; rows with a NULL id all stay.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **options).where("kept").select("id"), f"{shared_folder(docs.sparkSession)}/kept")
-    ids = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("times"))
-    kept_id, place = free_names(docs, "kept_id", "place")
-    own = docs.join(found.distinct().select(F.col("id").alias(kept_id)), F.col(id_col).cast("bigint").eqNullSafe(F.col(kept_id)), "left_semi")
+    found = written(near_duplicates(docs, id_col, text_col, **options).select("id", "kept"), f"{shared_folder(docs.sparkSession)}/kept")
+    ids = found.where("kept AND id IS NOT NULL").groupBy("id").agg(F.count("*").alias("times"))
+    gone_id, place = free_names(docs, "gone_id", "place")
+    gone = found.where("NOT kept").select(F.col("id").alias(gone_id)).distinct()
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)  # then texts are not shuffled
+    own = docs.join(gone, F.col(id_col).cast("bigint") == F.col(gone_id), "left_anti")
     if ids.where("times > 1").isEmpty():
         return own
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
