@@ -397,19 +397,20 @@ def _(read):
     return landmarks.movement_rollup(landmarks.movement_summary(_moved(read), BY, "frame", "time_s", ["value"]), BY)
 
 
-_TO = lambda x, name: f"""CASE WHEN o.of = 'jerk' THEN round({x}) ELSE round({x}, 3) END AS {name}"""
+_TO = lambda x, name: f"""CASE WHEN o.of = 'jerk' THEN round({x}) ELSE round(round({x}, 9), 3) END AS {name}"""
 _SUMS = ", ".join(_TO(x, f'"{n}"') for n, x in {"mean": "avg(x)", "sd": "stddev_pop(x)", "median": "quantile_cont(x, 0.5)", "iqr": "quantile_cont(x, 0.75) - quantile_cont(x, 0.25)", "p05": "quantile_cont(x, 0.05)", "p95": "quantile_cont(x, 0.95)", "range_p05_p95": "quantile_cont(x, 0.95) - quantile_cont(x, 0.05)", "min": "min(x)", "max": "max(x)"}.items())
 _SIZES = " UNION ALL ".join(f"SELECT recording_id, '{c}' AS of, {x} AS x FROM d3" for c, x in {"value": "v", "velocity": "abs(velocity)", "acceleration": "abs(acceleration)", "jerk": "abs(jerk)"}.items())
 
 
 @query("g22_signal_summaries", f"""WITH {FILLED}, ft AS (SELECT xl.recording_id, xl.frame, time_s, xl.v FROM xl JOIN frames f ON f.recording_id = xl.recording_id AND f.frame = xl.frame), {_grad('ft', 'v', 'velocity', 'd1')}, {_grad('d1', 'velocity', 'acceleration', 'd2')}, {_grad('d2', 'acceleration', 'jerk', 'd3')}, lo AS ({_SIZES}),
-pl AS (SELECT recording_id, 'velocity' AS of, round(sum(a), 3) AS path_length FROM (SELECT recording_id, (abs(velocity) + abs(lag(velocity) OVER w)) / 2 * (time_s - lag(time_s) OVER w) AS a FROM d3 WINDOW w AS (PARTITION BY recording_id ORDER BY frame)) GROUP BY recording_id)
+pl AS (SELECT recording_id, 'velocity' AS of, round(round(sum(a), 9), 3) AS path_length FROM (SELECT recording_id, (abs(velocity) + abs(lag(velocity) OVER w)) / 2 * (time_s - lag(time_s) OVER w) AS a FROM d3 WINDOW w AS (PARTITION BY recording_id ORDER BY frame)) GROUP BY recording_id)
 SELECT o.recording_id, o.of, {_SUMS}, any_value(path_length) AS path_length FROM lo o LEFT JOIN pl ON pl.recording_id = o.recording_id AND pl.of = o.of GROUP BY o.recording_id, o.of""", digits=3)
 def _(read):
     rows = spectra.interpolate_linear(read("frames").select("recording_id", "frame", "time_s", "value"), BY, "frame", "value")
     found = landmarks.speed_summaries(rows, BY, "frame", "value", "time_s")
-    # doubles scaled before rounding, as DuckDB rounds; the jerk has large numbers, rounded to whole ones
-    return found.withColumns({c: F.when(F.col("of") == "jerk", F.round(c)).otherwise(F.round(F.col(c) * 1000) / 1000) for c, t in found.dtypes if t == "double"})
+    # doubles scaled before rounding, as DuckDB rounds, and ties freed from the order of sums; the jerk has large numbers, rounded to whole ones
+    exact = lambda c: F.round(F.col(c) * 1e9) / 1e9
+    return found.withColumns({c: F.when(F.col("of") == "jerk", F.round(c)).otherwise(F.round(exact(c) * 1000) / 1000) for c, t in found.dtypes if t == "double"})
 
 
 @query("x30_kinematic_scalars", digits=4)
