@@ -23,7 +23,16 @@ def ordered_blocks(df: DataFrame, by: list[str], at: str, rows: int | None = Non
     return settled(ordered.withColumn("_block", F.spark_partition_id()))
 
 
-def _inside(by: list[str], at: str) -> Window:
+def end_to_end(df: DataFrame, group: list[str], by: list[str], at: str, place: str) -> DataFrame:
+    """df with `place`, from 1 on: the samples of a group's recordings one after another, in the order of `by`; only a number per recording of a group meets in one task."""
+    rows = df.withColumns({"_g": F.struct(*group), "_r": F.struct(*by)})
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_g", "_r").agg(F.count("*").alias("_m")).withColumn("_before", before).drop("_m")
+    own = F.row_number().over(Window.partitionBy("_g", "_r").orderBy(at))
+    return rows.join(starts, ["_g", "_r"]).withColumn(place, F.col("_before") + own).drop("_g", "_r", "_before")
+
+
+def _inside(by: list[str], at: str | Column) -> Window:
     return Window.partitionBy(*by, "_block").orderBy(at)
 
 
@@ -33,8 +42,8 @@ def _handed(df: DataFrame, by: list[str], summary: Column, chain: Column, name:
     return df.join(blocks, [*by, "_block"], "left")
 
 
-def _blocks_before(by: list[str]) -> Window:
-    return Window.partitionBy(*by).orderBy("_block")
+def _blocks_before(by: list[str], ahead: bool = False) -> Window:
+    return Window.partitionBy(*by).orderBy(F.desc("_block") if ahead else "_block")
 
 
 def neighbour(df: DataFrame, by: list[str], at: str, columns: list[str], name: str, ahead: bool = False) -> DataFrame:
@@ -50,12 +59,11 @@ def neighbour(df: DataFrame, by: list[str], at: str, columns: list[str], name: s
 def known(df: DataFrame, by: list[str], at: str, columns: list[str], where: str, name: str, ahead: bool = False) -> DataFrame:
     """df with `name`: a struct of the columns of the last row up to (ahead: the first from) this one that has a value in `where`."""
     one = F.when(F.col(where).isNotNull(), F.struct(*columns))
-    w, u = _inside(by, at), _blocks_before(by)
+    # in falling order what comes first is what was last: frames up to the end of a block are summed up anew for each row
+    w, u = _inside(by, F.desc(at) if ahead else F.col(at)), _blocks_before(by, ahead)
     order = F.when(F.col(where).isNotNull(), F.col(at))
-    if ahead:
-        handed = _handed(df, by, F.min_by(one, order), F.first("_s", ignorenulls=True).over(u.rowsBetween(1, Window.unboundedFollowing)), "_h")
-        return handed.withColumn(name, F.coalesce(F.first(one, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_h"))).drop("_h")
-    handed = _handed(df, by, F.max_by(one, order), F.last("_s", ignorenulls=True).over(u.rowsBetween(Window.unboundedPreceding, -1)), "_h")
+    edge = F.min_by(one, order) if ahead else F.max_by(one, order)
+    handed = _handed(df, by, edge, F.last("_s", ignorenulls=True).over(u.rowsBetween(Window.unboundedPreceding, -1)), "_h")
     return handed.withColumn(name, F.coalesce(F.last(one, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_h"))).drop("_h")
 
 
@@ -76,20 +84,29 @@ def boolean_runs(df: DataFrame, by: list[str], at: str, flag: str, rows: int | N
 
 def interpolate_linear(df: DataFrame, by: list[str], at: str, value: str, max_gap: int | None = None, out: str | None = None, rows: int | None = None) -> DataFrame:
     """windows.interpolate_linear of recordings of any length."""
+    placed = filled(numbered(df, by, at, rows), by, at, value, max_gap)
+    return placed.withColumn(out or value, F.col("_filled")).drop("_filled", "_n", "_block")
+
+
+def numbered(df: DataFrame, by: list[str], at: str, rows: int | None = None) -> DataFrame:
+    """df in blocks with _n, each row's place in its recording from 1 on."""
+    return running_sum(ordered_blocks(df, by, at, rows), by, at, F.lit(1).cast("bigint"), "_n")
+
+
+def filled(placed: DataFrame, by: list[str], at: str, value: str, max_gap: int | None = None) -> DataFrame:
+    """numbered() rows with _filled: the value, or what windows.interpolate_linear puts in its place."""
     v = F.col(value)
-    placed = running_sum(ordered_blocks(df, by, at, rows), by, at, F.lit(1).cast("bigint"), "_n")
-    placed = placed.withColumn("_v", v)
-    placed = known(known(placed, by, at, ["_n", "_v"], value, "_p"), by, at, ["_n", "_v"], value, "_q", ahead=True)
+    placed = known(known(placed.withColumn("_v", v), by, at, ["_n", "_v"], value, "_p"), by, at, ["_n", "_v"], value, "_q", ahead=True)
     p, q = F.col("_p"), F.col("_q")
     line = p["_v"] + (q["_v"] - p["_v"]) * (F.col("_n") - p["_n"]) / F.when(q["_n"] > p["_n"], q["_n"] - p["_n"])
-    filled = F.coalesce(v, line, p["_v"], q["_v"])
+    found = F.coalesce(v, line, p["_v"], q["_v"])
     if max_gap is not None:
         whole = placed.groupBy(*by).agg(F.max("_n").alias("_last"), F.count(value).alias("_many"))
         placed = placed.join(whole, by)
         gap = F.coalesce(q["_n"], F.col("_last") + 1) - F.coalesce(p["_n"], F.lit(0)) - 1
-        filled = F.when(v.isNotNull(), v).when((gap <= max_gap) & (F.col("_many") >= 3), filled)
-        return placed.withColumn(out or value, filled).drop("_n", "_v", "_p", "_q", "_block", "_last", "_many")
-    return placed.withColumn(out or value, filled).drop("_n", "_v", "_p", "_q", "_block")
+        found = F.when(v.isNotNull(), v).when((gap <= max_gap) & (F.col("_many") >= 3), found)
+        return placed.withColumn("_filled", found).drop("_v", "_p", "_q", "_last", "_many")
+    return placed.withColumn("_filled", found).drop("_v", "_p", "_q")
 
 
 def gradient(df: DataFrame, by: list[str], at: str, value: str, time: str, out: str, rows: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _before(by: list[str], at: str):
+def _before(by: list[str], at: str | Column):
     return Window.partitionBy(*by).orderBy(at)
 
 
@@ -55,10 +55,12 @@ def interpolate_linear(df: DataFrame, by: list[str], at: str, value: str, max_ga
     With max_gap longer runs of missing values stay missing, and recordings with fewer than 3 values are left as they are.
     """
     w = _before(by, at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     v = F.col(value)
     df = df.withColumn("_n", F.row_number().over(w))
-    df = df.withColumn("_p", F.last(F.when(v.isNotNull(), F.struct("_n", v.alias("v"))), ignorenulls=True).over(back)).withColumn("_q", F.first(F.when(v.isNotNull(), F.struct("_n", v.alias("v"))), ignorenulls=True).over(ahead))
+    one = F.when(v.isNotNull(), F.struct("_n", v.alias("v")))
+    # the next value is the last one in falling order: a frame that ends with the recording is summed up anew for each row
+    upto = lambda order: F.last(one, ignorenulls=True).over(_before(by, order).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_p", upto("_n")).withColumn("_q", upto(F.desc("_n")))
     p, q = F.col("_p"), F.col("_q")
     line = p["v"] + (q["v"] - p["v"]) * (F.col("_n") - p["_n"]) / F.when(q["_n"] > p["_n"], q["_n"] - p["_n"])
     filled = F.coalesce(v, line, p["v"], q["v"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import scans
@@ -19,8 +18,7 @@ def _over(sql: str) -> str:
 
 def _long(read):
     rows = read("frames").withColumn("group", F.col("recording_id") % 3)
-    at = F.row_number().over(Window.partitionBy("group").orderBy("recording_id", "frame"))
-    placed = rows.select(F.col("group").alias("recording_id"), at.alias("frame"), "value", "detected")
+    placed = scans.end_to_end(rows, ["group"], ["recording_id"], "frame", "at").select(F.col("group").alias("recording_id"), F.col("at").alias("frame"), "value", "detected")
     return placed.withColumn("time_s", F.col("frame") * 0.04 + F.col("frame") % 3 * 0.005)
 
 

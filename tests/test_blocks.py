@@ -133,3 +133,26 @@ def test_a_long_interval_is_few_rows(spark):
     assert {(r["rec"], r["t"], r["name"]) for r in got.collect()} == {(r, t, n) for r, t in points for q, a, b, n in spans if q == r and a <= t <= b}
     assert got.count() == len({(r, t, n) for r, t in points for q, a, b, n in spans if q == r and a <= t <= b})
     assert label_in(spark.createDataFrame(points, "rec string, t double"), intervals.where("false"), ["rec"], F.col("t"), "start", "end").count() == 0
+
+
+def test_filling_a_long_recording_takes_time_by_its_length(spark):
+    """Frames up to the end of a recording were summed up anew for each row: 300,000 samples took minutes."""
+    import time
+
+    from quillon.operators import scans, windows
+
+    df = spark.range(300_000).select(F.lit("r").alias("rec"), F.col("id").alias("at"), F.when(F.col("id") % 7 != 3, F.col("id") * 1.0).alias("v"))
+    began = time.time()
+    for filled in (windows.interpolate_linear(df, ["rec"], "at", "v"), scans.interpolate_linear(df, ["rec"], "at", "v")):
+        assert filled.where(F.abs(F.col("v") - F.col("at")) < 1e-6).count() == 300_000
+    assert time.time() - began < 60
+
+
+def test_recordings_end_to_end(spark):
+    from quillon.operators import scans
+
+    data = [(g, r, t) for g, r, n in ((0, 1, 3), (0, 4, 2), (1, 2, 4), (None, None, 2), (0, None, 1)) for t in range(n)]
+    df = spark.createDataFrame(data, "g long, rec long, at long").repartition(3)
+    got = {(r["g"], r["rec"], r["at"]): r["place"] for r in scans.end_to_end(df, ["g"], ["rec"], "at", "place").collect()}
+    order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2]))
+    assert got == {x: 1 + sum(y[0] == x[0] for y in order[: order.index(x)]) for x in data}
