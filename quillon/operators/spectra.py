@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.blocks import BLOCK, array_of, array_sums, sample_blocks
 from quillon.functions.shared import settled
-from quillon.functions.stats import quantiles
+from quillon.functions.stats import group_quantiles, quantiles
+from quillon.operators import scans
 from quillon.operators.windows import gradient, interpolate_linear, local_extrema
 
 
@@ -266,24 +267,33 @@ def max_cross_correlation(df: DataFrame, by: list[str], at: str, a: str, b: str,
     return norm.join(sums, by, "left").select(*by, (F.col("_best") / F.when(F.col("_d") > 0, F.col("_d"))).alias("max_xcorr"))
 
 
-def robust_scaled(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """value less its median over IQR / 1.349, or over the SD where the IQR is 1e-9 or less; NULL where that is so small, too."""
-    found = df.groupBy(*by).agg(quantiles(value, [0.25, 0.5, 0.75]).alias("_q"), F.stddev_pop(value).alias("_sd"))
+def robust_scaled(df: DataFrame, by: list[str], value: str, long: bool = False) -> DataFrame:
+    """value less its median over IQR / 1.349, or over the SD where the IQR is 1e-9 or less; NULL where that is so small, too. With `long` no task holds a recording's values."""
+    spread = F.stddev_pop(value).alias("_sd")
+    if long:
+        found = df.groupBy(*by).agg(spread).join(group_quantiles(df, by, value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q"), by, "left")
+    else:
+        found = df.groupBy(*by).agg(quantiles(value, [0.25, 0.5, 0.75]).alias("_q"), spread)
     iqr = F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))
     scale = F.when(iqr > 1e-9, iqr / 1.349).when(F.col("_sd") > 1e-9, F.col("_sd"))
     return df.join(found, by).withColumn(value, (F.col(value) - F.get("_q", F.lit(1))) / scale).drop("_q", "_sd")
 
 
-def lagged_correlations(df: DataFrame, by: list[str], at: str, x: str, y: str, max_lag: int, block: int | None = None) -> DataFrame:
+def lagged_correlations(df: DataFrame, by: list[str], at: str, x: str, y: str, max_lag: int, block: int | None = None, place: str | None = None) -> DataFrame:
     """(by..., row_1, row_2, r): correlations of the 2 * (2 * max_lag + 1) rows x(t + lag), y(t + lag) over the times at which all of them are known.
 
     Rows that hardly vary are left out; recordings with too few complete times give no rows. A block of times, with max_lag
     more samples on either side, gives the products of all pairs of rows as one matrix; matrices of a recording are added.
+    `place` is a column that numbers a recording's samples from 1 on; without it they meet in one task to be numbered.
     """
     width, size = 2 * max_lag + 1, block or BLOCK
     names = [f"{c}{k}" for c in "xy" for k in range(width)]
-    both = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).over(Window.partitionBy(*by))
-    rows = df.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), both.alias("_valid")).where(F.col("_valid") >= max(8, 2 * max_lag + 4))
+    both, k = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()), F.row_number().over(Window.partitionBy(*by).orderBy(at))
+    if place is not None:
+        df, k = df.join(df.groupBy(*by).agg(both.alias("_valid")), by), F.col(place)
+    else:
+        df = df.withColumn("_valid", both.over(Window.partitionBy(*by)))
+    rows = df.select(*by, (k - 1).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"), "_valid").where(F.col("_valid") >= max(8, 2 * max_lag + 4))
     pieces = sample_blocks(rows, by, "_k", ["_x", "_y"], halo=max_lag, block=size)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,15 +342,24 @@ def participation_ratio(correlations: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, (F.col("_n") / F.when(F.col("_s") > 1e-12, F.col("_s"))).alias("complexity"))  # the diagonal is 1
 
 
-def coordination(tracks: DataFrame, by: list[str], at: str, pairs: list[tuple[str, str]], max_lag: int, least_valid: float = 0.35) -> DataFrame:
-    """(by..., pair, complexity, pair_valid, status) of pairs of tracks: gaps of up to max_lag filled, robustly scaled, lagged correlations, participation ratio."""
-    out = []
+def coordination(tracks: DataFrame, by: list[str], at: str, pairs: list[tuple[str, str]], max_lag: int, least_valid: float = 0.35, rows: int | None = None) -> DataFrame:
+    """(by..., pair, complexity, pair_valid, status) of pairs of tracks: gaps of up to max_lag filled, robustly scaled, lagged correlations, participation ratio.
+
+    A track is filled and scaled once for all of its pairs. With `rows` recordings are cut into blocks of some so many rows;
+    else the samples of one meet in a task.
+    """
+    out, names = [], list(dict.fromkeys(c for pair in pairs for c in pair))
+    filled = tracks.select(*by, at, *names) if rows is None else scans.numbered(tracks.select(*by, at, *names), by, at, rows)
+    for c in names:
+        if rows is None:
+            filled = robust_scaled(interpolate_linear(filled, by, at, c, max_gap=max(1, max_lag)), by, c)
+        else:
+            filled = settled(scans.filled(filled, by, at, c, max(1, max_lag)).drop(c).withColumnRenamed("_filled", c))
+            filled = robust_scaled(filled, by, c, long=True)
+    filled = settled(filled) if len(pairs) > 1 else filled
     for a, b in pairs:
         valid = tracks.groupBy(*by).agg(F.avg((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("int")).alias("pair_valid"))
-        rows = tracks.select(*by, at, F.col(a).alias("_x"), F.col(b).alias("_y"))
-        for c in ("_x", "_y"):
-            rows = robust_scaled(interpolate_linear(rows, by, at, c, max_gap=max(1, max_lag)), by, c)
-        ratio = participation_ratio(lagged_correlations(rows, by, at, "_x", "_y", max_lag), by)
+        ratio = participation_ratio(lagged_correlations(filled, by, at, a, b, max_lag, place=None if rows is None else "_n"), by)
         met = valid.join(ratio, by, "left").withColumn("pair", F.lit(f"{a}_{b}"))
         status = F.when(F.col("complexity").isNull(), F.when(F.col("pair_valid") < least_valid, "failed").otherwise("low_validity")).when(F.col("pair_valid") < least_valid, "low_validity").otherwise("computed")
         out.append(met.select(*by, "pair", "complexity", "pair_valid", status.alias("status")))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators import landmarks, spectra
+from quillon.operators import landmarks, scans, spectra
 from quillon.plans.audit_queries import _R, query
 from quillon.plans.signal_queries import BY, EXTREMA, _grad
 from quillon.plans.views import POINTS
@@ -213,7 +212,7 @@ fc_{n} AS (SELECT p.recording_id, p.name AS row_1, q.name AS row_2, corr(p.v, q.
 def _far_tracks(read):
     rows = read("frames").select((F.col("recording_id") % 3).alias("group"), "recording_id", "frame", F.coalesce("value", F.lit(50.0)).alias("value"))
     # a long recording: a third of all frames each
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy("recording_id", "frame"))).select(F.col("group").alias("recording_id"), F.col("at").alias("frame"), "value")
+    rows = scans.end_to_end(rows, ["group"], ["recording_id"], "frame", "at").select(F.col("group").alias("recording_id"), F.col("at").alias("frame"), "value")
     return rows.select("recording_id", "frame", *[F.expr(x).alias(c) for c, x in _FAR_TRACKS.items()])
 
 
@@ -221,8 +220,8 @@ def _far_tracks(read):
 def _(read):
     rows = _far_tracks(read)
     for c in ("t1", "t2"):
-        rows = spectra.robust_scaled(rows, BY, c)
-    return spectra.lagged_correlations(rows, BY, "frame", "t1", "t2", FAR)
+        rows = spectra.robust_scaled(rows, BY, c, long=True)
+    return spectra.lagged_correlations(rows, BY, "frame", "t1", "t2", FAR, place="frame")
 
 
 _FAR_PAIRS = [("t1", "t2"), ("t1", "t3"), ("t2", "t3")]
@@ -231,7 +230,7 @@ _FAR_RATIOS = " UNION ALL ".join(f"SELECT recording_id, '{a}_{b}' AS pair, round
 
 @query("x23_coordination_far", f"WITH {LONG_FRAMES}, {', '.join(_far_sql(a, b) for a, b in _FAR_PAIRS)} {_FAR_RATIOS}")
 def _(read):
-    return spectra.coordination(_far_tracks(read), BY, "frame", _FAR_PAIRS, FAR)
+    return spectra.coordination(_far_tracks(read), BY, "frame", _FAR_PAIRS, FAR, rows=100_000)
 
 
 PART = f"{LAGGED}, pr AS (SELECT recording_id, count(*) FILTER (split_part(k, '_', 1) = split_part(k, '_', 2)) AS m, sum(CASE WHEN split_part(k, '_', 1) = split_part(k, '_', 2) THEN r * r ELSE 2 * r * r END) AS s FROM cr GROUP BY recording_id)"

@@ -156,3 +156,14 @@ def test_recordings_end_to_end(spark):
     got = {(r["g"], r["rec"], r["at"]): r["place"] for r in scans.end_to_end(df, ["g"], ["rec"], "at", "place").collect()}
     order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2]))
     assert got == {x: 1 + sum(y[0] == x[0] for y in order[: order.index(x)]) for x in data}
+
+
+@pytest.mark.parametrize("rows", [7, 40])
+def test_coordination_in_blocks_equals_whole_recordings(spark, rows):
+    made, df = recordings(spark, (12, 60, 131), gaps=True)
+    df = df.withColumn("c", F.col("a") * 2 + F.col("at") % 5)
+    seen = lambda d: sorted((r["rec"], r["pair"], round(r["complexity"] or -1.0, 9), round(r["pair_valid"], 9), r["status"]) for r in d.collect())
+    args = (["rec"], "at", [("a", "b"), ("a", "c")], 2)
+    whole = seen(spectra.coordination(df, *args))
+    assert len(whole) == 6 and any(x[2] > 0 for x in whole)
+    assert seen(spectra.coordination(df, *args, rows=rows)) == whole
