@@ -235,36 +235,48 @@ def max_cross_correlation(df: DataFrame, by: list[str], at: str, a: str, b: str,
     filled = interpolate_linear(interpolate_linear(df.select(*by, at, a, b), by, at, a), by, at, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     every = Window.partitionBy(*by)
     rows = filled.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(at)) - 1).alias("_k"), (F.col(a) - F.avg(a).over(every)).alias("_a"), (F.col(b) - F.avg(b).over(every)).alias("_b"), F.count("*").over(every).alias("_n")).where("_n >= 3")
-    pieces = settled(sample_blocks(rows, by, "_k", ["_a", "_b"], block=size))
-    one, two = pieces.select(*by, F.col("block").alias("_i"), "_a"), pieces.select(*by, F.col("block").alias("_j"), "_b")
-    near = one.join(two, by).withColumn("_d", F.col("_j") - F.col("_i"))
-    if max_lag is not None:
-        near = near.where(F.abs("_d") <= max_lag // size + 1)
+    pieces = settled(sample_blocks(rows, by, "_k", ["_a", "_b"], block=size, keep=("_n",)))
+    kinds = dict(pieces.dtypes)
+    typed = ", ".join(f"`{c}` {kinds[c]}" for c in by)
 
-    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lags_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sums at the lags 1 - len(x) to len(y) - 1."""
+        width = 1 << int(len(x) + len(y)).bit_length()
+        c = np.fft.irfft(np.fft.rfft(x, width).conj() * np.fft.rfft(y, width), width)
+        return np.concatenate([c[width - len(x) + 1 :], c[: len(y)]])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            best = []
             for r in range(len(batch)):
                 x, y = array_of(batch, "_a", r), array_of(batch, "_b", r)
-                width = 1 << int(len(x) + len(y)).bit_length()
-                c = np.fft.irfft(np.fft.rfft(x, width).conj() * np.fft.rfft(y, width), width)
-                lags = np.zeros(2 * size - 1)  # from 1 - size on
-                lags[size - len(x) : size - 1] = c[width - len(x) + 1 :]
-                lags[size - 1 : size - 1 + len(y)] = c[: len(y)]
-                parts.append(lags.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*by, "_d")), pa.array(parts, pa.binary())], names=[*by, "_d", "sums"])
+                lags, far = lags_of(x, y), len(x) if max_lag is None else min(max_lag, len(x) - 1)
+                best.append(float(lags[max(0, len(x) - 1 - far) : len(x) + far].max()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), pa.array(best, pa.float64())], names=[*by, "_best"])
 
-    kinds = dict(near.dtypes)
-    met = near.select(*by, "_d", "_a", "_b").mapInArrow(correlate, ", ".join(f"`{c}` {kinds[c]}" for c in (*by, "_d")) + ", sums binary")
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):  # an array of lags takes some 16 bytes a sample of a block, so each goes out on its own
+                x, y = array_of(batch, "_a", r), array_of(batch, "_b", r)
+                lags = np.zeros(2 * size - 1)  # from 1 - size on
+                lags[size - len(x) : size - 1 + len(y)] = lags_of(x, y)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in (*by, "_n", "_d")), pa.array([lags.tobytes()], pa.binary())], names=[*by, "_n", "_d", "sums"])
 
     def lagged(key: list, sums: np.ndarray) -> Iterator[tuple]:
         at_lag = key[-1] * size + np.arange(1 - size, size)
-        used = np.flatnonzero((sums != 0) & (True if max_lag is None else np.abs(at_lag) <= max_lag))
+        used = np.flatnonzero(np.abs(at_lag) <= (key[-2] - 1 if max_lag is None else min(max_lag, key[-2] - 1)))
         yield from zip(at_lag[used].tolist(), sums[used].tolist(), strict=True)
 
-    sums = array_sums(met, by, ["_d"], lagged, "_lag bigint, _s double").groupBy(*by, "_lag").agg(F.sum("_s").alias("_s")).groupBy(*by).agg(F.max("_s").alias("_best"))
+    short, long = pieces.where(F.col("_n") <= size), pieces.where(F.col("_n") > size)
+    found = short.select(*by, "_a", "_b").mapInArrow(alone, f"{typed}, _best double")
+    one, two = long.select(*by, "_n", F.col("block").alias("_i"), "_a"), long.select(*by, F.col("block").alias("_j"), "_b")
+    near = one.join(two, by).withColumn("_d", F.col("_j") - F.col("_i"))
+    if max_lag is not None:
+        near = near.where(F.abs("_d") <= max_lag // size + 1)
+    met = near.select(*by, "_n", "_d", "_a", "_b").mapInArrow(correlate, f"{typed}, _n bigint, _d bigint, sums binary")
+    sums = array_sums(met, [*by, "_n"], ["_d"], lagged, "_lag bigint, _s double").groupBy(*by, "_lag").agg(F.sum("_s").alias("_s")).groupBy(*by).agg(F.max("_s").alias("_best"))
     norm = rows.groupBy(*by).agg(F.sqrt(F.sum(F.col("_a") * F.col("_a")) * F.sum(F.col("_b") * F.col("_b"))).alias("_d"))
-    return norm.join(sums, by, "left").select(*by, (F.col("_best") / F.when(F.col("_d") > 0, F.col("_d"))).alias("max_xcorr"))
+    return norm.join(found.unionByName(sums), by, "left").select(*by, (F.col("_best") / F.when(F.col("_d") > 0, F.col("_d"))).alias("max_xcorr"))
 
 
 def robust_scaled(df: DataFrame, by: list[str], value: str, long: bool = False) -> DataFrame:

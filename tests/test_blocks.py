@@ -158,6 +158,28 @@ def test_recordings_end_to_end(spark):
     assert got == {x: 1 + sum(y[0] == x[0] for y in order[: order.index(x)]) for x in data}
 
 
+def test_cross_correlation_of_many_short_recordings_holds_no_whole_blocks(spark):
+    """4,000 recordings of 5 samples took an array of 512 KB each, 2 GB in one batch."""
+    import pyarrow as pa
+
+    def peak(batches):
+        import resource
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024])], names=["mb"])
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(4000, 5)), rng.normal(size=(4000, 5))
+    df = spark.createDataFrame([(i, t, float(x[i, t]), float(y[i, t])) for i in range(4000) for t in range(5)], "rec long, at long, a double, b double").coalesce(1)
+    got = {r["rec"]: r["max_xcorr"] for r in spectra.max_cross_correlation(df, ["rec"], "at", "a", "b").collect()}
+    assert len(got) == 4000
+    for i in range(0, 4000, 371):
+        a, b = x[i] - x[i].mean(), y[i] - y[i].mean()
+        assert abs(got[i] - np.correlate(b, a, "full").max() / np.sqrt((a**2).sum() * (b**2).sum())) < 1e-9
+    # Python workers are used again, so they tell what they held at most
+    assert max(r["mb"] for r in spark.range(16).repartition(16).mapInArrow(peak, "mb long").collect()) < 1500
+
+
 @pytest.mark.parametrize("rows", [7, 40])
 def test_coordination_in_blocks_equals_whole_recordings(spark, rows):
     made, df = recordings(spark, (12, 60, 131), gaps=True)
