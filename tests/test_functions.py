@@ -83,3 +83,15 @@ def test_large_groups_of_close_or_equal_values_have_exact_quantiles(spark, monke
     qs = [0.0, 0.003, 0.05, 0.25, 1 / 3, 0.5, 0.95, 0.999, 1.0]
     want = {r["g"]: r["q"] for r in rows.groupBy("g").agg(stats.quantiles("value", qs).alias("q")).collect()}
     assert {r["g"]: r["q"] for r in stats.group_quantiles(rows, ["g"], "value", qs).collect()} == want
+
+
+def test_ties_of_variances_and_ranges_go_as_in_duckdb(spark, duck):
+    """Ranges of values of four digits, a tie at the third: rounding their decimal form told 138 of 10,000 differently."""
+    from quillon.plans.audit_queries import _coarse
+
+    names = ("within_subject_variance", "between_subject_variance", "median_within_subject_range")
+    xs = [(k + 10000 * (k % 37) + 5) / 1e4 - (k % 211) / 1e3 for k in range(0, 100_000, 10)]
+    df = spark.createDataFrame([(k, x, x, x) for k, x in enumerate(xs)], "k long, " + ", ".join(f"{n} double" for n in names))
+    want = [r[0] for r in duck.execute("SELECT round(x, 3) FROM (SELECT unnest(?::DOUBLE[]) AS x, generate_subscripts(?::DOUBLE[], 1) AS k) ORDER BY k", [xs, xs]).fetchall()]
+    for r in _coarse(df).collect():
+        assert [r[n] for n in names] == [want[r["k"]]] * 3
