@@ -95,3 +95,28 @@ def test_ties_of_variances_and_ranges_go_as_in_duckdb(spark, duck):
     want = [r[0] for r in duck.execute("SELECT round(x, 3) FROM (SELECT unnest(?::DOUBLE[]) AS x, generate_subscripts(?::DOUBLE[], 1) AS k) ORDER BY k", [xs, xs]).fetchall()]
     for r in _coarse(df).collect():
         assert [r[n] for n in names] == [want[r["k"]]] * 3
+
+
+def test_levels_are_joined_without_shuffling_rows(spark):
+    """All rows of a level met in one task where Spark took the levels for a large table: they are few, and are broadcast."""
+    from quillon.operators import relations
+
+    long = spark.range(4000).select(F.col("id").alias("record_key"), F.lit("f").alias("feature"), ((F.col("id") * 37) % 101).cast("double").alias("value"))
+    groups = spark.range(4000).select(F.col("id").alias("record_key"), F.lit("g").alias("group_variable"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("level"))
+    seen, join = [], type(long).join
+
+    def watched(left, right, on=None, how=None):
+        out = join(left, right, on, how)
+        if on == ["group_variable", "level"]:
+            seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        type(long).join = watched
+        found = relations.group_screen(long, groups).collect()
+    finally:
+        type(long).join = join
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 1 and found[0]["n_levels"] == 2 and found[0]["n_pairwise"] == 4000
+    assert seen and all("BroadcastHashJoin" in p for p in seen)
