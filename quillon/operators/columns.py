@@ -209,18 +209,21 @@ def extension_priority(name: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, EXTENSIONS)), ext), F.lit(0)) - 1, F.lit(99)).cast("int")
 
 
-def _tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.upper(F.regexp_replace(text, "[^A-Za-z0-9]+", "_")), "_"), "")
+def _alias_task(alias: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in TASK_ALIASES.items() for x in kv]), alias)
 
 
 def task_of(text: Column) -> Column:
-    """The task of the first token that is an alias, else of the first alias in the joined tokens; NULL if there is none."""
-    aliases = F.create_map(*[F.lit(x) for kv in TASK_ALIASES.items() for x in kv])
-    hits = F.array_compact(F.transform(_tokens(text), lambda t: F.element_at(aliases, t)))
-    joined, by_part = F.array_join(_tokens(text), ""), F.lit(None).cast("string")
-    for alias, task in reversed(TASK_ALIASES.items()):
-        by_part = F.when(joined.contains(alias), task).otherwise(by_part)
-    return F.coalesce(F.get(hits, F.lit(0)), by_part)
+    """The task of the first token that is an alias, else of the first alias in the joined tokens; NULL if there is none.
+
+    Two regular expressions over the text find them, whatever the number of aliases; tokens hold letters and digits only.
+    """
+    aliases = [a for a in TASK_ALIASES if a.isalnum()]
+    parts = F.upper(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"))
+    token = F.regexp_extract(parts, f"(?:^|_)({'|'.join(aliases)})(?=_|$)", 1)
+    # of the branches the first that fits is taken, so aliases keep their order wherever they stand
+    inside = F.regexp_replace(F.replace(parts, F.lit("_"), F.lit("")), "^(?:" + "|".join(f".*?({a}).*" for a in aliases) + "|.*)$", "".join(f"${k + 1}" for k in range(len(aliases))))
+    return F.coalesce(_alias_task(token), _alias_task(inside))
 
 
 def normalize_task(value: Column, file_name: Column | None = None) -> Column:
@@ -250,8 +253,9 @@ def parse_filename(files: DataFrame, path: str, order: str, subject: str = SUBJE
     of = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
     token = F.get(F.split(name, r"[_\-\s]+"), F.lit(0))
     token = F.when(token.rlike(r"(?i)^(SUBJ|S|ID)?[A-Za-z]*\d+"), token)
-    rows = files.withColumns({"_s": of(subject), "_t": token, "session_id": of(session), "iteration": of(iteration), "task": task_of(name)})
-    rows = global_rank(rows, [F.asc(order)], "_n")
+    # numbered before they are read: sorting looks at the rows twice
+    rows = global_rank(files, [F.asc(order)], "_n")
+    rows = rows.withColumns({"_s": of(subject), "_t": token, "session_id": of(session), "iteration": of(iteration), "task": task_of(name)})
     notes = [
         (F.col("_s").isNull() & F.col("_t").isNotNull(), "subject_id inferred from first filename token"), (F.col("_s").isNull() & F.col("_t").isNull(), "subject_id generated because filename parsing failed"),
         (F.col("session_id").isNull(), "session_id defaulted to SESSION01"), (F.col("iteration").isNull(), "iteration defaulted to 1"), (F.col("task").isNull(), "task could not be parsed; set to unknown_task"),
