@@ -104,3 +104,18 @@ def test_width_of_the_reference(spark):
     assert len(found) == width * (width - 1) // 2
     for r in found[::997]:
         assert abs(r["rho"] - expected(base[:, int(r["x"][1:])], base[:, int(r["y"][1:])])[1]) < 1e-9
+
+
+def test_values_carry_bits_of_classes_and_no_lists_of_starts(spark, monkeypatch):
+    monkeypatch.setattr(gram, "ROWS_PER_RANGE", 60)
+    cols = table()
+    names = sorted(cols)
+    rows = column_rows(as_long(spark, cols), names, column="feature")
+    counts = common_counts(rows, len(names))
+    plan = gram.column_ranks(rows, counts, presence_classes(counts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "below" not in plan and "bits" not in plan
+
+
+def test_bits_of_more_classes_than_a_number_holds():
+    there = np.random.default_rng(3).random((50, 150)) < 0.5
+    assert (gram._unpacked(gram._packed(there), 150) == there).all()
