@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import axis_asymmetry, balance_asymmetry, ellipse_eccentricity, euclid_distance, euclid_distance_nullzero, midpoint_excursion, reason_list, safe_ratio, triangle_area_xy, worst_of
+from quillon.functions.scalars import axis_asymmetry, balance_asymmetry, ellipse_eccentricity, euclid_distance, euclid_distance_nullzero, finite, midpoint_excursion, reason_list, safe_ratio, triangle_area_xy, worst_of
 from quillon.functions.shared import settled
-from quillon.functions.stats import long_form, quantiles
+from quillon.functions.stats import quantiles
 from quillon.operators.signals import level_family, movement_windows, path_rom
 from quillon.operators.spectra import max_cross_correlation, prominent_extrema
 from quillon.operators.windows import boolean_runs, derivatives, interpolate_linear, path_length, runs_of_false, sigma_clip
@@ -225,12 +225,14 @@ def signal_summaries(long: DataFrame, keys: list[str], value: str = "value") ->
 def movement_summary(moved: DataFrame, by: list[str], at: str, time: str, signals: list[str]) -> DataFrame:
     """(by..., movement_id, movement_kind, n_frames, start_frame, end_frame, duration_s, signal, valid_fraction, median, iqr, p05, p95, range_p05_p95) per movement and signal."""
     keys = [*by, "movement_id"]
-    rows = moved.where("movement_id IS NOT NULL")
-    spans = rows.groupBy(*keys).agg(F.first("movement_kind").alias("movement_kind"), F.count("*").alias("n_frames"), F.min(at).alias("start_frame"), F.max(at).alias("end_frame"), F.when(F.count(time) >= 2, F.max(time) - F.min(time)).alias("duration_s"))
-    long = long_form(rows, keys, signals).withColumnRenamed("feature", "signal")
-    q = [F.get("_q", F.lit(k)) for k in range(5)]
-    found = long.groupBy(*keys, "signal").agg((F.count("value") / F.count("*")).alias("valid_fraction"), quantiles("value", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("_q"))
-    return spans.join(found.select(*keys, "signal", "valid_fraction", q[2].alias("median"), (q[3] - q[1]).alias("iqr"), q[0].alias("p05"), q[4].alias("p95"), (q[4] - q[0]).alias("range_p05_p95")), keys)
+    rows = moved.where("movement_id IS NOT NULL").select(*keys, "movement_kind", at, time, *[finite(F.col(c).cast("double")).alias(f"_s{k}") for k, c in enumerate(signals)])
+    # one aggregate for the spans and all signals, so that the movements are found once
+    parts = [x for k in range(len(signals)) for x in (F.count(f"_s{k}").alias(f"_n{k}"), quantiles(f"_s{k}", [0.05, 0.25, 0.5, 0.75, 0.95]).alias(f"_q{k}"))]
+    spans = rows.groupBy(*keys).agg(F.first("movement_kind").alias("movement_kind"), F.count("*").alias("n_frames"), F.min(at).alias("start_frame"), F.max(at).alias("end_frame"), F.when(F.count(time) >= 2, F.max(time) - F.min(time)).alias("duration_s"), *parts)
+    told = [F.struct(F.lit(c).alias("signal"), (F.col(f"_n{k}") / F.col("n_frames")).alias("valid_fraction"), F.col(f"_q{k}").alias("_q")) for k, c in enumerate(signals)]
+    q = [F.get("_x._q", F.lit(k)) for k in range(5)]
+    found = spans.withColumn("_x", F.explode(F.array(*told)))
+    return found.select(*keys, "movement_kind", "n_frames", "start_frame", "end_frame", "duration_s", "_x.signal", "_x.valid_fraction", q[2].alias("median"), (q[3] - q[1]).alias("iqr"), q[0].alias("p05"), q[4].alias("p95"), (q[4] - q[0]).alias("range_p05_p95"))
 
 
 def movement_rollup(per_movement: DataFrame, by: list[str]) -> DataFrame:

@@ -375,7 +375,7 @@ mm AS (SELECT mf.recording_id, frame, time_s, value, CASE WHEN h.recording_id IS
 
 
 def _moved(read):
-    return landmarks.movements(read("frames").select("recording_id", "frame", "time_s", "value"), BY, "frame", "value")
+    return landmarks.movements(read.once("frames").select("recording_id", "frame", "time_s", "value"), BY, "frame", "value")
 
 
 @query("w25_prominent_movements", f"WITH {MOVED} SELECT recording_id, frame, movement_id, movement_kind FROM mm")
