@@ -119,3 +119,26 @@ def test_values_carry_bits_of_classes_and_no_lists_of_starts(spark, monkeypatch)
 def test_bits_of_more_classes_than_a_number_holds():
     there = np.random.default_rng(3).random((50, 150)) < 0.5
     assert (gram._unpacked(gram._packed(there), 150) == there).all()
+
+
+@pytest.mark.parametrize("numbers", [0, 300, 3000, 1 << 20])
+def test_ranks_from_tables_sorts_or_both_are_the_same(spark, monkeypatch, numbers):
+    monkeypatch.setattr(gram, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(gram, "TABLE_RANKS", numbers)
+    cols = table()
+    names = sorted(cols)
+    for r in rank_correlations(as_long(spark, cols), names, column="feature").collect():
+        n, rho, dx, dy = expected(cols[r["x"]], cols[r["y"]])
+        assert (r["n"], r["levels_x"], r["levels_y"]) == (n, dx, dy), (r["x"], r["y"])
+        assert (r["rho"] is None) == (rho is None) and (rho is None or abs(r["rho"] - rho) < 1e-9), (r["x"], r["y"])
+
+
+def test_columns_of_few_values_are_neither_sorted_nor_shuffled_by_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(gram, "column_ranks", lambda *a: seen.append(a) or pytest.fail("sorted"))
+    cols = {k: table()[k] for k in ("a", "coarse", "half", "third", "none")}
+    got = {(r["x"], r["y"]): r for r in rank_correlations(as_long(spark, cols), sorted(cols), column="feature").collect()}
+    assert not seen and len(got) == 10
+    for (x, y), r in got.items():
+        n, rho, _, _ = expected(cols[x], cols[y])
+        assert r["n"] == n and (r["rho"] is None) == (rho is None) and (rho is None or abs(r["rho"] - rho) < 1e-9)
