@@ -32,6 +32,10 @@ COORDINATES = 40
 MISS = 1e-12
 ROUNDS = 3
 BROADCAST_IDS = 500_000
+#: Links that are broadcast, and whose components one task finds; more go through rounds of joins.
+FEW_LINKS = 20_000
+#: Frames whose counts and centres (not their sets) are broadcast.
+FEW_FRAMES = 1000
 #: Lists of up to so many nodes, or a quarter of their differences, meet pair by pair.
 SHORT = 8
 #: Nodes of one list that a task joins with what is known of the list; longer ones are dealt over several.
@@ -152,8 +156,31 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     return at.select(F.col("u").alias("node"), F.col("v").alias("root")).union(at.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def dealt_join(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """many joined with few (one row per key), both with a column `often`: a bound on the key's rows; keys of more than DEALT rows are dealt over tasks."""
+def components_of_few(edges: DataFrame) -> DataFrame:
+    """What connected_components() gives, for FEW_LINKS edges at most: one task finds them, without rounds of joins."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                root[max(a, b)] = min(a, b)
+        nodes = [*root]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+    return edges.where("a <> b").select("a", "b").repartition(1).mapInArrow(found, "node bigint, root bigint")
+
+
+def dealt_join(many: DataFrame, few: DataFrame, on: list[str], small: bool = False) -> DataFrame:
+    """many joined with few (one row per key), both with a column `often`: a bound on the key's rows; keys of more than DEALT rows are dealt over tasks. A small table is broadcast."""
+    if small:
+        return many.join(F.broadcast(few.drop("often")), on)
     parts = lambda: F.greatest(F.ceil(F.col("often") / DEALT), F.lit(1))
     one = many.withColumn("_part", F.pmod(F.xxhash64("rep"), parts()))
     two = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts() - 1))).drop("often")
@@ -266,20 +293,22 @@ def frame_pairs(frames: DataFrame, percent: int, folder: str, relabel: Callable[
     while not frames.isEmpty():
         at = f"{folder}/{step}"
         rows = frames.groupBy("frame").agg(F.count("*").alias("members"), F.max("often").alias("often"), F.greatest(F.ceil(F.sum(F.size("delta")) / PART), F.lit(1)).alias("parts"))
-        sized = written(dealt_join(frames, rows.select("frame", "often", "members", "parts"), ["frame"]), f"{at}-sized")
+        rows = written(rows, f"{at}-frames")
+        small = rows.limit(FEW_FRAMES + 1).count() <= FEW_FRAMES
+        sized = written(dealt_join(frames, rows.select("frame", "often", "members", "parts"), ["frame"], small), f"{at}-sized")
         # what more than half of the members differ in belongs to the centre
         usual = usual_grams(sized.select("frame", "members", "parts", "delta")).groupBy("frame").agg(F.collect_list("gram").alias("usual"))
         moved = dealt_join(sized, rows.join(usual, "frame", "left").select("frame", "often", "usual"), ["frame"])
         moved = moved.withColumn("delta", F.when(F.col("usual").isNull(), F.col("delta")).otherwise(F.concat(F.array_except("delta", "usual"), F.array_except("usual", "delta")))).drop("usual")
         moved = written(moved.withColumn("y", whole * F.size("delta") - (100 - percent) * F.col("n")), f"{at}-moved")
         nearest = written(moved.groupBy("frame").agg(F.min(F.struct("y", "rep")).alias("x"), F.max("often").alias("often")), f"{at}-nearest")
-        near = dealt_join(moved.select("frame", "rep", "y", "often"), nearest, ["frame"]).where("y + x.y <= 0 AND rep <> x.rep")
+        near = dealt_join(moved.select("frame", "rep", "y", "often"), nearest, ["frame"], small).where("y + x.y <= 0 AND rep <> x.rep")
         component = relabel(near.select(F.col("x.rep").alias("a"), F.col("rep").alias("b")), f"near{step}")
 
-        centres = nearest.join(component.select(F.col("rep").alias("_r"), F.col("component").alias("main")), F.col("x.rep") == F.col("_r")).drop("_r")
-        moved = dealt_join(moved.join(component, "rep"), centres, ["frame"]).withColumn("far", F.expr("component <> main"))
+        centres = (F.broadcast(nearest) if small else nearest).join(component.select(F.col("rep").alias("_r"), F.col("component").alias("main")), F.col("x.rep") == F.col("_r")).drop("_r")
+        moved = dealt_join(moved.join(component, "rep"), centres, ["frame"], small).withColumn("far", F.expr("component <> main"))
         outside = moved.where("far").groupBy("frame").agg(F.min("y").alias("far_y"))
-        moved = written(dealt_join(moved, rows.select("frame", "often").join(outside, "frame"), ["frame"]), f"{at}-open")
+        moved = written(dealt_join(moved, rows.select("frame", "often").join(outside, "frame"), ["frame"], small), f"{at}-open")
         kept = F.size("delta") - F.greatest(F.lit(1).cast("bigint"), -F.floor(-(F.col("y") + F.when(F.col("far"), F.col("x.y")).otherwise(F.col("far_y"))) / (2 * whole))) + 1
         open_ = moved.select("frame", "rep", "component", "far", "n", "y", F.size("delta").alias("size"), kept.alias("kept"), "parts", "delta").where("kept > 0")
         # only what a far member differs in, too, can be shared with one; all else stands first in the order, with what nobody shares
@@ -322,6 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = written(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), f"{folder}/classes")
     reps = full.join(classes, ["f1", "f2", "n"]).where("id = rep").select("rep", "f1", "f2", "n", "tokens").dropDuplicates(["rep", "f1", "f2"])
+    reps = written(reps, f"{folder}/reps")
     if exact:
         sets = written(_sets_of(rows, reps.select("rep", "f1", "f2"), words), f"{folder}/sets")
         posted = written(post_shingles(sets, percent), f"{folder}/posted")
@@ -341,12 +371,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of one id are one node even where their texts fall into several classes
     several = own.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a <> high").select("id", "a")
     alike = own.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    component = nodes.select("rep").union(alike.select("a")).union(alike.select("b")).distinct().select("rep", F.col("rep").alias("component"))
+    some_alike = not alike.isEmpty()
+    if some_alike:
+        alike = written(alike, f"{folder}/alike")
+        component = written(nodes.select("rep").union(alike.select("a")).union(alike.select("b")).distinct().select("rep", F.col("rep").alias("component")), f"{folder}/first-components")
+    else:
+        component = nodes.select("rep", F.col("rep").alias("component"))
 
     def merged(links: DataFrame, at: str) -> DataFrame:
         """component after links between components."""
         of = lambda c: component.select(F.col("rep").alias(c), F.col("component").alias(f"c_{c}"))
-        roots = connected_components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), f"{folder}/{at}-stars")
+        few = links.limit(FEW_LINKS + 1).count() <= FEW_LINKS
+        held = F.broadcast if few else lambda x: x
+        edges = held(held(links).join(of("a"), "a").select("b", "c_a")).join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        roots = held(written(components_of_few(edges), f"{folder}/{at}-roots") if few else connected_components(edges, f"{folder}/{at}-stars"))
         moved = component.join(roots.withColumnRenamed("node", "component"), "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
         return written(moved, f"{folder}/{at}-components")
 
@@ -356,8 +394,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = by_side.groupBy("token").agg(F.min(F.struct("x.h", "x.leader", F.col("component").alias("leads"), "k")).alias("x"), F.sum("k").alias("members"), F.max("often").alias("often"), F.count("*").alias("sides"))
         return found.where("sides > 1").select("token", "often", "x.leader", "x.leads", (F.col("members") - F.col("x.k")).alias("n_far"))
 
-    if not alike.isEmpty():
+    if some_alike:
         component = merged(alike, "alike")
+    n_nodes = nodes.count()
     for k in range(rounds):
         lists = posted.join(component, "rep")
         leaders = split_lists(F.xxhash64("rep", F.lit(k)) if k else -F.col("central"))
@@ -366,9 +405,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = met.groupBy("rep").agg(F.max(F.struct("collisions", "leader")).alias("x"), F.min(F.struct("often", "leader")).alias("y"))
         best = best.select(F.col("rep").alias("b"), F.explode(F.array_distinct(F.array("x.leader", "y.leader"))).alias("a"))
         links = written(confirmed(best), f"{folder}/{k}-links")
-        if links.isEmpty():
-            break
-        component = merged(links, str(k))
+        joined = links.count()
+        if joined:
+            component = merged(links, str(k))
+        if joined < n_nodes // 100:
+            break  # a further round would cost more than what is left to the lists
 
     lists = posted.join(component, "rep")
     tagged = dealt_join(lists, split_lists(-F.col("central")), ["token"])

@@ -216,6 +216,27 @@ def test_frames_in_frames_lose_no_link(spark, tmp_path):
     assert links and all(find(i) == find(j) for i, j in links)
 
 
+def test_components_of_few_links_equal_those_of_rounds(spark, tmp_path):
+    rng = random.Random(3)
+    links = [(rng.randint(0, 120), rng.randint(0, 120)) for _ in range(70)] + [(5, 5), (200, 201), (201, 200), *((300 + i, 301 + i) for i in range(40))]
+    edges = spark.createDataFrame(links, "a long, b long")
+    few = sorted(map(tuple, neardup.components_of_few(edges).collect()))
+    assert few == sorted(map(tuple, neardup.connected_components(edges, str(tmp_path)).collect())) and dict(few)[340] == 300
+
+
+def test_small_link_tables_need_no_rounds_of_joins(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(12)] + ["something else entirely here"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: sorted(map(tuple, neardup.near_duplicates(table, words=3, percent=80).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "FEW_LINKS", -1)
+        m.setattr(neardup, "FEW_FRAMES", -1)
+        slow = found()
+    monkeypatch.setattr(neardup, "connected_components", lambda *a: pytest.fail("rounds of joins"))
+    assert found() == slow and len({r[2] for r in slow}) < 13
+
+
 def test_drop_near_duplicates_keeps_columns(docs, empty):
     left = neardup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
