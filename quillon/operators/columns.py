@@ -108,12 +108,13 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return found.withColumn("numeric_like", numeric | ((F.col("n_valid") > 0) & (F.col("n_numbers") >= 0.8 * F.col("n_valid"))))
 
 
-def classify_columns(df: DataFrame, kind: str = "feature", registry: DataFrame | None = None) -> DataFrame:
+def classify_columns(df: DataFrame, kind: str = "feature", registry: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
     """(column, role, confidence, reason, missing_fraction, unique_values, numeric_like): one row per column of a feature, qc or metadata table.
 
-    Names are compared in normalised form; the first rule that holds gives the role. A registry is (feature, ...).
+    Names are compared in normalised form; the first rule that holds gives the role. A registry is (feature, ...). profile is
+    what profile_columns(df) gives, for several users of it.
     """
-    p = profile_columns(df).withColumn("name", normalize_name(F.col("column")))
+    p = (profile_columns(df) if profile is None else profile).withColumn("name", normalize_name(F.col("column")))
     if registry is not None:
         p = p.join(registry.select(normalize_name(F.col("feature")).alias("name"), F.lit(True).alias("_known")).distinct(), "name", "left")
     name, number = F.col("name"), F.col("numeric_like")
@@ -281,14 +282,14 @@ def dataset_inventory(df: DataFrame, roles: dict[str, list[str]], subject: str |
     return tall.select(F.element_at(F.create_map(*[F.lit(x) for kv in places.items() for x in kv]), F.col("metric")).alias("section"), "metric", "value")
 
 
-def screening_catalog(df: DataFrame, mapping: DataFrame, features: list[str]) -> DataFrame:
+def screening_catalog(df: DataFrame, mapping: DataFrame, features: list[str], profile: DataFrame | None = None) -> DataFrame:
     """(variable, mapped_role, screening_type, numeric, n_valid, n_unique, missing_fraction): columns that may be outcomes or groups.
 
-    Candidates have a target, covariate, task or time role, or a telling name, and are no features.
+    Candidates have a target, covariate, task or time role, or a telling name, and are no features. profile is as in classify_columns().
     """
     typed = numeric_columns(df, df.columns)
     rest = [c for c in df.columns if c not in features]
-    p = profile_columns(df.select(*rest)).join(mapping.select("column", "role"), "column", "left").withColumn("mapped_role", F.coalesce("role", F.lit("unknown")))
+    p = (profile_columns(df.select(*rest)) if profile is None else profile.where(F.col("column").isin(rest))).join(mapping.select("column", "role"), "column", "left").withColumn("mapped_role", F.coalesce("role", F.lit("unknown")))
     named = any_of([normalize_name(F.col("column")).contains(k) for k in SCREENED_NAMES])
     numeric = F.col("column").isin(*typed) if typed else F.lit(False)
     kind = worst_of([((F.col("n_valid") < 6) | (F.col("n_distinct") < 2), "insufficient"), (numeric & (F.col("n_distinct") > 10), "continuous_outcome"), (F.col("n_distinct") <= 20, "categorical_group")], "high_cardinality_skip")
