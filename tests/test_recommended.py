@@ -1,10 +1,11 @@
 """Queries that read the recordings as a wide table: what they compute, and how often."""
 
 from quillon.functions import gram
-from quillon.operators import columns, relations
+from quillon.functions.stats import long_form
+from quillon.operators import audit, columns, relations
 from quillon.plans import entries
 from tests.conftest import SF
-from tests.test_screens import _never
+from tests.test_screens import FEATURES, _never, rows_of, table  # noqa: F401
 
 
 def test_screening_summary_profiles_the_columns_once(spark, monkeypatch):
@@ -14,3 +15,24 @@ def test_screening_summary_profiles_the_columns_once(spark, monkeypatch):
     monkeypatch.setattr(columns, "profile_columns", lambda df: (seen.append(df.columns), profile(df))[1])
     assert entries.QUERIES["q42_screening_summary"](spark, SF).count() == 5
     assert len(seen) == 1
+
+
+def test_table_distribution_equals_that_of_long_tables(spark, table):
+    long = long_form(table, "record_key", FEATURES)
+    dist = audit.table_distribution(table, FEATURES)
+    want = audit.distribution_summary(long)
+    assert rows_of(dist.select(sorted(dist.columns))) == rows_of(want.select(sorted(want.columns)))
+    registry = spark.createDataFrame([("plain", "a", -1.0, 1.0), ("void", "a", 0.0, None), ("rare", "b", None, 0.5), ("other", "b", 0.0, 1.0)], "feature string, family string, expected_low double, expected_high double")
+    assert rows_of(audit.table_range_flags(table, FEATURES, registry)) == rows_of(audit.expected_range_flags(long, registry))
+    assert audit.table_distribution(table.where("false"), FEATURES).count() == audit.table_range_flags(table.where("false"), FEATURES, registry).count() == 0
+
+
+def test_recommendations_rank_all_columns_in_one_pass(spark, monkeypatch):
+    """Four rankings, each from long rows of its own."""
+    for module in (gram, relations):
+        monkeypatch.setattr(module, "column_rows", _never, raising=False)
+    monkeypatch.setattr(audit, "distribution_summary", _never)
+    seen, ranked = [], relations.row_correlations
+    monkeypatch.setattr(relations, "row_correlations", lambda *args: (seen.append(args[1]), ranked(*args))[1])
+    assert entries.QUERIES["q51_recommendations"](spark, SF).count() == 9
+    assert len(seen) == 1
