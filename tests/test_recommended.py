@@ -1,8 +1,10 @@
 """Queries that read the recordings as a wide table: what they compute, and how often."""
 
+import pytest
+
 from quillon.functions import gram
 from quillon.functions.stats import long_form
-from quillon.operators import audit, columns, relations
+from quillon.operators import audit, columns, export, relations
 from quillon.plans import entries
 from tests.conftest import SF
 from tests.test_screens import FEATURES, _never, rows_of, table  # noqa: F401
@@ -36,3 +38,20 @@ def test_recommendations_rank_all_columns_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(relations, "row_correlations", lambda *args: (seen.append(args[1]), ranked(*args))[1])
     assert entries.QUERIES["q51_recommendations"](spark, SF).count() == 9
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize(("module", "name", "query"), [("relations", "recommendation_rollups", "q52_recommendation_rollups"), ("export", "priority_review", "q53_priority_review"), ("export", "handoff_counts", "q53_handoff_counts"), ("export", "task_export", "q54_task_export")])
+def test_recommendations_are_computed_once_for_what_is_made_of_them(spark, monkeypatch, module, name, query):
+    """The rollups computed the whole table three times."""
+    of, seen = {"relations": relations, "export": export}[module], []
+    was = getattr(of, name)
+
+    def watched(*args, **kwargs):
+        seen.append(next(a for a in args if "readiness_recommendation" in a.columns)._jdf.queryExecution().optimizedPlan().toString())
+        return was(*args, **kwargs)
+
+    monkeypatch.setattr(of, name, watched)
+    for where in (gram, relations):
+        monkeypatch.setattr(where, "column_rows", _never, raising=False)
+    assert entries.QUERIES[query](spark, SF).count() > 0
+    assert len(seen) == 1 and "Join" not in seen[0]
