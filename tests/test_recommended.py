@@ -1,6 +1,7 @@
 """Queries that read the recordings as a wide table: what they compute, and how often."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions import gram
 from quillon.functions.stats import long_form
@@ -29,6 +30,20 @@ def test_table_distribution_equals_that_of_long_tables(spark, table):
     assert audit.table_distribution(table.where("false"), FEATURES).count() == audit.table_range_flags(table.where("false"), FEATURES, registry).count() == 0
 
 
+def test_table_repeatability_equals_that_of_long_tables(spark, table):  # noqa: F811
+    registry = spark.createDataFrame([("plain", "a", -1.0, 1.0)], "feature string, family string, expected_low double, expected_high double")
+    rows = table.withColumn("unit", F.when(F.col("record_key") % 9 > 0, F.pmod(F.col("record_key") * 7, F.lit(90)).cast("string")))
+    want = relations.repeatability(long_form(rows, ["record_key", "unit"], FEATURES), registry)
+    got = relations.table_repeatability(rows, "unit", FEATURES, registry)
+    assert rows_of(got.select(want.columns)) == rows_of(want)
+    assert relations.table_repeatability(rows.where("false"), "unit", FEATURES, registry).count() == 0
+
+
+def test_units_are_met_without_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(relations, "repeatability", _never)
+    assert entries.QUERIES["q53_handoff_counts"](spark, SF).count() == 3
+
+
 def test_recommendations_rank_all_columns_in_one_pass(spark, monkeypatch):
     """Four rankings, each from long rows of its own."""
     for module in (gram, relations):
