@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quillon.functions import gram
 from quillon.functions.stats import long_form
 from quillon.operators import audit, columns, export, relations
-from quillon.plans import entries
+from quillon.plans import audit_queries, entries
 from tests.conftest import SF
 from tests.test_screens import FEATURES, _never, rows_of, table  # noqa: F401
 
@@ -44,6 +44,15 @@ def test_units_are_met_without_long_rows(spark, monkeypatch):
     assert entries.QUERIES["q53_handoff_counts"](spark, SF).count() == 3
 
 
+def test_task_export_writes_the_recordings_once(spark, monkeypatch):
+    seen = []
+    for where in (gram, audit_queries):
+        was = where.settled
+        monkeypatch.setattr(where, "settled", lambda df, was=was: (seen.append(df.columns), was(df))[1])
+    assert entries.QUERIES["q54_task_export"](spark, SF).count() > 0
+    assert sum("total_price" in c for c in seen) == 1
+
+
 def test_recommendations_rank_all_columns_in_one_pass(spark, monkeypatch):
     """Four rankings, each from long rows of its own."""
     for module in (gram, relations):
